@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .ann import op9_ann
 from .bpe import op5_bpe
+from .quality import op6_quality
 
 QUERIES = {
     "op5_bpe": op5_bpe,
+    "op6_quality": op6_quality,
+    "op9_ann": op9_ann,
 }
 
 ORACLE_SQL: dict[str, str] = {}
