@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .ann import op9_ann
 from .bpe import op5_bpe
+from .mixing import OP3_SQL, op3_mixing
 from .quality import op6_quality
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
     "op9_ann": op9_ann,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": OP3_SQL,
+}
