@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op9_ann
 from .bpe import op5_bpe
 from .mixing import OP3_SQL, op3_mixing
+from .pii import op10_pii
 from .quality import op6_quality
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
     "op9_ann": op9_ann,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
