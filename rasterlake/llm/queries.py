@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op9_ann
 from .bpe import op5_bpe
+from .lines import OP8_SQL, op8_lines
 from .mixing import OP3_SQL, op3_mixing
 from .pii import op10_pii
 from .quality import op6_quality
@@ -12,10 +13,12 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
+    "op8_lines": op8_lines,
     "op9_ann": op9_ann,
     "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": OP3_SQL,
+    "op8_lines": OP8_SQL,
 }
