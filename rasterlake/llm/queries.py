@@ -8,8 +8,10 @@ from .lines import OP8_SQL, op8_lines
 from .mixing import OP3_SQL, op3_mixing
 from .pii import op10_pii
 from .quality import op6_quality
+from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
