@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op9_ann
 from .bpe import op5_bpe
+from .jaccard import op7_jaccard
 from .lines import OP8_SQL, op8_lines
 from .mixing import OP3_SQL, op3_mixing
 from .pii import op10_pii
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
+    "op7_jaccard": op7_jaccard,
     "op8_lines": op8_lines,
     "op9_ann": op9_ann,
     "op10_pii": op10_pii,
