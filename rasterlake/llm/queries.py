@@ -9,9 +9,11 @@ from .lines import OP8_SQL, op8_lines
 from .mixing import OP3_SQL, op3_mixing
 from .pii import op10_pii
 from .quality import op6_quality
+from .suffix import op1_suffix
 from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_suffix": op1_suffix,
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op5_bpe": op5_bpe,
