@@ -6,6 +6,7 @@ from .ann import op9_ann
 from .bpe import op5_bpe
 from .jaccard import op7_jaccard
 from .lines import OP8_SQL, op8_lines
+from .lm import op4_lm
 from .mixing import OP3_SQL, op3_mixing
 from .pii import op10_pii
 from .quality import op6_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_suffix": op1_suffix,
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
+    "op4_lm": op4_lm,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
     "op7_jaccard": op7_jaccard,
