@@ -1,10 +1,6 @@
 """All queries over the driver tables and the SQL that gives the same rows."""
 
-from __future__ import annotations
+from .plans.catalogue import QUERIES
+from .plans.oracle import ORACLE_SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
