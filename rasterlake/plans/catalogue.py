@@ -132,9 +132,9 @@ def median_cut(spark, sf_dir):
 
 def nearest_palette(spark, sf_dir):
     means = palette.means(palette.split_once(rgb_histogram(spark, sf_dir), ["label"]), ["label", "side"])
-    entries = means.select((F.col("label") * 2 + F.col("side")).alias("idx"), *(F.round(x, 3).alias(x) for x in "rgb"))
+    entries = means.select((F.col("label") * 2 + F.col("side")).alias("idx"), *(E.js_round(F.col(x)).alias(x) for x in "rgb"))
     points = _rgb(spark, sf_dir).select((F.col("vec_id") * 21 + F.col("q")).alias("px"), "r", "g", "b")
-    return similarity.nearest(points, entries, "px", ["r", "g", "b"]).select("px", "entry", F.round("distance", 4).alias("distance"))
+    return similarity.nearest(points, entries, "px", ["r", "g", "b"])
 
 
 def changing_elements(spark, sf_dir):

@@ -85,9 +85,9 @@ SELECT *, CASE WHEN extreme_ratio >= 0.9 AND unique_colors < 4096 THEN 'bilevel'
     "rgb_histogram": f"WITH {_RGB} SELECT * FROM hb",
     "median_split_once": f"WITH {_SPLIT} SELECT * FROM sp",
     "palette_means": f"WITH {_SPLIT} SELECT label, side, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b, count FROM pm",
-    "nearest_palette": f"""WITH {_SPLIT}, en AS (SELECT label * 2 + side AS idx, round(r, 3) AS r, round(g, 3) AS g, round(b, 3) AS b FROM pm),
+    "nearest_palette": f"""WITH {_SPLIT}, en AS (SELECT label * 2 + side AS idx, floor(r + 0.5::DOUBLE)::BIGINT AS r, floor(g + 0.5::DOUBLE)::BIGINT AS g, floor(b + 0.5::DOUBLE)::BIGINT AS b FROM pm),
 d AS (SELECT vec_id * 21 + q AS px, idx, (rgb.r - en.r) * (rgb.r - en.r) + (rgb.g - en.g) * (rgb.g - en.g) + (rgb.b - en.b) * (rgb.b - en.b) AS d FROM rgb, en)
-SELECT px, arg_min(idx, struct_pack(d := d, i := idx)) AS entry, round(min(d), 4) AS distance FROM d GROUP BY px""",
+SELECT px, arg_min(idx, struct_pack(d := d, i := idx)) AS entry, min(d) AS distance FROM d GROUP BY px""",
     "changing_elements": f"WITH {_CH} SELECT vec_id, el::INT[] AS elements FROM ch",
     "run_lengths": f"""WITH {_CH}, ed AS (SELECT vec_id, list_concat([0], el, [64]) AS ed FROM ch)
 SELECT vec_id, unnest(range(len(ed) - 1))::INT AS run, unnest(list_transform(range(1, len(ed)), lambda i: ed[i + 1] - ed[i]))::INT AS length FROM ed""",
