@@ -135,3 +135,38 @@ def test_image_files(spark, tmp_path):
     jobs = spark.createDataFrame([(1, "a.png", b"1", 0), (1, "a.png", b"2", 1), (1, "b.png", b"3", 2), (2, "c.png", b"4", 0)], "job int, name string, content binary, ord int")
     zips = {r.job: (r.n, bytes(r.archive)[:2]) for r in files.zip_archives(jobs, "job", "name", "content", "ord").collect()}
     assert zips == {1: (2, b"PK"), 2: (1, b"4")}
+
+
+def test_pdf_graph(spark):
+    from rasterlake.sources import pdf
+
+    px = np.random.default_rng(4).integers(0, 256, (40, 30, 3), dtype=np.uint8)
+    pictures = spark.createDataFrame([(1, k, rasters.encode_png(px)) for k in range(2)], "job int, ord int, content binary")
+    made = pdf.images_to_pdf(pictures, "job", "ord", "content").selectExpr("'a.pdf' path", "pdf content")
+    broken = spark.createDataFrame([("b.pdf", b"no")], "path string, content binary")
+    rows = pdf.objects(made.union(broken)).cache()
+    assert rows.where("error is not null").count() == 1
+    graph = rows.where("key is not null")
+    found = docgraph.candidate_images(graph)
+    assert sorted(r.key for r in found.collect()) == ["4_0", "7_0"]
+    from rasterlake.operators import keyed
+
+    same = {r.key: r.canonical for r in keyed.canonical(found.withColumn("content", F.hex("content")), "key", "content").collect()}
+    assert same == {"4_0": "4_0", "7_0": "4_0"}
+    edges = graph.select(F.col("key").alias("src"), F.explode("refs").alias("r")).select("src", F.col("r.dst").alias("dst"))
+    table = spark.createDataFrame(list(same.items()), "key string, canonical string")
+    merged = keyed.remap(edges, "dst", table, "key")
+    roots = spark.createDataFrame([("1_0",)], "key string")
+    assert [r.key for r in docgraph.collect_garbage(graph.select("key"), merged, roots).collect()] == ["7_0"]
+    ops = [o for r in graph.where("kind = 'stream' and dict['Subtype'] is null").collect() for o in pdf.operators(bytes(r.content))]
+    assert [o[0] for o in ops] == ["save", "transform", "paint", "restore"] * 2
+
+
+def test_stream_of_images(spark, tmp_path):
+    from rasterlake.streaming.ingest import compress_stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.bmp").write_bytes(rasters.encode_bmp(np.zeros((16, 16, 3), np.uint8)))
+    q = compress_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"))
+    q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
