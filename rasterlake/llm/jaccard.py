@@ -17,8 +17,8 @@ are compared with each other. No pair that could link two components is left out
 their whole sets of 64-bit shingle hashes, with integer arithmetic.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is linked with nothing; a
-text of fewer words than a shingle is one shingle; rows that repeat an id are one document with several sets,
-and each row is returned; an empty table gives no rows. Columns other than the id and text are not read.
+text of fewer words than a shingle is one shingle; every row is returned, also those that repeat an id: they
+are one document, of whose different sets the one of least hash is compared; an empty table gives no rows. Columns other than the id and text are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -175,31 +175,61 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = scratch.put(_sets(slim, k, percent, _word_cells(slim, "text")), "sets")
     classes = scratch.put(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sets.where("n > 0").join(classes, (sets["s1"] == classes["s1"]) & (sets["s2"] == classes["s2"]) & (sets["doc_id"] == classes["rep"]), "left_semi")
-
-    tokens = reps.select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), "l", "base", F.posexplode("toks").alias("pos", "tok"))
-    tokens = tokens.select("tok", "doc", "n", "l", F.greatest(F.lit(1), F.col("pos") - F.col("base") + 2).alias("tier"))
-    met = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    shared = scratch.put(tokens.join(met, "tok"), "shared")
+    # of an id with several sets one is compared
+    active = classes.groupBy("rep").agg(F.min(F.struct("s1", "s2")).alias("s")).select(F.col("rep").alias("doc_id"), "s.s1", "s.s2")
+    reps = sets.where("n > 0").join(active, ["doc_id", "s1", "s2"], "left_semi")
+
+    # size, place, l and tier in one number: rows of a document stay alike, and shuffles small
+    tier = F.greatest(F.lit(1), F.col("pos") - F.col("base") + 2)
+    tokens = reps.select(F.col("doc_id").alias("doc"), "n", "l", "base", F.posexplode("toks").alias("pos", "tok"))
+    tokens = tokens.select("tok", "doc", (F.shiftleft("n", 32) + F.col("pos") * 16 + (F.col("l") - 1) * 4 + tier - 1).alias("info"))
+    met = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
+    found = scratch.put(tokens.join(met, "tok"), "found")
+    placed_rows = scratch.put(sets.select("doc_id", "n", "s1", "s2"), "rows")
+    scratch.drop("sets")
+    # lost: shingles before this one that no other prefix holds, so no set that shares this one has them
+    place = F.floor(F.col("info") % (1 << 32) / 16)
+    lost = place - F.row_number().over(Window.partitionBy("doc").orderBy(place)) + 1
+    is_big = (F.col("c") > SMALL).cast("int")
+    counted = Window.partitionBy("doc")
+    shared = found.select("tok", "doc", "info", "c", "low", lost.alias("lost"), (F.sum(is_big).over(counted)).alias("in_big"), (F.sum(1 - is_big).over(counted)).alias("in_small"))
+    shared = scratch.put(shared, "shared")
+    scratch.drop("found")
+    size = lambda c: F.shiftright(c, 32)
+    level = lambda c: F.floor(F.col(c) % 16 / 4) + 1
+    fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    enough = lambda overlap: overlap * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
+    beyond = lambda n, l: F.floor((percent * F.col(n) + 99) / 100) - l  # noqa: E731, E741
 
     def pairs_of(members: DataFrame, rule) -> DataFrame:
-        """Pairs of a bucket's documents that `rule` admits, with how many prefix shingles they share."""
+        """Pairs of a bucket's documents that `rule` admits, that share enough of the shorter prefix, and that
+        could reach the similarity if they also shared `more`, all they have in buckets that aren't among these."""
+        members = members.withColumns({"n": size("info"), "l": level("info"), "tier": F.col("info") % 4 + 1}).drop("info")
         right = members.select("tok", *(F.col(c).alias(f"{c}2") for c in members.columns if c != "tok"))
-        fits = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.greatest("tier", "tier2") <= F.least("l", "l2"))
-        met = members.join(right, "tok").where((F.col("doc") < F.col("doc2")) & fits & rule)
-        return met.groupBy(F.col("doc").alias("a"), F.col("doc2").alias("b")).agg(F.count(F.lit(1)).alias("same"), F.min(F.least("l", "l2")).alias("need"), *([F.min(F.least("more", "more2")).alias("more")] if "more" in members.columns else []))
-
-    big = shared.where(F.col("c") > SMALL)
-    more = big.groupBy("doc").agg(F.count(F.lit(1)).alias("more"))
-    small = shared.where(F.col("c") <= SMALL).join(more, "doc", "left").fillna(0, ["more"]).select("tok", "doc", "n", "l", "tier", "more")
-    # shared shingles of larger buckets aren't counted here, so each could be one
-    near = pairs_of(small, F.lit(True)).where("same + more >= need").select("a", "b")
+        near = (F.col("doc") < F.col("doc2")) & fits & enough(F.least(F.col("n") - F.col("lost"), F.col("n2") - F.col("lost2")))
+        met = members.join(right, "tok").where(near & rule)
+        within = F.count_if(F.greatest("tier", "tier2") <= F.least("l", "l2"))
+        met = met.groupBy(F.col("doc").alias("a"), F.col("doc2").alias("b")).agg(F.count(F.lit(1)).alias("same"), within.alias("within"), *(F.min(c).alias(c) for c in ("n", "n2", "l", "l2")), F.min(F.least("more", "more2")).alias("more"))
+        most = F.col("same") + F.col("more") + F.greatest(beyond("n", F.col("l")), beyond("n2", F.col("l2")))
+        return met.where((F.col("within") + F.col("more") >= F.least("l", "l2")) & enough(most)).select("a", "b")
 
     def star(centre: str, members: DataFrame) -> DataFrame:
         return members.where(F.col("doc") != F.col(centre)).select(F.least("doc", centre).alias("a"), F.greatest("doc", centre).alias("b")).distinct()
 
-    pairs = scratch.put(near.unionByName(star("low", big)).distinct(), "pairs-1")
-    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    def hopeful(pairs: DataFrame) -> DataFrame:
+        """Pairs that all their shared prefix shingles, and everything beyond the prefixes, could still link."""
+        left = shared.select(F.col("doc").alias("a"), "tok", F.col("info").alias("i"))
+        right = shared.select(F.col("doc").alias("b"), "tok", F.col("info").alias("i2"))
+        met = pairs.join(left, "a").join(right, ["b", "tok"])
+        met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.min("i").alias("i"), F.min("i2").alias("i2")).withColumns({"n": size("i"), "n2": size("i2")})
+        most = F.col("m") + F.greatest(beyond("n", level("i")), beyond("n2", level("i2")))
+        return met.where(fits & enough(most)).select("a", "b")
+
+    big = shared.where(F.col("c") > SMALL)
+    small = shared.where(F.col("c") <= SMALL).select("tok", "doc", "info", "lost", F.col("in_big").alias("more"))
+    # shared shingles of larger buckets aren't counted here, so each could be one
+    near = pairs_of(small, F.lit(True))
+    pairs = scratch.put(hopeful(near.unionByName(star("low", big)).distinct()), "pairs-1")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -207,9 +237,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             made = [shingle_set(t, k, words).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc", "set"])
 
-    texts = slim.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi").select("doc_id", "text")
-    full = scratch.put(texts.mapInArrow(whole, "doc long, set binary"), "full")
-    links = scratch.put(_linked(pairs, full, percent), "links-1")
+    full = None
+
+    def linked(pairs: DataFrame, step: int) -> DataFrame:
+        """Verifies pairs; whole sets are made once for every document that is in any pair."""
+        nonlocal full
+        wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+        if full is not None:
+            wanted = scratch.put(wanted.join(full, "doc", "left_anti"), f"wanted-{step}")
+        if full is None or not wanted.isEmpty():
+            texts = slim.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi").select("doc_id", "text")
+            more = scratch.put(texts.mapInArrow(whole, "doc long, set binary"), f"full-{step}")
+            full = more if full is None else full.unionByName(more)
+        return scratch.put(_linked(pairs, full, percent), f"links-{step}")
+
+    links = linked(pairs, 1)
     tried = pairs
     for step in (2, 3):
         if big.isEmpty():
@@ -223,16 +265,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         if step == 2:
             found = star("centre", members.where(F.col("part") != F.col("centre")))
         else:
-            found = pairs_of(members.select("tok", "doc", "n", "l", "tier", "part"), F.col("part") != F.col("part2")).where("same >= need").select("a", "b")
-        fresh = scratch.put(found.join(tried, ["a", "b"], "left_anti"), f"pairs-{step}")
-        links = links.unionByName(scratch.put(_linked(fresh, full, percent), f"links-{step}"))
+            found = pairs_of(members.select("tok", "doc", "info", "lost", "part", F.col("in_small").alias("more")), F.col("part") != F.col("part2"))
+        fresh = scratch.put(hopeful(found.join(tried, ["a", "b"], "left_anti")), f"pairs-{step}")
+        links = links.unionByName(linked(fresh, step))
         tried = tried.unionByName(fresh)
     parts = components(links, scratch, "cc-last")
     named = classes.join(parts, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    placed = sets.where("n > 0").select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    placed = placed_rows.where("n > 0").join(named, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = placed_rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return placed.unionByName(alone)
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+OP7_SQL = """
+WITH RECURSIVE words AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+rows AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM rows a JOIN rows b ON a.x = b.x AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id
+FROM sets s LEFT JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.s
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .ann import op9_ann
 from .bpe import op5_bpe
-from .jaccard import op7_jaccard
+from .jaccard import OP7_SQL, op7_jaccard
 from .lines import OP8_SQL, op8_lines
 from .lm import op4_lm
 from .mixing import OP3_SQL, op3_mixing
@@ -28,5 +28,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": OP3_SQL,
+    "op7_jaccard": OP7_SQL,
     "op8_lines": OP8_SQL,
 }
