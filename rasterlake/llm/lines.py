@@ -87,12 +87,20 @@ def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
 
     size = F.length("__line")
     part = near.select("__at", "__line", size.alias("__size"), F.explode(F.filter(_halves(F.col("__line"), size), lambda h: F.array_contains("__keys", h["key"]))).alias("__half"))
+    # a variant can only meet one of a line of the same length, or of one character more or less
+    part = part.withColumn("__key", F.col("__half.key"))
+    sizes = scratch.put(part.groupBy("__key", "__size").agg((F.count(F.lit(1)) > 1).alias("__same")), "sizes")
+    other = lambda step, name: sizes.select("__key", (F.col("__size") + step).alias("__size"), F.lit(True).alias(name))
+    part = part.join(sizes, ["__key", "__size"]).join(other(-1, "__longer"), ["__key", "__size"], "left").join(other(1, "__shorter"), ["__key", "__size"], "left")
+    part = part.where("__same or __longer or __shorter")
     rest = F.when(F.col("__half.side") == "P", F.substring(F.col("__line"), F.col("__half.c") + 1, F.col("__size"))).otherwise(F.substring(F.col("__line"), F.lit(1), F.col("__size") - F.col("__half.c")))
-    part = part.select("__at", F.col("__half.key").alias("__key"), rest.alias("__rest"), (F.col("__size") - F.col("__half.c")).alias("__m"))
+    part = part.select("__at", "__key", "__same", "__longer", "__shorter", rest.alias("__rest"), (F.col("__size") - F.col("__half.c")).alias("__m"))
     without = lambda i: F.concat(F.substring(F.col("__rest"), F.lit(1), i - 1), F.substring(F.col("__rest"), i + 1, F.col("__m")))
     row = lambda role, place, text: F.struct(F.lit(role).alias("role"), _hash(4, F.col("__key"), place, text).alias("a"), _hash(5, F.col("__key"), place, text).alias("b"))
     each = F.sequence(F.lit(1), F.col("__m"))
-    variants = F.concat(F.array(row(0, F.lit(0), F.col("__rest"))), F.transform(each, lambda i: row(1, F.lit(0), without(i))), F.transform(each, lambda i: row(2, i, without(i))))
+    none = F.array().cast("array<struct<role:int,a:bigint,b:bigint>>")
+    wanted = lambda flag, made: F.when(F.col(flag), made).otherwise(none)
+    variants = F.concat(wanted("__longer", F.array(row(0, F.lit(0), F.col("__rest")))), wanted("__shorter", F.transform(each, lambda i: row(1, F.lit(0), without(i)))), wanted("__same", F.transform(each, lambda i: row(2, i, without(i)))))
     variants = part.select("__at", F.explode(variants).alias("__v")).select("__at", "__v.*")
     # role 0 meets role 1 (one is the other without a character); role 2 meets role 2 (same place left out)
     group = Window.partitionBy("a", "b")
