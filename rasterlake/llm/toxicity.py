@@ -6,7 +6,7 @@ expected grade, the sum of these probabilities.
 
 Grades come from the labels: 0 not toxic, 1 toxic, 2 toxic and of low quality. The fit uses a bounded sample:
 the TRAIN_ROWS labelled documents with the smallest hash of their id, whatever the size of the table; only
-their hashed features travel to the driver. Scoring covers every document.
+their hashed features travel, to the one task that fits. Scoring covers every document.
 
 Weights are learnt by proximal adaptive gradient steps on the whole sample. The L1 penalty of a feature grows
 with the square root of its frequency, so that a weight must stand out of what chance gives; the features it
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TRAIN_ROWS = 15_000
+TRAIN_ROWS = 12_000
 BITS, GRADES = 20, 3
 PREFIXES = (4, 5, 6)
 MIN_DOCS, PENALTY, ROUNDS, STEP, RELAX = 6, 2.5, 120, 0.3, 0.15
@@ -85,14 +85,17 @@ def fit(rows: list[tuple[int, np.ndarray]], rounds: int = ROUNDS, penalty: float
     cut = np.log((1 - above) / above)
     if n == 0 or len(np.unique(y)) < 2:
         return Model(cut)
-    doc = np.repeat(np.arange(n), [len(x) for _, x in rows])
-    flat = np.concatenate([x for _, x in rows]).astype(np.int64)
-    often = np.bincount(flat, minlength=1 << BITS)
+    often = np.zeros(1 << BITS, np.int64)
+    for _, x in rows:
+        often[x] += 1  # a row's features are distinct
     names = np.flatnonzero((often >= MIN_DOCS) & (often < n))
     place = np.full(1 << BITS, -1)
     place[names] = np.arange(len(names))
-    col, row = place[flat], doc
-    row, col = row[col >= 0], col[col >= 0]
+    # only what is frequent enough is laid out; numbers of rows and columns are what bincount takes as they are
+    kept_cols = [c[c >= 0] for c in (place[x] for _, x in rows)]
+    row = np.repeat(np.arange(n), [len(c) for c in kept_cols])
+    col = np.concatenate(kept_cols)
+    del kept_cols, place
     w, seen_w, seen_c = np.zeros(len(names)), np.full(len(names), 1e-12), np.full(len(cut), 1e-12)
     toxic = 1 - share[0]
     least = penalty * np.sqrt(often[names] * toxic * (1 - toxic)) / n
@@ -144,9 +147,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         return [batch.column(0), pa.array([np.array(features(t, seen), np.int32).tobytes() for t in texts], pa.binary()), batch.column(2).cast(pa.int64())]
 
-    got = _mapped(used, ["grade", "f", "id"], "grade int, f binary, id long", make).collect()
-    got.sort(key=lambda r: (r["id"], r["grade"], r["f"]))
-    return fit([(r["grade"], np.frombuffer(r["f"], np.int32)) for r in got])
+    found = _mapped(used, ["grade", "f", "id"], "grade int, f binary, id long", make)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in (2, 0, 1)), strict=True))
+        model = fit([(grade, np.frombuffer(f, np.int32)) for _, grade, f in got])
+        columns = [pa.array([model.thresholds.tolist()]), pa.array([list(model.weights)], pa.list_(pa.int64())), pa.array([list(model.weights.values())], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["cut", "names", "weights"])
+
+    # the sample is bounded, so one task holds it; the driver gets the model alone
+    made = found.repartition(1).mapInArrow(learn, "cut array<double>, names array<long>, weights array<double>").collect()
+    if not made:
+        return fit([])
+    return Model(np.array(made[0]["cut"]), dict(zip(made[0]["names"], made[0]["weights"], strict=True)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
