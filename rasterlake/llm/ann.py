@@ -4,7 +4,7 @@ Every vector is rotated by one random orthogonal matrix and kept as the signs of
 packed into bits, plus correction scalars: its length and the inner product of its unit vector with its own
 code's unit vector. From these the inner product with a rotated query is estimated without bias; the error
 is, with high probability, within ERROR_BOUND standard deviations. A query's candidates are reranked on the
-original vectors if their upper bound reaches the rank-th best lower bound.
+original vectors if their upper bound reaches a floor: the k-th best true value among the best estimates.
 
 Queries and rows meet in blocks: each query block visits each row block once, a block's result is its best
 `k` rows per query, and these meet again in one window per query. Nothing is broadcast or collected, and no
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 #: Standard deviations of the estimate's error that the bounds allow for.
-ERROR_BOUND = 3.0
+ERROR_BOUND = 2.5
 SEED = 20240607
 #: Rows in a block. A record of a pair of blocks holds both, some MB at 64 dimensions.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 512
@@ -65,12 +65,16 @@ def best(qid: np.ndarray, query: np.ndarray, vid: np.ndarray, vectors: np.ndarra
         q = query[a : a + step]
         guess, wide = estimate(q, *coded, turn)
         same = vid[None, :] == qid[a : a + step, None]
-        low = np.where(same, -np.inf, guess - wide)
-        if k < len(vid):
-            edge = -np.partition(-low, k - 1, axis=1)[:, k - 1]
-        else:
-            edge = np.full(len(q), -np.inf, np.float32)
-        row, col = np.nonzero((guess + wide >= edge[:, None]) & ~same)
+        guess[same] = -np.inf
+        # the k-th best of the true values of the best guesses is a floor that the k-th best can't be under
+        some = min(3 * k, len(vid))
+        front = np.argpartition(-guess, some - 1, axis=1)[:, :some] if some < len(vid) else np.tile(np.arange(len(vid)), (len(q), 1))
+        true = np.einsum("ij,ikj->ik", q, vectors[front])
+        true[np.take_along_axis(same, front, axis=1)] = -np.inf
+        edge = np.sort(true, axis=1)[:, -k] if k <= some else np.full(len(q), -np.inf)
+        # estimates are single precision: a little room below the floor
+        floor = np.where(np.isfinite(edge), edge - 1e-5 * (1 + np.abs(edge)), -np.inf)
+        row, col = np.nonzero((guess + wide >= floor[:, None]) & ~same)
         score = np.concatenate([np.einsum("ij,ij->i", q[row[i : i + 65536]], vectors[col[i : i + 65536]]) for i in range(0, max(1, len(row)), 65536)])
         order = np.lexsort((vid[col], -score, row))
         row, col, score = row[order], col[order], score[order]
