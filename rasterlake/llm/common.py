@@ -42,6 +42,9 @@ class Scratch:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        # Spark deletes the shuffle files of a finished step once its plan is garbage; a driver with memory to
+        # spare might not look for long, and the disks of many steps add up
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
