@@ -1,10 +1,12 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document's set is its distinct word shingles. All shingles have one global order, rarest first by an
-estimate, then by hash. The l-prefix of a set of n shingles are its first n - t + l, t being the least overlap
-with any partner: two similar sets share at least l shingles of their l-prefixes, for every l. Each document
-picks its own l by estimated candidate cost: a longer prefix asks for more shared shingles before a pair is
-verified. A pair is held to the smaller l of the two, counting shingles that both have within that prefix.
+estimate, then by hash. With d shingles that a set may lack in a partner, the l-prefix of a set are its first
+2 d + l: whichever of two similar sets has the lower end of prefix finds at least d + l of it in the other's.
+Each document picks its own l by estimated candidate cost: a longer prefix asks for more shared shingles before a
+pair is verified. A document that shares no more than d of its prefix with all others together has no partner and
+leaves before any pair is formed. A pair is held to the smaller l of the two, and to the shared prefix shingles
+that its sizes ask for.
 
 The frequency estimate is the product of word frequencies, counted over all documents in a table of fixed size
 (words share its cells by hash), so it is small at any size of the corpus and needs no count of shingles.
@@ -36,6 +38,7 @@ from .graph import components
 CELLS = 1 << 17
 SMALL = 8
 MAX_L = 4
+PRUNINGS = 3
 #: Cost of verifying a pair, for each 100 shingles, against that of a shared prefix shingle.
 VERIFY_COST = 4.0
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -137,7 +140,7 @@ def _sets(docs: DataFrame, k: int, percent: int, cells: np.ndarray) -> DataFrame
                 guess = sum(log[j : len(log) - wide + 1 + j] for j in range(wide))[first] + total
                 order = np.lexsort((kept, np.floor(guess * 2)))
                 least = -(-percent * n // 100)
-                base = n - least + 1
+                base = min(n, 2 * (n - least) + 1)
                 level = pick(np.exp(np.minimum(guess[order[: base + MAX_L]], 30.0)), base, n)
                 both = np.frombuffer(xxhash.xxh3_128_digest(kept.tobytes()), np.int64)
                 rows.append((doc, n, int(both[0]), int(both[1]), level, base, kept[order[: base + level - 1]].view(np.int64)))
@@ -184,9 +187,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     tokens = reps.select(F.col("doc_id").alias("doc"), "n", "l", "base", F.posexplode("toks").alias("pos", "tok"))
     tokens = tokens.select("tok", "doc", (F.shiftleft("n", 32) + F.col("pos") * 16 + (F.col("l") - 1) * 4 + tier - 1).alias("info"))
     met = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
-    found = scratch.put(tokens.join(met, "tok"), "found")
+    size = lambda c: F.shiftright(c, 32)
+    found = scratch.put(tokens.join(met, "tok").select("tok", "doc", "info", "c", "low"), "found-0")
     placed_rows = scratch.put(sets.select("doc_id", "n", "s1", "s2"), "rows")
     scratch.drop("sets")
+    # a document with fewer shared prefix shingles than any partner would ask for has none; without it others
+    # share fewer, so this is done again. Documents that have only a passage in common go here.
+    for turn in range(1, PRUNINGS + 1):
+        held = found.groupBy("doc").agg(F.count(F.lit(1)).alias("held"), F.min(size("info")).alias("n"))
+        smallest = F.floor((percent * F.col("n") + 99) / 100)
+        able = held.where(F.col("held") > F.floor((100 - percent) * smallest / 100)).select("doc")
+        kept = scratch.put(found.select("tok", "doc", "info").join(able, "doc", "left_semi"), f"kept-{turn}")
+        met = kept.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
+        found = scratch.put(kept.join(met, "tok").select("tok", "doc", "info", "c", "low"), f"found-{turn}")
+        scratch.drop(f"kept-{turn}")
+        scratch.drop(f"found-{turn - 1}")
     # lost: shingles before this one that no other prefix holds, so no set that shares this one has them
     place = F.floor(F.col("info") % (1 << 32) / 16)
     lost = place - F.row_number().over(Window.partitionBy("doc").orderBy(place)) + 1
@@ -194,12 +209,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     counted = Window.partitionBy("doc")
     shared = found.select("tok", "doc", "info", "c", "low", lost.alias("lost"), (F.sum(is_big).over(counted)).alias("in_big"), (F.sum(1 - is_big).over(counted)).alias("in_small"))
     shared = scratch.put(shared, "shared")
-    scratch.drop("found")
-    size = lambda c: F.shiftright(c, 32)
+    scratch.drop(f"found-{PRUNINGS}")
     level = lambda c: F.floor(F.col(c) % 16 / 4) + 1
     fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
     enough = lambda overlap: overlap * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
-    beyond = lambda n, l: F.floor((percent * F.col(n) + 99) / 100) - l  # noqa: E731, E741
+    # shingles beyond the prefix, which is twice what a partner may lack, and l
+    beyond = lambda n, l: F.greatest(F.lit(0), 2 * F.floor((percent * F.col(n) + 99) / 100) - F.col(n) - l)  # noqa: E731, E741
 
     def pairs_of(members: DataFrame, rule) -> DataFrame:
         """Pairs of a bucket's documents that `rule` admits, that share enough of the shorter prefix, and that
