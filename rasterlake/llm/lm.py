@@ -7,10 +7,9 @@ A word outside the vocabulary gets its group's probability times its share of th
 network share the counts, which cover all training documents.
 
 Passes. 1: each task cuts its rows into blocks of some MB and emits a block's distinct words with their
-training counts; these are summed up over all blocks. 2: every training document gives the run of its tokens,
-SHARE of its length and at least RUN tokens, at a place drawn by hash, that gradient steps visit; shards of
-about SHARD_TOKENS train side by side, and their weights are averaged after each round. Runs, shards and
-counts grow with the input. 3: each block's counts come back to it (one row per distinct word, not per
+training counts; these are summed up over all blocks. 2: gradient steps visit every token of every training
+document, in one of the rounds, drawn by hash; shards of about SHARD_TOKENS train side by side, and their
+weights are averaged after each round. Sequences, shards and counts grow with the input. 3: each block's counts come back to it (one row per distinct word, not per
 occurrence) and its documents are scored whole, the state carried from window to window.
 
 A block is named by its task and its number there, so `docs` must give the same rows in the same tasks twice,
@@ -40,7 +39,6 @@ from .common import Scratch, table
 
 TOP, GROUPS = 1983, 64
 HIDDEN, CLASSES = 24, 32
-SHARE, RUN = 1 / 6, 48
 SHARD_TOKENS, ROUNDS = 1_500_000, 2
 BLOCK_BYTES = 16_000_000
 FOLD, FOLDS = 2, 7
@@ -131,7 +129,7 @@ class _Ids(dict):
         return at
 
 
-def _runs(vocabulary: Vocabulary, share: float):
+def _sequences(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -142,10 +140,8 @@ def _runs(vocabulary: Vocabulary, share: float):
                 if held_out(doc):
                     continue
                 words = [b"", *(text or b"").lower().split(), b""]
-                wide = max(RUN, int(len(words) * share)) + 1
                 key = xxhash.xxh3_64_intdigest(f"{doc}".encode())
-                start = key % max(1, len(words) - wide + 1)
-                rows.append(np.fromiter(map(ids.__getitem__, words[start : start + wide]), np.int16).tobytes())
+                rows.append(np.fromiter(map(ids.__getitem__, words), np.int16, len(words)).tobytes())
                 keys.append((key >> 1) & ((1 << 62) - 1))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.binary())], names=["key", "ids"])
 
@@ -180,16 +176,16 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary()), pa.array([tokens], pa.int64())], names=["p", "n"])
 
 
-def fit(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, share: float = SHARE, rounds: int = ROUNDS) -> bytes:
+def fit(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: int = ROUNDS) -> bytes:
     """Trains by averaging shards; `docs` is (id, text). The result has a fixed size."""
     s = vocabulary.shape
     weights = gru.pack(gru.fresh(s, vocabulary.counts))
     if not vocabulary.n:
         return weights
-    shards = max(1, math.ceil(vocabulary.n * share / SHARD_TOKENS))
-    runs = scratch.put(docs.mapInArrow(_runs(vocabulary, share), "key long, ids binary"), "runs")
+    shards = max(1, math.ceil(vocabulary.n / SHARD_TOKENS))
+    sequences = scratch.put(docs.mapInArrow(_sequences(vocabulary), "key long, ids binary"), "sequences")
     for k in range(rounds):
-        part = runs.where(F.pmod("key", F.lit(rounds)) == k).repartition(shards, F.pmod(F.shiftright("key", 8), F.lit(shards))).sortWithinPartitions("key")
+        part = sequences.where(F.pmod("key", F.lit(rounds)) == k).repartition(shards, F.pmod(F.shiftright("key", 8), F.lit(shards))).sortWithinPartitions("key")
         trained = scratch.put(part.mapInArrow(_trainer(s, weights), "p binary, n long"), f"weights-{k}")
         # a bounded number of sums reaches the driver, whatever the number of shards
         sums = trained.coalesce(min(shards, 16)).mapInArrow(_summed, "p binary, n long").collect()
@@ -254,7 +250,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(ids[k : k + 2000], pa.int64()), pa.array(some, pa.binary())], names=["block", "doc", "text"])
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, rounds: int = ROUNDS, stored: bool = True) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, stored: bool = True) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score; logarithms to base 10."""
     scratch = Scratch(docs.sparkSession, "lm")
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
@@ -263,7 +259,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = scratch.put(slim.mapInArrow(_announced, "h long, g int, block long, n long"), "words")
     counts = scratch.put(words.groupBy("h").agg(F.sum("n").alias("c"), F.min("g").alias("g")), "counts")
     vocabulary = Vocabulary(counts)
-    weights = fit(slim, vocabulary, scratch, share, rounds)
+    weights = fit(slim, vocabulary, scratch, rounds)
     back = words.select("h", "block").join(counts.select("h", "c"), "h").select("block", "h", "c")
     texts = slim.mapInArrow(_texts, "block long, doc long, text binary")
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]

@@ -214,6 +214,14 @@ def test_language_model_is_a_distribution_and_learns():
     assert gru.score(p, s, seqs[:7], window=5) == pytest.approx(gru.score(p, s, seqs[:7], window=64), rel=1e-4)
 
 
+def test_language_model_trains_on_every_token(spark, docs, monkeypatch):
+    seen = []
+    put = common.Scratch.put
+    monkeypatch.setattr(common.Scratch, "put", lambda self, df, name: seen.append((name, out := put(self, df, name))) or out)
+    n = lm.score_documents(docs, stored=False).first()["train_tokens"]
+    assert sum(len(r.ids) // 2 - 1 for _, df in seen if "ids" in df.columns for r in df.collect()) == n
+
+
 def test_gradients():
     from rasterlake.llm import gru
 
