@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 
 WINDOW = 32
+FEW = 8
 _F = np.float32
 
 
@@ -127,21 +129,29 @@ def _output(p: dict, s: Shape, h: np.ndarray, y: np.ndarray, grads: dict | None)
 
 def train(p: dict[str, np.ndarray], s: Shape, batches: Iterator[list[np.ndarray]], rate: float = 0.004, window: int = WINDOW) -> tuple[dict[str, np.ndarray], int]:
     """One pass of truncated backpropagation over batches of sequences (each begins with its first input),
-    with state carried from window to window. Returns the weights and the number of tokens."""
+    with state carried from window to window. What is left of a batch's few longest goes on, with its state,
+    beside the next batch; after the last one, a step is made once FEW windows of tokens have come together.
+    Every token is visited. Returns the weights and the number of tokens."""
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
-    steps = tokens = 0
+    steps = tokens = count = 0
     hidden = s.hidden
-    for batch in batches:
-        batch = sorted((q for q in batch if len(q) > 1), key=len, reverse=True)
-        if not batch:
+    grads: dict[str, np.ndarray] = {}
+    rest: list[tuple[np.ndarray, np.ndarray]] = []
+    for new in chain(batches, [None]):
+        lanes = rest + [(q, np.zeros(hidden, _F)) for q in new or [] if len(q) > 1]
+        rest = []
+        if not lanes:
             continue
+        lanes.sort(key=lambda lane: len(lane[0]), reverse=True)
+        batch = [q for q, _ in lanes]
         size = np.array([len(q) - 1 for q in batch])
-        h = np.zeros((len(batch), hidden), _F)
+        h = np.array([state for _, state in lanes])
         for start in range(0, int(size[0]), window):
             live = int(np.searchsorted(-size, -start, "left"))  # sequences that go beyond start
-            if live * 4 < len(batch) and live < 8 and start:
-                break  # a few long ones are not worth steps of their own
+            if live * 4 < len(batch) and live < FEW and start and new is not None:
+                rest = [(batch[j][start:], h[j].copy()) for j in range(live)]
+                break
             h = h[:live]
             wide = int(min(window, size[0] - start))
             ids = np.zeros((live, wide + 1), np.int64)
@@ -155,12 +165,13 @@ def train(p: dict[str, np.ndarray], s: Shape, batches: Iterator[list[np.ndarray]
                 h, *parts = _step(p, ids[:, t], h, hidden)
                 kept.append((before, *parts))
                 hs[t] = h
-            grads = {k: np.zeros_like(v) for k, v in p.items()}
+            if not count:
+                grads = {k: np.zeros_like(v) for k, v in p.items()}
             use = known.T
             dh_out = np.zeros((wide, live, hidden), _F)
             _, dh_out[use] = _output(p, s, hs[use], ids[:, 1:].T[use], grads)
-            count = int(use.sum())
-            tokens += count
+            count += int(use.sum())
+            tokens += int(use.sum())
             da_all = np.empty((wide, live, 3 * hidden), _F)
             back = np.zeros((live, hidden), _F)
             for t in range(wide - 1, -1, -1):
@@ -178,7 +189,9 @@ def train(p: dict[str, np.ndarray], s: Shape, batches: Iterator[list[np.ndarray]
             flat = ids[:, :wide].T.ravel()
             order = np.argsort(flat, kind="stable")
             at = np.flatnonzero(np.diff(flat[order], prepend=-1))
-            grads["x"][flat[order][at]] = np.add.reduceat(da_all.reshape(-1, 3 * hidden)[order], at, axis=0)
+            grads["x"][flat[order][at]] += np.add.reduceat(da_all.reshape(-1, 3 * hidden)[order], at, axis=0)
+            if new is None and count < FEW * window and start + window < size[0]:
+                continue
             steps += 1
             pace = rate * np.sqrt(1 - 0.99**steps) / (1 - 0.9**steps)
             for k, g in grads.items():
@@ -187,6 +200,7 @@ def train(p: dict[str, np.ndarray], s: Shape, batches: Iterator[list[np.ndarray]
                 g *= g
                 second[k] += _F(0.01) * (g - second[k])
                 p[k] -= _F(pace) * first[k] / (np.sqrt(second[k]) + _F(1e-6))
+            count = 0
     return p, tokens
 
 

@@ -222,6 +222,16 @@ def test_language_model_trains_on_every_token(spark, docs, monkeypatch):
     assert sum(len(r.ids) // 2 - 1 for _, df in seen if "ids" in df.columns for r in df.collect()) == n
 
 
+def test_long_sequences_train_to_their_end():
+    from rasterlake.llm import gru
+
+    rng = np.random.default_rng(2)
+    s = gru.shape(np.ones(8), 4, 2)
+    batches = [[rng.integers(0, 8, n) for n in (3000, 500, 1, *([40] * 30))], [], [rng.integers(0, 8, 33) for _ in range(30)]]
+    _, tokens = gru.train(gru.fresh(s, np.ones(8)), s, iter(batches))
+    assert tokens == sum(len(q) - 1 for b in batches for q in b)
+
+
 def test_gradients():
     from rasterlake.llm import gru
 
