@@ -103,7 +103,7 @@ def ssim_pairs(spark, sf_dir):
 
 
 def ssim_floor_filter(spark, sf_dir):
-    return _scores(spark, sf_dir).where(F.col("score") >= 0.0).select(F.col("pair").alias("vec_id"), E.keep_original(F.col("score"), F.lit(K.SSIM_PRESETS["small"])).alias("passes"))
+    return _scores(spark, sf_dir).select(F.col("pair").alias("vec_id"), E.keep_original(F.col("score"), F.lit(K.SSIM_PRESETS["small"])).alias("passes"))
 
 
 def _rgb(spark, sf_dir) -> DataFrame:

@@ -93,6 +93,15 @@ def test_reachable_through_a_cycle(spark):
     assert sorted(r.key for r in docgraph.collect_garbage(objects, edges, roots).collect()) == ["d", "e"]
 
 
+def test_every_pair_meets_the_floor_test(spark):
+    from rasterlake.catalogue import QUERIES
+    from tests.conftest import DATA
+
+    scores = {r.vec_id: r.ssim for r in QUERIES["ssim_pairs"](spark, DATA).collect()}
+    assert min(scores.values()) < 0
+    assert {r.vec_id: r.passes for r in QUERIES["ssim_floor_filter"](spark, DATA).collect()} == {k: v >= 0.965 for k, v in scores.items()}
+
+
 def test_grid_equals_bisection(spark):
     rows = spark.range(200).withColumn("t", F.col("id") / 100)
     made = {r.id: (r.fits, r.value) for r in budget.fit(rows, lambda v: v * v * 1.9, 0.15, 1.0, 6, F.col("t")).collect()}
