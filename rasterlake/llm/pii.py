@@ -12,7 +12,7 @@ them, so a row is never split up. Only the counts of (votes, form) meet in an ag
 bounded by the labelers' and features' values, not by the data. The fit on these counts runs on the driver.
 
 Defined results: a null text counts as empty and has no spans; repeated rows each get their own result; an
-empty table gives no rows and fits the priors; columns other than the id and text are not read.
+empty table gives no rows and fits the priors; a run of more than 200 digits and nothing else is no candidate; columns other than the id and text are not read.
 """
 
 from __future__ import annotations
@@ -36,10 +36,10 @@ BASE = {
 }
 KINDS = (*BASE, "secret", "id")
 _KEY = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
-#: Candidate families: kind -> (pattern, what a text must hold for it).
+#: Candidate families: kind -> (pattern, what a text must hold for it: implied by the pattern, and cheaper).
 CANDIDATES = {
-    "secret": (rf"{_KEY}\x20?[=:]\x20?[\"']?[^\s\"',;]{{6,200}}[\"']?|(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{{0,200}}[0-9])[A-Za-z0-9_-]{{16,200}}(?![A-Za-z0-9_-])", "[0-9]|(?i:passw)"),
-    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63})+", r"\(at\)|\[at\]|\{at\}|\x20at\x20[A-Za-z0-9-]+(?:\.|\x20dot\x20)[A-Za-z]"),
+    "secret": (rf"{_KEY}\x20?[=:]\x20?[\"']?[^\s\"',;]{{6,}}+[\"']?|(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?![0-9]{{201,}}+(?![A-Za-z_-]))[A-Za-z0-9_-]{{16,}}+", rf"[0-9]|{_KEY}\x20?[=:]"),
+    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63})+", r"\(at\)|\[at\]|\{at\}|\x20at\x20\x20?[A-Za-z0-9-]+\x20?(?:\.|\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)"),
     "phone": (r"(?<![0-9A-Za-z+._-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20./-])(?:[0-9]{2,4}[\x20./-]){1,3}[0-9]{2,4}(?![0-9A-Za-z_-])", "[0-9]"),
     "id": (r"(?<![0-9A-Za-z.-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?)(?![0-9A-Za-z-])", "[0-9]"),
 }

@@ -450,6 +450,15 @@ def test_personal_data(spark, docs, empty):
     assert pii.personal_data(empty).count() == 0
 
 
+def test_candidates_need_nothing_beyond_their_pattern(spark):
+    lone = {"secret": ["secret: correcthorsebattery", "TOKEN=abcdefgh", "pwd = 'horsehorse'", "api_key:battery-staple", "the " + "k" * 300 + "7" + "z" * 300, "auth=" + "x" * 500], "email": ["jane at example [dot] com", "jane at example (dot) com", "jane at  example {dot} com", "jane at example . 4u"]}
+    rows = [(kind, t) for kind in lone for t in lone[kind]]
+    found = pii._candidates(pii.base_spans(spark.createDataFrame(rows, "kind string, t string"), "t"), "t").collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert [(c.kind, c.start, c.end) for c in r.cand] == [(r.kind, 4 if r.t.startswith("the ") else 0, len(r.t))]
+
+
 def test_labeler_reliabilities():
     rng = random.Random(10)
     counts, truth = Counter(), Counter()
