@@ -7,8 +7,10 @@ stage's documents. All but the last return the columns of `documents`.
    the stage's own documents.
 2. line_dedup: lines that equal, or are one edit from, an earlier line go; so does a document that had lines
    and has none left. n_chars follows the text.
-3. near_duplicates: of each group of near duplicates (five words, 0.8) the smallest doc_id stays; of rows that
-   repeat this id, one.
+3. near_duplicates: of each group of near duplicates (five words, 0.8) the row of the smallest doc_id stays, a
+   row without an id only where no row has one. Rows are told apart by a hash of id and text, so rows that share
+   an id but not the text are documents of their own. Of rows that repeat id and text one stays; rows without an
+   id and without words all stay.
 4. mixing: a document appears as often as the mix takes it, the one at the cut of its source whole.
 5. tokens: ids and decoded text of every document, as digests.
 """
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake.llm import bpe, jaccard, lines, mixing, toxicity
-from rasterlake.llm.common import Scratch, table, tokenizer_path
+from rasterlake.llm.common import WORD, Scratch, table, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: No SQL expresses the fitted model of the first stage.
@@ -39,9 +41,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.near_duplicates(docs)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("__row"))
+    found = jaccard.near_duplicates(rows.select("__row", "text"), id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row")))
+    kept = found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("__row"))
+    unnamed = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(WORD)
+    rows = rows.withColumn("__copy", F.when(unnamed, F.monotonically_increasing_id()))
+    return rows.join(kept, "__row", "left_semi").dropDuplicates(["__row", "__copy"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -484,6 +484,19 @@ def test_sql(spark, duck, name):
     assert rows_of(QUERIES[name](spark, DATA).toPandas()) == rows_of(duck.execute(ORACLE_SQL[name]).df())
 
 
+def test_pipeline_keeps_rows_without_an_id_of_their_own(spark):
+    import corpus_pipeline as p
+
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    near = lambda k: text(k) + " more"
+    kept = [(None, text(1)), (None, text(2)), (1, text(3)), (1, text(4)), (2, text(5)), (None, None), (None, None), (4, ""), (5, None), (6, text(6))]
+    gone = [(None, text(1)), (None, near(3)), (3, text(4)), (2, text(5)), (7, near(6)), (4, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in kept + gone], "doc_id long, text string, lang string, source string, n_chars long")
+    told = lambda rows: sorted(((k, t) for k, t in rows), key=str)
+    got = told((r.doc_id, r.text) for r in p.drop_near_duplicates(spark, docs, DATA).collect())
+    assert got == told(kept)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
