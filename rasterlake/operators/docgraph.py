@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 100
+#: Levels after which the reached set is written as one, so that plans stay short.
+LEVELS = 16
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(key, depth) of every object reachable from `roots` (key) along `edges` (src, dst), cycles allowed.
 
-    A frontier loop: each pass joins only the objects that the last one reached. The reached set is written to
-    the checkpoint folder once per level, so lineage stays short and no level is computed twice.
+    A frontier loop: each pass joins only the objects that the last one reached, until there are none. The
+    reached set is written to the checkpoint folder once per level, so lineage stays short and no level is
+    computed twice. If `max_depth` is given and objects lie deeper, ValueError is raised.
     """
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
@@ -21,16 +25,20 @@ def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) ->
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     seen = roots.select("key", F.lit(0).alias("depth")).distinct()
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = edges.join(frontier, F.col("src") == F.col("key"), "left_semi").select(F.col("dst").alias("key")).distinct()
         frontier = step.join(seen, "key", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if frontier.isEmpty():
             break
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"objects lie deeper than {max_depth} levels")
         seen = seen.unionByName(frontier)
+        if depth % LEVELS == 0:
+            seen = seen.checkpoint()
     return seen
 
 
-def collect_garbage(objects: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def collect_garbage(objects: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """The objects that no root reaches."""
     return objects.join(reachable(edges, roots, max_depth).select("key"), "key", "left_anti")
 

@@ -93,6 +93,15 @@ def test_reachable_through_a_cycle(spark):
     assert sorted(r.key for r in docgraph.collect_garbage(objects, edges, roots).collect()) == ["d", "e"]
 
 
+def test_reachable_has_no_silent_bound(spark):
+    chain = [(f"b{k}", f"b{k + 1}") for k in range(103)]
+    edges = spark.createDataFrame(chain, "src string, dst string").coalesce(1).cache()
+    roots = spark.createDataFrame([("b0",)], "key string").coalesce(1)
+    assert {r.key: r.depth for r in docgraph.reachable(edges, roots).collect()} == {f"b{k}": k for k in range(104)}
+    with pytest.raises(ValueError):
+        docgraph.collect_garbage(roots, edges, roots, max_depth=2)
+
+
 def test_every_pair_meets_the_floor_test(spark):
     from rasterlake.catalogue import QUERIES
     from tests.conftest import DATA
