@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Rounds halve path lengths; this many serve any graph that fits into storage.
-MAX_ROUNDS = 60
+#: Rounds halve path lengths, so any graph that fits into storage needs far fewer; more raise an error.
+MAX_ROUNDS = 200
 
 
 def _stars(both: DataFrame, large: bool) -> DataFrame:
@@ -40,4 +40,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError("components did not come to rest")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,26 +1,31 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document's set is its distinct word shingles. All shingles have one global order, rarest first by an
-estimate, then by hash. With d shingles that a set may lack in a partner, the l-prefix of a set are its first
-2 d + l: whichever of two similar sets has the lower end of prefix finds at least d + l of it in the other's.
-Each document picks its own l by estimated candidate cost: a longer prefix asks for more shared shingles before a
-pair is verified. A document that shares no more than d of its prefix with all others together has no partner and
-leaves before any pair is formed. A pair is held to the smaller l of the two, and to the shared prefix shingles
-that its sizes ask for.
+estimate, then by hash. A set of n shingles may lack d of them in a partner, so the first d + l shingles of two
+similar sets have at least l in common, l being what the smaller of the two asks for.
+
+Prefixes are lengthened where candidates would be dear. At first every set shows d + d/4 + 1 shingles; one that
+finds no more than d/4 of them anywhere else has no partner and leaves before any pair is formed. The others,
+whose buckets would cost pairs, show 2 d + l, l chosen for each set by estimated candidate cost, and must find
+more than d of them; this is done again until few leave. A pair is verified only if it shares as many prefix
+shingles as its sizes and the smaller l of the two ask for.
 
 The frequency estimate is the product of word frequencies, counted over all documents in a table of fixed size
 (words share its cells by hash), so it is small at any size of the corpus and needs no count of shingles.
 
-Equal sets meet first, by a 128-bit hash; only one document of each enters the join. Shared prefix shingles
-form buckets. In buckets of up to SMALL documents all pairs are candidates. In larger ones, where near copies
-by the thousand would give their number squared, documents are first compared with one centre each, then with
-another; components then tell which documents are already together, and only pairs of different components
-are compared with each other. No pair that could link two components is left out. Candidates are verified on
-their whole sets of 64-bit shingle hashes, with integer arithmetic.
+Equal sets meet first, by a 128-bit hash, and enter the join as one node. Nodes that share one of their first
+d + 1 shingles form a bucket. First every bucket's nodes are compared with one centre, the node that has fewest
+shingles of its own before the bucket's; components then tell what is together already, and buckets that are
+still open are compared with the best node of another component. What is open after that is compared in full:
+nodes of different components, in small buckets pair by pair, in large ones chunk by chunk as products of
+incidence matrices, of which only links that join two components leave the task. No pair that could link is left
+out. Candidates are verified on their whole sets of 64-bit shingle hashes, with integer arithmetic.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is linked with nothing; a
-text of fewer words than a shingle is one shingle; every row is returned, also those that repeat an id: they
-are one document, of whose different sets the one of least hash is compared; an empty table gives no rows. Columns other than the id and text are not read.
+text of fewer words than a shingle is one shingle; every row is returned. Rows that repeat an id are one
+document with several sets: each set has its own links, and each row the least id reachable from its own set. A
+row without an id has the least id of its component, null if there is none. An empty table gives no rows. Columns
+other than the id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,16 +34,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
 from .graph import components
 
 CELLS = 1 << 17
-SMALL = 8
+#: Nodes of a bucket up to which open pairs are listed; shingles of a chunk in larger ones.
+SMALL, CHUNK_SHINGLES = 8, 1 << 16
 MAX_L = 4
-PRUNINGS = 3
+PRUNINGS, STARS = 2, 2
 #: Cost of verifying a pair, for each 100 shingles, against that of a shared prefix shingle.
 VERIFY_COST = 4.0
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -82,6 +88,14 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return made + np.uint64(k)
 
 
+def _halves(kept: np.ndarray) -> tuple[int, int]:
+    """A set's 128-bit name."""
+    import xxhash
+
+    both = np.frombuffer(xxhash.xxh3_128_digest(kept.tobytes()), np.int64)
+    return int(both[0]), int(both[1])
+
+
 def shingle_set(text: bytes | None, k: int, words: Words) -> np.ndarray:
     return np.unique(shingles(words.of(text), k))
 
@@ -122,8 +136,6 @@ _SETS = "doc_id long, n long, s1 long, s2 long, l int, base int, toks array<long
 
 def _sets(docs: DataFrame, k: int, percent: int, cells: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         words, share, total = Words(), cells[:-1], float(cells[-1])
         for batch in batches:
             rows = []
@@ -142,8 +154,7 @@ def _sets(docs: DataFrame, k: int, percent: int, cells: np.ndarray) -> DataFrame
                 least = -(-percent * n // 100)
                 base = min(n, 2 * (n - least) + 1)
                 level = pick(np.exp(np.minimum(guess[order[: base + MAX_L]], 30.0)), base, n)
-                both = np.frombuffer(xxhash.xxh3_128_digest(kept.tobytes()), np.int64)
-                rows.append((doc, n, int(both[0]), int(both[1]), level, base, kept[order[: base + level - 1]].view(np.int64)))
+                rows.append((doc, n, *_halves(kept), level, base, kept[order[: base + level - 1]].view(np.int64)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=[f.split()[0] for f in _SETS.split(", ")])
 
@@ -152,7 +163,7 @@ def _sets(docs: DataFrame, k: int, percent: int, cells: np.ndarray) -> DataFrame
 
 def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    both = pairs.join(full.withColumnsRenamed({"doc": "a", "set": "sa"}), "a").join(full.withColumnsRenamed({"doc": "b", "set": "sb"}), "b")
+    both = pairs.join(full.withColumnsRenamed({"node": "a", "set": "sa"}), "a").join(full.withColumnsRenamed({"node": "b", "set": "sb"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,123 +182,178 @@ def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _edges(a: tuple, b: tuple, percent: int) -> list[tuple[int, int]]:
+    """Links between two chunks (nodes, parts, sets) that join parts not joined so far, at most one for each part."""
+    sizes = [np.array([len(x) for x in c[2]]) for c in (a, b)]
+    names, column, often = np.unique(np.concatenate([*a[2], *b[2]]), return_inverse=True, return_counts=True)
+    number = np.cumsum(often > 1) - 1
+    row = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    columns = column[: len(row[0])], column[len(row[0]) :]
+    same = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
+    for start in range(0, int(number[-1]) + 1, 4096):
+        parts = []
+        for side in (0, 1):
+            at = number[columns[side]] - start
+            use = (often[columns[side]] > 1) & (at >= 0) & (at < 4096)
+            m = np.zeros((len(sizes[side]), 4096), np.float32)
+            m[row[side][use], at[use]] = 1
+            parts.append(m)
+        same += parts[0] @ parts[1].T
+    same = same.astype(np.int64)
+    near = 100 * same >= percent * (sizes[0][:, None] + sizes[1][None, :] - same)
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above.get(x, x) != x:
+            x = above[x]
+        return x
+
+    found = []
+    for i, j in zip(*np.nonzero(near & (np.asarray(a[1])[:, None] != np.asarray(b[1])[None, :])), strict=True):
+        x, y = root(a[1][i]), root(b[1][j])
+        if x != y:
+            above[x] = y
+            found.append((a[0][i], b[0][j]))
+    return found
+
+
+def _in_chunks(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different parts of each bucket, from members (tok, node, part, n)."""
+    chunks = members.groupBy("tok").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).alias("k"))
+    dealt = members.join(chunks, "tok").join(full, "node").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")))
+    packed = dealt.groupBy("tok", "i", "k").agg(F.collect_list(F.struct("node", "part", "set")).alias("m"))
+    left = packed.select("tok", F.col("m").alias("x"), F.col("i").alias("i"), F.explode(F.sequence("i", F.col("k") - 1)).alias("j"))
+    met = left.join(packed.select("tok", F.col("i").alias("j"), F.col("m").alias("y")), ["tok", "j"]).select("x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in range(batch.num_rows):
+                x, y = (batch.column(c)[one].as_py() for c in (0, 1))
+                sides = [([r["node"] for r in c], [r["part"] for r in c], [np.frombuffer(r["set"], np.uint64) for r in c]) for c in (x, y)]
+                found = _edges(*sides, percent)
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
+def name_nodes(sets: DataFrame) -> DataFrame:
+    """Adds `node`: the first half of the set's 128-bit name; of sets that differ in the second half alone, all but
+    one get a name made of both."""
+    clash = sets.where("n > 0").groupBy("s1").agg(F.min("s2").alias("low"), F.max("s2").alias("high")).where("low < high").select("s1", "low")
+    if clash.isEmpty():
+        return sets.withColumn("node", F.col("s1"))
+    named = F.when(F.col("low").isNull() | (F.col("s2") == F.col("low")), F.col("s1")).otherwise(F.xxhash64("s1", "s2"))
+    return sets.join(clash, "s1", "left").withColumn("node", named).drop("low")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id reachable by links, itself included)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    """doc_id, n_shingles, component_id (the least id reachable by links, itself included). percent is 50 at least."""
+    if not 50 <= percent <= 100:
+        raise ValueError("similarities from 50 to 100 percent only")
+    scratch = Scratch(docs.sparkSession, "jaccard")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = scratch.put(_sets(slim, k, percent, _word_cells(slim, "text")), "sets")
-    classes = scratch.put(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    # of an id with several sets one is compared
-    active = classes.groupBy("rep").agg(F.min(F.struct("s1", "s2")).alias("s")).select(F.col("rep").alias("doc_id"), "s.s1", "s.s2")
-    reps = sets.where("n > 0").join(active, ["doc_id", "s1", "s2"], "left_semi")
-
-    # size, place, l and tier in one number: rows of a document stay alike, and shuffles small
-    tier = F.greatest(F.lit(1), F.col("pos") - F.col("base") + 2)
-    tokens = reps.select(F.col("doc_id").alias("doc"), "n", "l", "base", F.posexplode("toks").alias("pos", "tok"))
-    tokens = tokens.select("tok", "doc", (F.shiftleft("n", 32) + F.col("pos") * 16 + (F.col("l") - 1) * 4 + tier - 1).alias("info"))
-    met = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
-    size = lambda c: F.shiftright(c, 32)
-    found = scratch.put(tokens.join(met, "tok").select("tok", "doc", "info", "c", "low"), "found-0")
-    placed_rows = scratch.put(sets.select("doc_id", "n", "s1", "s2"), "rows")
+    sets = name_nodes(scratch.put(_sets(slim, k, percent, _word_cells(slim, "text")), "sets"))
+    rows = scratch.put(sets.select("doc_id", "n", "node"), "rows")
+    # one row for each set: that of its least id
+    first = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    one = (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    reps = scratch.put(sets.where("n > 0").join(first.withColumnRenamed("node", "of"), one, "left_semi").select("doc_id", "node", "s1", "s2", "n", "l", "base", "toks"), "reps")
     scratch.drop("sets")
-    # a document with fewer shared prefix shingles than any partner would ask for has none; without it others
-    # share fewer, so this is done again. Documents that have only a passage in common go here.
+
+    need = lambda n: F.floor((percent * n + 99) / 100)
+    lack = lambda n: n - need(n)
+    # what a node lacks in its smallest possible partner
+    least_lack = lack(need(F.col("n")))
+
+    def met(tokens: DataFrame) -> DataFrame:
+        shared = tokens.groupBy("tok").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("tok")
+        return tokens.join(shared, "tok", "left_semi")
+
+    short = F.slice("toks", F.lit(1), (lack(F.col("n")) + F.floor(lack(F.col("n")) / 4) + 1).cast("int"))
+    held = met(reps.select("node", F.explode(short).alias("tok"))).groupBy("node").agg(F.count(F.lit(1)).alias("held"))
+    held = scratch.put(held, "held")
+    able = scratch.put(reps.join(held, "node").where(F.col("held") > F.floor(least_lack / 4)).drop("held").dropDuplicates(["node"]), "able")
+    scratch.drop("reps")
+
+    found = scratch.put(met(able.select("node", "n", F.posexplode("toks").alias("pos", "tok"))), "found-0")
     for turn in range(1, PRUNINGS + 1):
-        held = found.groupBy("doc").agg(F.count(F.lit(1)).alias("held"), F.min(size("info")).alias("n"))
-        smallest = F.floor((percent * F.col("n") + 99) / 100)
-        able = held.where(F.col("held") > F.floor((100 - percent) * smallest / 100)).select("doc")
-        kept = scratch.put(found.select("tok", "doc", "info").join(able, "doc", "left_semi"), f"kept-{turn}")
-        met = kept.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
-        found = scratch.put(kept.join(met, "tok").select("tok", "doc", "info", "c", "low"), f"found-{turn}")
-        scratch.drop(f"kept-{turn}")
+        most = found.groupBy("node").agg(F.count(F.lit(1)).alias("held"), F.min("n").alias("n"))
+        found = scratch.put(met(found.join(most.where(F.col("held") > least_lack).select("node"), "node", "left_semi")), f"found-{turn}")
         scratch.drop(f"found-{turn - 1}")
+    prefix = found.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("p"))
+    packed = scratch.put(prefix.join(able.select("node", "doc_id", "s1", "s2", "n", "l", "base"), "node"), "packed")
+    scratch.drop("able")
+
     # lost: shingles before this one that no other prefix holds, so no set that shares this one has them
-    place = F.floor(F.col("info") % (1 << 32) / 16)
-    lost = place - F.row_number().over(Window.partitionBy("doc").orderBy(place)) + 1
-    is_big = (F.col("c") > SMALL).cast("int")
-    counted = Window.partitionBy("doc")
-    shared = found.select("tok", "doc", "info", "c", "low", lost.alias("lost"), (F.sum(is_big).over(counted)).alias("in_big"), (F.sum(1 - is_big).over(counted)).alias("in_small"))
-    shared = scratch.put(shared, "shared")
-    scratch.drop(f"found-{PRUNINGS}")
-    level = lambda c: F.floor(F.col(c) % 16 / 4) + 1
-    fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-    enough = lambda overlap: overlap * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
-    # shingles beyond the prefix, which is twice what a partner may lack, and l
-    beyond = lambda n, l: F.greatest(F.lit(0), 2 * F.floor((percent * F.col(n) + 99) / 100) - F.col(n) - l)  # noqa: E731, E741
-
-    def pairs_of(members: DataFrame, rule) -> DataFrame:
-        """Pairs of a bucket's documents that `rule` admits, that share enough of the shorter prefix, and that
-        could reach the similarity if they also shared `more`, all they have in buckets that aren't among these."""
-        members = members.withColumns({"n": size("info"), "l": level("info"), "tier": F.col("info") % 4 + 1}).drop("info")
-        right = members.select("tok", *(F.col(c).alias(f"{c}2") for c in members.columns if c != "tok"))
-        near = (F.col("doc") < F.col("doc2")) & fits & enough(F.least(F.col("n") - F.col("lost"), F.col("n2") - F.col("lost2")))
-        met = members.join(right, "tok").where(near & rule)
-        within = F.count_if(F.greatest("tier", "tier2") <= F.least("l", "l2"))
-        met = met.groupBy(F.col("doc").alias("a"), F.col("doc2").alias("b")).agg(F.count(F.lit(1)).alias("same"), within.alias("within"), *(F.min(c).alias(c) for c in ("n", "n2", "l", "l2")), F.min(F.least("more", "more2")).alias("more"))
-        most = F.col("same") + F.col("more") + F.greatest(beyond("n", F.col("l")), beyond("n2", F.col("l2")))
-        return met.where((F.col("within") + F.col("more") >= F.least("l", "l2")) & enough(most)).select("a", "b")
-
-    def star(centre: str, members: DataFrame) -> DataFrame:
-        return members.where(F.col("doc") != F.col(centre)).select(F.least("doc", centre).alias("a"), F.greatest("doc", centre).alias("b")).distinct()
+    keys = packed.select("node", "n", F.posexplode("p").alias("rank", "e")).select("node", "n", "e.tok", "e.pos", (F.col("e.pos") - F.col("rank")).alias("lost"))
+    keys = scratch.put(met(keys.where(F.col("pos") <= lack(F.col("n")))), "keys")
+
+    similar = lambda n, n2: 100 * F.least(n, n2) >= percent * F.greatest(n, n2)
+    # shingles beyond the prefix
+    beyond = lambda n, base, l: F.greatest(F.lit(0), n - (base + l - 1))  # noqa: E731, E741
 
     def hopeful(pairs: DataFrame) -> DataFrame:
-        """Pairs that all their shared prefix shingles, and everything beyond the prefixes, could still link."""
-        left = shared.select(F.col("doc").alias("a"), "tok", F.col("info").alias("i"))
-        right = shared.select(F.col("doc").alias("b"), "tok", F.col("info").alias("i2"))
-        met = pairs.join(left, "a").join(right, ["b", "tok"])
-        met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.min("i").alias("i"), F.min("i2").alias("i2")).withColumns({"n": size("i"), "n2": size("i2")})
-        most = F.col("m") + F.greatest(beyond("n", level("i")), beyond("n2", level("i2")))
-        return met.where(fits & enough(most)).select("a", "b")
-
-    big = shared.where(F.col("c") > SMALL)
-    small = shared.where(F.col("c") <= SMALL).select("tok", "doc", "info", "lost", F.col("in_big").alias("more"))
-    # shared shingles of larger buckets aren't counted here, so each could be one
-    near = pairs_of(small, F.lit(True))
-    pairs = scratch.put(hopeful(near.unionByName(star("low", big)).distinct()), "pairs-1")
+        """Pairs (a, b) that share as many prefix shingles as they must, and that what lies beyond could link."""
+        side = lambda c: packed.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("n", "l", "base")), F.col("p.tok").alias(f"{c}_p"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").where(similar(F.col("a_n"), F.col("b_n")))
+        same = F.size(F.array_intersect("a_p", "b_p"))
+        least = F.least("a_l", "b_l") + F.least(lack(F.col("a_n")), lack(F.col("b_n")))
+        most = same + F.greatest(*(beyond(F.col(f"{c}_n"), F.col(f"{c}_base"), F.col(f"{c}_l")) for c in "ab"))
+        short = (F.col("a_base") < 2 * lack(F.col("a_n")) + 1) | (F.col("b_base") < 2 * lack(F.col("b_n")) + 1)
+        return both.where((short | (same >= least)) & (most * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n")))).select("a", "b")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            made = [shingle_set(t, k, words).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc", "set"])
-
-    full = None
-
-    def linked(pairs: DataFrame, step: int) -> DataFrame:
-        """Verifies pairs; whole sets are made once for every document that is in any pair."""
-        nonlocal full
-        wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-        if full is not None:
-            wanted = scratch.put(wanted.join(full, "doc", "left_anti"), f"wanted-{step}")
-        if full is None or not wanted.isEmpty():
-            texts = slim.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi").select("doc_id", "text")
-            more = scratch.put(texts.mapInArrow(whole, "doc long, set binary"), f"full-{step}")
-            full = more if full is None else full.unionByName(more)
-        return scratch.put(_linked(pairs, full, percent), f"links-{step}")
-
-    links = linked(pairs, 1)
-    tried = pairs
-    for step in (2, 3):
-        if big.isEmpty():
-            break
+            made = [shingle_set(t, k, words) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            halves = [_halves(x) for x in made]
+            yield pa.RecordBatch.from_arrays([*(pa.array([h[j] for h in halves], pa.int64()) for j in (0, 1)), pa.array([x.tobytes() for x in made], pa.binary())], names=["s1", "s2", "set"])
+
+    wanted = packed.select(F.col("doc_id").alias("of")).distinct()
+    texts = slim.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("text")
+    full = texts.mapInArrow(whole, "s1 long, s2 long, set binary").join(packed.select("s1", "s2", "node"), ["s1", "s2"]).select("node", "set")
+    full = scratch.put(full.dropDuplicates(["node"]), "full")
+
+    def between(a: Column, b: Column) -> list[Column]:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    best = F.min(F.struct("lost", "node"))
+    pairs = keys.join(keys.groupBy("tok").agg(best.alias("c")), "tok").where(F.col("node") != F.col("c.node"))
+    links = parts = None
+    for step in range(1, STARS + 1):
+        fresh = scratch.put(hopeful(pairs.select(*between(F.col("node"), F.col("c.node"))).distinct()), f"pairs-{step}")
+        more = scratch.put(_linked(fresh, full, percent), f"links-{step}")
+        links = more if links is None else links.unionByName(more)
         parts = scratch.put(components(links, scratch, f"cc-{step}"), f"parts-{step}")
-        placed = big.join(parts, F.col("doc") == F.col("node"), "left").withColumn("part", F.coalesce("component", "doc")).drop("node", "component")
-        open_ = placed.groupBy("tok").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select(F.col("tok").alias("t"), F.col("q").alias("centre"))
-        members = scratch.put(placed.join(open_, F.col("tok") == F.col("t")).drop("t"), f"open-{step}")
-        if members.isEmpty():
-            break
-        if step == 2:
-            found = star("centre", members.where(F.col("part") != F.col("centre")))
-        else:
-            found = pairs_of(members.select("tok", "doc", "info", "lost", "part", F.col("in_small").alias("more")), F.col("part") != F.col("part2"))
-        fresh = scratch.put(hopeful(found.join(tried, ["a", "b"], "left_anti")), f"pairs-{step}")
-        links = links.unionByName(linked(fresh, step))
-        tried = tried.unionByName(fresh)
-    parts = components(links, scratch, "cc-last")
-    named = classes.join(parts, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    placed = placed_rows.where("n > 0").join(named, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = placed_rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        placed = scratch.put(keys.join(parts.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("part", F.coalesce("component", "node")).drop("of", "component"), f"placed-{step}")
+        scratch.drop(f"placed-{step - 1}")
+        by_part = placed.groupBy("tok", "part").agg(best.alias("c"))
+        ahead = by_part.groupBy("tok").agg(F.min(F.struct("c", "part")).alias("ahead"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("tok", "ahead")
+        second = by_part.join(ahead, "tok").where(F.col("part") != F.col("ahead.part")).groupBy("tok").agg(F.min(F.struct("c", "part")).alias("s")).select("tok", F.col("s.c").alias("c"), F.col("s.part").alias("c_part"))
+        pairs = placed.join(second, "tok").where(F.col("part") != F.col("c_part"))
+
+    # a partner has `most` shingles or fewer, if this bucket's is the first shingle the two have in common
+    placed = placed.withColumn("most", F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n"))
+    bounds = placed.groupBy("tok").agg(F.min("n").alias("smallest"), F.max("most").alias("furthest"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").drop("low", "high")
+    placed = placed.join(bounds, "tok").where("n <= furthest and smallest <= most").drop("smallest", "furthest")
+    bounds = placed.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").drop("low", "high")
+    members = scratch.put(placed.join(bounds, "tok").select("tok", "node", "part", "n", "most", "c"), "open")
+    if not members.isEmpty():
+        few = members.where(F.col("c") <= SMALL).drop("c")
+        other = few.select("tok", *(F.col(c).alias(f"{c}2") for c in few.columns if c != "tok"))
+        met_twice = few.join(other, "tok").where((F.col("node") < F.col("node2")) & (F.col("part") != F.col("part2")) & (F.col("n") <= F.col("most2")) & (F.col("n2") <= F.col("most")))
+        fresh = met_twice.where(similar(F.col("n"), F.col("n2"))).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+        many = members.where(F.col("c") > SMALL).select("tok", "node", "part", "n")
+        last = _linked(scratch.put(hopeful(fresh), "pairs-last"), full, percent)
+        if not many.isEmpty():
+            last = last.unionByName(_in_chunks(many, full, percent))
+        links = links.unionByName(scratch.put(last, "links-last"))
+        parts = components(links, scratch, "cc-last")
+    named = first.join(parts.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "rep", F.coalesce("component", "node").alias("part"))
+    least = named.groupBy("part").agg(F.min("rep").alias("component_id"))
+    named = named.select(F.col("node").alias("of"), "part").join(least, "part").drop("part")
+    placed = rows.where("n > 0").join(named, F.col("node") == F.col("of")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return placed.unionByName(alone)
 
 

@@ -348,6 +348,42 @@ def test_jaccard(spark, docs, k, percent):
     assert got == linked(texts(docs) + rows, k, percent)
 
 
+def test_jaccard_large_buckets(spark, monkeypatch):
+    """Near copies by the hundred of bases that are no documents, chained and of different sizes, in small chunks."""
+    rng = random.Random(11)
+    rows = []
+    for b in range(3):
+        base = [f"b{b}x{j}" for j in range(90)]
+        for j in range(150):
+            x = list(base)
+            for _ in range(rng.choice((1, 1, 2, 2, 3, 4))):
+                at = rng.randrange(len(x))
+                x[at : at + rng.randint(0, 1)] = [f"n{rng.randrange(400)}"] * rng.randint(0, 1)
+            rows.append((b * 1000 + j, " ".join(x)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "CHUNK_SHINGLES", 1 << 11)
+    for k, percent, stars in ((3, 90, 2), (5, 80, 1), (2, 70, 0)):
+        monkeypatch.setattr(jaccard, "STARS", stars or 1)
+        monkeypatch.setattr(jaccard, "SMALL", 8 if stars else 0)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, k, percent).collect()}
+        assert got == linked(rows, k, percent)
+
+
+def test_jaccard_repeated_ids(spark):
+    """Every set of a repeated id keeps its own links."""
+    x, t = " ".join(f"x{j}" for j in range(60)), " ".join(f"t{j}" for j in range(60))
+    rows = [(1, x), (1, t), (5, t), (7, t + " more"), (8, x + " more"), (9, x), (None, t), (None, "y z"), (1, x)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, 5, 80).collect())
+    assert got == Counter([(1, 56, 1), (1, 56, 1), (5, 56, 1), (7, 57, 1), (8, 57, 1), (9, 56, 1), (None, 56, 1), (None, 1, None), (1, 56, 1)])
+
+
+def test_jaccard_names(spark):
+    sets = spark.createDataFrame([(1, 5, 5), (1, 5, 5), (1, 5, 6), (1, 6, 6), (0, None, None)], "n long, s1 long, s2 long")
+    named = {(r.s1, r.s2): r.node for r in jaccard.name_nodes(sets).collect()}
+    assert len(set(named.values())) == 4 and named[None, None] is None and named[5, 5] == 5
+
+
 def test_jaccard_edges(spark, empty):
     assert jaccard.near_duplicates(empty).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "q r s t u v"), (2, "a b c d e f"), (None, "x y z"), (3, None)], "doc_id long, text string")
