@@ -15,11 +15,11 @@ The frequency estimate is the product of word frequencies, counted over all docu
 
 Equal sets meet first, by a 128-bit hash, and enter the join as one node. Nodes that share one of their first
 d + 1 shingles form a bucket. First every bucket's nodes are compared with one centre, the node that has fewest
-shingles of its own before the bucket's; components then tell what is together already, and buckets that are
-still open are compared with the best node of another component. What is open after that is compared in full:
-nodes of different components, in small buckets pair by pair, in large ones chunk by chunk as products of
-incidence matrices, of which only links that join two components leave the task. No pair that could link is left
-out. Candidates are verified on their whole sets of 64-bit shingle hashes, with integer arithmetic.
+shingles of its own before the bucket's; components then tell what is together already. What is open after that
+is compared in full: nodes of different components, in small buckets pair by pair; nodes of large ones are dealt
+to chunks, and chunks that have a bucket in common are compared as products of incidence matrices, of which only
+links that join two components leave the task. No pair that could link is left out. Candidates are verified on
+their whole sets of 64-bit shingle hashes, with integer arithmetic.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is linked with nothing; a
 text of fewer words than a shingle is one shingle; every row is returned. Rows that repeat an id are one
@@ -44,7 +44,7 @@ CELLS = 1 << 17
 #: Nodes of a bucket up to which open pairs are listed; shingles of a chunk in larger ones.
 SMALL, CHUNK_SHINGLES = 8, 1 << 16
 MAX_L = 4
-PRUNINGS, STARS = 2, 2
+PRUNINGS = 2
 #: Cost of verifying a pair, for each 100 shingles, against that of a shared prefix shingle.
 VERIFY_COST = 4.0
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -217,13 +217,17 @@ def _edges(a: tuple, b: tuple, percent: int) -> list[tuple[int, int]]:
     return found
 
 
-def _in_chunks(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different parts of each bucket, from members (tok, node, part, n)."""
-    chunks = members.groupBy("tok").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).alias("k"))
-    dealt = members.join(chunks, "tok").join(full, "node").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")))
-    packed = dealt.groupBy("tok", "i", "k").agg(F.collect_list(F.struct("node", "part", "set")).alias("m"))
-    left = packed.select("tok", F.col("m").alias("x"), F.col("i").alias("i"), F.explode(F.sequence("i", F.col("k") - 1)).alias("j"))
-    met = left.join(packed.select("tok", F.col("i").alias("j"), F.col("m").alias("y")), ["tok", "j"]).select("x", "y")
+def _in_chunks(members: DataFrame, full: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links (a, b) between different parts of each bucket, from members (tok, node, part, n). A node is in one chunk,
+    by the least node two buckets away, so that nodes of many buckets in common lie together."""
+    low = members.groupBy("tok").agg(F.min("node").alias("low"))
+    named = members.join(low, "tok").groupBy("node", "part", "n").agg(F.min("low").alias("label"))
+    many = named.groupBy("label").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).alias("k"))
+    dealt = scratch.put(named.join(many, "label").select("node", "part", F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("k"))).alias("i")), "dealt")
+    packed = scratch.put(dealt.join(full, "node").groupBy("i").agg(F.collect_list(F.struct("node", "part", "set")).alias("m")), "chunks")
+    at = members.select("tok", "node").join(dealt, "node").select("tok", "i").distinct()
+    pairs = at.join(at.select("tok", F.col("i").alias("j")), "tok").where("i <= j").select("i", "j").distinct()
+    met = pairs.join(packed.withColumnRenamed("m", "x"), "i").join(packed.select(F.col("i").alias("j"), F.col("m").alias("y")), "j").select("x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,18 +323,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     best = F.min(F.struct("lost", "node"))
     pairs = keys.join(keys.groupBy("tok").agg(best.alias("c")), "tok").where(F.col("node") != F.col("c.node"))
-    links = parts = None
-    for step in range(1, STARS + 1):
-        fresh = scratch.put(hopeful(pairs.select(*between(F.col("node"), F.col("c.node"))).distinct()), f"pairs-{step}")
-        more = scratch.put(_linked(fresh, full, percent), f"links-{step}")
-        links = more if links is None else links.unionByName(more)
-        parts = scratch.put(components(links, scratch, f"cc-{step}"), f"parts-{step}")
-        placed = scratch.put(keys.join(parts.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("part", F.coalesce("component", "node")).drop("of", "component"), f"placed-{step}")
-        scratch.drop(f"placed-{step - 1}")
-        by_part = placed.groupBy("tok", "part").agg(best.alias("c"))
-        ahead = by_part.groupBy("tok").agg(F.min(F.struct("c", "part")).alias("ahead"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("tok", "ahead")
-        second = by_part.join(ahead, "tok").where(F.col("part") != F.col("ahead.part")).groupBy("tok").agg(F.min(F.struct("c", "part")).alias("s")).select("tok", F.col("s.c").alias("c"), F.col("s.part").alias("c_part"))
-        pairs = placed.join(second, "tok").where(F.col("part") != F.col("c_part"))
+    fresh = scratch.put(hopeful(pairs.select(*between(F.col("node"), F.col("c.node"))).distinct()), "pairs")
+    links = scratch.put(_linked(fresh, full, percent), "links")
+    parts = scratch.put(components(links, scratch, "cc"), "parts")
+    placed = keys.join(parts.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("part", F.coalesce("component", "node")).drop("of", "component")
 
     # a partner has `most` shingles or fewer, if this bucket's is the first shingle the two have in common
     placed = placed.withColumn("most", F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n"))
@@ -346,7 +342,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         many = members.where(F.col("c") > SMALL).select("tok", "node", "part", "n")
         last = _linked(scratch.put(hopeful(fresh), "pairs-last"), full, percent)
         if not many.isEmpty():
-            last = last.unionByName(_in_chunks(many, full, percent))
+            last = last.unionByName(_in_chunks(many, full, scratch, percent))
         links = links.unionByName(scratch.put(last, "links-last"))
         parts = components(links, scratch, "cc-last")
     named = first.join(parts.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "rep", F.coalesce("component", "node").alias("part"))

@@ -362,9 +362,8 @@ def test_jaccard_large_buckets(spark, monkeypatch):
             rows.append((b * 1000 + j, " ".join(x)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(jaccard, "CHUNK_SHINGLES", 1 << 11)
-    for k, percent, stars in ((3, 90, 2), (5, 80, 1), (2, 70, 0)):
-        monkeypatch.setattr(jaccard, "STARS", stars or 1)
-        monkeypatch.setattr(jaccard, "SMALL", 8 if stars else 0)
+    for k, percent, small in ((3, 90, 8), (5, 80, 0)):
+        monkeypatch.setattr(jaccard, "SMALL", small)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, k, percent).collect()}
         assert got == linked(rows, k, percent)
 
@@ -433,6 +432,20 @@ def test_lines(spark, docs, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_repeated_ids(spark):
+    """Rows of one id, or of none, are one document, whatever their numbers of lines; a line is told by its content too."""
+    a, b, c, d = (("a line of some length, the " + x * 8).strip() for x in ("one ", "two ", "six ", "ten "))
+    rows = [(1, f"{a}\n{b}\n{c}\n{d}"), (1, b), (1, f"{c}\nshort"), (2, b + "x"), (2, f"{d}"), (None, "nothing else has this long line"), (None, "nothing else has this long line!"), (3, "nothing else has this long lin"), (1, b)]
+    docs = spark.createDataFrame([(i, t, "tok", 1, 2, 3) for i, t in rows], "doc_id long, text string, tok string, n int, key long, h1 long")
+    got = Counter((r.doc_id, r.text) for r in lines.dedup_lines(docs, counts=False).collect())
+    want = [(1, f"{a}\n{b}\n{c}\n{d}"), (1, b), (1, f"{c}\nshort"), (2, ""), (2, ""), (None, rows[5][1]), (None, rows[6][1]), (3, ""), (1, b)]
+    want[0] = (1, f"{a}\n{d}")  # b and c stand earlier, as first lines of this id
+    assert got == Counter(want)
+    long = "\n".join(f"line number {j} of a very long text" for j in range(20000))
+    one = lines.dedup_lines(spark.createDataFrame([(1, long)], "doc_id long, text string"), counts=True).first()
+    assert one.n_lines == 20000 and one.n_exact == 0 and one.n_near > 19000
+
+
 # 9 -------------------------------------------------------------------------------------------------------------
 
 
