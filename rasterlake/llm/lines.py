@@ -16,10 +16,14 @@ Matches are then verified by Levenshtein distance on the texts.
 Every group is reduced to its earliest place, never paired: a line repeated in a third of all documents costs
 one row per task. Variants are emitted once per distinct line.
 
+Joins of tables that grow with the corpus are merge joins at every size, so that a small corpus is worked on as a
+large one is.
+
 Defined results: a null or empty text stays as it is; lines shorter than MIN_CHARS stay, however often they
-repeat; rows that repeat an id are one document to this rule and get the same decisions; a document of which
-no line is left, blank ones aside, has an empty text. An empty table gives no rows. Input columns keep their
-names and values; internal names start with two underscores.
+repeat; rows that repeat an id are one document to this rule, and so are rows without one, which come before all
+others: a line is told by id, number and content, so equal lines at one number of one id don't remove each other; a
+document of which no line is left, blank ones aside, has an empty text. An empty table gives no rows. Input
+columns keep their names and values; internal names start with two underscores, and no input column may.
 """
 
 from __future__ import annotations
@@ -63,27 +67,28 @@ def _long_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 
 
 def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(__doc, __no, __near): the places of lines to remove, once each."""
+    """(__doc, __no, __h1, __near): the places and hashes of lines to remove, once each."""
     at = lambda d, n: F.struct(F.col(d).alias("d"), F.col(n).alias("n"))
     lines = _long_lines(docs, id_col, text_col, min_chars)
 
     named = lines.select("__doc", "__no", _hash(1, F.col("__line")).alias("__h1"), _hash(2, F.col("__line")).alias("__h2"))
     named = scratch.put(named, "named")
     repeated = named.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__n"), F.min(at("__doc", "__no")).alias("__first")).where("__n > 1").drop("__n")
-    exact = named.join(repeated, ["__h1", "__h2"]).where(at("__doc", "__no") > F.col("__first")).select("__doc", "__no")
+    exact = named.join(repeated.hint("merge"), ["__h1", "__h2"]).where(at("__doc", "__no") > F.col("__first")).select("__doc", "__no", "__h1")
 
     half = lines.select("__doc", "__no", F.hash("__line").alias("__f"), F.explode(_halves(F.col("__line"), F.col("__size"))["key"]).alias("__key"))
     shared = half.groupBy("__key").agg(F.min("__f").alias("__lo"), F.max("__f").alias("__hi")).where("__lo < __hi").select("__key")
-    some = half.select("__doc", "__no", "__key").join(scratch.put(shared, "shared"), "__key")
-    wanted = some.groupBy("__doc").agg(F.collect_set(F.struct(F.col("__no").alias("no"), F.col("__key").alias("key"))).alias("__want"))
+    some = half.select("__doc", "__no", "__key").join(scratch.put(shared, "shared").hint("merge"), "__key")
+    wanted = some.groupBy("__doc", "__no").agg(F.collect_set("__key").alias("__want")).withColumnsRenamed({"__doc": "__of", "__no": "__at"})
 
-    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
-    near = wanted.join(texts, "__doc").select("__doc", F.split("__text", "\n", -1).alias("__all"), F.explode("__want").alias("__w"))
-    near = near.select("__doc", F.col("__w.no").alias("__no"), F.col("__w.key").alias("__key"), _trimmed(F.element_at("__all", F.col("__w.no") + 1)).alias("__line"))
+    own = F.col("__doc").eqNullSafe(F.col("__of")) & (F.col("__no") == F.col("__at"))
+    near = lines.drop("__size").join(wanted.hint("merge"), own).select("__doc", "__no", "__line", F.explode("__want").alias("__key"))
+    # of rows that share an id, those whose line was meant
+    near = near.where(F.array_contains(_halves(F.col("__line"), F.length("__line"))["key"], F.col("__key")))
     # one row for each distinct line: its earliest place and its shared halves
     near = near.groupBy(_hash(1, F.col("__line")).alias("__h1"), _hash(2, F.col("__line")).alias("__h2"))
-    near = near.agg(F.min(at("__doc", "__no")).alias("__at"), F.min("__line").alias("__line"), F.collect_set("__key").alias("__keys"))
-    near = scratch.put(near.select("__at", "__line", "__keys"), "near")
+    near = near.agg(F.min(at("__doc", "__no")).alias("__place"), F.min("__line").alias("__line"), F.collect_set("__key").alias("__keys"))
+    near = scratch.put(near.select(F.struct("__place.d", "__place.n", F.col("__h1").alias("h")).alias("__at"), "__line", "__keys"), "near")
 
     size = F.length("__line")
     part = near.select("__at", "__line", size.alias("__size"), F.explode(F.filter(_halves(F.col("__line"), size), lambda h: F.array_contains("__keys", h["key"]))).alias("__half"))
@@ -106,29 +111,37 @@ def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     group = Window.partitionBy("a", "b")
     first = lambda role: F.min(F.when(F.col("role") == role, F.col("__at"))).over(group)
     variants = variants.select("__at", F.when(F.col("role") == 0, first(1)).when(F.col("role") == 1, first(0)).otherwise(first(2)).alias("__by"))
-    pairs = variants.where(F.col("__by") < F.col("__at")).distinct()
+    # equal places are of rows that share an id
+    pairs = variants.where(at("__by.d", "__by.n") < at("__at.d", "__at.n")).distinct()
     own, other = near.select("__at", "__line"), near.select(F.col("__at").alias("__by"), F.col("__line").alias("__other"))
     checked = pairs.join(own, "__at").join(other, "__by").where(F.levenshtein("__line", "__other", 1) >= 0)
-    close = checked.select(F.col("__at.d").alias("__doc"), F.col("__at.n").alias("__no"))
+    close = checked.select(F.col("__at.d").alias("__doc"), F.col("__at.n").alias("__no"), F.col("__at.h").alias("__h1"))
 
     both = exact.withColumn("__near", F.lit(0)).unionByName(close.withColumn("__near", F.lit(1)))
-    return both.groupBy("__doc", "__no").agg(F.min("__near").alias("__near"))
+    return both.groupBy("__doc", "__no", "__h1").agg(F.min("__near").alias("__near"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, counts: bool = False) -> DataFrame:
     """The documents with their columns, the text without removed lines; `counts` adds n_lines, n_exact, n_near."""
     scratch = Scratch(docs.sparkSession, "lines")
     gone = removed_lines(docs, scratch, id_col, text_col, min_chars)
-    gone = scratch.put(gone.groupBy("__doc").agg(F.collect_set("__no").alias("__gone"), F.sum("__near").alias("__near")), "gone")
-    made = docs.join(gone, docs[id_col] == gone["__doc"], "left")
-    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).when(F.exists(left, lambda x: _trimmed(x) != ""), F.array_join(left, "\n")).otherwise("")
-    more = []
-    if counts:
-        near = F.coalesce(F.col("__near"), F.lit(0)).cast("long")
-        n = F.coalesce(F.size("__gone"), F.lit(0))
-        n = F.when(F.col("__gone").isNull(), 0).otherwise(n)
-        more = [F.coalesce(F.size(F.split(docs[text_col], "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), (n - near).cast("long").alias("n_exact"), near.alias("n_near")]
+    gone = gone.groupBy("__doc").agg(F.collect_list(F.struct(F.col("__no").alias("no"), F.col("__h1").alias("h"), F.col("__near").alias("near"))).alias("__gone"))
+    gone = scratch.put(gone, "gone")
+    made = docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(gone["__doc"]), "left")
+    parts = F.split(F.col(text_col), "\n", -1)
+    # number and hash of a line in one, to find it among the removed by array functions of linear cost
+    said = lambda no, h: F.concat_ws(":", no.cast("string"), h.cast("string"))
+    out = lambda near: F.transform(F.filter("__gone", lambda g: g["near"] == near), lambda g: said(g["no"], g["h"]))
+    made = made.withColumn("__names", F.when(F.col("__gone").isNotNull(), F.transform(parts, lambda x, i: said(i, _hash(1, _trimmed(x))))))
+    made = made.withColumns({"__same": F.array_intersect("__names", out(0)), "__close": F.array_intersect("__names", out(1))})
+    n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
+    kept = F.array_except("__names", F.concat("__same", "__close"))
+    # the lines are split once: a lambda would do it again for every line
+    held = F.array(F.struct(parts.alias("all"), kept.alias("kept")))
+    left = F.transform(held, lambda h: F.transform(h["kept"], lambda x: F.element_at(h["all"], F.substring_index(x, ":", 1).cast("int") + 1)))[0]
+    made = made.withColumn("__left", F.when(n("__same") + n("__close") > 0, left))
+    text = F.when(n("__same") + n("__close") == 0, F.col(text_col)).when(F.exists("__left", lambda x: _trimmed(x) != ""), F.array_join("__left", "\n")).otherwise("")
+    more = [F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), n("__same").alias("n_exact"), n("__close").alias("n_near")] if counts else []
     return made.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns), *more)
 
 
