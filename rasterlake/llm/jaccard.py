@@ -18,8 +18,9 @@ d + 1 shingles form a bucket. First every bucket's nodes are compared with one c
 shingles of its own before the bucket's; components then tell what is together already. What is open after that
 is compared in full: nodes of different components, in small buckets pair by pair; nodes of large ones are dealt
 to chunks, and chunks that have a bucket in common are compared as products of incidence matrices, of which only
-links that join two components leave the task. No pair that could link is left out. Candidates are verified on
-their whole sets of 64-bit shingle hashes, with integer arithmetic.
+links that join two components leave the task. No pair that could link is left out. Candidates are held to a bound
+first, from bitmaps of the parity of their shingles: cells that differ count shingles that only one of the two has.
+What is left is verified on the whole sets of 64-bit shingle hashes, with integer arithmetic.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is linked with nothing; a
 text of fewer words than a shingle is one shingle; every row is returned. Rows that repeat an id are one
@@ -161,25 +162,46 @@ def _sets(docs: DataFrame, k: int, percent: int, cells: np.ndarray) -> DataFrame
     return docs.mapInArrow(run, _SETS)
 
 
-def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    both = pairs.join(full.withColumnsRenamed({"node": "a", "set": "sa"}), "a").join(full.withColumnsRenamed({"node": "b", "set": "sb"}), "b")
+def _signature(kept: np.ndarray, percent: int) -> bytes:
+    """The parity of a set's shingles in each of so many cells by hash, in bits; a power of two, by the set's size."""
+    bits = 1 << max(6, (16 * (100 - percent) * len(kept) // 100).bit_length())
+    return np.packbits(np.bincount((kept & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                same = int(np.count_nonzero(y[at] == x))
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+def _differing(x: bytes, y: bytes) -> int:
+    """At least so many shingles are in one of two sets alone: cells of unlike parity. The wider signature is folded."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
+def _linked(pairs: DataFrame, full: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough. Signatures travel first, whole sets for what they leave."""
+
+    def joined(pairs: DataFrame, *columns: str) -> DataFrame:
+        for c in "ab":
+            pairs = pairs.join(full.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns)), c)
+        return pairs.select("a", "b", *(f"{x}_{c}" for x in columns for c in "ab"))
+
+    def filtered(keeps):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kept = batch.filter(pa.array([keeps(*(v.as_buffer() if isinstance(v, pa.BinaryScalar) else v.as_py() for v in row)) for row in zip(*batch.columns[2:], strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+
+        return run
+
+    def close(n: int, n2: int, x: bytes, y: bytes) -> bool:
+        return _differing(x, y) <= n + n2 + 2 * (-percent * (n + n2) // (100 + percent))
+
+    def similar(x: bytes, y: bytes) -> bool:
+        x, y = sorted((np.frombuffer(v, np.uint64) for v in (x, y)), key=len)
+        at = np.searchsorted(y, x)
+        at[at == len(y)] = 0
+        same = int(np.count_nonzero(y[at] == x))
+        return 100 * same >= percent * (len(x) + len(y) - same)
+
+    near = scratch.put(joined(pairs, "n", "sig").mapInArrow(filtered(close), "a long, b long"), f"{name}-near")
+    return joined(near, "set").mapInArrow(filtered(similar), "a long, b long")
 
 
 def _edges(a: tuple, b: tuple, percent: int) -> list[tuple[int, int]]:
@@ -224,7 +246,7 @@ def _in_chunks(members: DataFrame, full: DataFrame, scratch: Scratch, percent: i
     named = members.join(low, "tok").groupBy("node", "part", "n").agg(F.min("low").alias("label"))
     many = named.groupBy("label").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).alias("k"))
     dealt = scratch.put(named.join(many, "label").select("node", "part", F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("k"))).alias("i")), "dealt")
-    packed = scratch.put(dealt.join(full, "node").groupBy("i").agg(F.collect_list(F.struct("node", "part", "set")).alias("m")), "chunks")
+    packed = scratch.put(dealt.join(full.select("node", "set"), "node").groupBy("i").agg(F.collect_list(F.struct("node", "part", "set")).alias("m")), "chunks")
     at = members.select("tok", "node").join(dealt, "node").select("tok", "i").distinct()
     pairs = at.join(at.select("tok", F.col("i").alias("j")), "tok").where("i <= j").select("i", "j").distinct()
     met = pairs.join(packed.withColumnRenamed("m", "x"), "i").join(packed.select(F.col("i").alias("j"), F.col("m").alias("y")), "j").select("x", "y")
@@ -311,11 +333,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         for batch in batches:
             made = [shingle_set(t, k, words) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             halves = [_halves(x) for x in made]
-            yield pa.RecordBatch.from_arrays([*(pa.array([h[j] for h in halves], pa.int64()) for j in (0, 1)), pa.array([x.tobytes() for x in made], pa.binary())], names=["s1", "s2", "set"])
+            columns = [*(pa.array([h[j] for h in halves], pa.int64()) for j in (0, 1)), pa.array([len(x) for x in made], pa.int64())]
+            columns += [pa.array([f(x) for x in made], pa.binary()) for f in (lambda x: _signature(x, percent), np.ndarray.tobytes)]
+            yield pa.RecordBatch.from_arrays(columns, names=["s1", "s2", "n", "sig", "set"])
 
     wanted = packed.select(F.col("doc_id").alias("of")).distinct()
     texts = slim.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("text")
-    full = texts.mapInArrow(whole, "s1 long, s2 long, set binary").join(packed.select("s1", "s2", "node"), ["s1", "s2"]).select("node", "set")
+    full = texts.mapInArrow(whole, "s1 long, s2 long, n long, sig binary, set binary").join(packed.select("s1", "s2", "node"), ["s1", "s2"]).select("node", "n", "sig", "set")
     full = scratch.put(full.dropDuplicates(["node"]), "full")
 
     def between(a: Column, b: Column) -> list[Column]:
@@ -324,7 +348,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     best = F.min(F.struct("lost", "node"))
     pairs = keys.join(keys.groupBy("tok").agg(best.alias("c")), "tok").where(F.col("node") != F.col("c.node"))
     fresh = scratch.put(hopeful(pairs.select(*between(F.col("node"), F.col("c.node"))).distinct()), "pairs")
-    links = scratch.put(_linked(fresh, full, percent), "links")
+    links = scratch.put(_linked(fresh, full, scratch, "links", percent), "links")
     parts = scratch.put(components(links, scratch, "cc"), "parts")
     placed = keys.join(parts.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("part", F.coalesce("component", "node")).drop("of", "component")
 
@@ -340,7 +364,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         met_twice = few.join(other, "tok").where((F.col("node") < F.col("node2")) & (F.col("part") != F.col("part2")) & (F.col("n") <= F.col("most2")) & (F.col("n2") <= F.col("most")))
         fresh = met_twice.where(similar(F.col("n"), F.col("n2"))).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
         many = members.where(F.col("c") > SMALL).select("tok", "node", "part", "n")
-        last = _linked(scratch.put(hopeful(fresh), "pairs-last"), full, percent)
+        last = _linked(scratch.put(hopeful(fresh), "pairs-last"), full, scratch, "last", percent)
         if not many.isEmpty():
             last = last.unionByName(_in_chunks(many, full, scratch, percent))
         links = links.unionByName(scratch.put(last, "links-last"))
