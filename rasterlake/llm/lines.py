@@ -71,13 +71,14 @@ def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     at = lambda d, n: F.struct(F.col(d).alias("d"), F.col(n).alias("n"))
     lines = _long_lines(docs, id_col, text_col, min_chars)
 
-    named = lines.select("__doc", "__no", _hash(1, F.col("__line")).alias("__h1"), _hash(2, F.col("__line")).alias("__h2"))
+    # one pass over the texts names every line and its halves; what follows works on the names
+    named = lines.select("__doc", "__no", _hash(1, F.col("__line")).alias("__h1"), _hash(2, F.col("__line")).alias("__h2"), _halves(F.col("__line"), F.col("__size"))["key"].alias("__keys"))
     named = scratch.put(named, "named")
     repeated = named.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__n"), F.min(at("__doc", "__no")).alias("__first")).where("__n > 1").drop("__n")
-    exact = named.join(repeated.hint("merge"), ["__h1", "__h2"]).where(at("__doc", "__no") > F.col("__first")).select("__doc", "__no", "__h1")
+    exact = named.drop("__keys").join(repeated.hint("merge"), ["__h1", "__h2"]).where(at("__doc", "__no") > F.col("__first")).select("__doc", "__no", "__h1")
 
-    half = lines.select("__doc", "__no", F.hash("__line").alias("__f"), F.explode(_halves(F.col("__line"), F.col("__size"))["key"]).alias("__key"))
-    shared = half.groupBy("__key").agg(F.min("__f").alias("__lo"), F.max("__f").alias("__hi")).where("__lo < __hi").select("__key")
+    half = named.select("__doc", "__no", "__h1", F.explode("__keys").alias("__key"))
+    shared = half.groupBy("__key").agg(F.min("__h1").alias("__lo"), F.max("__h1").alias("__hi")).where("__lo < __hi").select("__key")
     some = half.select("__doc", "__no", "__key").join(scratch.put(shared, "shared").hint("merge"), "__key")
     wanted = some.groupBy("__doc", "__no").agg(F.collect_set("__key").alias("__want")).withColumnsRenamed({"__doc": "__of", "__no": "__at"})
 
@@ -101,14 +102,14 @@ def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     rest = F.when(F.col("__half.side") == "P", F.substring(F.col("__line"), F.col("__half.c") + 1, F.col("__size"))).otherwise(F.substring(F.col("__line"), F.lit(1), F.col("__size") - F.col("__half.c")))
     part = part.select("__at", "__key", "__same", "__longer", "__shorter", rest.alias("__rest"), (F.col("__size") - F.col("__half.c")).alias("__m"))
     without = lambda i: F.concat(F.substring(F.col("__rest"), F.lit(1), i - 1), F.substring(F.col("__rest"), i + 1, F.col("__m")))
-    row = lambda role, place, text: F.struct(F.lit(role).alias("role"), _hash(4, F.col("__key"), place, text).alias("a"), _hash(5, F.col("__key"), place, text).alias("b"))
+    row = lambda role, place, text: F.struct(F.lit(role).alias("role"), _hash(4, F.col("__key"), place, text).alias("a"))
     each = F.sequence(F.lit(1), F.col("__m"))
-    none = F.array().cast("array<struct<role:int,a:bigint,b:bigint>>")
+    none = F.array().cast("array<struct<role:int,a:bigint>>")
     wanted = lambda flag, made: F.when(F.col(flag), made).otherwise(none)
     variants = F.concat(wanted("__longer", F.array(row(0, F.lit(0), F.col("__rest")))), wanted("__shorter", F.transform(each, lambda i: row(1, F.lit(0), without(i)))), wanted("__same", F.transform(each, lambda i: row(2, i, without(i)))))
     variants = part.select("__at", F.explode(variants).alias("__v")).select("__at", "__v.*")
     # role 0 meets role 1 (one is the other without a character); role 2 meets role 2 (same place left out)
-    group = Window.partitionBy("a", "b")
+    group = Window.partitionBy("a")
     first = lambda role: F.min(F.when(F.col("role") == role, F.col("__at"))).over(group)
     variants = variants.select("__at", F.when(F.col("role") == 0, first(1)).when(F.col("role") == 1, first(0)).otherwise(first(2)).alias("__by"))
     # equal places are of rows that share an id
