@@ -22,9 +22,8 @@ make a block too large for a task; its windows are counted one by one by a 128-b
 cluster, which gives the same answer.
 
 Defined results: a null or empty text, or one shorter than `length`, loses nothing; repeated rows are
-documents of their own, so a text that occurs twice goes in both, if it is long enough; ids name documents:
-where rows of one id hold different texts, the spans of each are cut from all of them. An empty table gives
-no rows. Columns other than the id and text are not read.
+documents of their own, so a text that occurs twice goes in both, if it is long enough; rows are told by id and
+a hash of the text, so rows of one id with different texts have spans of their own. An empty table gives no rows. Columns other than the id and text are not read.
 """
 
 from __future__ import annotations
@@ -94,9 +93,9 @@ def anchors(text: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np
     return first[keep], count[keep], h[at[first[keep]]]
 
 
-def _pieces(docs: list[tuple[int, bytes]], length: int) -> Iterator[tuple[np.ndarray, bytes, np.ndarray, list[tuple[int, int, int]]]]:
+def _pieces(docs: list[tuple[tuple, bytes]], length: int) -> Iterator[tuple[np.ndarray, bytes, np.ndarray, list[tuple[int, tuple, int]]]]:
     """Joins short documents, cuts long ones with an overlap, to pieces of about SEGMENT bytes: bytes, ends, and
-    (start in the piece, id, offset in the document)."""
+    (start in the piece, row's name, offset in the document)."""
     held, ends, places, size = [], [], [], 0
 
     def out():
@@ -124,19 +123,20 @@ def _contexts(docs: DataFrame, length: int, k: int) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            rows = list(zip(batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], strict=True))
+            ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            rows = list(zip(ids, [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()], strict=True))
             for text, raw, ends, places in _pieces(rows, length):
                 first, count, h = anchors(text, ends, length, k)
                 starts = np.array([p[0] for p in places])
                 of = np.searchsorted(starts, first, "right") - 1
-                doc = pa.array([p[1] for p in places], pa.int64()).take(pa.array(of))
+                doc, name = (pa.array([p[1][j] for p in places], pa.int64()).take(pa.array(of)) for j in (0, 1))
                 at = first - starts[of] + np.array([p[2] for p in places])[of]
                 view = memoryview(raw)
                 named = [xxhash.xxh3_64_intdigest(view[a:z]) for a, z in zip(first.tolist(), (first + count + length - 1).tolist(), strict=True)]
-                columns = [pa.array(h.view(np.int64)), pa.array(np.array(named, np.uint64).view(np.int64)), doc, pa.array(at), pa.array(count.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "c", "doc", "at", "wins"])
+                columns = [pa.array(h.view(np.int64)), pa.array(np.array(named, np.uint64).view(np.int64)), doc, name, pa.array(at), pa.array(count.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "c", "doc", "t", "at", "wins"])
 
-    return docs.select("doc", "text").mapInArrow(run, "h long, c long, doc long, at long, wins int")
+    return docs.select("doc", "t", "text").mapInArrow(run, "h long, c long, doc long, t long, at long, wins int")
 
 
 def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
@@ -281,18 +281,20 @@ def _counted(contexts: DataFrame, scratch: Scratch, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = K, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
-    """(doc, start, end): byte spans that cover every repeated string, from documents (doc, text)."""
+    """(doc, t, start, end): byte spans that cover every repeated string, from documents (doc, text); t is a hash of
+    the text, which tells rows of one doc apart."""
+    docs = docs.select("doc", "text", F.xxhash64("text").alias("t"))
     found = scratch.put(_contexts(docs, length, k), "contexts")
     groups = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1")
     groups = scratch.put(groups.select("h", (F.col("lo") < F.col("hi")).alias("mixed")), "groups")
     hits = scratch.put(found.join(groups, "h"), "hits")
     scratch.drop("contexts")
-    equal = hits.where("not mixed").select("doc", F.col("at").alias("start"), (F.col("at") + F.col("wins") + length - 1).alias("end"))
+    equal = hits.where("not mixed").select("doc", "t", F.col("at").alias("start"), (F.col("at") + F.col("wins") + length - 1).alias("end"))
 
     mixed = hits.where("mixed")
-    kinds = scratch.put(mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at", "wins")).alias("one")), "kinds")
+    kinds = scratch.put(mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "t", "at", "wins")).alias("one")), "kinds")
     # a context found more than once is repeated throughout; it still takes part, for the others
-    wanted = kinds.groupBy(F.col("one.doc").alias("of")).agg(F.collect_list(F.struct("h", "c", F.col("one.at").alias("at"), F.col("one.wins").alias("wins"))).alias("want"))
+    wanted = kinds.groupBy(F.col("one.doc").alias("of"), F.col("one.t").alias("of_t")).agg(F.collect_list(F.struct("h", "c", F.col("one.at").alias("at"), F.col("one.wins").alias("wins"))).alias("want"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,7 +304,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: i
                 columns = [pa.array([want[j][x] for j in keep], pa.int64()) for x in ("h", "c")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([bodies[j] for j in keep], pa.binary())], names=["h", "c", "body"])
 
-    bodies = docs.join(wanted, F.col("doc").eqNullSafe(F.col("of"))).select("text", "want").mapInArrow(cut, "h long, c long, body binary")
+    bodies = docs.join(wanted, F.col("doc").eqNullSafe(F.col("of")) & (F.col("t") == F.col("of_t"))).select("text", "want").mapInArrow(cut, "h long, c long, body binary")
     bodies = scratch.put(bodies, "bodies")
     crowded = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_contexts).select("h")
     crowded = scratch.put(crowded, "crowded")
@@ -312,9 +314,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: i
         runs = _expanded(bodies.join(crowded, "h", "left_anti"), length).unionByName(_counted(bodies.join(crowded, "h", "left_semi"), scratch, length))
     single = scratch.put(runs.where(F.size("runs") > 0), "runs").withColumnsRenamed({"h": "h2", "c": "c2"})
     many = kinds.where("n > 1").select("h", "c")
-    said = mixed.join(single, (F.col("h") == F.col("h2")) & (F.col("c") == F.col("c2"))).select("doc", "at", F.explode("runs").alias("r"))
-    said = said.select("doc", (F.col("at") + F.col("r.a")).alias("start"), (F.col("at") + F.col("r.z") + length).alias("end"))
-    whole = mixed.join(many, ["h", "c"], "left_semi").select("doc", F.col("at").alias("start"), (F.col("at") + F.col("wins") + length - 1).alias("end"))
+    said = mixed.join(single, (F.col("h") == F.col("h2")) & (F.col("c") == F.col("c2"))).select("doc", "t", "at", F.explode("runs").alias("r"))
+    said = said.select("doc", "t", (F.col("at") + F.col("r.a")).alias("start"), (F.col("at") + F.col("r.z") + length).alias("end"))
+    whole = mixed.join(many, ["h", "c"], "left_semi").select("doc", "t", F.col("at").alias("start"), (F.col("at") + F.col("wins") + length - 1).alias("end"))
     return equal.unionByName(said).unionByName(whole)
 
 
@@ -322,8 +324,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """id, n_bytes, n_removed, n_spans, then kept_sha256 ("digest"), or spans and the kept bytes ("text")."""
     scratch = Scratch(docs.sparkSession, "suffix")
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    spans = repeated_spans(slim, scratch, length).groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    both = slim.join(spans, F.col("doc").eqNullSafe(F.col("of")), "left").select("doc", "text", "spans")
+    spans = repeated_spans(slim, scratch, length).groupBy(F.col("doc").alias("of"), F.col("t").alias("of_t")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    both = slim.join(spans, F.col("doc").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("of_t")), "left").select("doc", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
