@@ -13,7 +13,8 @@ with the square root of its frequency, so that a weight must stand out of what c
 leaves are then learnt again with a smaller penalty.
 
 Defined results: a null or empty text has no features and gets the score of the thresholds alone; repeated
-rows get equal results; labels without a document, or with a null, are ignored; with no labels, or labels of
+rows get equal results; of labels that repeat an id the highest grade counts, of documents that do one is fitted;
+labels without a document, or with a null, are ignored; with no labels, or labels of
 one grade only, the thresholds follow the smoothed grade shares and no word has weight. Columns other than
 those named are not read.
 """
@@ -139,6 +140,7 @@ def _mapped(docs: DataFrame, names: list[str], schema: str, make) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
     grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).otherwise(1)
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).select(F.col(id_col).alias("__id"), grade.cast("int").alias("__grade"))
+    known = known.groupBy("__id").agg(F.max("__grade").alias("__grade"))
     # bounded by `rows`, so broadcasting it is safe at any size of the tables
     sample = known.orderBy(F.xxhash64("__id"), "__id", "__grade").limit(rows)
     used = docs.join(F.broadcast(sample), docs[id_col] == F.col("__id")).select(F.col("__grade").alias("grade"), F.col(text_col).alias("text"), F.col("__id").alias("id"))
@@ -147,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         return [batch.column(0), pa.array([np.array(features(t, seen), np.int32).tobytes() for t in texts], pa.binary()), batch.column(2).cast(pa.int64())]
 
-    found = _mapped(used, ["grade", "f", "id"], "grade int, f binary, id long", make)
+    # of rows that repeat an id one is fitted, so that the sample's bound holds
+    found = _mapped(used, ["grade", "f", "id"], "grade int, f binary, id long", make).groupBy("id").agg(F.min("grade").alias("grade"), F.min("f").alias("f")).select("grade", "f", "id")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in (2, 0, 1)), strict=True))
