@@ -3,10 +3,11 @@
 Base rules, on words `[^\\x20\\x09-\\x0D]+` of the whole text: at least MIN_WORDS words, and at most
 MAX_REPEAT_PERCENT percent of them in 8-word windows that the text holds twice or more.
 
-Compression bands: the zstandard ratio (compressed by raw bytes) of the whole text, and of each full fixed
-chunk of it, must lie in a band chosen by the length of what is compressed. Below the band the text is
+Compression bands: the zstandard ratio (compressed by raw bytes) of the whole text, and of each fixed chunk of
+it, must lie in a band chosen by the length of what is compressed. Below the band the text is
 repetitive, above it incompressible. A text fails if its own ratio is outside, or if more than
-MAX_ODD_CHUNKS of its chunks are.
+MAX_ODD_CHUNKS of its chunks are. What is left after the last full chunk is looked at with the bytes before it,
+as the text's last chunk; a text shorter than a chunk has none.
 
 Defined results: a null or empty text has no words and all counts 0; it fails the base rule. Repeated rows
 each get their own result; an empty table gives no rows; columns other than the id and text are not read.
@@ -69,7 +70,10 @@ def measure(text: bytes, compressor, bands=BANDS, chunk_band=CHUNK_BAND) -> tupl
     failed = n < MIN_WORDS or 100 * again > MAX_REPEAT_PERCENT * n
     ratio = len(compressor.compress(text)) / len(text) if text else 0.0
     chunks = odd = 0
-    for k in range(0, len(text) - CHUNK_BYTES + 1, CHUNK_BYTES):
+    starts = [*range(0, len(text) - CHUNK_BYTES + 1, CHUNK_BYTES)]
+    if starts and starts[-1] + CHUNK_BYTES < len(text):
+        starts.append(len(text) - CHUNK_BYTES)
+    for k in starts:
         chunks += 1
         odd += not chunk_band[0] <= len(compressor.compress(text[k : k + CHUNK_BYTES])) / CHUNK_BYTES <= chunk_band[1]
     _, low, high = [x for x in bands if x[0] <= len(text)][-1]
