@@ -10,8 +10,8 @@ Queries and rows meet in blocks: each query block visits each row block once, a
 `k` rows per query, and these meet again in one window per query. Nothing is broadcast or collected, and no
 partner is dropped: what a block leaves out has, by the bounds, k better rows in that same block.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components take no part; nor do
-vectors of another than the most frequent length. Equal scores go to the smaller id. A query's own id is no
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part; a query is
+compared with the vectors of its own length, as an inner product with others isn't defined. Equal scores go to the smaller id. A query's own id is no
 candidate, but a copy of its vector under another id is. Rows that repeat an id are candidates each; a
 repeated id asks once, with the smallest of its vectors. Empty tables give no rows; other columns are not
 read.
@@ -20,13 +20,14 @@ read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, n_partitions, table
 
 #: Standard deviations of the estimate's error that the bounds allow for.
 ERROR_BOUND = 2.5
@@ -35,6 +36,7 @@ SEED = 20240607
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 512
 
 
+@lru_cache(maxsize=16)
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     """A random orthogonal matrix, the same on every worker."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
@@ -83,29 +85,32 @@ def best(qid: np.ndarray, query: np.ndarray, vid: np.ndarray, vectors: np.ndarra
         yield row[keep] + a, col[keep], score[keep]
 
 
-_CODED = "ids binary, v binary, codes binary, length binary, own binary"
+_QUERIES = "q_dim int, q_ids binary, q_v binary"
+_CODED = "dim int, ids binary, v binary, codes binary, length binary, own binary"
 
 
-def packer(most: int, dim: int, coded: bool):
-    """Packs a task's rows into records of at most `most` rows, with their codes if asked for."""
+def packer(most: int, schema: str):
+    """Packs a task's rows into records of one vector length and at most `most` rows, with their codes if asked for."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(dim)
-
-        def record(ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-            parts = [ids, v, *(encode(v, turn) if coded else ())]
-            names = ["ids", "v", "codes", "length", "own"] if coded else ["q_ids", "q_v"]
-            return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in parts], names=names)
+    def record(dim: int, rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        ids, v = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+        parts = [ids, v, *(encode(v, rotation(dim)) if len(names) > 3 else ())]
+        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in parts)], names=names)
 
-        ids, v = np.empty(0, np.int64), np.empty((0, dim))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, np.ndarray]]] = {}
         for batch in batches:
-            more = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            ids, v = np.concatenate([ids, batch.column(0).to_numpy(zero_copy_only=False)]), np.concatenate([v, more])
-            while len(ids) >= most:
-                yield record(ids[:most], v[:most])
-                ids, v = ids[most:], v[most:]
-        if len(ids):
-            yield record(ids, v)
+            column = batch.column(1)
+            flat, edge = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            for i, vid in enumerate(batch.column(0).to_pylist()):
+                v = flat[edge[i] : edge[i + 1]]
+                rows = held.setdefault(len(v), [])
+                rows.append((vid, v))
+                if len(rows) >= most:
+                    yield record(len(v), held.pop(len(v)))
+        for dim, rows in held.items():
+            yield record(dim, rows)
 
     return run
 
@@ -120,27 +125,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
         return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & fine)
 
-    rows, asked = usable(vectors), usable(queries).groupBy("id").agg(F.min("v").alias("v"))
-    size = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = size["dim"] if size else 1
-    rows, asked = (df.where(F.size("v") == dim) for df in (rows, asked))
-    coded = scratch.put(rows.mapInArrow(packer(BLOCK_ROWS, dim, True), _CODED), "rows")
-    packed = asked.mapInArrow(packer(BLOCK_QUERIES, dim, False), "q_ids binary, q_v binary")
-    groups = max(1, coded.count())
-    left = coded.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
-    right = packed.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
+    asked = usable(queries).groupBy("id").agg(F.min("v").alias("v"))
+    coded = scratch.put(usable(vectors).mapInArrow(packer(BLOCK_ROWS, _CODED), _CODED).withColumn("block", F.monotonically_increasing_id()), "rows")
+    packed = scratch.put(asked.mapInArrow(packer(BLOCK_QUERIES, _QUERIES), _QUERIES).withColumn("q_block", F.monotonically_increasing_id()), "queries")
+    # which blocks meet is told by their names alone; pairs of blocks are dealt evenly, one a task's turn
+    names = coded.select("block", "dim").join(packed.select("q_block", "q_dim"), F.col("dim") == F.col("q_dim")).select("block", "q_block")
+    met = names.join(coded, "block").join(packed, "q_block")
+    tasks = max(n_partitions(vectors.sparkSession), vectors.sparkSession.sparkContext.defaultParallelism)
+    met = met.repartition(tasks)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(dim)
         for batch in batches:
-            for r in batch.to_pylist():
+            for n in range(batch.num_rows):
+                r = {c: batch.column(c)[n].as_py() for c in ("dim", "ids", "v", "codes", "length", "own", "q_ids", "q_v")}
+                dim, turn = r["dim"], rotation(r["dim"])
                 vid, qid = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
                 v, q = (np.frombuffer(r[x], np.float64).reshape(-1, dim) for x in ("v", "q_v"))
                 code = np.frombuffer(r["codes"], np.uint8).reshape(len(vid), -1), np.frombuffer(r["length"], np.float64), np.frombuffer(r["own"], np.float64)
                 for i, j, score in best(qid, q, vid, v, code, k, turn):
                     yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(vid[j]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    met = left.join(right, "g").drop("g").mapInArrow(meet, "query_id long, vec_id long, score double")
+    met = met.drop("block", "q_block", "q_dim").mapInArrow(meet, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
