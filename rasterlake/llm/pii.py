@@ -36,10 +36,11 @@ BASE = {
 }
 KINDS = (*BASE, "secret", "id")
 _KEY = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
-#: Candidate families: kind -> (pattern, what a text must hold for it: implied by the pattern, and cheaper).
+#: Candidate families: kind -> (pattern, what a text must hold for it: implied by the pattern, and cheaper). Repeats
+#: without a bound are possessive: a plain repeated group recurses in Java, and a long run would end the JVM.
 CANDIDATES = {
     "secret": (rf"{_KEY}\x20?[=:]\x20?[\"']?[^\s\"',;]{{6,}}+[\"']?|(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?![0-9]{{201,}}+(?![A-Za-z_-]))[A-Za-z0-9_-]{{16,}}+", rf"[0-9]|{_KEY}\x20?[=:]"),
-    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63})+", r"\(at\)|\[at\]|\{at\}|\x20at\x20\x20?[A-Za-z0-9-]+\x20?(?:\.|\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)"),
+    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?[A-Za-z0-9-]{2,}+)++", r"\(at\)|\[at\]|\{at\}|\x20at\x20\x20?[A-Za-z0-9-]++\x20?(?:\.|\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)"),
     "phone": (r"(?<![0-9A-Za-z+._-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20./-])(?:[0-9]{2,4}[\x20./-]){1,3}[0-9]{2,4}(?![0-9A-Za-z_-])", "[0-9]"),
     "id": (r"(?<![0-9A-Za-z.-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?)(?![0-9A-Za-z-])", "[0-9]"),
 }
@@ -58,7 +59,7 @@ STRICT = {
 }
 LABELERS = ("strict form", "cue word", "assignment before it", "mixed characters", "word against it", "unit after it")
 CONTEXT = 32
-EM_ROUNDS, PSEUDO, FIT_ROUNDS = 40, 8.0, 300
+EM_ROUNDS, PSEUDO, FIT_ROUNDS = 40, 8.0, 500
 
 
 def _starts(gaps: Column, sizes: Column) -> Column:
@@ -139,7 +140,8 @@ def _votes(kind: str, s: Column, left: Column, right: Column) -> Column:
     """A character for each labeler: + for, - against, 0 abstains."""
     yes = lambda c: F.when(c, "+").otherwise("0")
     no = lambda c: F.when(c, "-").otherwise("0")
-    mixed = s.rlike("[0-9].*[A-Za-z].*[0-9]|[A-Za-z].*[0-9].*[A-Za-z]")
+    # a letter between digits or a digit between letters, whatever else lies between; of linear cost
+    mixed = F.regexp_replace(s, "[^0-9A-Za-z]++", "").rlike("[0-9][A-Za-z]++[0-9]|[A-Za-z][0-9]++[A-Za-z]")
     flat = s.rlike(r"^(.)\1*$|^[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}$|^[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4}$|^[A-Za-z]+-[A-Za-z-]+[0-9]{1,2}$")
     return F.concat(
         yes(s.rlike(STRICT[kind])),
@@ -190,14 +192,16 @@ def train(rows: list[tuple[str, float, float]], rounds: int = FIT_ROUNDS, decay:
     total = sum(n for _, _, n in data) or 1.0
     for names, _, _ in data:
         weights |= {x: 0.0 for x in names}
+    # below 2 over the largest curvature, so that every step goes downhill, for one candidate as for many
+    step = 1.9 / (0.25 * max((len(names) for names, _, _ in data), default=1) + decay / total)
     for _ in range(rounds):
         slope = {x: -decay * w / total for x, w in weights.items()}
         for names, y, n in data:
-            gap = (y - 1 / (1 + math.exp(-sum(weights[x] for x in names)))) * n / total
+            gap = (y - 0.5 * (1 + math.tanh(0.5 * sum(weights[x] for x in names)))) * n / total
             for x in names:
                 slope[x] += gap
         for x, g in slope.items():
-            weights[x] += 2.0 * g
+            weights[x] += step * g
     return weights
 
 
@@ -227,5 +231,7 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents"))
     told = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     count = lambda kind: F.size(F.filter("base", _is(kind))).cast("long").alias(f"n_{kind}")
+    more = lambda kind: F.size(F.filter("added", _is(kind))).cast("long").alias(f"n_added_{kind}")
+    whole = [F.size("added").cast("long").alias("n_added"), *map(more, CANDIDATES), (F.size("base") + F.size("added")).cast("long").alias("n_spans")]
     order = F.concat(*(F.array_sort(F.filter(F.concat("base", "added"), _is(k))) for k in KINDS))
-    return found.select("doc_id", *map(count, BASE), F.sha2(_joined(F.transform("base", told)).cast("binary"), 256).alias("base_sha256"), _joined(F.transform(order, told)).alias("spans"))
+    return found.select("doc_id", *map(count, BASE), F.sha2(_joined(F.transform("base", told)).cast("binary"), 256).alias("base_sha256"), _joined(F.transform(order, told)).alias("spans"), *whole)
