@@ -83,6 +83,15 @@ def test_suffix_crowded_and_empty(spark, docs, empty):
     assert suffix.remove_repeats(empty).count() == 0
 
 
+def test_suffix_of_repeated_ids(spark):
+    rng = random.Random(12)
+    one, two, three = ("".join(rng.choice("abcdefg ") for _ in range(n)) for n in (700, 700, 900))
+    rows = [(1, one), (1, two + one[:300]), (1, None), (2, three), (2, three), (None, two[100:500]), (None, None), (3, "")]
+    got = Counter(tuple(r)[1:] for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = repeats([(k, (t or "").encode()) for k, (_, t) in enumerate(rows)], 200)
+    assert got == Counter(want.values())
+
+
 def test_suffix_kernel():
     rng = random.Random(1)
     for length in (3, 12, 20):
@@ -146,6 +155,42 @@ def test_toxicity_edges(spark, docs, empty):
     assert none.weights == {} and toxicity.score(empty, none).count() == 0
 
 
+def test_toxicity_fits_one_row_an_id(spark, monkeypatch):
+    rows = [(1, "idiot text")] * 50 + [(1, "other text"), (2, "calm words"), (None, "idiot")]
+    labels = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (2, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # two ids, one of them toxic: shares of 2 rows, whatever the number of copies
+    cut = toxicity.train(docs, labels).thresholds
+    one = toxicity.fit([(1, np.array(toxicity.features(b"other text", toxicity.Features()))), (0, np.array(toxicity.features(b"calm words", toxicity.Features())))])
+    assert cut == pytest.approx(one.thresholds)
+    long = spark.createDataFrame([(3, "idiot " * 200000)], "doc_id long, text string")
+    assert toxicity.score(long, toxicity.train(docs, labels)).count() == 1
+
+
+def test_toxicity_against_brute_force():
+    """The fit reaches the likelihood that plain gradient descent without a penalty on the same model reaches."""
+    rng = random.Random(13)
+    rows = []
+    for _ in range(300):
+        x = [j for j in range(4) if rng.random() < 0.5]
+        s = 2.0 * (0 in x) - 1.5 * (1 in x) + rng.gauss(0, 1)
+        rows.append((int(s > 0.3) + int(s > 1.5), np.array([10 + j for j in x], np.int64)))
+    model = toxicity.fit(rows, rounds=600, penalty=0.0)
+    y, x = np.array([g for g, _ in rows]), np.array([[10 + j in f for j in range(4)] for _, f in rows], float)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def loss(w, cut):
+        p = np.column_stack([np.ones(len(y)), sigmoid((x @ w)[:, None] - cut), np.zeros(len(y))])
+        return -np.log(p[np.arange(len(y)), y] - p[np.arange(len(y)), y + 1]).mean()
+
+    at = np.concatenate([np.zeros(4), [0.0, 1.0]])
+    for _ in range(3000):
+        slope = np.array([(loss(*np.split(at + e, [4])) - loss(*np.split(at - e, [4]))) / 2e-4 for e in np.eye(6) * 1e-4])
+        at -= 0.5 * slope
+    found = np.array([model.weights.get(10 + j, 0.0) for j in range(4)])
+    assert loss(found, model.thresholds) == pytest.approx(loss(*np.split(at, [4])), abs=2e-3)
+
+
 # 3 -------------------------------------------------------------------------------------------------------------
 
 
@@ -306,6 +351,21 @@ def test_compression_bands():
     assert quality.measure(noise, z)[7] > quality.measure(plain, z)[7]
 
 
+def test_quality_looks_at_every_byte():
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=quality.LEVEL)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
+    head = " ".join(word() for _ in range(1200)).encode()[: quality.CHUNK_BYTES]
+    tail = (b"the same few words over and over " * 200)[: quality.CHUNK_BYTES - 1]
+    *_, chunks, odd = quality.measure(head + tail, z)
+    assert (chunks, odd) == (2, 1)
+    for text in (head + b"x" * 5000, head, head[:-1], b"", head + head[:1]):
+        n = len(text)
+        assert quality.measure(text, z)[8] == (-(-n // quality.CHUNK_BYTES) if n >= quality.CHUNK_BYTES else 0)
+
+
 # 7 -------------------------------------------------------------------------------------------------------------
 
 
@@ -377,6 +437,18 @@ def test_jaccard_repeated_ids(spark):
     assert got == Counter([(1, 56, 1), (1, 56, 1), (5, 56, 1), (7, 57, 1), (8, 57, 1), (9, 56, 1), (None, 56, 1), (None, 1, None), (1, 56, 1)])
 
 
+def test_jaccard_signatures():
+    rng = np.random.default_rng(14)
+    for percent in (50, 80, 90):
+        for n in (1, 7, 100, 3000):
+            base = rng.integers(0, 1 << 62, n + 2000, dtype=np.uint64)
+            a, b = (np.unique(base[rng.integers(0, n + k, n)]) for k in (1, 1 + n // 8))
+            exact = len(np.setxor1d(a, b))
+            got = jaccard._differing(jaccard._signature(a, percent), jaccard._signature(b, percent))
+            assert got <= exact and (exact - got) % 2 == 0
+            assert jaccard._differing(jaccard._signature(a, percent), jaccard._signature(a, percent)) == 0
+
+
 def test_jaccard_names(spark):
     sets = spark.createDataFrame([(1, 5, 5), (1, 5, 5), (1, 5, 6), (1, 6, 6), (0, None, None)], "n long, s1 long, s2 long")
     named = {(r.s1, r.s2): r.node for r in jaccard.name_nodes(sets).collect()}
@@ -467,6 +539,12 @@ def test_nearest(spark):
         assert len(got[q]) == 20 and all(s == pytest.approx(exact[q, v]) for v, s in got[q])
         assert got[q] == sorted(got[q], key=lambda t: (-t[1], t[0]))
     assert hit >= 0.9 * 30 * 20 and set(got) == set(range(0, 600, 20))
+    # vectors of other lengths have their own nearest
+    short = spark.createDataFrame([(2000 + k, [float(k), 1.0, -1.0, 0.5]) for k in range(41)] + [(2020, [float("nan")] * 4)], "vec_id long, embedding array<float>")
+    both = table.unionByName(short)
+    made = ann.nearest(both, both.where("vec_id % 20 = 0")).collect()
+    assert Counter(r.query_id >= 2000 for r in made) == {False: 30 * 20 + 19 * 0 + 0, True: 3 * 20}
+    assert [(r.vec_id, r.score) for r in sorted(made, key=lambda r: r["rank"]) if r.query_id == 2000][:2] == [(2001, 2.25), (2002, 2.25)]
     few = table.where("vec_id < 10")
     assert ann.nearest(few, few.where("vec_id = 0")).count() == 9
     assert ann.nearest(table.limit(0), table.limit(0)).count() == 0
@@ -508,6 +586,26 @@ def test_candidates_need_nothing_beyond_their_pattern(spark):
         assert [(c.kind, c.start, c.end) for c in r.cand] == [(r.kind, 4 if r.t.startswith("the ") else 0, len(r.t))]
 
 
+def test_hostile_texts_and_few_candidates(spark):
+    n = 1_000_000
+    hostile = ["joe at " + "aa." * (n // 3) + "bb", "x" * n + "@", "@" + "a." * (n // 2), "1-" * (n // 2), "+1" + "(" * n, "+1 " * (n // 3), "1_" * (n // 2), "a1" * (n // 2), "token=" + "k" * n, "(212) " * (n // 6), "1." * (n // 2), "AB12 " + "CD34 " * (n // 5), "a at b dot " * (n // 11), "0-" * n]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(hostile)], "doc_id long, text string").repartition(8)
+    got = pii.personal_data(docs).collect()
+    assert len(got) == len(hostile)
+    for text in ("mail joe (at) example (dot) com", "password=hunter22x"):
+        few = spark.createDataFrame([(1, text), (1, text), (2, None), (None, "nothing")], "doc_id long, text string")
+        assert pii.personal_data(few.limit(1)).count() == 1 and pii.personal_data(few).count() == 4
+    # a token of any length is one candidate
+    made = pii._candidates(pii.base_spans(spark.createDataFrame([("key " + "k1" * 150,)], "t string"), "t"), "t").first()
+    assert [(c.start, c.end) for c in made.cand] == [(4, 304)]
+
+
+def test_classifier_comes_to_rest():
+    for rows in ([("email|a", 1.0, 1.0)], [("a|b|c", 0.0, 1.0), ("a|b|d", 1.0, 1e9)], [("x", 0.5, 3.0)] * 40):
+        weights = pii.train(rows)
+        assert all(abs(w) < 50 for w in weights.values())
+
+
 def test_labeler_reliabilities():
     rng = random.Random(10)
     counts, truth = Counter(), Counter()
