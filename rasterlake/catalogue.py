@@ -1,6 +1,8 @@
 """All queries over the driver tables and the SQL that gives the same rows."""
 
-from .plans.catalogue import QUERIES
-from .plans.oracle import ORACLE_SQL
+from .plans import catalogue, jobs, oracle
+
+QUERIES = catalogue.QUERIES | jobs.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | jobs.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

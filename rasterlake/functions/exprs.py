@@ -147,6 +147,15 @@ def plural(n: Column, word: str) -> Column:
     return F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
 
 
+def percent_label(share: Column) -> Column:
+    return F.concat(js_round(share * 100).cast("string"), F.lit("%"))
+
+
+def target_within(target: Column, size: Column) -> Column:
+    """A target is never above the file itself."""
+    return F.least(target, size)
+
+
 def savings_fraction(pct: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), pct / 100))
 

@@ -23,22 +23,6 @@ def fit(rows: DataFrame, measure: Callable[[Column], Column], lo: float, hi: flo
     return rows.withColumn("fits", best.isNotNull()).withColumn("value", F.coalesce(best, F.lit(lo)))
 
 
-def bisect(measure: Callable[[float], float], lo: float, hi: float, steps: int, target: float) -> tuple[bool, float, float]:
-    """For an expensive measure: `lo` first, then one midpoint a step. (fits, value, size)."""
-    size = measure(lo)
-    if size > target:
-        return False, lo, size
-    best = lo, size
-    for _ in range(steps):
-        mid = (lo + hi) / 2
-        size = measure(mid)
-        if size <= target:
-            lo, best = mid, (mid, size)
-        else:
-            hi = mid
-    return True, *best
-
-
 def shrink_steps(w: Column, h: Column) -> Column:
     """Sizes tried without a quality to tune: 0.82 of each side, rounded, again and again while both stay at 16
     or more. Rounding compounds, so the sizes are folded."""
@@ -59,8 +43,3 @@ def until_failure(rows: DataFrame, keys: list[str], ord_col: str, passed: str) -
     """Candidates tried in order up to the first that fails."""
     first = rows.where(~F.col(passed)).groupBy(*keys).agg(F.min(ord_col).alias("stop_"))
     return rows.join(first, keys, "left").where(F.col("stop_").isNull() | (F.col(ord_col) < F.col("stop_"))).drop("stop_")
-
-
-def size_estimate(baseline: Column, original: Column, encoded: Column) -> Column:
-    """Size of a rewritten file: the saved baseline with its images' bytes exchanged."""
-    return baseline - original + encoded

@@ -7,6 +7,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 #: Levels after which the reached set is written as one, so that plans stay short.
 LEVELS = 16
 
@@ -18,23 +20,20 @@ def reachable(edges: DataFrame, roots: DataFrame, max_depth: int | None = None)
     reached set is written to the checkpoint folder once per level, so lineage stays short and no level is
     computed twice. If `max_depth` is given and objects lie deeper, ValueError is raised.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    # laid out by source once, so that a level moves its frontier alone
+    edges = stored(edges.select("src", "dst").repartition("src"))
     seen = roots.select("key", F.lit(0).alias("depth")).distinct()
     frontier = seen
     for depth in count(1):
         step = edges.join(frontier, F.col("src") == F.col("key"), "left_semi").select(F.col("dst").alias("key")).distinct()
-        frontier = step.join(seen, "key", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        frontier = stored(step.join(seen, "key", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         if max_depth is not None and depth > max_depth:
             raise ValueError(f"objects lie deeper than {max_depth} levels")
         seen = seen.unionByName(frontier)
         if depth % LEVELS == 0:
-            seen = seen.checkpoint()
+            seen = stored(seen)
     return seen
 
 
@@ -85,7 +84,10 @@ def candidate_images(objects: DataFrame) -> DataFrame:
 
 
 def strip_metadata(objects: DataFrame) -> DataFrame:
-    """Empties the information dictionary, drops the catalog's Metadata and pages' Thumb."""
+    """Empties the information dictionary that the trailer names, drops the catalog's Metadata and pages' Thumb, with
+    the references they held."""
+    info = objects.where("kind = 'trailer'").select(F.col("path").alias("of"), F.explode("refs").alias("r")).where("r.entry = 'Info'").select("of", F.col("r.dst").alias("info"))
+    rows = objects.join(info, F.col("path") == F.col("of"), "left").drop("of")
     d = F.col("dict")
-    kept = F.when(F.col("role") == "info", F.map_filter(d, lambda k, v: F.lit(False))).when(d["Type"] == "/Catalog", F.map_filter(d, lambda k, v: k != "Metadata")).when(d["Type"] == "/Page", F.map_filter(d, lambda k, v: k != "Thumb")).otherwise(d)
-    return objects.withColumn("dict", kept)
+    kept = lambda k: F.when(F.coalesce(F.col("key") == F.col("info"), F.lit(False)), F.lit(False)).when(F.coalesce(d["Type"] == "/Catalog", F.lit(False)), k != "Metadata").when(F.coalesce(d["Type"] == "/Page", F.lit(False)), k != "Thumb").otherwise(F.lit(True))
+    return rows.withColumns({"dict": F.map_filter(d, lambda k, v: kept(k)), "refs": F.filter("refs", lambda r: kept(r["entry"]))}).drop("info")

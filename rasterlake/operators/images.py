@@ -1,11 +1,13 @@
 """Compression, conversion and analysis of image files: one row in, one row out, no shuffle.
 
 Rows are large, so a task works on one at a time. Errors of a file become its status. Encoders that this engine
-lacks (JPEG, WebP, AVIF) give the status `unsupported`; nothing is written in another format instead.
+lacks (WebP, AVIF) give the status `unsupported`; nothing is written in another format instead. Classes and
+similarities are measured on rasters of bounded size.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,80 +30,165 @@ def _mapped(images: DataFrame, work, schema: str, names: list[str], kinds: list[
     return images.select("path", "content").mapInArrow(run, schema)
 
 
+def visual_quality(px, floor: float) -> tuple[bytes, float, float] | None:
+    """The JPEG of the lowest quality that keeps the similarity floor: (bytes, quality, similarity), None if none does.
+
+    Similarity grows with quality, so the first grid value that holds on a proxy of bounded size is found by
+    bisection. The proxy only says where to look: at full size the quality is raised until the floor is kept, or
+    lowered while it is, a few steps at most."""
+    from ..sources import jpeg
+    from ..sources import rasters as R
+
+    lo, hi = K.VISUAL_QUALITIES
+    h, w = px.shape[:2]
+    ratio = min(1.0, (K.PROXY_MAX_PIXELS / (w * h)) ** 0.5)
+    proxy = px if ratio == 1 else R.resized(px, max(K.MIN_DIMENSION, int(w * ratio + 0.5)), max(K.MIN_DIMENSION, int(h * ratio + 0.5)))
+    small, whole = R.Reference(proxy), R.Reference(px)
+    value = lambda k: lo + k * (hi - lo) / 2**K.VISUAL_STEPS
+
+    def full(quality: float) -> tuple[bytes, float, float]:
+        data, back = jpeg.encode(px, quality)
+        return data, quality, whole.score(back)
+
+    most = 2**K.VISUAL_STEPS
+    k = bisect.bisect_left(range(1, most), floor, key=lambda k: small.score(jpeg.encode(proxy, value(k))[1])) + 1
+    if k == most and small.score(jpeg.encode(proxy, hi)[1]) < floor:
+        best = full(hi)
+        return best if best[2] >= floor else None
+    tries = [min(hi, value(k) + j * K.VERIFY_STEP) for j in range(K.VERIFY_ATTEMPTS + 1)]
+    best = next((made for made in map(full, dict.fromkeys(tries)) if made[2] >= floor), None)
+    for _ in range(K.VERIFY_ATTEMPTS):
+        if best is None or best[1] <= lo:
+            break
+        lower = full(max(lo, best[1] - K.VERIFY_STEP))
+        if lower[2] < floor:
+            break
+        best = lower
+    return best
+
+
+def fitted_jpeg(px, most: int) -> tuple[bytes, int, int, float]:
+    """(bytes, width, height, quality) of a JPEG of at most so many bytes: the largest scale at a good quality, or
+    else the best quality at the least scale, or else the smallest of all that was tried."""
+    from ..sources import jpeg
+    from ..sources import rasters as R
+    from .documents import largest_fit
+
+    h, w = px.shape[:2]
+    tried: dict[tuple[float, float], tuple[bytes, int, int, float]] = {}
+
+    def size(scale: float, quality: float) -> int:
+        if (scale, quality) not in tried:
+            sides = [max(K.MIN_DIMENSION, int(x * scale + 0.5)) for x in (w, h)]
+            tried[scale, quality] = (jpeg.encode(R.resized(px, *sides), quality)[0], *sides, quality)
+        return len(tried[scale, quality][0])
+
+    least, steps = K.IMAGE_LEAST_SCALE, K.SCALE_STEPS
+    scale = largest_fit(lambda v: size(v, K.PRIMARY_QUALITY), least, 1.0, steps, most)
+    if scale is not None:
+        return tried[scale, K.PRIMARY_QUALITY]
+    quality = largest_fit(lambda v: size(least, v), K.READABLE_QUALITY, K.PRIMARY_QUALITY, steps, most)
+    if quality is None:
+        q = K.READABLE_QUALITY / 2
+        while size(least, q) > most and q > K.POOREST_QUALITY:
+            q = max(K.POOREST_QUALITY, q / 2)
+        return min(tried.values(), key=lambda t: len(t[0]))
+    return tried[least, quality]
+
+
 def compress_visual(data: bytes, min_ssim: float) -> tuple:
-    """The smallest of the palettes that keep the floor (tried from large to small until one fails) and of the
-    lossless form; the original if neither is smaller."""
+    """The smallest of a JPEG (opaque photos), of the palettes that keep the floor (tried from large to small until one
+    fails) and of the lossless form; the original if none is smaller."""
     from ..sources import rasters as R
 
     px = R.decode(data)
-    kind = R.classify(px)[0]
-    made = [("lossless-png", R.encode_png(px), 1.0)]
+    kind = R.classify(R.bounded(px, K.ANALYSE_EDGE))[0]
+    made = [("lossless-png", R.encode_png(px), 1.0, "PNG")]
     if kind != "photo":
-        tried = []
+        tried, whole = [], R.Reference(px)
         for size in K.PALETTE_SIZES:
             out, palette, index = R.quantize(px, size)
-            score = R.ssim(px, out)
+            score = whole.score(out)
             if score < min_ssim:
                 break
             opaque = px.shape[2] == 3
-            tried.append(("palette", R.encode_png(out, palette if opaque else None, index), score))
+            tried.append(("palette", R.encode_png(out, palette if opaque else None, index), score, "PNG"))
         made = tried + made
-    technique, best, score = min(made, key=lambda m: len(m[1]))  # the first of equals: a palette before lossless
-    return px, kind, technique, best, score
+    elif px.shape[2] == 3 and (best := visual_quality(px, min_ssim)):
+        made.insert(0, ("ssim-search", best[0], best[2], "JPG"))
+    technique, best, score, label = min(made, key=lambda m: len(m[1]))  # the first of equals: a palette before lossless
+    return px, kind, technique, best, score, label
 
 
-def compress_images(images: DataFrame, min_ssim: float | None = None, target_bytes: int | None = None) -> DataFrame:
-    """Reports and contents, for a similarity floor or a size target in bytes."""
+def compress_images(images: DataFrame, min_ssim: float | None = None, target_bytes: int | None = None, fmt: str | None = None) -> DataFrame:
+    """Reports and contents, for a similarity floor or a size target in bytes. With a target `fmt` names the format:
+    JPEG is fitted by scale and quality, PNG and BMP by scale; by default JPEG for opaque photos, PNG for others."""
     floor = K.SSIM_PRESETS["balanced"] if min_ssim is None else min_ssim
 
+    def to_target(px, kind: str, most: int) -> tuple[bytes, int, int, str]:
+        from ..sources import rasters as R
+
+        form = fmt or ("jpeg" if kind == "photo" and px.shape[2] == 3 else "png")
+        if form == "jpeg":
+            return *fitted_jpeg(R.on_white(px), most)[:3], form
+        tried = []
+        w, h = px.shape[1], px.shape[0]
+        for _ in range(K.SHRINK_ATTEMPTS):
+            out = R.resized(px, w, h)
+            tried.append((R.encode_bmp(out) if form == "bmp" else R.encode_png(out), w, h))
+            if len(tried[-1][0]) <= most:
+                break
+            w, h = int(w * K.SHRINK + 0.5), int(h * K.SHRINK + 0.5)
+            if min(w, h) < K.MIN_DIMENSION:
+                break
+        return *min(tried, key=lambda t: len(t[0])), form
+
     def work(path: str, data: bytes) -> tuple:
         from ..sources import rasters as R
 
         n = len(data)
+        if fmt and not K.ENCODERS.get(fmt):
+            return path, "unsupported", None, None, None, n, None, None, None, None, None, None, None
         try:
-            if target_bytes is not None and n <= target_bytes:
-                px = R.decode(data)
-                return path, "done", R.classify(px)[0], "untouched", "original", n, n, 0.0, None, px.shape[1], px.shape[0], True, data
+            score, hit = None, None
             if target_bytes is None:
-                px, kind, technique, best, score = compress_visual(data, floor)
+                px, kind, technique, best, score, label = compress_visual(data, floor)
                 h, w = px.shape[:2]
             else:
                 px = R.decode(data)
-                kind, technique, score = R.classify(px)[0], "lossy-resample", None
-                w, h = px.shape[1], px.shape[0]
-                best = None
-                for _ in range(K.SHRINK_ATTEMPTS):
-                    ys = ((2 * R.np.arange(h) + 1) * px.shape[0]) // (2 * h)
-                    xs = ((2 * R.np.arange(w) + 1) * px.shape[1]) // (2 * w)
-                    out = R.encode_png(px[ys][:, xs])
-                    if best is None or len(out) < len(best[0]):
-                        best = (out, w, h)
-                    if len(out) <= target_bytes:
-                        break
-                    w, h = int(w * K.SHRINK + 0.5), int(h * K.SHRINK + 0.5)
-                    if min(w, h) < K.MIN_DIMENSION:
-                        break
-                best, w, h = best
-            hit = None if target_bytes is None else len(best) <= target_bytes
-            if len(best) >= n:
+                kind = R.classify(R.bounded(px, K.ANALYSE_EDGE))[0]
+                if n <= target_bytes and (fmt is None or K.FORMATS[fmt][0] == media_type(data)):
+                    return path, "done", kind, "untouched", "original", n, n, 0.0, None, px.shape[1], px.shape[0], True, data
+                best, w, h, form = to_target(px, kind, min(target_bytes, n))
+                technique, label, hit = "lossy-resample", K.FORMATS[form][2], len(best) <= target_bytes
+            if len(best) >= n and fmt is None:
                 return path, "done", kind, "untouched", "original", n, n, 0.0, 1.0, px.shape[1], px.shape[0], None if hit is None else n <= target_bytes, data
-            return path, "done", kind, technique, "PNG", n, len(best), (n - len(best)) / n * 100, score, w, h, hit, best
+            return path, "done", kind, technique, label, n, len(best), (n - len(best)) / n * 100, score, w, h, hit, best
         except Exception as e:
             return path, f"error: {e}"[:200], None, None, None, n, None, None, None, None, None, None, None
 
     return _mapped(images, work, _RESULT, _NAMES, _ARROW)
 
 
+def media_type(data: bytes) -> str | None:
+    """By the first bytes of a file."""
+    marks = {b"\x89PNG": "png", b"\xff\xd8\xff": "jpeg", b"BM": "bmp"}
+    return next((K.FORMATS[f][0] for mark, f in marks.items() if data.startswith(mark)), None)
+
+
 def convert_images(images: DataFrame, fmt: str) -> DataFrame:
     """path, status, content in another format; opaque formats are put on white."""
 
     def work(path: str, data: bytes) -> tuple:
+        from ..sources import jpeg
         from ..sources import rasters as R
 
         if not K.ENCODERS.get(fmt):
             return path, "unsupported", None
         try:
             px = R.decode(data)
+            if fmt == "jpeg":
+                return path, "done", jpeg.encode(R.on_white(px), K.PRIMARY_QUALITY)[0]
             return path, "done", R.encode_bmp(px) if fmt == "bmp" else R.encode_png(px)
         except Exception as e:
             return path, f"error: {e}"[:200], None
@@ -119,7 +206,7 @@ def analyse_images(images: DataFrame) -> DataFrame:
 
         try:
             px = R.decode(data)
-            return path, "done", *R.classify(px), R.otsu(R.on_white(px)), len(g4.encode(R.bilevel(px)))
+            return path, "done", *R.classify(R.bounded(px, K.ANALYSE_EDGE)), R.otsu(R.on_white(px)), len(g4.encode(R.bilevel(px)))
         except Exception as e:
             return path, f"error: {e}"[:200], None, None, None, None, None, None
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import exprs as E
+from .stored import stored
 
 
 def pixels(tiles: DataFrame, id_col: str, values: str, *carry: str) -> DataFrame:
@@ -43,5 +44,17 @@ def content_class(px: DataFrame, by: str, order: list[str], stride: Column | Non
     return made.withColumn("image_class", E.image_class(F.col("unique_colors"), F.col("flatness"), F.col("extreme_ratio")))
 
 
+def numbered(rows: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """Adds each row's place (from 0) in its group, in two levels: rows are sorted by range, and numbered inside their
+    partition after the group's rows in partitions before it, so that no group is ever in one task."""
+    laid = stored(rows.repartitionByRange(by, *order).withColumn("at_", F.spark_partition_id()))
+    sums = laid.groupBy(by, "at_").agg(F.count(F.lit(1)).alias("n_"))
+    ahead = F.coalesce(F.sum("n_").over(Window.partitionBy(by).orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(F.col(by).alias("by_"), F.col("at_").alias("in_"), ahead.alias("ahead_"))
+    inside = F.row_number().over(Window.partitionBy(by, "at_").orderBy(*order)) - 1
+    made = laid.withColumn("row_", inside).join(starts, F.col(by).eqNullSafe(F.col("by_")) & (F.col("at_") == F.col("in_")))
+    return made.withColumn(name, F.col("ahead_") + F.col("row_")).drop("at_", "by_", "in_", "ahead_", "row_")
+
+
 def sample_stride(n: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(n / K.MAX_SAMPLES))

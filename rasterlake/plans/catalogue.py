@@ -4,12 +4,13 @@ streams, customers and orders as an object graph."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import exprs as E
 from ..operators import budget, docgraph, g4, keyed, palette, report, runs, similarity, stats
+from ..sources import files
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -261,7 +262,7 @@ def output_names(spark, sf_dir):
 
 def zip_last_wins(spark, sf_dir):
     named = _names(spark, sf_dir).select("page_id", F.regexp_replace(E.output_name(*map(F.col, ("name", "kind", "label", "chosen"))), "[0-9]+", "").alias("out_name"))
-    return named.groupBy("out_name").agg(F.max("page_id").alias("page_id"))
+    return files.last_of_name(named.withColumn("ord", F.col("page_id")), "out_name", "ord").select("out_name", "page_id")
 
 
 def mime_route(spark, sf_dir):
@@ -273,8 +274,7 @@ def mime_route(spark, sf_dir):
 
 def stride_sample(spark, sf_dir):
     by = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    p = F.row_number().over(Window.partitionBy("l_returnflag").orderBy(*by)) - 1
-    rows = _t(spark, sf_dir, "lineitem").select("l_returnflag", *by, p.alias("p"))
+    rows = stats.numbered(_t(spark, sf_dir, "lineitem").select("l_returnflag", *by), "l_returnflag", list(by), "p")
     return rows.where(F.col("p") % stats.sample_stride(F.lit(1_400_000)) == 0).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("sampled"), F.sum("l_orderkey").alias("keys"))
 
 

@@ -81,7 +81,7 @@ SELECT l.doc_id AS src, coalesce(now, l.doc_id) AS dst, quality FROM labels l LE
 a AS (SELECT vec_id, least(count(DISTINCT g), 4096) AS unique_colors, sum(same)::DOUBLE / count(*) AS flatness, sum(ext)::DOUBLE / count(*) AS extreme_ratio FROM s GROUP BY vec_id)
 SELECT *, CASE WHEN extreme_ratio >= 0.9 AND unique_colors < 4096 THEN 'bilevel' WHEN flatness >= 0.45 AND unique_colors <= 3072 THEN 'flat' ELSE 'photo' END AS image_class FROM a""",
     "ssim_pairs": f"WITH {_SSIM} SELECT vec_id, round(score, 9) AS ssim FROM sc",
-    "ssim_floor_filter": f"WITH {_SSIM} SELECT vec_id, score >= 0.965 AS passes FROM sc WHERE score >= 0",
+    "ssim_floor_filter": f"WITH {_SSIM} SELECT vec_id, score >= 0.965 AS passes FROM sc",
     "rgb_histogram": f"WITH {_RGB} SELECT * FROM hb",
     "median_split_once": f"WITH {_SPLIT} SELECT * FROM sp",
     "palette_means": f"WITH {_SPLIT} SELECT label, side, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b, count FROM pm",

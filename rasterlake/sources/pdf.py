@@ -1,43 +1,212 @@
-"""A small PDF reader and writer: enough to build documents from images, to take object graphs apart into tables,
-and to put them together again. Object streams and encryption are not read; such files are told as errors."""
+"""A PDF reader and writer: takes documents apart into a table of objects, and puts such a table together again.
+
+The reader goes through the file from one object to the next, so that bytes of a stream are never taken for
+structure; object streams are read, and of objects that are defined again the last counts. Encrypted files are told
+as errors. Values stay as they are written; only a dictionary's own entries are taken apart.
+"""
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from .. import constants as K
-from . import rasters
+from . import jpeg, rasters
 
-_OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
-_REF = re.compile(rb"(\d+)\s+(\d+)\s+R\b")
-_ENTRY = re.compile(rb"/([A-Za-z0-9]+)\s*(\[.*?\]|<<.*?>>|\(.*?\)|/[A-Za-z0-9.+-]+|\d+\s+\d+\s+R\b|[^/<>\[\]\s]+)", re.S)
+_OBJECT = re.compile(rb"(?<![0-9])(\d+)\s+(\d+)\s+obj\b")
+_REF = re.compile(rb"(?<![0-9])(\d+)\s+(\d+)\s+R\b")
+_TOKEN = re.compile(rb"[\s\0]+|%[^\r\n]*|<<|>>|\[|\]|\(|<[^<>]*>|/[^\s\0<>\[\](){}/%]*|\d+\s+\d+\s+R\b|[^\s\0<>\[\]()/%]+|.", re.S)
+_PAREN = re.compile(rb"\\.|[()]", re.S)
 
 
-def write_pdf(objects: dict[int, tuple[bytes, bytes | None]], root: int) -> bytes:
-    """Bytes of a document from number -> (dictionary body, stream or None)."""
-    out, places = bytearray(b"%PDF-1.5\n%\xe2\xe3\xcf\xd3\n"), {}
-    for n in sorted(objects):
-        body, stream = objects[n]
-        places[n] = len(out)
-        if stream is None:
-            out += b"%d 0 obj\n<< %s >>\nendobj\n" % (n, body)
-        else:
-            out += b"%d 0 obj\n<< %s /Length %d >>\nstream\n" % (n, body, len(stream)) + stream + b"\nendstream\nendobj\n"
-    start, top = len(out), max(objects) + 1
-    out += b"xref\n0 %d\n0000000000 65535 f \n" % top
-    for n in range(1, top):
-        out += b"%010d 00000 n \n" % places[n] if n in places else b"0000000000 65535 f \n"
-    return bytes(out + b"trailer\n<< /Size %d /Root %d 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (top, root, start))
+def tokens(data: bytes, at: int = 0) -> Iterator[tuple[int, int]]:
+    """(start, end) of each token but space and comments; a string is one token."""
+    while m := _TOKEN.match(data, at):
+        start, at = at, m.end()
+        first = data[start]
+        if first == 0x28:
+            depth = 1
+            while depth and (p := _PAREN.search(data, at)):
+                depth, at = depth + {b"(": 1, b")": -1}.get(p[0], 0), p.end()
+            if depth:
+                raise ValueError("a string without an end")
+        elif first == 0x25 or first <= 0x20:
+            continue
+        yield start, at
+
+
+def value_end(data: bytes, at: int) -> int:
+    """Where the value that begins at or after `at` ends."""
+    depth = 0
+    for start, end in tokens(data, at):
+        word = data[start:end]
+        depth += (word in (b"<<", b"[")) - (word in (b">>", b"]"))
+        if depth <= 0:
+            return end
+    raise ValueError("a value without an end")
+
+
+def entries(body: bytes) -> dict[str, str]:
+    """A dictionary's own entries, values as written; nothing if `body` is no dictionary."""
+    found: dict[str, str] = {}
+    body = body.strip()
+    if not body.startswith(b"<<"):
+        return found
+    at = 2
+    for start, end in tokens(body, at):
+        if start < at:
+            continue
+        if body[start : start + 1] != b"/":
+            break
+        at = value_end(body, end)
+        found[body[start + 1 : end].decode("latin-1")] = body[end:at].strip().decode("latin-1")
+    return found
+
+
+def inflated(entry: dict[str, str], data: bytes) -> bytes | None:
+    """A stream's bytes without its coding; None if that is none of those read here."""
+    names = re.findall(r"/(\w+)", entry.get("Filter", ""))
+    if names not in ([], ["FlateDecode"], ["Fl"]):
+        return None
+    if not names:
+        return data
+    try:
+        plain = zlib.decompressobj().decompress(data)
+    except zlib.error:
+        return None
+    parms = entries(entry.get("DecodeParms", "").strip("[] ").encode("latin-1"))
+    if int(parms.get("Predictor", "1")) < 10:
+        return plain if parms.get("Predictor", "1") == "1" else None
+    wide = int(parms.get("Columns", "1")) * int(parms.get("Colors", "1")) * int(parms.get("BitsPerComponent", "8"))
+    step = max(1, int(parms.get("Colors", "1")) * int(parms.get("BitsPerComponent", "8")) // 8)
+    return rasters.unfiltered(plain, -(-wide // 8), step).tobytes()
+
+
+def read(data: bytes) -> tuple[dict[str, tuple[bytes, bytes | None]], dict[str, str]]:
+    """({key: (value, stream or None)}, trailer) of a file, a key being number_generation."""
+    if b"%PDF" not in data[:1024]:
+        raise ValueError("no PDF")
+    found: dict[str, tuple[bytes, bytes | None]] = {}
+    trailer: dict[str, str] = {}
+    at = 0
+    while m := _OBJECT.search(data, at):
+        try:
+            end = value_end(data, m.end())
+        except ValueError:
+            at = m.end()
+            continue
+        key, body, at = f"{int(m[1])}_{int(m[2])}", data[m.end() : end].strip(), end
+        found.pop(key, None)
+        found[key] = (body, None)
+        mark = re.compile(rb"\s*stream(\r\n|\n|\r)").match(data, end)
+        if not mark:
+            continue
+        size, start = entries(body).get("Length", ""), mark.end()
+        ref = _REF.fullmatch(size.encode())
+        if size.isdigit() and data[start + int(size) :][:20].lstrip().startswith(b"endstream"):
+            at = start + int(size)
+            found[key] = (body, data[start:at])
+            continue
+        if ref and (there := re.compile(rb"(?<![0-9])%d\s+%d\s+obj\s+(\d+)" % (int(ref[1]), int(ref[2]))).search(data)):
+            at = start + int(there[1])
+            if data[at:][:20].lstrip().startswith(b"endstream"):
+                found[key] = (body, data[start:at])
+                continue
+        at = data.find(b"endstream", start)
+        at = len(data) if at < 0 else at
+        found[key] = (body, data[start:at].removesuffix(b"\n").removesuffix(b"\r"))
+    for m in re.finditer(rb"trailer\s*(?=<<)", data):
+        more = entries(data[m.end() : value_end(data, m.end())])
+        trailer |= more if "Root" in more else {}
+    whole: dict[str, tuple[bytes, bytes | None]] = {}
+    for key, (body, stream) in found.items():
+        kind = entries(body) if stream is not None else {}
+        made = {key: (body, stream)}
+        if kind.get("Type") == "/XRef":
+            trailer |= {k: v for k, v in kind.items() if k in ("Root", "Info", "ID", "Encrypt")}
+            continue
+        if kind.get("Type") == "/ObjStm":
+            plain = inflated(kind, stream)
+            if plain is None:
+                raise ValueError("an object stream of another coding")
+            first = int(kind["First"])
+            numbers = [int(x) for x in plain[:first].split()[: 2 * int(kind["N"])]]
+            starts = {f"{n}_0": first + at for n, at in zip(numbers[::2], numbers[1::2], strict=True)}
+            made = {k: (plain[at : value_end(plain, at)].strip(), None) for k, at in starts.items()}
+        for k, v in made.items():
+            whole.pop(k, None)
+            whole[k] = v
+    if "Encrypt" in trailer:
+        raise ValueError("an encrypted PDF")
+    if key_of(trailer.get("Root", "")) not in whole:
+        raise ValueError("a PDF without a root")
+    return whole, trailer
+
+
+def key_of(ref: str) -> str | None:
+    m = _REF.fullmatch(ref.strip().encode("latin-1"))
+    return f"{int(m[1])}_{int(m[2])}" if m else None
+
+
+def references(text: bytes) -> list[str]:
+    return [f"{int(n)}_{int(g)}" for n, g in _REF.findall(text)]
+
+
+def write(found: dict[str, tuple[bytes, bytes | None]], trailer: dict[str, str]) -> bytes:
+    """A file of what the trailer's root and information reach; objects without a stream are packed together."""
+    reached, stack = set(), [k for k in (key_of(trailer.get(x, "")) for x in ("Root", "Info")) if k in found]
+    while stack:
+        if (key := stack.pop()) in reached:
+            continue
+        reached.add(key)
+        stack += [k for k in references(found[key][0]) if k in found and k not in reached]
+    out = bytearray(b"%PDF-1.5\n%\xe2\xe3\xcf\xd3\n")
+    rows: dict[int, tuple[int, int, int]] = {}
+    packed: list[tuple[int, bytes]] = []
+    for key in sorted(reached, key=lambda k: tuple(map(int, k.split("_")))):
+        number, generation = map(int, key.split("_"))
+        body, stream = found[key]
+        if stream is None and not generation:
+            packed.append((number, body))
+            continue
+        rows[number] = (1, len(out), generation)
+        if stream is not None:
+            kept = {k: v for k, v in entries(body).items() if k != "Length"} | {"Length": str(len(stream))}
+            body = _dictionary(kept) + b"\nstream\n" + stream + b"\nendstream"
+        out += b"%d %d obj\n" % (number, generation) + body + b"\nendobj\n"
+    top = max((int(k.split("_")[0]) for k in found), default=0) + 1
+    if packed:
+        head, body = [], bytearray()
+        for j, (number, text) in enumerate(packed):
+            head.append(b"%d %d" % (number, len(body)))
+            body += text + b"\n"
+            rows[number] = (2, top, j)
+        first = b" ".join(head) + b"\n"
+        rows[top] = (1, len(out), 0)
+        data = zlib.compress(first + bytes(body), 9)
+        out += b"%d 0 obj\n<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >>\nstream\n" % (top, len(packed), len(first), len(data)) + data + b"\nendstream\nendobj\n"
+        top += 1
+    rows[top] = (1, len(out), 0)
+    table = b"".join(struct.pack(">BIH", *rows.get(n, (0, 0, 65535 if not n else 0))) for n in range(top + 1))
+    data, start = zlib.compress(table, 9), len(out)
+    kept = {k: v for k, v in trailer.items() if k in ("Root", "Info", "ID")}
+    head = {"Type": "/XRef", "Size": str(top + 1), "W": "[1 4 2]", "Filter": "/FlateDecode", "Length": str(len(data))} | kept
+    return bytes(out + b"%d 0 obj\n" % top + _dictionary(head) + b"\nstream\n" + data + b"\nendstream\nendobj\nstartxref\n%d\n%%%%EOF\n" % start)
+
+
+def _dictionary(entry: dict[str, str]) -> bytes:
+    return ("<< " + " ".join(f"/{k} {v}" for k, v in entry.items()) + " >>").encode("latin-1")
 
 
 def image_pages(pictures: list[bytes]) -> bytes:
     """One page for each image, as large as the image in points with a long edge of 1600 at most."""
-    objects: dict[int, tuple[bytes, bytes | None]] = {1: (b"/Type /Catalog /Pages 2 0 R", None)}
+    found: dict[str, tuple[bytes, bytes | None]] = {"1_0": (b"<< /Type /Catalog /Pages 2 0 R >>", None)}
     kids = []
     for k, data in enumerate(pictures):
         px = rasters.on_white(rasters.decode(data))
@@ -46,34 +215,37 @@ def image_pages(pictures: list[bytes]) -> bytes:
         pw, ph = int(w * scale + 0.5), int(h * scale + 0.5)
         page, image, content = 3 + 3 * k, 4 + 3 * k, 5 + 3 * k
         kids.append(b"%d 0 R" % page)
-        objects[page] = (b"/Type /Page /Parent 2 0 R /MediaBox [0 0 %d %d] /Resources << /XObject << /Im0 %d 0 R >> >> /Contents %d 0 R" % (pw, ph, image, content), None)
-        objects[image] = (b"/Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /FlateDecode" % (w, h), zlib.compress(px.tobytes(), 9))
-        objects[content] = (b"", b"q %d 0 0 %d 0 0 cm /Im0 Do Q" % (pw, ph))
-    objects[2] = (b"/Type /Pages /Kids [%s] /Count %d" % (b" ".join(kids), len(kids)), None)
-    return write_pdf(objects, 1)
-
-
-def bilevel_image(width: int, height: int, code: bytes) -> tuple[bytes, bytes]:
-    """Dictionary and stream of a Group 4 coded image."""
-    return (b"/Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace /DeviceGray /BitsPerComponent 1 /Filter /CCITTFaxDecode /DecodeParms << /K -1 /Columns %d /Rows %d /BlackIs1 false >>" % (width, height, width, height), code)
-
-
-def parse(data: bytes) -> Iterator[tuple[str, str, dict[str, str], bytes | None, list[tuple[str, str]]]]:
-    """(key, kind, dictionary, stream, references as (key, entry)) of every indirect object."""
-    if not data.startswith(b"%PDF") or b"/Encrypt" in data or b"/ObjStm" in data:
-        raise ValueError("not a plain PDF")
-    for m in _OBJECT.finditer(data):
-        body, _, rest = m[3].partition(b"stream")
-        entries = {a.decode(): b.strip().decode("latin-1") for a, b in _ENTRY.findall(body.strip().removeprefix(b"<<"))}
-        stream = None
-        if rest:
-            raw = rest.lstrip(b"\r").removeprefix(b"\n")
-            size = entries.get("Length", "")
-            stream = raw[: int(size)] if size.isdigit() else raw.rpartition(b"endstream")[0].rstrip(b"\r\n")
-        refs = [(f"{int(n)}_{int(g)}", k) for k, v in entries.items() for n, g in _REF.findall(v.encode("latin-1"))]
-        known = {r for r, _ in refs}
-        refs += [(f"{int(n)}_{int(g)}", "") for n, g in _REF.findall(body) if f"{int(n)}_{int(g)}" not in known]
-        yield f"{int(m[1])}_{int(m[2])}", "stream" if stream is not None else "dict", entries, stream, refs
+        found[f"{page}_0"] = (b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %d %d] /Resources << /XObject << /Im0 %d 0 R >> >> /Contents %d 0 R >>" % (pw, ph, image, content), None)
+        found[f"{image}_0"] = (b"<< /Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /FlateDecode >>" % (w, h), zlib.compress(px.tobytes(), 9))
+        found[f"{content}_0"] = (b"<< >>", b"q %d 0 0 %d 0 0 cm /Im0 Do Q" % (pw, ph))
+    found["2_0"] = (b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(kids), len(kids)), None)
+    return write(found, {"Root": "1 0 R"})
+
+
+def jpeg_image(width: int, height: int) -> dict[str, str]:
+    """The dictionary of an image whose stream is a JPEG."""
+    return {"Type": "/XObject", "Subtype": "/Image", "Width": str(width), "Height": str(height), "ColorSpace": "/DeviceRGB", "BitsPerComponent": "8", "Filter": "/DCTDecode"}
+
+
+def bilevel_image(width: int, height: int) -> dict[str, str]:
+    """The dictionary of an image whose stream is Group 4 coded, black being 0."""
+    parms = f"<< /K -1 /Columns {width} /Rows {height} /BlackIs1 false /EncodedByteAlign false >>"
+    return {"Type": "/XObject", "Subtype": "/Image", "Width": str(width), "Height": str(height), "ColorSpace": "/DeviceGray", "BitsPerComponent": "1", "Filter": "/CCITTFaxDecode", "DecodeParms": parms}
+
+
+def raster(entry: dict[str, str], data: bytes) -> np.ndarray | None:
+    """An image stream's pixels: JPEG, or 8 bit gray or RGB, plain or deflated; None for anything else."""
+    try:
+        if re.findall(r"/(\w+)", entry.get("Filter", "")) == ["DCTDecode"]:
+            return jpeg.decode(data)
+        plain, space = inflated(entry, data), entry.get("ColorSpace", "").strip("/")
+        w, h, n = int(entry["Width"]), int(entry["Height"]), {"DeviceRGB": 3, "DeviceGray": 1}.get(space)
+        if plain is None or n is None or entry.get("BitsPerComponent") != "8" or "Decode" in entry:
+            return None
+        px = np.frombuffer(plain, np.uint8, w * h * n).reshape(h, w, n)
+        return px if n == 3 else np.repeat(px, 3, axis=2)
+    except (ValueError, KeyError, IndexError):
+        return None
 
 
 _OPS = {b"q": "save", b"Q": "restore", b"cm": "transform", b"Do": "paint"}
@@ -82,20 +254,44 @@ _OPS = {b"q": "save", b"Q": "restore", b"cm": "transform", b"Do": "paint"}
 def operators(content: bytes) -> list[tuple[str, list[float] | None, str | None]]:
     """Graphics-state operators of a content stream, in order."""
     found, stack = [], []
-    for word in content.split():
+    for start, end in tokens(content):
+        word = content[start:end]
         if word in _OPS:
             if word == b"cm" and len(stack) >= 6:
                 found.append(("transform", [float(x) for x in stack[-6:]], None))
             elif word == b"Do" and stack:
-                found.append(("paint", None, stack[-1].decode().lstrip("/")))
+                found.append(("paint", None, stack[-1].decode("latin-1").removeprefix("/")))
             elif word in (b"q", b"Q"):
                 found.append((_OPS[word], None, None))
             stack = []
+        elif re.fullmatch(rb"[A-Za-z'\"*]+[0-9]?\*?", word):
+            stack = []
         else:
             stack.append(word)
     return found
 
 
+def _pages(found: dict[str, tuple[bytes, bytes | None]]) -> Iterator[tuple[str, list]]:
+    """(key, operators) of every page; what is painted is told by its key."""
+    look = lambda v: found.get(key_of(v) or "", (v.encode("latin-1"), None))
+    for key, (body, _) in found.items():
+        page = entries(body)
+        if page.get("Type") != "/Page":
+            continue
+        above, seen = page, {key}
+        while "Resources" not in above and (up := key_of(above.get("Parent", ""))) and up in found and up not in seen:
+            seen.add(up)
+            above = entries(found[up][0])
+        names = entries(look(entries(look(above.get("Resources", ""))[0]).get("XObject", ""))[0])
+        content = page.get("Contents", "")
+        parts = references(content.encode("latin-1"))
+        if len(parts) == 1 and found.get(parts[0], (b"", b""))[1] is None:
+            parts = references(found.get(parts[0], (b"", None))[0])
+        plain = [inflated(entries(found[p][0]), found[p][1]) for p in parts if p in found and found[p][1] is not None]
+        ops = operators(b"\n".join(x for x in plain if x is not None))
+        yield key, [(op, m, key_of(names.get(name, "")) if name else None) for op, m, name in ops]
+
+
 def images_to_pdf(images: DataFrame, job: str, order: str, content: str) -> DataFrame:
     """(job, pdf): the images of each job in order; a job is what one user put together."""
     kind = images.schema[job].dataType.simpleString()
@@ -107,19 +303,50 @@ def images_to_pdf(images: DataFrame, job: str, order: str, content: str) -> Data
     return images.groupBy(job).applyInPandas(build, f"`{job}` {kind}, pdf binary")
 
 
+OBJECTS = "path string, key string, ord int, kind string, dict map<string,string>, body string, content binary, refs array<struct<dst:string,entry:string>>, error string"
+
+
 def objects(files: DataFrame) -> DataFrame:
-    """One row for each indirect object of each file (path, content): key, kind, dict, content, refs; a file that
-    can't be read is one row with its error."""
-    schema = "path string, key string, kind string, dict map<string,string>, content binary, refs array<struct<dst:string,entry:string>>, error string"
+    """One row for each indirect object of each file (path, content): key, place, kind (dict, stream, other), its own
+    entries or, of other values, the value, stream, references; a row `trailer` for each file. A file that can't be
+    read is one row with its error."""
+
+    def one(path: str, data: bytes) -> Iterator[tuple]:
+        found, trailer = read(data)
+        yield path, "trailer", -1, "trailer", trailer, None, None, [{"dst": k, "entry": e} for e in ("Root", "Info") if (k := key_of(trailer.get(e, "")))], None
+        for n, (key, (body, stream)) in enumerate(found.items()):
+            own = entries(body)
+            kind = "stream" if stream is not None else "dict" if body.startswith(b"<<") else "other"
+            parts = own.items() if own else [("", body.decode("latin-1"))]
+            refs = [{"dst": r, "entry": k} for k, v in parts for r in references(v.encode("latin-1"))]
+            yield path, key, n, kind, own, None if kind != "other" else body.decode("latin-1"), stream, refs, None
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["path", "key", "kind", "dict", "content", "refs", "error"]
+        names = [f.split()[0] for f in OBJECTS.split(", ")]
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    rows = [(path, k, kind, d, s, [{"dst": a, "entry": b} for a, b in refs], None) for k, kind, d, s, refs in parse(bytes(data))]
-                except ValueError as e:
-                    rows = [(path, None, None, None, None, None, str(e))]
+                    rows = list(one(path, bytes(data)))
+                except (ValueError, KeyError, IndexError) as e:
+                    rows = [(path, None, None, None, None, None, None, None, str(e)[:200])]
                 yield pd.DataFrame(rows, columns=names)
 
+    return files.select("path", "content").mapInPandas(take, OBJECTS)
+
+
+def page_operators(files: DataFrame) -> DataFrame:
+    """(path, page, ops): the graphics-state operators of every page in order, as operators/docgraph.py replays them."""
+    schema = "path string, page string, ops array<struct<op:string,m:struct<a:double,b:double,c:double,d:double,e:double,f:double>,obj:string>>"
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    for page, ops in _pages(read(bytes(data))[0]):
+                        rows.append((path, page, [{"op": op, "m": dict(zip("abcdef", m, strict=True)) if m else None, "obj": obj} for op, m, obj in ops]))
+                except (ValueError, KeyError, IndexError):
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "page", "ops"])
+
     return files.select("path", "content").mapInPandas(take, schema)

@@ -68,6 +68,35 @@ def encode_png(px: np.ndarray, palette: np.ndarray | None = None, index: np.ndar
     return _SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + extra + _chunk(b"IDAT", body) + _chunk(b"IEND", b"")
 
 
+def unfiltered(data: bytes, wide: int, step: int) -> np.ndarray:
+    """Rows of `wide` bytes, each coded by the filter that its first byte names; `step` bytes make a pixel."""
+    raw = np.frombuffer(data, np.uint8)
+    h = len(raw) // (1 + wide)
+    raw = raw[: h * (1 + wide)].reshape(h, 1 + wide)
+    out = np.zeros((h + 1, wide), np.uint8)
+    for y in range(h):
+        mode, line, up = raw[y, 0], raw[y, 1:], out[y]
+        if mode in (0, 2):
+            out[y + 1] = line + (up if mode else 0)
+        elif mode == 1 and not wide % step:
+            out[y + 1] = np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)
+        else:
+            row = [0] * wide
+            above, given = up.tolist(), line.tolist()
+            for x in range(wide):
+                a, b, c = (row[x - step] if x >= step else 0), above[x], (above[x - step] if x >= step else 0)
+                if mode == 1:
+                    guess = a
+                elif mode == 3:
+                    guess = (a + b) // 2
+                else:
+                    p = a + b - c
+                    guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                row[x] = (given[x] + guess) & 255
+            out[y + 1] = row
+    return out[1:]
+
+
 def decode_png(data: bytes) -> np.ndarray:
     """8-bit, not interlaced: gray, truecolour, indexed, with or without alpha."""
     if data[:8] != _SIGNATURE:
@@ -86,26 +115,7 @@ def decode_png(data: bytes) -> np.ndarray:
     if depth != 8 or lace:
         raise ValueError("only 8-bit images that aren't interlaced are read")
     step = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * step)
-    out = np.zeros((h + 1, w * step), np.uint8)
-    for y in range(h):
-        mode, line, up = raw[y, 0], raw[y, 1:], out[y]
-        if mode in (0, 2):
-            out[y + 1] = line + (up if mode else 0)
-        elif mode == 1:
-            out[y + 1] = np.cumsum(line.reshape(w, step), axis=0, dtype=np.uint8).reshape(-1)
-        else:
-            row = out[y + 1].astype(int)
-            for x in range(w * step):
-                a, b, c = (row[x - step] if x >= step else 0), int(up[x]), (int(up[x - step]) if x >= step else 0)
-                if mode == 3:
-                    guess = (a + b) // 2
-                else:
-                    p = a + b - c
-                    guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                row[x] = (int(line[x]) + guess) & 255
-            out[y + 1] = row
-    px = out[1:].reshape(h, w, step)
+    px = unfiltered(zlib.decompress(body), w * step, step).reshape(h, w, step)
     if colour == 3:
         return palette[px[..., 0]]
     if colour in (0, 4):
@@ -115,9 +125,26 @@ def decode_png(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
+    if data[:2] == b"\xff\xd8":
+        from .jpeg import decode as decode_jpeg
+
+        return decode_jpeg(data)
     return decode_bmp(data) if data[:2] == b"BM" else decode_png(data)
 
 
+def resized(px: np.ndarray, w: int, h: int) -> np.ndarray:
+    """Each new pixel is the mean of those it covers, or the nearest one where the raster grows."""
+    out = px.astype(np.float64)
+    for axis, n in ((0, h), (1, w)):
+        size = out.shape[axis]
+        if n < size:
+            edge = np.arange(n + 1) * size // n
+            out = np.add.reduceat(out, edge[:-1], axis=axis) / np.diff(edge).reshape([-1 if k == axis else 1 for k in range(3)])
+        elif n > size:
+            out = np.take(out, (2 * np.arange(n) + 1) * size // (2 * n), axis=axis)
+    return np.round(out).astype(np.uint8)
+
+
 def classify(px: np.ndarray) -> tuple[str, int, float, float]:
     """(class, distinct colours, flatness, extreme ratio) over every so-manieth pixel in raster order."""
     flat = px[..., :3].reshape(-1, 3)[:: max(1, len(px) * px.shape[1] // K.MAX_SAMPLES)]
@@ -165,6 +192,23 @@ def ssim(a: np.ndarray, b: np.ndarray) -> float:
     return float((((2 * ma * mb + K.SSIM_C1) * (2 * cov + K.SSIM_C2)) / ((ma * ma + mb * mb + K.SSIM_C1) * (va + vb + K.SSIM_C2))).mean())
 
 
+def bounded(px: np.ndarray, edge: int) -> np.ndarray:
+    """The raster with a long edge of at most `edge`."""
+    h, w = px.shape[:2]
+    ratio = min(1.0, edge / max(h, w, 1))
+    return px if ratio == 1 else resized(px, max(1, int(w * ratio + 0.5)), max(1, int(h * ratio + 0.5)))
+
+
+class Reference:
+    """A raster made ready once for many comparisons, at a long edge of COMPARE_EDGE at most."""
+
+    def __init__(self, px: np.ndarray):
+        self.px = bounded(on_white(px), K.COMPARE_EDGE)
+
+    def score(self, other: np.ndarray) -> float:
+        return ssim(self.px, bounded(on_white(other), K.COMPARE_EDGE))
+
+
 def quantize(px: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(raster of palette colours, palette, index). Alpha stays; fully transparent pixels keep their colour."""
     s, mask = 8 - K.BITS, (1 << K.BITS) - 1
