@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, n_partitions, table
+from .common import Scratch, n_partitions, one_thread, table
 
 #: Standard deviations of the estimate's error that the bounds allow for.
 ERROR_BOUND = 2.5
@@ -119,6 +119,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     """query_id, rank (from 1), vec_id, score: the k rows of `vectors` with the largest inner product found for
     each row of `queries`, in double precision."""
     scratch = Scratch(vectors.sparkSession, "ann")
+    one_thread(vectors.sparkSession)
 
     def usable(df: DataFrame) -> DataFrame:
         v = F.col(vector_col).cast("array<double>")

@@ -74,12 +74,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _step(p: dict, x: np.ndarray, h: np.ndarray, hidden: int) -> tuple:
-    a, u = p["x"][x], h @ p["u"]
-    gates = _sigmoid(a[:, : 2 * hidden] + u[:, : 2 * hidden])
-    z, r = gates[:, :hidden], gates[:, hidden:]
-    n = np.tanh(a[:, 2 * hidden :] + r * u[:, 2 * hidden :])
-    return n + z * (h - n), z, r, n, u[:, 2 * hidden :]
+def _forward(p: dict, ids: np.ndarray, h: np.ndarray, hidden: int) -> tuple[np.ndarray, ...]:
+    """States before and after each step, and what the way back needs: (before, after, z, r, n, u's part of n), each
+    (steps, lanes, hidden). ids: (steps, lanes)."""
+    given = p["x"][ids]
+    before, after, z, r, n, un = (np.empty((*ids.shape, hidden), _F) for _ in range(6))
+    two = 2 * hidden
+    for t in range(len(ids)):
+        before[t] = h
+        a, u = given[t], h @ p["u"]
+        gates = _sigmoid(a[:, :two] + u[:, :two])
+        z[t], r[t], un[t] = gates[:, :hidden], gates[:, hidden:], u[:, two:]
+        np.tanh(a[:, two:] + r[t] * un[t], out=n[t])
+        h = after[t] = n[t] + z[t] * (h - n[t])
+    return before, after, z, r, n, un
 
 
 def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,12 +167,8 @@ def train(p: dict[str, np.ndarray], s: Shape, batches: Iterator[list[np.ndarray]
                 part = batch[j][start : start + wide + 1]
                 ids[j, : len(part)] = part
             known = np.arange(wide)[None, :] < (size[:live] - start)[:, None]
-            kept, hs = [], np.empty((wide, live, hidden), _F)
-            for t in range(wide):
-                before = h
-                h, *parts = _step(p, ids[:, t], h, hidden)
-                kept.append((before, *parts))
-                hs[t] = h
+            before, hs, z, r, n, un = _forward(p, ids[:, :wide].T, h, hidden)
+            h = hs[-1]
             if not count:
                 grads = {k: np.zeros_like(v) for k, v in p.items()}
             use = known.T
@@ -172,20 +176,19 @@ def train(p: dict[str, np.ndarray], s: Shape, batches: Iterator[list[np.ndarray]
             _, dh_out[use] = _output(p, s, hs[use], ids[:, 1:].T[use], grads)
             count += int(use.sum())
             tokens += int(use.sum())
+            by_z, by_n, by_r = (before - n) * z * (1 - z), (1 - z) * (1 - n * n), un * r * (1 - r)
             da_all = np.empty((wide, live, 3 * hidden), _F)
+            du = np.empty((wide, live, 3 * hidden), _F)
             back = np.zeros((live, hidden), _F)
             for t in range(wide - 1, -1, -1):
-                before, z, r, n, un = kept[t]
-                dh = dh_out[t] + back
-                da = da_all[t]
-                da[:, :hidden] = dh * (before - n) * z * (1 - z)
-                dn = dh * (1 - z) * (1 - n * n)
-                da[:, hidden : 2 * hidden] = dn * un * r * (1 - r)
-                da[:, 2 * hidden :] = dn
-                du = da.copy()
-                du[:, 2 * hidden :] *= r
-                grads["u"] += before.T @ du
-                back = dh * z + du @ p["u"].T
+                dh, da = dh_out[t] + back, da_all[t]
+                np.multiply(dh, by_z[t], out=da[:, :hidden])
+                dn = np.multiply(dh, by_n[t], out=da[:, 2 * hidden :])
+                np.multiply(dn, by_r[t], out=da[:, hidden : 2 * hidden])
+                du[t, :, : 2 * hidden] = da[:, : 2 * hidden]
+                np.multiply(dn, r[t], out=du[t, :, 2 * hidden :])
+                back = dh * z[t] + du[t] @ p["u"].T
+            grads["u"] += before.reshape(-1, hidden).T @ du.reshape(-1, 3 * hidden)
             flat = ids[:, :wide].T.ravel()
             order = np.argsort(flat, kind="stable")
             at = np.flatnonzero(np.diff(flat[order], prepend=-1))
@@ -221,10 +224,8 @@ def score(p: dict[str, np.ndarray], s: Shape, sequences: list[np.ndarray], windo
         for j in range(live):
             part = sequences[order[j]][start : start + wide + 1]
             ids[j, : len(part)] = part
-        hs = np.empty((live, wide, s.hidden), _F)
-        for t in range(wide):
-            h = _step(p, ids[:, t], h, s.hidden)[0]
-            hs[:, t] = h
+        after = _forward(p, ids[:, :wide].T, h, s.hidden)[1]
+        h, hs = after[-1], after.transpose(1, 0, 2)
         use = np.arange(wide)[None, :] < (size[:live] - start)[:, None]
         row = np.nonzero(use)[0]
         log, _ = _output(p, s, hs[use], ids[:, 1:][use], None)

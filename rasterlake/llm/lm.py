@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import Scratch, table
+from .common import Scratch, one_thread, table
 
 TOP, GROUPS = 1983, 64
 HIDDEN, CLASSES = 24, 32
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: int =
     shards = max(1, math.ceil(vocabulary.n / SHARD_TOKENS))
     sequences = scratch.put(docs.mapInArrow(_sequences(vocabulary), "key long, ids binary"), "sequences")
     for k in range(rounds):
-        part = sequences.where(F.pmod("key", F.lit(rounds)) == k).repartition(shards, F.pmod(F.shiftright("key", 8), F.lit(shards))).sortWithinPartitions("key")
+        part = sequences.where(F.pmod("key", F.lit(rounds)) == k).repartitionById(shards, F.pmod(F.shiftright("key", 8), F.lit(shards)).cast("int")).sortWithinPartitions("key")
         trained = scratch.put(part.mapInArrow(_trainer(s, weights), "p binary, n long"), f"weights-{k}")
         # a bounded number of sums reaches the driver, whatever the number of shards
         sums = trained.coalesce(min(shards, 16)).mapInArrow(_summed, "p binary, n long").collect()
@@ -253,6 +253,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, stored: bool = True) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score; logarithms to base 10."""
     scratch = Scratch(docs.sparkSession, "lm")
+    one_thread(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     if not stored:
         slim = scratch.put(slim, "docs")
