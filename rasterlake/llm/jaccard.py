@@ -18,9 +18,9 @@ d + 1 shingles form a bucket. First every bucket's nodes are compared with one c
 shingles of its own before the bucket's; components then tell what is together already. What is open after that
 is compared in full: nodes of different components, in small buckets pair by pair; nodes of large ones are dealt
 to chunks, and chunks that have a bucket in common are compared as products of incidence matrices, of which only
-links that join two components leave the task. No pair that could link is left out. Candidates are held to a bound
-first, from bitmaps of the parity of their shingles: cells that differ count shingles that only one of the two has.
-What is left is verified on the whole sets of 64-bit shingle hashes, with integer arithmetic.
+links that join two components leave the task. No pair that could link is left out. Pairs and chunks are held to a
+bound first, from bitmaps of the parity of their shingles: cells that differ count shingles that only one of the two
+has. What is left is verified on the whole sets of 64-bit shingle hashes, with integer arithmetic.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is linked with nothing; a
 text of fewer words than a shingle is one shingle; every row is returned. Rows that repeat an id are one
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, one_thread, table
 from .graph import components
 
 CELLS = 1 << 17
@@ -204,6 +204,24 @@ def _linked(pairs: DataFrame, full: DataFrame, scratch: Scratch, name: str, perc
     return joined(near, "set").mapInArrow(filtered(similar), "a long, b long")
 
 
+def _close(x: list[dict], y: list[dict], percent: int) -> list[tuple[int, dict]]:
+    """(side, node) of two chunks' nodes that by their signatures could be linked with one of the other's, of another
+    part."""
+    sides = [[(np.array([r["part"] for r in c]), np.array([r["n"] for r in c]), np.stack([np.frombuffer(r["sig"], np.uint64) for r in c]), c) for c in ([r for r in rows if len(r["sig"]) == w] for w in sorted({len(r["sig"]) for r in rows}))] for rows in (x, y)]
+    found: dict[tuple[int, int], dict] = {}
+    for part, n, sig, rows in sides[0]:
+        for part2, n2, sig2, rows2 in sides[1]:
+            wide = min(sig.shape[1], sig2.shape[1])
+            a, b = (np.bitwise_xor.reduce(v.reshape(len(v), -1, wide), axis=1) for v in (sig, sig2))
+            for k in range(len(rows)):
+                differing = np.bitwise_count(b ^ a[k]).sum(axis=1, dtype=np.int64)
+                near = (differing <= n[k] + n2 + 2 * (-percent * (n[k] + n2) // (100 + percent))) & (part2 != part[k])
+                if near.any():
+                    found[0, rows[k]["node"]] = rows[k]
+                    found |= {(1, rows2[m]["node"]): rows2[m] for m in np.flatnonzero(near)}
+    return [(side, row) for (side, _), row in found.items()]
+
+
 def _edges(a: tuple, b: tuple, percent: int) -> list[tuple[int, int]]:
     """Links between two chunks (nodes, parts, sets) that join parts not joined so far, at most one for each part."""
     sizes = [np.array([len(x) for x in c[2]]) for c in (a, b)]
@@ -246,20 +264,31 @@ def _in_chunks(members: DataFrame, full: DataFrame, scratch: Scratch, percent: i
     named = members.join(low, "tok").groupBy("node", "part", "n").agg(F.min("low").alias("label"))
     many = named.groupBy("label").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).alias("k"))
     dealt = scratch.put(named.join(many, "label").select("node", "part", F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("k"))).alias("i")), "dealt")
-    packed = scratch.put(dealt.join(full.select("node", "set"), "node").groupBy("i").agg(F.collect_list(F.struct("node", "part", "set")).alias("m")), "chunks")
+    packed = scratch.put(dealt.join(full.select("node", "n", "sig"), "node").groupBy("i").agg(F.collect_list(F.struct("node", "part", "n", "sig")).alias("m")), "chunks")
     at = members.select("tok", "node").join(dealt, "node").select("tok", "i").distinct()
     pairs = at.join(at.select("tok", F.col("i").alias("j")), "tok").where("i <= j").select("i", "j").distinct()
-    met = pairs.join(packed.withColumnRenamed("m", "x"), "i").join(packed.select(F.col("i").alias("j"), F.col("m").alias("y")), "j").select("x", "y")
+    met = pairs.join(packed.withColumnRenamed("m", "x"), "i").join(packed.select(F.col("i").alias("j"), F.col("m").alias("y")), "j").select("i", "j", "x", "y")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one in range(batch.num_rows):
-                x, y = (batch.column(c)[one].as_py() for c in (0, 1))
-                sides = [([r["node"] for r in c], [r["part"] for r in c], [np.frombuffer(r["set"], np.uint64) for r in c]) for c in (x, y)]
+                i, j, x, y = (batch.column(c)[one].as_py() for c in range(4))
+                found = _close(x, y, percent)
+                columns = [pa.array([i] * len(found)), pa.array([j] * len(found)), pa.array([f[0] for f in found], pa.int32()), *(pa.array([f[1][c] for f in found], pa.int64()) for c in ("node", "part"))]
+                yield pa.RecordBatch.from_arrays([c.cast(pa.int64()) if k < 2 else c for k, c in enumerate(columns)], names=["i", "j", "side", "node", "part"])
+
+    some = scratch.put(met.mapInArrow(bounded, "i long, j long, side int, node long, part long"), "close")
+    sides = some.join(full.select("node", "set"), "node").groupBy("i", "j").agg(F.collect_list(F.struct("side", "node", "part", "set")).alias("m")).select("m")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in batch.column(0):
+                rows = one.as_py()
+                sides = [([r["node"] for r in c], [r["part"] for r in c], [np.frombuffer(r["set"], np.uint64) for r in c]) for c in ([r for r in rows if r["side"] == k] for k in (0, 1))]
                 found = _edges(*sides, percent)
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    return sides.mapInArrow(run, "a long, b long")
 
 
 def name_nodes(sets: DataFrame) -> DataFrame:
@@ -277,6 +306,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     if not 50 <= percent <= 100:
         raise ValueError("similarities from 50 to 100 percent only")
     scratch = Scratch(docs.sparkSession, "jaccard")
+    one_thread(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = name_nodes(scratch.put(_sets(slim, k, percent, _word_cells(slim, "text")), "sets"))
     rows = scratch.put(sets.select("doc_id", "n", "node"), "rows")
