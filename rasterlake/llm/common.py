@@ -34,12 +34,22 @@ def scratch_dir(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables written to the shared folder, so that a lost executor costs only its own tasks.
 
-    put() writes and rereads a table; drop() removes one that later steps no longer read.
+    put() writes and rereads a table; drop() removes one that later steps no longer read. Results are lazy and read
+    what was put last, so that stays; Scratch.clear() removes what all operators of this driver left, once their
+    results are written.
     """
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        Scratch.made.append(self)
+
+    @classmethod
+    def clear(cls) -> None:
+        while cls.made:
+            cls.made.pop().drop()
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"

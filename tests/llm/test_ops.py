@@ -621,10 +621,22 @@ def test_labeler_reliabilities():
     assert right / 4000 > 0.9
 
 
+def test_scratch_is_cleared(spark):
+    from pathlib import Path
+
+    scratch = common.Scratch(spark, "cleared")
+    assert scratch.put(spark.range(3), "a").count() == 3
+    at = Path(scratch.root.removeprefix("file:"))
+    before, common.Scratch.made = common.Scratch.made, [scratch]
+    common.Scratch.clear()
+    common.Scratch.made = before
+    assert not at.exists()
+
+
 # all -----------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", ["op3_mixing", "op8_lines"])
+@pytest.mark.parametrize("name", ["op3_mixing", "op7_jaccard", "op8_lines"])
 def test_sql(spark, duck, name):
     from rasterlake.llm.queries import ORACLE_SQL, QUERIES
 
