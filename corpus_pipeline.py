@@ -8,9 +8,9 @@ stage's documents. All but the last return the columns of `documents`.
 2. line_dedup: lines that equal, or are one edit from, an earlier line go; so does a document that had lines
    and has none left. n_chars follows the text.
 3. near_duplicates: of each group of near duplicates (five words, 0.8) the row of the smallest doc_id stays, a
-   row without an id only where no row has one. Rows are told apart by a hash of id and text, so rows that share
-   an id but not the text are documents of their own. Of rows that repeat id and text one stays; rows without an
-   id and without words all stay.
+   row without an id only where no row has one. Rows are told apart by a hash of all their columns, so rows that
+   share an id but not the text are documents of their own, and which of them stays doesn't depend on the run. Of
+   equal rows one stays; rows without an id and without words all stay.
 4. mixing: a document appears as often as the mix takes it, the one at the cut of its source whole.
 5. tokens: ids and decoded text of every document, as digests.
 """
@@ -41,7 +41,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("__row"))
+    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)).alias("__row"))
     found = jaccard.near_duplicates(rows.select("__row", "text"), id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row")))
     kept = found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("__row"))
