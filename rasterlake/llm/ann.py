@@ -33,7 +33,7 @@ from .common import Scratch, n_partitions, one_thread, table
 ERROR_BOUND = 2.5
 SEED = 20240607
 #: Rows in a block. A record of a pair of blocks holds both, some MB at 64 dimensions.
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 512
+BLOCK_ROWS, BLOCK_QUERIES = 2048, 512
 
 
 @lru_cache(maxsize=16)
@@ -128,12 +128,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     asked = usable(queries).groupBy("id").agg(F.min("v").alias("v"))
     coded = scratch.put(usable(vectors).mapInArrow(packer(BLOCK_ROWS, _CODED), _CODED).withColumn("block", F.monotonically_increasing_id()), "rows")
-    packed = scratch.put(asked.mapInArrow(packer(BLOCK_QUERIES, _QUERIES), _QUERIES).withColumn("q_block", F.monotonically_increasing_id()), "queries")
-    # which blocks meet is told by their names alone; pairs of blocks are dealt evenly, one a task's turn
-    names = coded.select("block", "dim").join(packed.select("q_block", "q_dim"), F.col("dim") == F.col("q_dim")).select("block", "q_block")
-    met = names.join(coded, "block").join(packed, "q_block")
+    packed = scratch.put(asked.mapInArrow(packer(BLOCK_QUERIES, _QUERIES), _QUERIES), "queries")
+    # rows travel once, queries once for each block of rows; a fixed number of partitions keeps blocks apart, which
+    # by their bytes alone would be put together in a few tasks
     tasks = max(n_partitions(vectors.sparkSession), vectors.sparkSession.sparkContext.defaultParallelism)
-    met = met.repartition(tasks)
+    asked = packed.join(coded.select("block", F.col("dim").alias("of_dim")), F.col("q_dim") == F.col("of_dim")).select("block", "q_ids", "q_v")
+    met = coded.repartition(tasks, "block").join(asked.repartition(tasks, "block"), "block")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +146,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 for i, j, score in best(qid, q, vid, v, code, k, turn):
                     yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(vid[j]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    met = met.drop("block", "q_block", "q_dim").mapInArrow(meet, "query_id long, vec_id long, score double")
+    met = met.drop("block").mapInArrow(meet, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
