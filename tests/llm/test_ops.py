@@ -621,6 +621,23 @@ def test_labeler_reliabilities():
     assert right / 4000 > 0.9
 
 
+def test_repeated_and_missing_ids_keep_every_row(spark):
+    """Ids that repeat with equal, other and null texts, and no ids at all: each row has its own result."""
+    rows = [(1, "one two three"), (1, "one two three"), (1, "four five"), (1, None), (None, "six seven eight"), (None, None), (None, "six seven eight"), (2, ""), (3, "w " * 30000), (4, "x" * 200000)]
+    docs = spark.createDataFrame([(i, t, "s", "tok", 7, 8) for i, t in rows], "doc_id long, text string, source string, size string, taken long, target long")
+    made = mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r["size"]) for r in made) == Counter((i, len((t or "").split())) for i, t in rows)
+    assert sum(r.taken for r in made) == math.floor(made[0].target + 0.5) and all(r.taken <= 2 * r["size"] for r in made)
+    scored = lm.score_documents(docs, stored=False).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in scored) == Counter((i, len((t or "").split()) + 1) for i, t in rows)
+    coded = bpe.encode_documents(docs, common.tokenizer_path("word_bpe_49k.json"), output="ids").collect()
+    assert Counter((r.doc_id, r.decoded.replace("</w>", "").replace(" ", "")) for r in coded if r.doc_id not in (3, 4)) == Counter((i, (t or "").replace(" ", "")) for i, t in rows if i not in (3, 4))
+    measured = quality.quality(docs).collect()
+    assert Counter((r.doc_id, r.n_words) for r in measured) == Counter((i, len((t or "").split())) for i, t in rows)
+    found = pii.personal_data(docs).collect()
+    assert Counter(r.doc_id for r in found) == Counter(i for i, _ in rows)
+
+
 def test_scratch_is_cleared(spark):
     from pathlib import Path
 
