@@ -202,20 +202,8 @@ def test_mixing(docs, empty):
     for r in made:
         by[r.source].append(r)
         assert 0 <= r.taken <= 2 * r["size"]
-    order = sorted((s for s in by if s is not None)) + [None]
-    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
     total = {s: sum(r["size"] for r in by[s]) for s in by}
-    target, left, free = {}, 1.5 * sum(total.values()), set(by)
-    while True:  # deal out by weight, stop those above twice their size, deal the rest again
-        level = left / sum(weight[s] for s in free)
-        above = {s for s in free if level * weight[s] > 2 * total[s]}
-        if not above:
-            break
-        for s in above:
-            target[s] = 2.0 * total[s]
-            left -= target[s]
-        free -= above
-    target |= {s: level * weight[s] for s in free}
+    target = mix_targets(total)
     for s, rows in by.items():
         assert rows[0].target == pytest.approx(target[s]) and sum(r.taken for r in rows) == math.floor(target[s] + 0.5)
     assert sorted(map(tuple, mixing.mix(docs).collect()), key=str) == sorted(map(tuple, made), key=str)
@@ -464,6 +452,46 @@ def test_jaccard_edges(spark, empty):
 # 8 -------------------------------------------------------------------------------------------------------------
 
 
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+    a, b = sorted((a, b), key=len)
+    return len(b) - len(a) == 1 and any(b[:j] + b[j + 1 :] == a for j in range(len(b)))
+
+
+def deduped(rows):
+    """Texts without lines that an earlier line, by (id, number), equals or is one edit from; by comparing all."""
+    before, want = defaultdict(set), {}
+    for i, t in sorted(rows):
+        kept, gone = [], 0
+        for line in (t or "").split("\n"):
+            bare = line.strip(" \t\r")
+            near = len(bare) >= lines.MIN_CHARS and any(one_edit(bare, x) for n in (-1, 0, 1) for x in before[len(bare) + n])
+            gone += near
+            kept += [] if near else [line]
+            if len(bare) >= lines.MIN_CHARS:
+                before[len(bare)].add(bare)
+        want[i] = t if not gone else "\n".join(kept) if any(x.strip(" \t\r") for x in kept) else ""
+    return want
+
+
+def mix_targets(total):
+    """Targets of sources by dealing out 150 percent by weight, at most twice a source's size."""
+    order = sorted(s for s in total if s is not None) + [None] * (None in total)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, left, free = {}, 1.5 * sum(total.values()), set(total)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        above = {s for s in free if level * weight[s] > 2 * total[s]}
+        if not above:
+            return target | {s: level * weight[s] for s in free}
+        for s in above:
+            target[s] = 2.0 * total[s]
+            left -= target[s]
+        free -= above
+    return target
+
+
 def test_lines(spark, docs, empty):
     rng = random.Random(8)
     base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(20, 45))) for _ in range(15)]
@@ -479,24 +507,7 @@ def test_lines(spark, docs, empty):
         rows.append((1000 + d, "\n".join(made) if made or d % 2 else None))
     both = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
 
-    def one_edit(a, b):
-        if len(a) == len(b):
-            return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
-        a, b = sorted((a, b), key=len)
-        return len(b) - len(a) == 1 and any(b[:j] + b[j + 1 :] == a for j in range(len(b)))
-
-    before, want = [], {}
-    for i, t in sorted(texts(both)):
-        kept, gone = [], 0
-        for line in (t or "").split("\n"):
-            bare = line.strip(" \t\r")
-            if len(bare) >= lines.MIN_CHARS and any(one_edit(bare, x) for x in before):
-                gone += 1
-            else:
-                kept.append(line)
-            if len(bare) >= lines.MIN_CHARS:
-                before.append(bare)
-        want[i] = t if not gone else "\n".join(kept) if any(x.strip(" \t\r") for x in kept) else ""
+    want = deduped(texts(both))
     got = {r.doc_id: r.text for r in lines.dedup_lines(both).collect()}
     assert got == want
     whole = lines.dedup_lines(docs)
@@ -673,6 +684,38 @@ def test_pipeline_keeps_rows_without_an_id_of_their_own(spark):
     assert got == told(kept)
 
 
+def test_pipeline_against_brute_force(spark):
+    """The rows of run(), by comparing all lines and all sets, sorting and dealing out in one place."""
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    table = common.table(spark, DATA, "documents")
+    rows = {r.doc_id: r for r in table.collect()}
+    model, known = toxicity.train(table, common.table(spark, DATA, "labels")), toxicity.Features()
+    score = {i: sum(model.weights.get(f, 0.0) for f in toxicity.features((r.text or "").encode(), known)) for i, r in rows.items()}
+    now = {i: r.text for i, r in rows.items() if sum(1 / (1 + math.exp(c - score[i])) for c in model.thresholds) < toxicity.REJECT_AT}
+    assert 0 < len(now) < len(rows)
+    now = {i: t for i, t in deduped(now.items()).items() if t or not rows[i].text}
+    now = {i: now[i] for i, (_, root) in linked(list(now.items()), 5, 80).items() if root == i}
+    size, sources = {i: len(words(t)) for i, t in now.items()}, defaultdict(list)
+    for i in now:
+        sources[rows[i].source].append(i)
+    times = {}
+    for s, target in mix_targets({s: sum(size[i] for i in ids) for s, ids in sources.items()}).items():
+        total = sum(size[i] for i in sources[s])
+        passes, rest = divmod(math.floor(target + 0.5), total) if total else (0, 0)
+        for i in sorted(sources[s], key=lambda i: (hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest(), i)):
+            times[i] = (passes + (rest > 0)) if size[i] else 0
+            rest -= size[i]
+    real = Tokenizer.from_file(common.tokenizer_path("word_bpe_49k.json"))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = Counter()
+    for i, k in times.items():
+        ids = real.encode(now[i] or "", add_special_tokens=False).ids
+        want[i, len(ids), sha(" ".join(map(str, ids))), sha(real.decode(ids, skip_special_tokens=False))] += k
+    assert Counter(map(tuple, p.run(spark, DATA).collect())) == +want
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
