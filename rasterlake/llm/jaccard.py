@@ -42,8 +42,9 @@ from .common import Scratch, one_thread, table
 from .graph import components
 
 CELLS = 1 << 17
-#: Nodes of a bucket up to which open pairs are listed; shingles of a chunk in larger ones.
-SMALL, CHUNK_SHINGLES = 8, 1 << 16
+#: Nodes of a bucket up to which open pairs are listed; bytes of a chunk's bitmaps in larger ones. Whole sets are 10 to
+#: 40 times as large, and at most two chunks' are together in a task.
+SMALL, CHUNK_BYTES = 8, 1 << 19
 MAX_L = 4
 PRUNINGS = 2
 #: Cost of verifying a pair, for each 100 shingles, against that of a shared prefix shingle.
@@ -262,7 +263,7 @@ def _in_chunks(members: DataFrame, full: DataFrame, scratch: Scratch, percent: i
     by the least node two buckets away, so that nodes of many buckets in common lie together."""
     low = members.groupBy("tok").agg(F.min("node").alias("low"))
     named = members.join(low, "tok").groupBy("node", "part", "n").agg(F.min("low").alias("label"))
-    many = named.groupBy("label").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).alias("k"))
+    many = named.groupBy("label").agg(F.ceil(F.sum(F.greatest(F.lit(8), F.col("n") * (4 * (100 - percent)) / 100)) / CHUNK_BYTES).alias("k"))
     dealt = scratch.put(named.join(many, "label").select("node", "part", F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("k"))).alias("i")), "dealt")
     packed = scratch.put(dealt.join(full.select("node", "n", "sig"), "node").groupBy("i").agg(F.collect_list(F.struct("node", "part", "n", "sig")).alias("m")), "chunks")
     at = members.select("tok", "node").join(dealt, "node").select("tok", "i").distinct()
@@ -273,7 +274,8 @@ def _in_chunks(members: DataFrame, full: DataFrame, scratch: Scratch, percent: i
         for batch in batches:
             for one in range(batch.num_rows):
                 i, j, x, y = (batch.column(c)[one].as_py() for c in range(4))
-                found = _close(x, y, percent)
+                # a chunk that is compared with itself is one side
+                found = _close(x, y, percent) if i != j else [(0, r) for r in {r["node"]: r for _, r in _close(x, y, percent)}.values()]
                 columns = [pa.array([i] * len(found)), pa.array([j] * len(found)), pa.array([f[0] for f in found], pa.int32()), *(pa.array([f[1][c] for f in found], pa.int64()) for c in ("node", "part"))]
                 yield pa.RecordBatch.from_arrays([c.cast(pa.int64()) if k < 2 else c for k, c in enumerate(columns)], names=["i", "j", "side", "node", "part"])
 
@@ -285,7 +287,7 @@ def _in_chunks(members: DataFrame, full: DataFrame, scratch: Scratch, percent: i
             for one in batch.column(0):
                 rows = one.as_py()
                 sides = [([r["node"] for r in c], [r["part"] for r in c], [np.frombuffer(r["set"], np.uint64) for r in c]) for c in ([r for r in rows if r["side"] == k] for k in (0, 1))]
-                found = _edges(*sides, percent)
+                found = _edges(sides[0], sides[1] if sides[1][0] else sides[0], percent)
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return sides.mapInArrow(run, "a long, b long")

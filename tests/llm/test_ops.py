@@ -409,7 +409,7 @@ def test_jaccard_large_buckets(spark, monkeypatch):
                 x[at : at + rng.randint(0, 1)] = [f"n{rng.randrange(400)}"] * rng.randint(0, 1)
             rows.append((b * 1000 + j, " ".join(x)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(jaccard, "CHUNK_SHINGLES", 1 << 11)
+    monkeypatch.setattr(jaccard, "CHUNK_BYTES", 1 << 10)
     for k, percent, small in ((3, 90, 8), (5, 80, 0)):
         monkeypatch.setattr(jaccard, "SMALL", small)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, k, percent).collect()}
