@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: White space of the word rule `[^\x20\x09-\x0D]+`; also what bytes.split() cuts at.
 WS = b" \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Spark's setting for the shuffle files of a finished execution.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,11 +54,13 @@ class Scratch:
             cls.made.pop().drop()
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        # Spark deletes the shuffle files of a finished step once its plan is garbage; a driver with memory to
-        # spare might not look for long, and the disks of many steps add up
-        self.spark._jvm.System.gc()
+        path, before = f"{self.root}/{name}", self.spark.conf.get(FILE_CLEANUP, "false")
+        # the disks of many steps add up: Spark is to delete a step's shuffle files once its table is written
+        self.spark.conf.set(FILE_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(FILE_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
