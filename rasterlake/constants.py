@@ -1,4 +1,4 @@
-"""Thresholds of the engine, in one place."""
+"""Thresholds of the engine, in one place. All are fixed values: results depend on them."""
 
 # content classes
 UNIQUE_CAP, MAX_SAMPLES = 4096, 200_000
@@ -22,6 +22,7 @@ MIN_IMAGE_BYTES = 2048
 MIN_LONG_EDGE, DPI_PRESETS, PAGE_MAX_EDGE = 220, (150, 300), 1600
 ESTIMATE_MARGIN = 0.99
 VISUAL_QUALITY, TARGET_QUALITY, LEAST_QUALITY, LEAST_SCALE = 0.88, 0.82, 0.3, 0.05
+TARGET_SCALE_STEPS, TARGET_QUALITY_STEPS = 8, 6
 BASE_SCALE_PAGES, BASE_SCALE, BASE_SCALE_LONG = 15, 1.5, 1.0
 
 # fixed values: output formats and the names that go with them

@@ -5,6 +5,7 @@ The coder is a state machine along each row, so it is a row-wise Arrow task: no
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,7 +65,7 @@ def encode(bitmap: np.ndarray) -> bytes:
 
 
 def decode(data: bytes, width: int, height: int) -> np.ndarray:
-    """The bitmap of a coded stream, by reading codes; for checks."""
+    """The bitmap of a coded stream. Rows that the stream doesn't hold stay white."""
     bits = "".join(map(str, np.unpackbits(np.frombuffer(data, np.uint8))))
     codes = {c: ("v", d) for d, c in R.VERTICAL.items()} | {R.PASS: ("p", 0), R.HORIZONTAL: ("h", 0)}
     tables = []
@@ -91,11 +92,13 @@ def decode(data: bytes, width: int, height: int) -> np.ndarray:
     out = np.zeros((height, width), np.uint8)
     above: list[int] = []
     for y in range(height):
-        a0, colour, own = -1, 0, []
+        if at >= len(bits) or bits.startswith(R.END, at):
+            break
+        a0, colour = -1, 0
         while a0 < width:
-            after = [x for j, x in enumerate(above) if x > a0 and j % 2 == colour]
-            b1 = after[0] if after else width
-            b2 = next((x for x in above if x > b1), width)
+            j = bisect_right(above, a0)
+            j += j % 2 != colour
+            b1, b2 = (above[k] if k < len(above) else width for k in (j, j + 1))
             kind, d = read(codes)
             start = max(a0, 0)
             if kind == "p":
@@ -104,13 +107,11 @@ def decode(data: bytes, width: int, height: int) -> np.ndarray:
             elif kind == "v":
                 out[y, start : b1 + d] = colour
                 a0, colour = b1 + d, 1 - colour
-                own.append(a0)
             else:
                 for c in (colour, 1 - colour):
                     n = run(c)
                     out[y, start : start + n] = c
                     start += n
-                    own.append(start)
                 a0 = start
         row = out[y]
         above = np.flatnonzero(np.diff(row.astype(np.int8), prepend=0)).tolist()

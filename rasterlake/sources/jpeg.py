@@ -1,4 +1,5 @@
-"""Baseline JPEG in and out, in numpy: for use inside Arrow tasks. The coder makes Huffman tables to measure."""
+"""JPEG in and out, in numpy: for use inside Arrow tasks. The coder writes baseline streams with Huffman tables made to
+measure; baseline and progressive streams of 8 bits are read, of one, three or four components."""
 
 from __future__ import annotations
 
@@ -229,18 +230,139 @@ def _lookup(lengths: bytes, symbols: bytes) -> list:
     return out
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The raster of a baseline (sequential, 8 bit) stream: gray, or YCbCr with any sampling."""
+class _Scan:
+    """One scan's parameters, tables and state while it is read into coefficient lists."""
+
+    def __init__(self, bits: _Bits, first: int, last: int, high: int, low: int):
+        self.bits, self.first, self.last, self.high, self.low, self.run = bits, first, last, high, low, 0
+
+    def whole(self, values: list, at: int, part: dict) -> None:
+        """A block of a sequential scan."""
+        bits, k = self.bits, 1
+        part["before"] += bits.signed(bits.symbol(part["dc"]))
+        values[at] = part["before"]
+        table = part["ac"]
+        while k < 64:
+            s = bits.symbol(table)
+            if not s & 15:
+                if s != 0xF0:
+                    return
+                k += 16
+                continue
+            k += s >> 4
+            if k > 63:
+                raise ValueError("a block with too many values")
+            values[at + k] = bits.signed(s & 15)
+            k += 1
+
+    def dc(self, values: list, at: int, part: dict) -> None:
+        if self.high:
+            values[at] |= self.bits.take(1) << self.low
+        else:
+            part["before"] += self.bits.signed(self.bits.symbol(part["dc"]))
+            values[at] = part["before"] * (1 << self.low)
+
+    def _ends(self, r: int) -> bool:
+        """Whether a symbol without a value ends the band, here and in so many blocks to come."""
+        if r == 15:
+            return False
+        self.run = (1 << r) + (self.bits.take(r) if r else 0)
+        return True
+
+    def ac(self, values: list, at: int, part: dict) -> None:
+        """A band's first bits."""
+        bits, k = self.bits, self.first
+        if not self.run:
+            while k <= self.last:
+                s = bits.symbol(part["ac"])
+                if s & 15:
+                    k += s >> 4
+                    if k > 63:
+                        raise ValueError("a block with too many values")
+                    values[at + k] = bits.signed(s & 15) * (1 << self.low)
+                    k += 1
+                elif self._ends(s >> 4):
+                    break
+                else:
+                    k += 16
+        self.run = max(0, self.run - 1)
+
+    def ac_more(self, values: list, at: int, part: dict) -> None:
+        """One more bit of a band: values known so far get theirs as they are passed, new ones are of one bit."""
+        bits, k, one = self.bits, self.first, 1 << self.low
+        while not self.run and k <= self.last:
+            s = bits.symbol(part["ac"])
+            zeros, fresh = s >> 4, 0
+            if s & 15:
+                fresh = one if bits.take(1) else -one
+            elif self._ends(zeros):
+                break
+            k = self._passed(values, at, k, zeros)
+            if fresh and k <= self.last:
+                values[at + k] = fresh
+            k += 1
+        if self.run:
+            self._passed(values, at, k, 64)
+            self.run -= 1
+
+    def _passed(self, values: list, at: int, k: int, zeros: int) -> int:
+        """The place after so many zeros; each value on the way takes its bit."""
+        one = 1 << self.low
+        while k <= self.last:
+            v = values[at + k]
+            if not v:
+                if not zeros:
+                    break
+                zeros -= 1
+            elif self.bits.take(1) and not abs(v) & one:
+                values[at + k] = v + (one if v > 0 else -one)
+            k += 1
+        return k
+
+
+def _entropy_coded(data: bytes, at: int) -> tuple[list[bytes], int]:
+    """The scan's bytes between restarts, and where the next marker is."""
+    segments, start = [], at
+    while True:
+        k = data.find(b"\xff", at)
+        if k < 0 or k + 1 >= len(data):
+            return [*segments, data[start:]], len(data)
+        if data[k + 1] == 0xFF:
+            at = k + 1
+            continue
+        if data[k + 1] and not 0xD0 <= data[k + 1] <= 0xD7:
+            return [*segments, data[start:k]], k
+        if data[k + 1]:
+            segments.append(data[start:k])
+            start = k + 2
+        at = k + 2
+
+
+def _blocks_of(parts: list[dict], chosen: list[dict], w: int, h: int) -> list[list[tuple[dict, int]]]:
+    """The units of a scan: for each, (component, block) in order. One component alone is scanned without padding."""
+    mx, my = max(p["x"] for p in parts), max(p["y"] for p in parts)
+    if len(chosen) == 1:
+        (p,) = chosen
+        wide, high = -(-(-(-w * p["x"] // mx)) // 8), -(-(-(-h * p["y"] // my)) // 8)
+        return [[(p, y * p["wide"] + x)] for y in range(high) for x in range(wide)]
+    ux, uy = -(-w // (8 * mx)), -(-h // (8 * my))
+    return [[(p, (y * p["y"] + j) * p["wide"] + x * p["x"] + i) for p in chosen for j in range(p["y"]) for i in range(p["x"])] for y in range(uy) for x in range(ux)]
+
+
+def _read(data: bytes) -> tuple[list[dict], dict[int, np.ndarray], int, int, int | None]:
+    """Components with their coefficients, quantisation tables, width, height, the colour transform that is named."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("no JPEG")
     quant: dict[int, np.ndarray] = {}
     codes: dict[int, list] = {}
     parts: list[dict] = []
-    at = restart = 0
-    at, adobe = 2, None
+    at, adobe, restart, progressive, scans = 2, None, 0, False, 0
+    w = h = 0
     while True:
         while data[at : at + 1] == b"\xff" and data[at + 1 : at + 2] == b"\xff":
             at += 1
+        if scans and (at + 4 > len(data) or data[at] != 0xFF or data[at + 1] == 0xD9):
+            break
         if at + 4 > len(data) or data[at] != 0xFF:
             raise ValueError("a JPEG without a scan")
         mark, (size,) = data[at + 1], struct.unpack_from(">H", data, at + 2)
@@ -256,70 +378,82 @@ def decode(data: bytes) -> np.ndarray:
             while body:
                 n = sum(body[1:17])
                 codes[body[0]], body = _lookup(body[1:17], body[17 : 17 + n]), body[17 + n :]
-        elif mark in (0xC0, 0xC1):
-            _, h, w, n = struct.unpack_from(">BHHB", body)
+        elif mark in (0xC0, 0xC1, 0xC2):
+            progressive = mark == 0xC2
+            depth, h, w, n = struct.unpack_from(">BHHB", body)
+            if depth != 8 or n not in (1, 3, 4) or not w or not h:
+                raise ValueError("only JPEGs of 8 bits and one, three or four components are read")
             parts = [{"id": body[6 + 3 * k], "x": body[7 + 3 * k] >> 4, "y": body[7 + 3 * k] & 15, "q": body[8 + 3 * k]} for k in range(n)]
-        elif 0xC2 <= mark <= 0xCF:
-            raise ValueError("only baseline JPEG is read")
+            if n == 1:
+                parts[0]["x"] = parts[0]["y"] = 1
+            mx, my = max(p["x"] for p in parts), max(p["y"] for p in parts)
+            for p in parts:
+                p["wide"], p["high"] = -(-w // (8 * mx)) * p["x"], -(-h // (8 * my)) * p["y"]
+                p["values"] = [0] * (64 * p["wide"] * p["high"])
+        elif 0xC3 <= mark <= 0xCF and mark != 0xC8:
+            raise ValueError("only baseline and progressive JPEGs are read")
         elif mark == 0xDD:
             (restart,) = struct.unpack(">H", body[:2])
         elif mark == 0xEE and body[:5] == b"Adobe":
             adobe = body[11]
         elif mark == 0xDA:
-            break
-    if not parts or body[0] != len(parts) or len(parts) not in (1, 3):
-        raise ValueError("only single scans of one or three components are read")
-    for k, p in enumerate(parts):
-        p["dc"], p["ac"] = codes[body[2 + 2 * k] >> 4], codes[0x10 | body[2 + 2 * k] & 15]
-    if len(parts) == 1:
-        parts[0]["x"] = parts[0]["y"] = 1
+            if not parts:
+                raise ValueError("a scan without a frame")
+            n, chosen = body[0], []
+            for k in range(n):
+                p = next((p for p in parts if p["id"] == body[1 + 2 * k]), None)
+                if p is None:
+                    raise ValueError("a scan of an unknown component")
+                p["dc"], p["ac"] = codes.get(body[2 + 2 * k] >> 4, []), codes.get(0x10 | body[2 + 2 * k] & 15, [])
+                chosen.append(p)
+            first, last, high, low = body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15
+            if progressive and (first == 0) != (last == 0) or last > 63 or first > last or first and n > 1:
+                raise ValueError("a scan of an impossible band")
+            segments, at = _entropy_coded(data, at)
+            units, done = _blocks_of(parts, chosen, w, h), 0
+            for segment in segments:
+                scan = _Scan(_Bits(segment.replace(b"\xff\x00", b"\xff")), first, last, high, low)
+                step = scan.whole if not progressive else scan.dc if not first else scan.ac_more if high else scan.ac
+                for p in chosen:
+                    p["before"] = 0
+                for unit in units[done : done + (restart or len(units))]:
+                    for p, block in unit:
+                        step(p["values"], 64 * block, p)
+                done += restart or len(units)
+            scans += 1
+    return parts, quant, w, h, adobe
+
+
+def samples(data: bytes) -> tuple[np.ndarray, bool]:
+    """(height, width, components) of a stream: gray, RGB, or four inks as they are stored; and whether an Adobe marker
+    says that inks are stored inverted. Coarser components are repeated."""
+    parts, quant, w, h, adobe = _read(data)
     mx, my = max(p["x"] for p in parts), max(p["y"] for p in parts)
-    ux, uy = -(-w // (8 * mx)), -(-h // (8 * my))
-    segments, start = [], at
-    while True:  # to the next marker that is neither a stuffed byte nor a restart
-        k = data.find(b"\xff", at)
-        if k < 0 or k + 1 >= len(data):
-            segments.append(data[start:])
-            break
-        if data[k + 1] and not 0xD0 <= data[k + 1] <= 0xD7:
-            segments.append(data[start:k])
-            break
-        if data[k + 1]:
-            segments.append(data[start:k])
-            start = k + 2
-        at = k + 2
-    values = [np.zeros((ux * uy * p["x"] * p["y"], 64), np.int64) for p in parts]
-    zigzag, unit = ZIGZAG.tolist(), 0
-    for segment in segments:
-        bits, before = _Bits(segment.replace(b"\xff\x00", b"\xff")), [0] * len(parts)
-        for _ in range(restart or ux * uy):
-            if unit >= ux * uy:
-                break
-            for c, p in enumerate(parts):
-                for k in range(p["x"] * p["y"]):
-                    row = values[c][unit * p["x"] * p["y"] + k]
-                    before[c] += bits.signed(bits.symbol(p["dc"]))
-                    row[0] = before[c]
-                    j = 1
-                    while j < 64:
-                        s = bits.symbol(p["ac"])
-                        if not s & 15:
-                            if s != 0xF0:
-                                break
-                            j += 16
-                            continue
-                        j += s >> 4
-                        if j > 63:
-                            raise ValueError("a block with too many values")
-                        row[zigzag[j]] = bits.signed(s & 15)
-                        j += 1
-            unit += 1
     full = []
-    for v, p in zip(values, parts, strict=True):
-        plane = _plane(_backward(v * quant[p["q"]]), uy, ux, p["y"], p["x"])
+    for p in parts:
+        v = np.zeros((p["wide"] * p["high"], 64))
+        v[:, ZIGZAG] = np.array(p["values"], np.float64).reshape(-1, 64)
+        plane = _plane(_backward(v * quant[p["q"]]), p["high"], p["wide"], 1, 1)
+        if mx % p["x"] or my % p["y"]:
+            raise ValueError("components of uneven sizes")
         full.append(np.repeat(np.repeat(plane, my // p["y"], axis=0), mx // p["x"], axis=1)[:h, :w])
-    if len(full) == 1:
-        full += [np.zeros_like(full[0])] * 2
-    if adobe == 0 and len(parts) == 3:
-        return np.clip(np.round(np.stack(full, axis=2) + 128), 0, 255).astype(np.uint8)
-    return _rgb(*full)
+    level = lambda planes: np.clip(np.round(np.stack(planes, axis=2) + 128), 0, 255).astype(np.uint8)
+    plain = adobe == 0 or (adobe is None and (len(parts) == 4 or bytes(p["id"] for p in parts) == b"RGB"))
+    if len(full) == 1 or plain:
+        return level(full), adobe is not None
+    made = _rgb(*full[:3])
+    return (made if len(full) == 3 else np.concatenate([made, level(full[3:])], axis=2)), adobe is not None
+
+
+def from_inks(cmyk: np.ndarray) -> np.ndarray:
+    """RGB of four inks (255: all of it): what an ink and black leave of each colour."""
+    k = cmyk[..., 3:].astype(np.int64)
+    return (255 - np.minimum(255, cmyk[..., :3] + k)).astype(np.uint8)
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The raster of a baseline or progressive stream."""
+    px, inverted = samples(data)
+    if px.shape[2] == 1:
+        return np.repeat(px, 3, axis=2)
+    return px if px.shape[2] == 3 else from_inks(255 - px if inverted else px)

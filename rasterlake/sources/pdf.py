@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .. import constants as K
-from . import jpeg, rasters
+from ..operators import g4
+from . import filters, jpeg, rasters
 
 _OBJECT = re.compile(rb"(?<![0-9])(\d+)\s+(\d+)\s+obj\b")
 _REF = re.compile(rb"(?<![0-9])(\d+)\s+(\d+)\s+R\b")
@@ -25,6 +26,12 @@ _TOKEN = re.compile(rb"[\s\0]+|%[^\r\n]*|<<|>>|\[|\]|\(|<[^<>]*>|/[^\s\0<>\[\]()
 _PAREN = re.compile(rb"\\.|[()]", re.S)
 
 
+#: Objects in an object stream at most: readers unpack a stream whole, and its index has two bytes.
+PACKED = 1000
+#: Pixels of an image at most; one of more isn't decoded, as a task holds it whole.
+MAX_PIXELS = 1 << 28
+
+
 def tokens(data: bytes, at: int = 0) -> Iterator[tuple[int, int]]:
     """(start, end) of each token but space and comments; a string is one token."""
     while m := _TOKEN.match(data, at):
@@ -70,22 +77,12 @@ def entries(body: bytes) -> dict[str, str]:
 
 
 def inflated(entry: dict[str, str], data: bytes) -> bytes | None:
-    """A stream's bytes without its coding; None if that is none of those read here."""
-    names = re.findall(r"/(\w+)", entry.get("Filter", ""))
-    if names not in ([], ["FlateDecode"], ["Fl"]):
-        return None
-    if not names:
-        return data
+    """A stream's bytes without its codings; None if one of them is an image's, unknown, or broken."""
     try:
-        plain = zlib.decompressobj().decompress(data)
-    except zlib.error:
+        plain, left = filters.undone(entry, data)
+    except (zlib.error, ValueError, IndexError):
         return None
-    parms = entries(entry.get("DecodeParms", "").strip("[] ").encode("latin-1"))
-    if int(parms.get("Predictor", "1")) < 10:
-        return plain if parms.get("Predictor", "1") == "1" else None
-    wide = int(parms.get("Columns", "1")) * int(parms.get("Colors", "1")) * int(parms.get("BitsPerComponent", "8"))
-    step = max(1, int(parms.get("Colors", "1")) * int(parms.get("BitsPerComponent", "8")) // 8)
-    return rasters.unfiltered(plain, -(-wide // 8), step).tobytes()
+    return None if left else plain
 
 
 def read(data: bytes) -> tuple[dict[str, tuple[bytes, bytes | None]], dict[str, str]]:
@@ -155,7 +152,27 @@ def key_of(ref: str) -> str | None:
 
 
 def references(text: bytes) -> list[str]:
-    return [f"{int(n)}_{int(g)}" for n, g in _REF.findall(text)]
+    """Keys that a value refers to, at any depth; what is inside strings is none."""
+    return [f"{int(m[1])}_{int(m[2])}" for start, end in _safe_tokens(text) if (m := _REF.fullmatch(text, start, end))]
+
+
+def _safe_tokens(text: bytes) -> Iterator[tuple[int, int]]:
+    """tokens(), up to where the text is broken."""
+    try:
+        yield from tokens(text)
+    except ValueError:
+        return
+
+
+def readdressed(text: str, moves: dict[str, str]) -> str:
+    """A value whose references go where `moves` says (key to key); strings and all else stay as written."""
+    data, out, at = text.encode("latin-1"), [], 0
+    for start, end in _safe_tokens(data):
+        m = _REF.fullmatch(data, start, end)
+        if m and (now := moves.get(f"{int(m[1])}_{int(m[2])}")):
+            out += [data[at:start], now.replace("_", " ").encode(), b" R"]
+            at = end
+    return b"".join([*out, data[at:]]).decode("latin-1")
 
 
 def write(found: dict[str, tuple[bytes, bytes | None]], trailer: dict[str, str]) -> bytes:
@@ -181,22 +198,25 @@ def write(found: dict[str, tuple[bytes, bytes | None]], trailer: dict[str, str])
             body = _dictionary(kept) + b"\nstream\n" + stream + b"\nendstream"
         out += b"%d %d obj\n" % (number, generation) + body + b"\nendobj\n"
     top = max((int(k.split("_")[0]) for k in found), default=0) + 1
-    if packed:
+    for some in range(0, len(packed), PACKED):
         head, body = [], bytearray()
-        for j, (number, text) in enumerate(packed):
+        for j, (number, text) in enumerate(packed[some : some + PACKED]):
             head.append(b"%d %d" % (number, len(body)))
             body += text + b"\n"
             rows[number] = (2, top, j)
         first = b" ".join(head) + b"\n"
         rows[top] = (1, len(out), 0)
         data = zlib.compress(first + bytes(body), 9)
-        out += b"%d 0 obj\n<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >>\nstream\n" % (top, len(packed), len(first), len(data)) + data + b"\nendstream\nendobj\n"
+        out += b"%d 0 obj\n<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >>\nstream\n" % (top, len(head), len(first), len(data)) + data + b"\nendstream\nendobj\n"
         top += 1
     rows[top] = (1, len(out), 0)
-    table = b"".join(struct.pack(">BIH", *rows.get(n, (0, 0, 65535 if not n else 0))) for n in range(top + 1))
+    # a file of 4 GB or more needs wider offsets
+    wide = 4 if len(out) < 1 << 32 else 8
+    free = (0, 0, 0)
+    table = b"".join(kind.to_bytes(1) + at.to_bytes(wide) + more.to_bytes(2) for kind, at, more in ((0, 0, 65535) if not n else rows.get(n, free) for n in range(top + 1)))
     data, start = zlib.compress(table, 9), len(out)
     kept = {k: v for k, v in trailer.items() if k in ("Root", "Info", "ID")}
-    head = {"Type": "/XRef", "Size": str(top + 1), "W": "[1 4 2]", "Filter": "/FlateDecode", "Length": str(len(data))} | kept
+    head = {"Type": "/XRef", "Size": str(top + 1), "W": f"[1 {wide} 2]", "Filter": "/FlateDecode", "Length": str(len(data))} | kept
     return bytes(out + b"%d 0 obj\n" % top + _dictionary(head) + b"\nstream\n" + data + b"\nendstream\nendobj\nstartxref\n%d\n%%%%EOF\n" % start)
 
 
@@ -233,19 +253,149 @@ def bilevel_image(width: int, height: int) -> dict[str, str]:
     return {"Type": "/XObject", "Subtype": "/Image", "Width": str(width), "Height": str(height), "ColorSpace": "/DeviceGray", "BitsPerComponent": "1", "Filter": "/CCITTFaxDecode", "DecodeParms": parms}
 
 
-def raster(entry: dict[str, str], data: bytes) -> np.ndarray | None:
-    """An image stream's pixels: JPEG, or 8 bit gray or RGB, plain or deflated; None for anything else."""
+class LeftOut(ValueError):
+    """Why an image isn't decoded."""
+
+
+#: Objects that an image's colour space names, by key: (value, own entries, stream).
+Parts = dict[str, tuple[bytes, dict[str, str], bytes | None]]
+
+
+def _literal(token: bytes) -> bytes:
+    """The bytes of a string, in brackets or in hexadecimal."""
+    if token.startswith(b"<"):
+        return filters.base16(token[1:])
+    plain = re.sub(rb"\\\r?\n|\\\r", b"", token[1:-1].replace(b"\r\n", b"\n"))
+    escapes = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+    return re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() and m[1][:1] < b"8" else escapes.get(m[1], m[1]), plain, flags=re.S)
+
+
+def _items(array: bytes) -> list[bytes]:
+    """The values of an array."""
+    found, at = [], 1
+    for start, end in tokens(array, 1):
+        if start < at:
+            continue
+        if array[start:end] == b"]":
+            break
+        at = value_end(array, start)
+        found.append(array[start:at])
+    return found
+
+
+#: Colour components of the spaces whose values are colours as they are.
+_SPACES = {"DeviceGray": 1, "G": 1, "CalGray": 1, "DeviceRGB": 3, "RGB": 3, "CalRGB": 3, "DeviceCMYK": 4, "CMYK": 4}
+
+
+def colour_space(value: bytes, parts: Parts, depth: int = 0) -> tuple[int, np.ndarray | None]:
+    """(components of a colour, or 1 and the palette as (entries, components)) of a colour space, named, given in full
+    or referred to."""
+    if depth > 4:
+        raise LeftOut("a colour space within others")
+    key = key_of(value.decode("latin-1"))
+    if key:
+        if key not in parts:
+            raise LeftOut("a colour space that isn't there")
+        return colour_space(parts[key][0], parts, depth + 1)
+    value = value.strip()
+    if value.startswith(b"/"):
+        value = b"[" + value + b"]"
+    items = _items(value) if value.startswith(b"[") else []
+    name = items[0][1:].decode("latin-1") if items else ""
+    if name in _SPACES:
+        return _SPACES[name], None
+    if name == "ICCBased" and len(items) > 1:
+        n = parts.get(key_of(items[1].decode("latin-1")) or "", (b"", {}, None))[1].get("N", "")
+        if n in ("1", "3", "4"):
+            return int(n), None
+        raise LeftOut("a profile of unknown components")
+    if name in ("Indexed", "I") and len(items) == 4:
+        base, inner = colour_space(items[1], parts, depth + 1)
+        if inner is not None:
+            raise LeftOut("a palette of palette entries")
+        ref = key_of(items[3].decode("latin-1"))
+        if ref:
+            _, entry, stream = parts.get(ref, (b"", {}, None))
+            table = inflated(entry, stream) if stream is not None else None
+            if table is None:
+                raise LeftOut("a palette that can't be read")
+        else:
+            table = _literal(items[3])
+        n = min(255, int(items[2])) + 1
+        return 1, np.frombuffer(table.ljust(n * base, b"\0")[: n * base], np.uint8).reshape(n, base)
+    raise LeftOut(f"colour space {name or 'none'}")
+
+
+def _unpacked(data: bytes, w: int, h: int, n: int, depth: int) -> np.ndarray:
+    """Samples of 1, 2, 4, 8 or 16 bits, (h, w, n); each row begins with a byte."""
+    if depth == 16:
+        rows = np.frombuffer(data.ljust(2 * w * h * n, b"\0"), ">u2", w * h * n)
+        return rows.reshape(h, w, n).astype(np.int64)
+    wide = -(-w * n * depth // 8)
+    rows = np.frombuffer(data.ljust(wide * h, b"\0"), np.uint8, wide * h).reshape(h, wide)
+    if depth < 8:
+        shifts = np.arange(8 - depth, -1, -depth, dtype=np.uint8)
+        rows = ((rows[:, :, None] >> shifts) & ((1 << depth) - 1)).reshape(h, -1)
+    return rows[:, : w * n].reshape(h, w, n)
+
+
+def _numbers(text: str) -> list[float]:
+    return [float(x) for x in text.strip("[] \t\r\n").split()]
+
+
+def _coloured(raw: np.ndarray, depth: int, entry: dict[str, str], parts: Parts) -> np.ndarray:
+    """RGB of samples of so many bits, by the image's colour space and Decode."""
+    n, palette = colour_space(entry.get("ColorSpace", entry.get("CS", {1: "/DeviceGray", 3: "/DeviceRGB", 4: "/DeviceCMYK"}[raw.shape[2]])).encode("latin-1"), parts)
+    if raw.shape[2] != n:
+        raise LeftOut("samples of another number than the colour space's")
+    most = (1 << depth) - 1
+    usual = [0.0, float(most)] if palette is not None else [0.0, 1.0] * n
+    bounds = _numbers(entry["Decode"]) if "Decode" in entry else _numbers(entry["D"]) if "D" in entry else usual
+    if len(bounds) != 2 * n:
+        raise LeftOut("a Decode of another length")
+    if palette is not None:
+        low, high = bounds
+        index = raw[..., 0] if bounds == usual else np.round(low + raw[..., 0] * ((high - low) / most))
+        px = palette[np.clip(index, 0, len(palette) - 1).astype(np.int64)]
+    elif depth == 8 and bounds == usual:
+        px = raw.astype(np.uint8)
+    else:
+        low, high = np.array(bounds[::2]), np.array(bounds[1::2])
+        px = np.round(np.clip(low + raw * ((high - low) / most), 0, 1) * 255).astype(np.uint8)
+    if px.shape[2] == 4:
+        return jpeg.from_inks(px)
+    return px if px.shape[2] == 3 else np.repeat(px, 3, axis=2)
+
+
+def raster(entry: dict[str, str], data: bytes, parts: Parts | None = None) -> np.ndarray:
+    """An image stream's pixels, (height, width, 3): JPEG, Group 4, or samples of 1 to 16 bits, gray, RGB, four inks or
+    of a palette, behind any of the stream filters. LeftOut tells why an image isn't decoded."""
     try:
-        if re.findall(r"/(\w+)", entry.get("Filter", "")) == ["DCTDecode"]:
-            return jpeg.decode(data)
-        plain, space = inflated(entry, data), entry.get("ColorSpace", "").strip("/")
-        w, h, n = int(entry["Width"]), int(entry["Height"]), {"DeviceRGB": 3, "DeviceGray": 1}.get(space)
-        if plain is None or n is None or entry.get("BitsPerComponent") != "8" or "Decode" in entry:
-            return None
-        px = np.frombuffer(plain, np.uint8, w * h * n).reshape(h, w, n)
-        return px if n == 3 else np.repeat(px, 3, axis=2)
-    except (ValueError, KeyError, IndexError):
-        return None
+        plain, left = filters.undone(entry, data)
+        w, h = (int(entry.get(long, entry.get(short, ""))) for long, short in (("Width", "W"), ("Height", "H")))
+        depth = int(entry.get("BitsPerComponent", entry.get("BPC", "8")))
+        if w < 1 or h < 1 or w * h > MAX_PIXELS:
+            raise LeftOut("sides that can't be")
+        if not left:
+            if depth not in (1, 2, 4, 8, 16):
+                raise LeftOut(f"{depth} bits a component")
+            n, _ = colour_space(entry.get("ColorSpace", entry.get("CS", "")).encode("latin-1"), parts or {})
+            return _coloured(_unpacked(plain, w, h, n, depth), depth, entry, parts or {})
+        (name, parms), *more = left
+        if more:
+            raise LeftOut("filters after an image's own")
+        if name == "DCTDecode":
+            return _coloured(jpeg.samples(plain)[0], 8, entry, parts or {})
+        if name == "CCITTFaxDecode":
+            if int(parms.get("K", "0")) >= 0 or parms.get("EncodedByteAlign") == "true":
+                raise LeftOut("fax coding other than Group 4")
+            ink = g4.decode(plain, int(parms.get("Columns", "1728")), h)[:, :w, None]
+            return _coloured(ink if parms.get("BlackIs1") == "true" else 1 - ink, 1, entry, parts or {})
+        raise LeftOut(f"filter {name}")
+    except LeftOut:
+        raise
+    except (ValueError, KeyError, IndexError, zlib.error, struct.error) as e:
+        raise LeftOut(f"broken: {e}"[:120]) from e
 
 
 _OPS = {b"q": "save", b"Q": "restore", b"cm": "transform", b"Do": "paint"}

@@ -125,6 +125,12 @@ def decode_png(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
+    """The raster of a PNG, JPEG, GIF (its first frame) or bitmap."""
+    if data[:3] == b"GIF":
+        from .gif import decode as decode_gif
+
+        px = decode_gif(data)
+        return px if (px[..., 3] < 255).any() else np.ascontiguousarray(px[..., :3])
     if data[:2] == b"\xff\xd8":
         from .jpeg import decode as decode_jpeg
 
