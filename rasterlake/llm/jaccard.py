@@ -17,8 +17,8 @@ Equal sets meet first, by a 128-bit hash, and enter the join as one node. Nodes
 d + 1 shingles form a bucket. First every bucket's nodes are compared with one centre, the node that has fewest
 shingles of its own before the bucket's; components then tell what is together already. What is open after that
 is compared in full: nodes of different components, in small buckets pair by pair; nodes of large ones are dealt
-to chunks, and chunks that have a bucket in common are compared as products of incidence matrices, of which only
-links that join two components leave the task. No pair that could link is left out. Pairs and chunks are held to a
+to chunks, and chunks that have a bucket in common are compared node by node, where only nodes of components not
+joined so far meet and only links that join two components leave the task. No pair that could link is left out. Pairs and chunks are held to a
 bound first, from bitmaps of the parity of their shingles: cells that differ count shingles that only one of the two
 has. What is left is verified on the whole sets of 64-bit shingle hashes, with integer arithmetic.
 
@@ -42,9 +42,9 @@ from .common import Scratch, one_thread, table
 from .graph import components
 
 CELLS = 1 << 17
-#: Nodes of a bucket up to which open pairs are listed; bytes of a chunk's bitmaps in larger ones. Whole sets are 10 to
-#: 40 times as large, and at most two chunks' are together in a task.
-SMALL, CHUNK_BYTES = 8, 1 << 19
+#: Nodes of a bucket up to which open pairs are listed; bytes of a chunk's bitmaps in larger ones, and its nodes. Whole
+#: sets are 10 to 40 times as large as bitmaps, and at most two chunks' are together in a task.
+SMALL, CHUNK_BYTES, CHUNK_NODES = 8, 1 << 19, 1 << 14
 MAX_L = 4
 PRUNINGS = 2
 #: Cost of verifying a pair, for each 100 shingles, against that of a shared prefix shingle.
@@ -205,56 +205,80 @@ def _linked(pairs: DataFrame, full: DataFrame, scratch: Scratch, name: str, perc
     return joined(near, "set").mapInArrow(filtered(similar), "a long, b long")
 
 
-def _close(x: list[dict], y: list[dict], percent: int) -> list[tuple[int, dict]]:
-    """(side, node) of two chunks' nodes that by their signatures could be linked with one of the other's, of another
-    part."""
-    sides = [[(np.array([r["part"] for r in c]), np.array([r["n"] for r in c]), np.stack([np.frombuffer(r["sig"], np.uint64) for r in c]), c) for c in ([r for r in rows if len(r["sig"]) == w] for w in sorted({len(r["sig"]) for r in rows}))] for rows in (x, y)]
-    found: dict[tuple[int, int], dict] = {}
-    for part, n, sig, rows in sides[0]:
-        for part2, n2, sig2, rows2 in sides[1]:
-            wide = min(sig.shape[1], sig2.shape[1])
-            a, b = (np.bitwise_xor.reduce(v.reshape(len(v), -1, wide), axis=1) for v in (sig, sig2))
-            for k in range(len(rows)):
-                differing = np.bitwise_count(b ^ a[k]).sum(axis=1, dtype=np.int64)
-                near = (differing <= n[k] + n2 + 2 * (-percent * (n[k] + n2) // (100 + percent))) & (part2 != part[k])
-                if near.any():
-                    found[0, rows[k]["node"]] = rows[k]
-                    found |= {(1, rows2[m]["node"]): rows2[m] for m in np.flatnonzero(near)}
-    return [(side, row) for (side, _), row in found.items()]
+class Chunk:
+    """Nodes of one side: names, parts, set sizes, and their signatures by width, as rows of words."""
 
+    def __init__(self, node: np.ndarray, part: np.ndarray, n: np.ndarray, sigs: list[bytes] | pa.Array):
+        self.node, self.part, self.n = node, part, n
+        if isinstance(sigs, list):
+            sigs = pa.array(sigs, pa.binary())
+        ends = np.frombuffer(sigs.buffers()[1], np.int32)[sigs.offset : sigs.offset + len(sigs) + 1].astype(np.int64)
+        data, wide = np.frombuffer(sigs.buffers()[2] or b"", np.uint8), np.diff(ends)
+        self.rows = {int(w): np.flatnonzero(wide == w) for w in np.unique(wide)}
+        self.words = {w: np.stack([data[ends[r] : ends[r] + w] for r in rows]).view(np.uint64) for w, rows in self.rows.items()}
+
+    def folded(self, wide: int, to: int) -> np.ndarray:
+        words = self.words[wide]
+        return words if wide == to else np.bitwise_xor.reduce(words.reshape(len(words), -1, to // 8), axis=1)
+
+
+def _near_rows(x: Chunk, y: Chunk, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of x: the rows of y whose signatures leave a link possible. Memory is that of one row's."""
+    for wide in x.words:
+        sides = [(x.folded(wide, min(wide, w)), y.folded(w, min(wide, w)), y.rows[w]) for w in y.words]
+        for k, i in enumerate(x.rows[wide]):
+            found = []
+            for mine, theirs, rows in sides:
+                differing = np.bitwise_count(theirs ^ mine[k]).sum(axis=1, dtype=np.int64)
+                both = y.n[rows] + x.n[i]
+                found.append(rows[differing <= both + 2 * (-percent * both // (100 + percent))])
+            yield int(i), np.concatenate(found)
 
-def _edges(a: tuple, b: tuple, percent: int) -> list[tuple[int, int]]:
-    """Links between two chunks (nodes, parts, sets) that join parts not joined so far, at most one for each part."""
-    sizes = [np.array([len(x) for x in c[2]]) for c in (a, b)]
-    names, column, often = np.unique(np.concatenate([*a[2], *b[2]]), return_inverse=True, return_counts=True)
-    number = np.cumsum(often > 1) - 1
-    row = [np.repeat(np.arange(len(n)), n) for n in sizes]
-    columns = column[: len(row[0])], column[len(row[0]) :]
-    same = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
-    for start in range(0, int(number[-1]) + 1, 4096):
-        parts = []
-        for side in (0, 1):
-            at = number[columns[side]] - start
-            use = (often[columns[side]] > 1) & (at >= 0) & (at < 4096)
-            m = np.zeros((len(sizes[side]), 4096), np.float32)
-            m[row[side][use], at[use]] = 1
-            parts.append(m)
-        same += parts[0] @ parts[1].T
-    same = same.astype(np.int64)
-    near = 100 * same >= percent * (sizes[0][:, None] + sizes[1][None, :] - same)
-    above: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while above.get(x, x) != x:
-            x = above[x]
-        return x
 
+def _close(x: Chunk, y: Chunk, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which nodes of each side could, by their signatures, be linked with one of the other's, of another part."""
+    some = np.zeros(len(x.node), bool), np.zeros(len(y.node), bool)
+    for i, near in _near_rows(x, y, percent):
+        near = near[y.part[near] != x.part[i]]
+        some[0][i] = len(near) > 0
+        some[1][near] = True
+    return some
+
+
+def _edges(a: tuple, b: tuple, percent: int) -> list[tuple[int, int]]:
+    """Links between two chunks (nodes, parts, sets) that join parts not joined so far, at most one for each part.
+
+    Parts are joined as links are found, and what is joined isn't compared again, so that a group of near copies costs
+    about a comparison a node; no matrix of nodes by nodes is made."""
+    sides = [Chunk(np.asarray(c[0], np.int64), np.asarray(c[1], np.int64), np.array([len(s) for s in c[2]], np.int64), [_signature(s, percent) for s in c[2]]) for c in (a, b)]
+    x, y = sides
+    _, codes = np.unique(np.concatenate([*a[2], *b[2]]), return_inverse=True)
+    ends = np.concatenate([[0], np.cumsum(np.concatenate([x.n, y.n]))])
+    starts, here = ends[len(x.node) : -1], np.zeros(int(codes.max(initial=-1)) + 1, bool)
+    _, parts = np.unique(np.concatenate([x.part, y.part]), return_inverse=True)
+    group, mine, theirs = np.arange(int(parts.max(initial=-1)) + 1), parts[: len(x.node)], parts[len(x.node) :]
     found = []
-    for i, j in zip(*np.nonzero(near & (np.asarray(a[1])[:, None] != np.asarray(b[1])[None, :])), strict=True):
-        x, y = root(a[1][i]), root(b[1][j])
-        if x != y:
-            above[x] = y
-            found.append((a[0][i], b[0][j]))
+    for i, near in _near_rows(x, y, percent):
+        near = near[group[theirs[near]] != group[mine[i]]]
+        if not len(near):
+            continue
+        own = codes[ends[i] : ends[i + 1]]
+        here[own] = True
+        step = 32
+        while len(near):
+            some, near = near[:step], near[step:]
+            size = y.n[some]
+            at = np.repeat(starts[some] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+            same = np.add.reduceat(here[codes[at]].astype(np.int64), np.concatenate([[0], np.cumsum(size)[:-1]]))
+            linked = some[100 * same >= percent * (len(own) + size - same)]
+            labels, first = np.unique(group[theirs[linked]], return_index=True)
+            fresh = labels != group[mine[i]]
+            found += [(int(x.node[i]), int(y.node[j])) for j in linked[first[fresh]]]
+            if fresh.any():
+                group[np.isin(group, labels)] = group[mine[i]]
+                near = near[group[theirs[near]] != group[mine[i]]]
+            step *= 2
+        here[own] = False
     return found
 
 
@@ -263,21 +287,31 @@ def _in_chunks(members: DataFrame, full: DataFrame, scratch: Scratch, percent: i
     by the least node two buckets away, so that nodes of many buckets in common lie together."""
     low = members.groupBy("tok").agg(F.min("node").alias("low"))
     named = members.join(low, "tok").groupBy("node", "part", "n").agg(F.min("low").alias("label"))
-    many = named.groupBy("label").agg(F.ceil(F.sum(F.greatest(F.lit(8), F.col("n") * (4 * (100 - percent)) / 100)) / CHUNK_BYTES).alias("k"))
+    many = named.groupBy("label").agg(F.ceil(F.sum(F.greatest(F.lit(CHUNK_BYTES / CHUNK_NODES), F.col("n") * (4 * (100 - percent)) / 100)) / CHUNK_BYTES).alias("k"))
     dealt = scratch.put(named.join(many, "label").select("node", "part", F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("k"))).alias("i")), "dealt")
     packed = scratch.put(dealt.join(full.select("node", "n", "sig"), "node").groupBy("i").agg(F.collect_list(F.struct("node", "part", "n", "sig")).alias("m")), "chunks")
     at = members.select("tok", "node").join(dealt, "node").select("tok", "i").distinct()
     pairs = at.join(at.select("tok", F.col("i").alias("j")), "tok").where("i <= j").select("i", "j").distinct()
     met = pairs.join(packed.withColumnRenamed("m", "x"), "i").join(packed.select(F.col("i").alias("j"), F.col("m").alias("y")), "j").select("i", "j", "x", "y")
 
+    def chunk(column: pa.Array, row: int) -> Chunk:
+        rows = column[row].values
+        node, part, n = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        return Chunk(node, part, n, rows.field(3))
+
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one in range(batch.num_rows):
-                i, j, x, y = (batch.column(c)[one].as_py() for c in range(4))
+                i, j = batch.column(0)[one].as_py(), batch.column(1)[one].as_py()
+                x = chunk(batch.column(2), one)
+                y = x if i == j else chunk(batch.column(3), one)
+                use = _close(x, y, percent)
                 # a chunk that is compared with itself is one side
-                found = _close(x, y, percent) if i != j else [(0, r) for r in {r["node"]: r for _, r in _close(x, y, percent)}.values()]
-                columns = [pa.array([i] * len(found)), pa.array([j] * len(found)), pa.array([f[0] for f in found], pa.int32()), *(pa.array([f[1][c] for f in found], pa.int64()) for c in ("node", "part"))]
-                yield pa.RecordBatch.from_arrays([c.cast(pa.int64()) if k < 2 else c for k, c in enumerate(columns)], names=["i", "j", "side", "node", "part"])
+                use = [use[0] | use[1]] if i == j else use
+                node, part = (np.concatenate([getattr(c, f)[u] for c, u in zip((x, y), use, strict=False)]) for f in ("node", "part"))
+                side = np.repeat(np.arange(len(use), dtype=np.int32), [int(u.sum()) for u in use])
+                pair = [pa.array(np.full(len(node), v), pa.int64()) for v in (i, j)]
+                yield pa.RecordBatch.from_arrays([*pair, pa.array(side), pa.array(node), pa.array(part)], names=["i", "j", "side", "node", "part"])
 
     some = scratch.put(met.mapInArrow(bounded, "i long, j long, side int, node long, part long"), "close")
     sides = some.join(full.select("node", "set"), "node").groupBy("i", "j").agg(F.collect_list(F.struct("side", "node", "part", "set")).alias("m")).select("m")
@@ -285,9 +319,11 @@ def _in_chunks(members: DataFrame, full: DataFrame, scratch: Scratch, percent: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one in batch.column(0):
-                rows = one.as_py()
-                sides = [([r["node"] for r in c], [r["part"] for r in c], [np.frombuffer(r["set"], np.uint64) for r in c]) for c in ([r for r in rows if r["side"] == k] for k in (0, 1))]
-                found = _edges(sides[0], sides[1] if sides[1][0] else sides[0], percent)
+                rows = one.values
+                side, node, part = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                sets = rows.field(3)
+                sides = [(node[at], part[at], [np.frombuffer(sets[int(k)].as_buffer(), np.uint64) for k in at]) for at in (np.flatnonzero(side == k) for k in (0, 1))]
+                found = _edges(sides[0], sides[1] if len(sides[1][0]) else sides[0], percent)
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return sides.mapInArrow(run, "a long, b long")

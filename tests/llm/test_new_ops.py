@@ -245,3 +245,89 @@ def test_sql(spark, duck, name):
     made = queries.QUERIES[name](spark, DATA).toPandas()
     want = duck.sql(queries.ORACLE_SQL[name]).df()
     assert rows_of(made) == rows_of(want)
+
+
+# 7, chunks -----------------------------------------------------------------------------------------------------
+
+
+def test_jaccard_of_two_full_chunks_stays_small():
+    """Twice 3,000 short near copies, all open, all of one bucket: links join them without a matrix of nodes."""
+    import tracemalloc
+
+    from rasterlake.llm import jaccard
+
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 2**63, 20).astype(np.uint64)
+
+    def some(n, first):
+        sets = []
+        for _ in range(n):
+            s = base.copy()
+            at = rng.integers(0, 20, rng.integers(0, 4))
+            s[at] = rng.integers(0, 2**63, len(at)).astype(np.uint64)
+            sets.append(np.unique(s))
+        return np.arange(first, first + n), np.arange(first, first + n), sets
+
+    a, b = some(3000, 0), some(3000, 10**6)
+    tracemalloc.start()
+    found = jaccard._edges(a, b, 90)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    whole = {int(n) for n, s in zip(np.concatenate([a[0], b[0]]), a[2] + b[2], strict=True) if len(np.intersect1d(s, base)) == 20}
+    part = {}
+
+    def root(x):
+        while part.get(x, x) != x:
+            x = part[x]
+        return x
+
+    for i, j in found:
+        part[root(i)] = root(j)
+    assert len({root(x) for x in whole}) == 1
+
+
+def test_jaccard_of_sixty_thousand_near_copies(spark):
+    """60,000 short texts around one that is none of them: each keeps 28 of its 30 words or more, so what lies together
+    is told by what pairs of one change allow."""
+    from rasterlake.llm import jaccard
+
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(30)]
+    rows = []
+    for j in range(60000):
+        x = list(base)
+        x[rng.randrange(30)] = f"n{rng.randrange(9)}"
+        x[rng.randrange(30)] = f"n{rng.randrange(9)}"
+        rows.append((j, " ".join(x)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    made = jaccard.near_duplicates(docs, 1, 90).collect()
+    assert len(made) == 60000
+    # every set of the base's 30 words less one, and one more, is linked with what differs by a word
+    sets = {}
+    for j, t in rows:
+        sets.setdefault(frozenset(t.split()), j)
+    parent = {s: s for s in sets}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    by_part = {}
+    for s in sets:
+        for w in s:
+            by_part.setdefault((len(s), s - {w}), []).append(s)
+            by_part.setdefault((len(s) - 1, s - {w}), []).append(s)
+    # 29 of 31: sets of 30 that differ in one word are linked, those of 29 and 30 if one is in the other
+    for same in by_part.values():
+        for s in same[1:]:
+            if 100 * len(s & same[0]) >= 90 * len(s | same[0]):
+                a, b = root(same[0]), root(s)
+                parent[a] = b
+    component = {}
+    for s, j in sets.items():
+        component[root(s)] = min(j, component.get(root(s), j))
+    coarse = {}
+    for r in made:
+        coarse.setdefault(component[root(frozenset(rows[r.doc_id][1].split()))], set()).add(r.component_id)
+    assert all(len(v) == 1 for v in coarse.values())
