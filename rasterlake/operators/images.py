@@ -103,7 +103,7 @@ def compress_visual(data: bytes, min_ssim: float) -> tuple:
 
     px = R.decode(data)
     kind = R.classify(R.bounded(px, K.ANALYSE_EDGE))[0]
-    made = [("lossless-png", R.encode_png(px), 1.0, "PNG")]
+    made = [("lossless-png", R.optimised_png(px)[0], 1.0, "PNG")]
     if kind != "photo":
         tried, whole = [], R.Reference(px)
         for size in K.PALETTE_SIZES:
@@ -112,8 +112,10 @@ def compress_visual(data: bytes, min_ssim: float) -> tuple:
             if score < min_ssim:
                 break
             opaque = px.shape[2] == 3
-            tried.append(("palette", R.encode_png(out, palette if opaque else None, index), score, "PNG"))
-        made = tried + made
+            tried.append((len(R.encode_png(out, palette if opaque else None, index)), out, palette if opaque else None, index, score))
+        if tried:  # only the smallest palette is worth the effort
+            _, out, palette, index, score = min(tried, key=lambda t: t[0])
+            made.insert(0, ("palette", R.optimised_png(out, palette, index)[0], score, "PNG"))
     elif px.shape[2] == 3 and (best := visual_quality(px, min_ssim)):
         made.insert(0, ("ssim-search", best[0], best[2], "JPG"))
     technique, best, score, label = min(made, key=lambda m: len(m[1]))  # the first of equals: a palette before lossless
@@ -172,12 +174,14 @@ def compress_images(images: DataFrame, min_ssim: float | None = None, target_byt
 
 def media_type(data: bytes) -> str | None:
     """By the first bytes of a file."""
-    marks = {b"\x89PNG": "png", b"\xff\xd8\xff": "jpeg", b"BM": "bmp"}
-    return next((K.FORMATS[f][0] for mark, f in marks.items() if data.startswith(mark)), None)
+    marks = {b"\x89PNG": "image/png", b"\xff\xd8\xff": "image/jpeg", b"BM": "image/bmp", b"GIF8": "image/gif"}
+    return next((kind for mark, kind in marks.items() if data.startswith(mark)), None)
 
 
-def convert_images(images: DataFrame, fmt: str) -> DataFrame:
-    """path, status, content in another format; opaque formats are put on white."""
+def convert_images(images: DataFrame, fmt: str, quality: float = K.PRIMARY_QUALITY) -> DataFrame:
+    """path, status, content in another format; opaque formats are put on white. Only JPEG has a quality, from 0 to 1."""
+    if not 0 <= quality <= 1:
+        raise ValueError("a quality is from 0 to 1")
 
     def work(path: str, data: bytes) -> tuple:
         from ..sources import jpeg
@@ -188,7 +192,7 @@ def convert_images(images: DataFrame, fmt: str) -> DataFrame:
         try:
             px = R.decode(data)
             if fmt == "jpeg":
-                return path, "done", jpeg.encode(R.on_white(px), K.PRIMARY_QUALITY)[0]
+                return path, "done", jpeg.encode(R.on_white(px), quality)[0]
             return path, "done", R.encode_bmp(px) if fmt == "bmp" else R.encode_png(px)
         except Exception as e:
             return path, f"error: {e}"[:200], None
@@ -212,3 +216,23 @@ def analyse_images(images: DataFrame) -> DataFrame:
 
     schema = "path string, status string, image_class string, unique_colors int, flatness double, extreme_ratio double, threshold int, g4_bytes int"
     return _mapped(images, work, schema, names, [pa.string()] * 3 + [pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32()])
+
+
+def optimise_images(images: DataFrame) -> DataFrame:
+    """path, status, original_bytes, new_bytes, steps, content: each image as the smallest lossless PNG found, with the
+    size after each step; a PNG that gets no smaller stays as it is."""
+    names = ["path", "status", "original_bytes", "new_bytes", "steps", "content"]
+
+    def work(path: str, data: bytes) -> tuple:
+        from ..sources import rasters as R
+
+        try:
+            best, steps = R.optimised_png(R.decode(data))
+            best = data if media_type(data) == "image/png" and len(data) <= len(best) else best
+            return path, "done", len(data), len(best), [{"step": step, "bytes": n} for step, n in steps], best
+        except Exception as e:
+            return path, f"error: {e}"[:200], None if data is None else len(data), None, None, data
+
+    schema = "path string, status string, original_bytes long, new_bytes long, steps array<struct<step:string,bytes:long>>, content binary"
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("step", pa.string()), ("bytes", pa.int64())])), pa.binary()]
+    return _mapped(images, work, schema, names, kinds)

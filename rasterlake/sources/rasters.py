@@ -49,23 +49,147 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def _filtered(rows: np.ndarray, step: int, mode: int) -> bytes:
+def _filters(rows: np.ndarray, step: int) -> np.ndarray:
+    """The rows (bytes) as each of the five filters codes them: plain, left, above, their mean, the nearest of three."""
     left = np.pad(rows, ((0, 0), (step, 0)))[:, : rows.shape[1]]
     up = np.pad(rows, ((1, 0), (0, 0)))[:-1]
-    made = {0: rows, 1: rows - left, 2: rows - up, 3: rows - ((left.astype(np.uint16) + up) // 2).astype(np.uint8)}[mode]
-    return np.concatenate([np.full((len(rows), 1), mode, np.uint8), made], axis=1).tobytes()
+    corner = np.pad(left, ((1, 0), (0, 0)))[:-1]
+    a, b, c = (v.astype(np.int16) for v in (left, up, corner))
+    far = [np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)]
+    nearest = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], up, corner))
+    return np.stack([rows, rows - left, rows - up, rows - ((a + b) // 2).astype(np.uint8), rows - nearest])
+
+
+def _stream(made: np.ndarray, modes: np.ndarray) -> bytes:
+    """The rows of chosen filters, each behind its filter's number."""
+    return np.concatenate([modes[:, None].astype(np.uint8), made[modes, np.arange(made.shape[1])]], axis=1).tobytes()
+
+
+def _choices(made: np.ndarray) -> list[tuple[str, np.ndarray]]:
+    """Filters of the rows by name: one for all, or for each row that of the least sum of differences, or of the least
+    entropy."""
+    h = made.shape[1]
+    found = [(name, np.full(h, k)) for k, name in enumerate(("plain", "left", "above", "mean", "nearest"))]
+    found.append(("least differences", np.minimum(made, 0 - made).sum(axis=2, dtype=np.int64).argmin(axis=0)))
+    share = np.stack([[np.bincount(row, minlength=256) for row in rows] for rows in made]) / max(1, made.shape[2])
+    entropy = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=2)
+    return [*found, ("least entropy", entropy.argmin(axis=0))]
+
+
+def _packed(index: np.ndarray, depth: int) -> np.ndarray:
+    """Samples (h, w) of 1, 2, 4 or 8 bits as rows of bytes."""
+    if depth == 8:
+        return index.astype(np.uint8)
+    planes = (index.astype(np.uint8)[:, :, None] >> np.arange(depth - 1, -1, -1, dtype=np.uint8)) & 1
+    return np.packbits(planes.reshape(len(index), -1), axis=1)
+
+
+def _depth(colours: int) -> int:
+    return next(d for d in (1, 2, 4, 8) if colours <= 1 << d)
+
+
+def _indexed(palette: np.ndarray, index: np.ndarray) -> tuple[str, int, int, int, np.ndarray, bytes]:
+    """A palette (n, 3 or 4) with the transparent entries first, so that the list of alphas is short."""
+    extra = b""
+    if palette.shape[1] == 4:
+        order = np.argsort(palette[:, 3], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        palette, index = palette[order], place[index]
+        extra = palette[: np.count_nonzero(palette[:, 3] < 255), 3].astype(np.uint8).tobytes()
+    depth = _depth(len(palette))
+    chunks = _chunk(b"PLTE", palette[:, :3].astype(np.uint8).tobytes()) + (_chunk(b"tRNS", extra) if extra else b"")
+    return "palette", 3, depth, 1, _packed(index, depth), chunks
+
+
+def _as_is(px: np.ndarray) -> tuple[str, int, int, int, np.ndarray, bytes]:
+    n = px.shape[2]
+    return "colour" if n == 3 else "colour and alpha", 2 if n == 3 else 6, 8, n, px.reshape(len(px), px.shape[1] * n), b""
+
+
+def forms(px: np.ndarray) -> list[tuple[str, int, int, int, np.ndarray, bytes]]:
+    """Ways to hold the same pixels: (name, colour type, bits, bytes a pixel, rows, chunks before the data): as they
+    are, without an alpha that says nothing, gray with as few bits as its values need, by a palette."""
+    h, found = len(px), [_as_is(px)]
+    opaque = px.shape[2] == 3 or bool((px[..., 3] == 255).all())
+    rgb = px[..., :3]
+    if opaque and px.shape[2] == 4:
+        found.append(("colour", 2, 8, 3, np.ascontiguousarray(rgb).reshape(h, -1), b""))
+    if (rgb[..., 0] == rgb[..., 1]).all() and (rgb[..., 1] == rgb[..., 2]).all():
+        gray = rgb[..., 0]
+        if opaque:
+            depth = next(d for d in (1, 2, 4, 8) if not (gray % (255 // ((1 << d) - 1))).any())
+            found.append(("gray", 0, depth, 1, _packed(gray // (255 // ((1 << depth) - 1)), depth), b""))
+        else:
+            found.append(("gray and alpha", 4, 8, 2, np.ascontiguousarray(px[..., [0, 3]]).reshape(h, -1), b""))
+    seen = px[..., : 3 if opaque else 4].reshape(-1, 3 if opaque else 4)
+    word = (seen.astype(np.uint32) << (8 * np.arange(seen.shape[1], dtype=np.uint32))).sum(axis=1, dtype=np.uint32)
+    if word.size:
+        names, index, often = np.unique(word, return_inverse=True, return_counts=True)
+        if len(names) <= 256:
+            order = np.argsort(-often, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            palette = ((names[order, None] >> (8 * np.arange(seen.shape[1], dtype=np.uint32))) & 255).astype(np.uint8)
+            found.append(_indexed(palette, place[index].reshape(px.shape[:2])))
+    return found
+
+
+def _png(w: int, h: int, form: tuple, body: bytes) -> bytes:
+    _, kind, depth, _, _, extra = form
+    return _SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, kind, 0, 0, 0)) + extra + _chunk(b"IDAT", body) + _chunk(b"IEND", b"")
 
 
 def encode_png(px: np.ndarray, palette: np.ndarray | None = None, index: np.ndarray | None = None, level: int = 9) -> bytes:
-    """Truecolour, or indexed if a palette is given. The smallest of four row filters is kept."""
+    """Truecolour, or indexed if a palette is given, one filter for all rows: the quick form of optimised_png."""
     h, w = px.shape[:2]
     if palette is not None and len(palette) <= 256:
-        kind, step, rows = 3, 1, index.astype(np.uint8)
-        extra = _chunk(b"PLTE", palette.astype(np.uint8).tobytes())
+        form = ("palette", 3, 8, 1, index.astype(np.uint8), _chunk(b"PLTE", palette.astype(np.uint8).tobytes()))
     else:
-        kind, step, rows, extra = (6, 4, px.reshape(h, -1), b"") if px.shape[2] == 4 else (2, 3, px.reshape(h, -1), b"")
-    body = min((zlib.compress(_filtered(rows, step, m), level) for m in ((0,) if kind == 3 else range(4))), key=len)
-    return _SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + extra + _chunk(b"IDAT", body) + _chunk(b"IEND", b"")
+        form = _as_is(px)
+    made = _filters(form[4], form[3])
+    body = min((zlib.compress(_stream(made, np.full(h, m)), level) for m in ((0,) if form[1] == 3 else range(4))), key=len)
+    return _png(w, h, form, body)
+
+
+def optimised_png(px: np.ndarray, palette: np.ndarray | None = None, index: np.ndarray | None = None) -> tuple[bytes, list[tuple[str, int]]]:
+    """The smallest lossless PNG found, and the size after each step: the quick form; the best of the ways to hold the
+    pixels; filters chosen for each row; other strategies of the compressor. A step is never larger than the last."""
+    h, w = px.shape[:2]
+    best = encode_png(px, palette, index)
+    steps = [("quick", len(best))]
+    if not h or not w:
+        return best, steps
+    options = forms(px)
+    if palette is not None and 0 < len(palette) <= 256:
+        options.append(_indexed(palette, index))
+    # which form is smallest shows already without filters, or with one
+    tried = []
+    for form in options:
+        made = _filters(form[4], form[3])
+        body, modes = min(((zlib.compress(_stream(made, np.full(h, m)), 9), m) for m in (0, 4)), key=lambda x: len(x[0]))
+        tried.append((len(_png(w, h, form, body)), len(tried), form, made, body))
+    tried.sort(key=lambda t: t[:2])
+    best = min(best, _png(w, h, tried[0][2], tried[0][4]), key=len)
+    steps.append((f"form: {tried[0][2][0]}, {tried[0][2][2]} bits", len(best)))
+    streams = []
+    for _, _, form, made, _ in tried[:2]:
+        for name, modes in _choices(made):
+            stream = _stream(made, modes)
+            body = zlib.compress(stream, 9)
+            streams.append((len(_png(w, h, form, body)), len(streams), name, form, stream, body))
+    streams.sort(key=lambda t: t[:2])
+    best = min(best, _png(w, h, streams[0][3], streams[0][5]), key=len)
+    steps.append((f"filters: {streams[0][2]}", len(best)))
+    how = "usual"
+    for _, _, _, form, stream, _ in streams[:2]:
+        for name, strategy in (("usual", zlib.Z_DEFAULT_STRATEGY), ("filtered", zlib.Z_FILTERED), ("runs", zlib.Z_RLE), ("codes alone", zlib.Z_HUFFMAN_ONLY)):
+            packer = zlib.compressobj(9, zlib.DEFLATED, 15, 9, strategy)
+            made = _png(w, h, form, packer.compress(stream) + packer.flush())
+            if len(made) < len(best):
+                best, how = made, name
+    steps.append((f"compressor: {how}", len(best)))
+    return best, steps
 
 
 def unfiltered(data: bytes, wide: int, step: int) -> np.ndarray:
@@ -97,31 +221,60 @@ def unfiltered(data: bytes, wide: int, step: int) -> np.ndarray:
     return out[1:]
 
 
+def _passes(w: int, h: int, laced: bool) -> list[tuple[int, int, int, int]]:
+    """(first column, first row, step across, step down) of each pass over an image; one, or the seven of Adam7."""
+    if not laced:
+        return [(0, 0, 1, 1)]
+    return [p for p in ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)) if p[0] < w and p[1] < h]
+
+
 def decode_png(data: bytes) -> np.ndarray:
-    """8-bit, not interlaced: gray, truecolour, indexed, with or without alpha."""
+    """Gray, truecolour or indexed, of 1 to 16 bits (of 16 the higher 8 count), with or without alpha or a transparent
+    colour, interlaced or not."""
     if data[:8] != _SIGNATURE:
         raise ValueError("no PNG")
-    at, body, palette = 8, b"", None
-    while at < len(data):
+    at, body, palette, clear, depth = 8, [], None, None, 0
+    while at + 8 <= len(data):
         (n,), kind = struct.unpack_from(">I", data, at), data[at + 4 : at + 8]
         part = data[at + 8 : at + 8 + n]
         if kind == b"IHDR":
             w, h, depth, colour, _, _, lace = struct.unpack(">IIBBBBB", part)
         elif kind == b"PLTE":
             palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
+        elif kind == b"tRNS":
+            clear = part
         elif kind == b"IDAT":
-            body += part
+            body.append(part)
         at += 12 + n
-    if depth != 8 or lace:
-        raise ValueError("only 8-bit images that aren't interlaced are read")
-    step = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    px = unfiltered(zlib.decompress(body), w * step, step).reshape(h, w, step)
+    if depth not in (1, 2, 4, 8, 16) or colour not in (0, 2, 3, 4, 6) or (colour == 3 and palette is None):
+        raise ValueError("a PNG of an unknown kind")
+    n, raw, used = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour], zlib.decompress(b"".join(body)), 0
+    px = np.zeros((h, w, n), np.uint16)
+    for x, y, dx, dy in _passes(w, h, bool(lace)):
+        pw, ph = -(-(w - x) // dx), -(-(h - y) // dy)
+        wide = -(-pw * n * depth // 8)
+        rows = unfiltered(raw[used : used + ph * (1 + wide)], wide, max(1, n * depth // 8))
+        used += ph * (1 + wide)
+        if depth == 16:
+            part = rows.reshape(ph, pw, n, 2).astype(np.uint16)
+            px[y::dy, x::dx] = part[..., 0] << 8 | part[..., 1]
+        elif depth == 8:
+            px[y::dy, x::dx] = rows.reshape(ph, pw, n)
+        else:
+            bits = (rows[:, :, None] >> np.arange(8 - depth, -1, -depth, dtype=np.uint8)) & ((1 << depth) - 1)
+            px[y::dy, x::dx] = bits.reshape(ph, -1)[:, : pw * n].reshape(ph, pw, n)
     if colour == 3:
-        return palette[px[..., 0]]
+        index = np.minimum(px[..., 0], len(palette) - 1)
+        alpha = np.full(len(palette), 255, np.uint8)
+        alpha[: len(clear or b"")] = np.frombuffer((clear or b"")[: len(palette)], np.uint8)
+        return palette[index] if clear is None else np.concatenate([palette, alpha[:, None]], axis=1)[index]
+    hidden = None
+    if clear is not None and colour in (0, 2):
+        hidden = (px == np.frombuffer(clear, ">u2")[:n]).all(axis=2)
+    px = (px >> 8 if depth == 16 else px * (255 // ((1 << depth) - 1))).astype(np.uint8)
     if colour in (0, 4):
-        gray = np.repeat(px[..., :1], 3, axis=2)
-        return gray if colour == 0 else np.concatenate([gray, px[..., 1:]], axis=2)
-    return px
+        px = np.concatenate([np.repeat(px[..., :1], 3, axis=2), px[..., 1:]], axis=2)
+    return px if hidden is None else np.concatenate([px, np.where(hidden, 0, 255).astype(np.uint8)[..., None]], axis=2)
 
 
 def decode(data: bytes) -> np.ndarray:

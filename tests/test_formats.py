@@ -400,3 +400,93 @@ def test_a_document_of_many_images_is_fitted_over_many_tasks(spark):
     shares = {r.salt for r in rasters_.select("salt").distinct().collect()}
     assert len(shares) == 63 and rasters_.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert min(rasters_.rdd.glom().map(len).collect()) > 50
+
+
+# PNG -----------------------------------------------------------------------------------------------------------
+
+
+def png_samples():
+    rng = np.random.default_rng(8)
+    noise = rng.integers(0, 256, (30, 40, 3), dtype=np.uint8)
+    gray = np.repeat(rng.integers(0, 256, (21, 33, 1), dtype=np.uint8), 3, axis=2)
+    few = rng.integers(0, 256, (7, 3), dtype=np.uint8)[rng.integers(0, 7, (40, 31))]
+    alpha = np.concatenate([few, rng.choice(np.array([0, 128, 255], np.uint8), (40, 31, 1))], axis=2)
+    return {
+        "noise": noise, "smooth": smooth(48, 64), "gray": gray, "few": few, "alpha": alpha, "opaque alpha": np.concatenate([few, np.full((40, 31, 1), 255, np.uint8)], axis=2),
+        "bilevel": np.repeat(rng.choice(np.array([0, 255], np.uint8), (19, 23, 1)), 3, axis=2), "four grays": np.repeat(rng.choice(np.array([0, 85, 170, 255], np.uint8), (19, 23, 1)), 3, axis=2),
+        "sixteen grays": np.repeat(17 * rng.integers(0, 16, (19, 23, 1), dtype=np.uint8), 3, axis=2), "one": np.full((1, 1, 3), 9, np.uint8), "row": noise[:1], "column": noise[:, :1], "flat": np.full((50, 50, 3), 200, np.uint8),
+        "noise and alpha": rng.integers(0, 256, (20, 20, 4), dtype=np.uint8), "gray and alpha": np.concatenate([gray, rng.integers(0, 256, (21, 33, 1), dtype=np.uint8)], axis=2),
+    }
+
+
+@pytest.mark.parametrize("name", list(png_samples()))
+def test_optimised_png(spark, tmp_path, name):
+    px = png_samples()[name]
+    best, steps = rasters.optimised_png(px)
+    assert [s.split(":")[0] for s, _ in steps] == ["quick", "form", "filters", "compressor"]
+    assert steps[0][1] == len(rasters.encode_png(px)) and steps[-1][1] == len(best) and [n for _, n in steps] == sorted((n for _, n in steps), reverse=True)
+    back = rasters.decode_png(best)
+    same = px if px.shape[2] == 3 or (px[..., 3] < 255).any() else px[..., :3]
+    if back.shape[2] == 3 and same.shape[2] == 4:
+        same = same[..., :3]
+    assert (back == same).all()
+    (tmp_path / "a.png").write_bytes(best)
+    seen = jvm_pixels(spark, tmp_path / "a.png") if (back[..., 0] != back[..., 1]).any() else None  # of gray it makes colours
+    assert seen is None or (seen[..., : same.shape[2]] == same).all()
+
+
+def test_png_forms_are_reduced():
+    want = {"gray": ("gray", 8), "bilevel": ("gray", 1), "four grays": ("gray", 2), "sixteen grays": ("gray", 4)}
+    for name, (form, bits) in want.items():
+        assert (form, bits) in [(f[0], f[2]) for f in rasters.forms(png_samples()[name])]
+    assert [(f[0], f[2]) for f in rasters.forms(png_samples()["few"])] == [("colour", 8), ("palette", 4)]
+    assert [f[0] for f in rasters.forms(png_samples()["opaque alpha"])] == ["colour and alpha", "colour", "palette"]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_optimised_png_is_lossless_and_not_larger(seed):
+    rng = np.random.default_rng(seed)
+    h, w, n = rng.integers(1, 40), rng.integers(1, 40), rng.choice([3, 4])
+    palette = rng.integers(0, 256, (rng.choice([2, 5, 200, 4000]), n), dtype=np.uint8)
+    px = palette[rng.integers(0, len(palette), (h, w))]
+    best, steps = rasters.optimised_png(px)
+    back = rasters.decode_png(best)
+    assert (back[..., :3] == px[..., :3]).all() and len(best) <= len(rasters.encode_png(px)) == steps[0][1]
+    assert n == 3 or (back[..., 3] == px[..., 3]).all() if back.shape[2] == 4 else n == 3 or (px[..., 3] == 255).all()
+    out, chosen, index = rasters.quantize(px, 16)
+    if n == 3:
+        small = rasters.optimised_png(out, chosen, index)[0]
+        assert (rasters.decode_png(small) == out).all() and len(small) <= len(rasters.encode_png(out, chosen, index))
+
+
+def laced(px):
+    h, w = px.shape[:2]
+    body = b"".join(np.pad(part.reshape(len(part), -1), ((0, 0), (1, 0))).tobytes() for part in (px[y::dy, x::dx] for x, y, dx, dy in rasters._passes(w, h, True)))
+    return rasters._SIGNATURE + rasters._chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 1)) + rasters._chunk(b"IDAT", zlib.compress(body)) + rasters._chunk(b"IEND", b"")
+
+
+def test_png_of_other_kinds():
+    px = smooth(13, 11)
+    for part in (px, px[:1], px[:, :1], px[:5, :3]):
+        assert (rasters.decode_png(laced(part)) == part).all()
+    deep = np.random.default_rng(1).integers(0, 65536, (4, 5, 3))
+    rows = np.concatenate([np.zeros((4, 1), np.uint8), deep.astype(">u2").view(np.uint8).reshape(4, -1)], axis=1)
+    head = lambda kind, depth, w, h: rasters._SIGNATURE + rasters._chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, kind, 0, 0, 0))
+    end = rasters._chunk(b"IEND", b"")
+    assert (rasters.decode_png(head(2, 16, 5, 4) + rasters._chunk(b"IDAT", zlib.compress(rows.tobytes())) + end) == deep >> 8).all()
+    gray = head(0, 2, 4, 1) + rasters._chunk(b"tRNS", b"\0\2") + rasters._chunk(b"IDAT", zlib.compress(bytes([0, 0b00011011]))) + end
+    assert rasters.decode_png(gray)[0].tolist() == [[0, 0, 0, 255], [85, 85, 85, 255], [170, 170, 170, 0], [255, 255, 255, 255]]
+    with pytest.raises(ValueError):
+        rasters.decode_png(head(7, 8, 1, 1) + end)
+
+
+def test_images_are_optimised_and_told_by_step(spark):
+    from rasterlake.operators import images
+
+    px = png_samples()["few"]
+    table = spark.createDataFrame([("a", bytearray(rasters.encode_bmp(px))), ("b", bytearray(rasters.optimised_png(px)[0])), ("c", bytearray(b"no")), ("d", None)], "path string, content binary")
+    got = {r.path: r for r in images.optimise_images(table).collect()}
+    assert got["a"].new_bytes == got["b"].new_bytes == got["b"].original_bytes and len(got["a"].steps) == 4
+    assert (rasters.decode(bytes(got["a"].content)) == px).all() and got["c"].status.startswith("error") and got["d"].status.startswith("error")
+    made = {q: images.convert_images(table.where("path = 'a'"), "jpeg", q).first().content for q in (0.2, 0.95)}
+    assert len(made[0.2]) < len(made[0.95])
