@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,33 +44,139 @@ def collect_garbage(objects: DataFrame, edges: DataFrame, roots: DataFrame, max_
     return objects.join(reachable(edges, roots, max_depth).select("key"), "key", "left_anti")
 
 
-def _multiply(m: Column, base: Column) -> Column:
-    a, b, c, d, e, f = (m[x] for x in "abcdef")
-    return F.struct(
-        (a * base["a"] + b * base["c"]).alias("a"),
-        (a * base["b"] + b * base["d"]).alias("b"),
-        (c * base["a"] + d * base["c"]).alias("c"),
-        (c * base["b"] + d * base["d"]).alias("d"),
-        (e * base["a"] + f * base["c"] + base["e"]).alias("e"),
-        (e * base["b"] + f * base["d"] + base["f"]).alias("f"),
-    )
-
-
-def replay(ops: Column) -> Column:
-    """Matrices in force at each paint, from an ordered array of (op, m, obj): save, restore, transform, paint.
-    A restore without a save gives the identity. Returns an array of (obj, width, height)."""
-    matrix = "struct<a:double,b:double,c:double,d:double,e:double,f:double>"
-    one = F.from_json(F.lit('{"a":1,"b":0,"c":0,"d":1,"e":0,"f":0}'), matrix)
-    start = F.struct(one.alias("ctm"), F.array().cast(f"array<{matrix}>").alias("stack"), F.array().cast("array<struct<obj:string,width:double,height:double>>").alias("out"))
-
-    def step(s, x):
-        top = F.coalesce(F.try_element_at(s["stack"], F.lit(-1)), one)
-        ctm = F.when(x["op"] == "transform", _multiply(x["m"], s["ctm"])).when(x["op"] == "restore", top).otherwise(s["ctm"])
-        stack = F.when(x["op"] == "save", F.array_append(s["stack"], s["ctm"])).when((x["op"] == "restore") & (F.size(s["stack"]) > 0), F.slice(s["stack"], F.lit(1), F.greatest(F.size(s["stack"]) - 1, F.lit(0)))).otherwise(s["stack"])
-        drawn = F.struct(x["obj"].alias("obj"), F.sqrt(s["ctm"]["a"] * s["ctm"]["a"] + s["ctm"]["b"] * s["ctm"]["b"]).alias("width"), F.sqrt(s["ctm"]["c"] * s["ctm"]["c"] + s["ctm"]["d"] * s["ctm"]["d"]).alias("height"))
-        return F.struct(ctm.alias("ctm"), stack.alias("stack"), F.when(x["op"] == "paint", F.array_append(s["out"], drawn)).otherwise(s["out"]).alias("out"))
-
-    return F.aggregate(ops, start, step)["out"]
+Matrix = tuple[float, float, float, float, float, float]
+IDENTITY: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+#: What a part of a stream starts from: the matrix in force there. The k-th matrix saved below it is k from 1 on.
+HERE = 0
+
+
+def product(m: Matrix, base: Matrix) -> Matrix:
+    """m applied before base."""
+    a, b, c, d, e, f = m
+    p, q, r, s, t, u = base
+    return a * p + b * r, a * q + b * s, c * p + d * r, c * q + d * s, e * p + f * r + t, e * q + f * s + u
+
+
+def extents(m: Matrix) -> tuple[float, float]:
+    """Width and height of what is painted in a unit square."""
+    return (m[0] * m[0] + m[1] * m[1]) ** 0.5, (m[2] * m[2] + m[3] * m[3]) ** 0.5
+
+
+def summary(steps: Iterable[tuple[str, Matrix | None]]) -> tuple[int, tuple[Matrix, int], list[tuple[Matrix, int]]]:
+    """What a part of an operator stream does, whatever comes before it: how many matrices saved earlier it takes, the
+    matrix in force at its end, and those it leaves saved. A matrix is told as (m, k): m before the k-th start."""
+    taken, now, saved = 0, (IDENTITY, HERE), []
+    for op, m in steps:
+        if op == "save":
+            saved.append(now)
+        elif op == "transform" and m is not None:
+            now = product(m, now[0]), now[1]
+        elif op == "restore":
+            if saved:
+                now = saved.pop()
+            else:
+                taken += 1
+                now = IDENTITY, taken
+    return taken, now, saved
+
+
+def replay(steps: Iterable[tuple[str, Matrix | None]], now: Matrix = IDENTITY, saved: list[Matrix] | None = None) -> Iterator[Matrix]:
+    """The matrix in force after each step, from a matrix and those saved (the last one on top); a restore without a
+    save gives the identity. Linear in the steps."""
+    saved = list(saved or [])
+    for op, m in steps:
+        if op == "save":
+            saved.append(now)
+        elif op == "transform" and m is not None:
+            now = product(m, now)
+        elif op == "restore":
+            now = saved.pop() if saved else IDENTITY
+        yield now
+
+
+def _steps(rows: pd.DataFrame) -> list[tuple[str, Matrix | None]]:
+    return [(op, tuple(m) if op == "transform" else None) for op, *m in rows[["op", *"abcdef"]].itertuples(index=False)]
+
+
+def replayed_rows(events: DataFrame, stream: str, span: int = 1 << 16) -> DataFrame:
+    """(stream, seq, obj, width, height) of every paint in streams of operators that are rows: stream, seq (long), op
+    (save, restore, transform, paint), a to f, obj.
+
+    A stream is cut into parts of `span` places, each a task's; a part's effect doesn't depend on what comes before.
+    The parts' effects, short as they are, meet once for each stream to give every part its start."""
+    kind = events.schema[stream].dataType.simpleString()
+    rows = events.select(F.col(stream).alias("stream"), F.floor(F.col("seq") / span).cast("long").alias("part"), "seq", "op", *"abcdef", "obj")
+    flat = "array<double>"
+
+    def told(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        taken, now, saved = summary(_steps(rows))
+        put = lambda many: ([x for m, _ in many for x in m], [k for _, k in many])
+        values, starts = put([*saved, now])
+        return pd.DataFrame([(rows["stream"].iloc[0], rows["part"].iloc[0], taken, values, starts)], columns=["stream", "part", "taken", "values", "starts"])
+
+    parts = rows.groupBy("stream", "part").applyInPandas(told, f"stream {kind}, part long, taken int, values {flat}, starts array<int>")
+
+    def begun(parts: pd.DataFrame) -> pd.DataFrame:
+        now, saved, made = IDENTITY, [], []
+        for r in parts.sort_values("part").itertuples(index=False):
+            top = saved[len(saved) - min(r.taken, len(saved)) :]
+            made.append((r.stream, r.part, [x for m in [*top, now] for x in m]))
+            of = [now, *reversed(top), *[IDENTITY] * (r.taken - len(top))]
+            told = [product(tuple(r.values[6 * k : 6 * k + 6]), of[start]) for k, start in enumerate(r.starts)]
+            saved, now = saved[: len(saved) - len(top)] + told[:-1], told[-1]
+        return pd.DataFrame(made, columns=["stream", "part", "begin"])
+
+    starts = parts.groupBy("stream").applyInPandas(begun, f"stream {kind}, part long, begin {flat}")
+
+    def drawn(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        names = ["stream", "seq", "obj", "width", "height"]
+        if not len(rows):
+            return pd.DataFrame(columns=names)
+        rows = rows.sort_values("seq")
+        begin = [tuple(start["begin"].iloc[0][k : k + 6]) for k in range(0, len(start["begin"].iloc[0]), 6)]
+        after = replay(_steps(rows), begin[-1], begin[:-1])
+        return pd.DataFrame([(s, q, o, *extents(m)) for (s, q, op, o), m in zip(rows[["stream", "seq", "op", "obj"]].itertuples(index=False), after, strict=True) if op == "paint"], columns=names)
+
+    made = rows.groupBy("stream", "part").cogroup(starts.groupBy("stream", "part")).applyInPandas(drawn, f"stream {kind}, seq long, obj string, width double, height double")
+    return made.withColumnRenamed("stream", stream)
+
+
+def page_paints(pages: DataFrame) -> DataFrame:
+    """(path, page, seq, obj, width, height) of every paint of pages (path, page, ops): a page is read by one task
+    anyway."""
+    schema = "path string, page string, seq int, obj string, width double, height double"
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for path, page, ops in batch[["path", "page", "ops"]].itertuples(index=False):
+                steps = [(o["op"], tuple(o["m"][k] for k in "abcdef") if o["m"] is not None else None) for o in ops]
+                made += [(path, page, n, o["obj"], *extents(m)) for n, (o, m) in enumerate(zip(ops, replay(steps), strict=True)) if o["op"] == "paint"]
+            yield pd.DataFrame(made, columns=names)
+
+    return pages.select("path", "page", "ops").mapInPandas(run, schema)
+
+
+def placements(paints: DataFrame, scope: str = "page") -> DataFrame:
+    """(path, key, width, height) for each painted object, from (path, page, place, seq, obj, width, height), place being
+    the page's among the file's: the largest on the first page that paints it, or (`scope` document) the largest of all;
+    of equals the first painted. An object that is painted without extent has no placement."""
+    if scope not in ("page", "document"):
+        raise ValueError("a scope is page or document")
+    area = (F.col("width") * F.col("height")).alias("area")
+    first = F.struct("path", F.col("obj").alias("key"), "place", "seq", "width", "height", area).alias("x")
+    rows = paints.where("obj is not null").select(first).select("x.*")
+    size = F.struct("area", (-F.col("place")).alias("place"), (-F.col("seq")).alias("seq"))
+    best = F.max_by(F.struct("width", "height"), size).alias("s")
+    if scope == "page":
+        # one row for each page and object, then the first page's
+        rows = rows.groupBy("path", "key", "place").agg(best)
+        rows = rows.groupBy("path", "key").agg(F.min_by("s", "place").alias("s"))
+    else:
+        rows = rows.groupBy("path", "key").agg(best)
+    return rows.where("s.width > 0 and s.height > 0").select("path", "key", "s.width", "s.height")
 
 
 def largest_placement(paints: DataFrame, keys: list[str], area: Column, seq: list[Column], value: Column) -> DataFrame:

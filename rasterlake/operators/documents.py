@@ -66,12 +66,12 @@ def redirected(objects: DataFrame, moves: DataFrame) -> DataFrame:
     }).drop("moves", "told")
 
 
-def placements(pages: DataFrame) -> DataFrame:
-    """(path, key, width_pt, height_pt): the largest placement of each painted object, from (path, page, ops)."""
-    paints = pages.select("path", F.explode(docgraph.replay(F.col("ops"))).alias("p")).where("p.obj is not null")
-    area = F.col("p.width") * F.col("p.height")
-    made = paints.groupBy("path", F.col("p.obj").alias("key")).agg(F.max_by(F.struct("p.width", "p.height"), area).alias("s"))
-    return made.select("path", "key", F.col("s.width").alias("width_pt"), F.col("s.height").alias("height_pt"))
+def placements(pages: DataFrame, scope: str = "page") -> DataFrame:
+    """(path, key, width_pt, height_pt) of each painted object, from (path, page, place, ops): the largest placement on
+    the first page that paints it, or with `scope` document the largest in all."""
+    where = pages.select(F.col("path").alias("of"), F.col("page").alias("at"), "place")
+    paints = docgraph.page_paints(pages).join(where, (F.col("path") == F.col("of")) & (F.col("page") == F.col("at"))).drop("of", "at")
+    return docgraph.placements(paints, scope).withColumnsRenamed({"width": "width_pt", "height": "height_pt"})
 
 
 def scaled(w: int, h: int, ratio: float) -> tuple[int, int]:
@@ -299,10 +299,10 @@ def assembled(objects: DataFrame) -> DataFrame:
     return objects.groupBy("path").applyInPandas(build, "path string, pdf binary, broken string")
 
 
-def compress_documents(files: DataFrame, max_dpi: float | None = None, target_bytes: int | None = None) -> DataFrame:
+def compress_documents(files: DataFrame, max_dpi: float | None = None, target_bytes: int | None = None, scope: str = "page") -> DataFrame:
     """path, status, technique, format_label, counts, sizes, hit_target, content of each document (path, content).
 
-    With `target_bytes` the images are fitted to the size, otherwise coded for `max_dpi`. A file that gets no smaller
+    `scope` says which placement of an image counts, as in placements(). With `target_bytes` the images are fitted to the size, otherwise coded for `max_dpi`. A file that gets no smaller
     stays as it is, and so does one that can't be read, with its error as status. Pages aren't rendered, so a target
     that images alone can't reach is told as not hit. Images that aren't decoded stay as they are; `left_out` counts
     them and `left_out_images` tells of each why.
@@ -317,8 +317,12 @@ def compress_documents(files: DataFrame, max_dpi: float | None = None, target_by
     moves = stored(same_images.withColumn("what", F.lit("image")).unionByName(same_fonts.withColumn("what", F.lit("font"))))
     rows = stored(redirected(rows, moves.drop("what")))
     kept = moves.where("what = 'image' and key = canonical").select("path", "key")
-    placed = placements(pdf.page_operators(files)).join(moves.select("path", "key", "canonical"), ["path", "key"], "left").withColumn("key", F.coalesce("canonical", "key"))
-    placed = placed.groupBy("path", "key").agg(F.max_by(F.struct("width_pt", "height_pt"), F.col("width_pt") * F.col("height_pt")).alias("p")).select("path", "key", "p.width_pt", "p.height_pt")
+    # what is painted under the name of a merged image is the one that stays
+    pages_ = pdf.page_operators(files)
+    where = pages_.select(F.col("path").alias("of"), F.col("page").alias("at"), "place")
+    paints = docgraph.page_paints(pages_).join(where, (F.col("path") == F.col("of")) & (F.col("page") == F.col("at"))).drop("of", "at")
+    paints = paints.join(moves.select("path", F.col("key").alias("obj"), "canonical"), ["path", "obj"], "left").withColumn("obj", F.coalesce("canonical", "obj"))
+    placed = docgraph.placements(paints, scope).withColumnsRenamed({"width": "width_pt", "height": "height_pt"})
     images = with_parts(rows.join(kept, ["path", "key"], "left_semi").join(placed, ["path", "key"], "left"), rows)
     sizes = files.select("path", F.length("content").cast("long").alias("length"))
     if target_bytes is None:

@@ -152,8 +152,10 @@ def next_change(spark, sf_dir):
 
 
 def run_codes(spark, sf_dir):
-    tables = spark.range(0, 6000).select(F.col("id").cast("int").alias("length"))
-    return tables.select("length", runs.run_code(F.col("length"), F.lit(False)).alias("white"), runs.run_code(F.col("length"), F.lit(True)).alias("black"))
+    """Codes of runs of a given table's lengths: those of documents, as far as a row of pixels may be wide."""
+    lengths = _t(spark, sf_dir, "documents").select(F.pmod(F.length(F.coalesce("text", F.lit(""))), F.lit(6000)).cast("int").alias("length"))
+    counted = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("length", "n", runs.run_code(F.col("length"), F.lit(False)).alias("white"), runs.run_code(F.col("length"), F.lit(True)).alias("black"))
 
 
 def g4_row_reference(spark, sf_dir):
@@ -172,9 +174,9 @@ def ctm_replay(spark, sf_dir):
     kind = F.pmod("event_id", F.lit(4))
     op = F.when(kind == 0, "save").when(kind == 1, "transform").when(kind == 2, "paint").otherwise("restore")
     m = F.struct(*(x.cast("double").alias(n) for n, x in zip("abcdef", (v, F.lit(0.5), F.lit(-0.5), v, F.lit(1), F.lit(2)), strict=True)))
-    ops = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", op.alias("op"), m.alias("m"), F.col("event_type").alias("obj")))).alias("ops"))
-    drawn = ops.select("user_id", F.explode(docgraph.replay(F.col("ops"))).alias("d"))
-    return drawn.groupBy("user_id").agg(F.count(F.lit(1)).alias("paints"), F.round(F.sum("d.width"), 6).alias("width"), F.round(F.sum("d.height"), 6).alias("height"))
+    rows = _t(spark, sf_dir, "events").select("user_id", F.col("event_id").cast("long").alias("seq"), op.alias("op"), m.alias("m"), F.col("event_type").alias("obj")).select("user_id", "seq", "op", "m.*", "obj")
+    drawn = docgraph.replayed_rows(rows, "user_id", span=4096)
+    return drawn.groupBy("user_id").agg(F.count(F.lit(1)).alias("paints"), F.round(F.sum("width"), 6).alias("width"), F.round(F.sum("height"), 6).alias("height"))
 
 
 def placement_max(spark, sf_dir):

@@ -62,6 +62,38 @@ def _next(test: str) -> str:
     return f"coalesce(list_min(list_filter(el, lambda x, i: x > 31{test})), 64)::INT"
 
 
+def _run(length: str, black: str) -> str:
+    """The code of a run of less than 64 pixels, by colour."""
+    return f"CASE WHEN {black} THEN {_table(R.BLACK_TERMINATING)}[{length} + 1] ELSE {_table(R.WHITE_TERMINATING)}[{length} + 1] END"
+
+
+#: Rows of 8 pixels as changing elements, and the coding position moved along each until it leaves the row.
+_G4 = _BITS + """,
+ro AS (SELECT vec_id, y, list_filter(range(8), lambda i: substr(bits, y * 8 + i + 1, 1) <> CASE WHEN i = 0 THEN '0' ELSE substr(bits, y * 8 + i, 1) END) AS own FROM bm, unnest(range(8)) u(y)),
+ra AS (SELECT vec_id, y, own, coalesce(lag(own) OVER (PARTITION BY vec_id ORDER BY y), []) AS above FROM ro)"""
+_PAST = "len(list_filter({0}, lambda x: x <= a0))"
+_FIRST = "({0} + CASE WHEN {0} % 2 <> colour THEN 1 ELSE 0 END)"
+_MOVES = """,
+mv(vec_id, y, own, above, a0, colour, code) AS (SELECT vec_id, y, own, above, -1, 0, '' FROM ra
+UNION ALL SELECT vec_id, y, own, above, CASE WHEN b2 < a1 THEN b2 WHEN abs(a1 - b1) <= 3 THEN a1 ELSE a2 END::INT, CASE WHEN b2 >= a1 AND abs(a1 - b1) <= 3 THEN 1 - colour ELSE colour END,
+  code || CASE WHEN b2 < a1 THEN '{pass_}' WHEN abs(a1 - b1) <= 3 THEN {vertical}[a1 - b1 + 4] ELSE '{horizontal}' || {one} || {two} END
+FROM (SELECT *, coalesce(own[ka + 1], 8) AS a1, coalesce(own[ka + 2], 8) AS a2, coalesce(above[kb + 1], 8) AS b1, coalesce(above[kb + 2], 8) AS b2
+  FROM (SELECT *, {ka} AS ka, {kb} AS kb FROM mv WHERE a0 < 8))),
+al AS (SELECT vec_id, string_agg(code, '' ORDER BY y) || '{end}' AS code FROM mv WHERE a0 >= 8 GROUP BY vec_id),
+pd AS (SELECT vec_id, code || repeat('0', (8 - len(code) % 8) % 8) AS code FROM al)""".format(
+    pass_=R.PASS, horizontal=R.HORIZONTAL, end=R.END, vertical=_table([R.VERTICAL[d] for d in range(-3, 4)]),
+    one=_run("(a1 - greatest(a0, 0))", "colour = 1"), two=_run("(a2 - a1)", "colour = 0"), ka=_FIRST.format(_PAST.format("own")), kb=_FIRST.format(_PAST.format("above")),
+)
+_NIBBLE = "(CASE WHEN {0} = '1' THEN {1} ELSE 0 END)"
+_HEX = "substr('0123456789ABCDEF', 1 + " + " + ".join(_NIBBLE.format(f"substr(code, 4 * i + {k + 1}, 1)", 8 >> k) for k in range(4)) + ", 1)"
+#: Graphics states of each stream of operators, event by event: matrix in force and stack.
+_PRODUCT = "[m[1] * c[1] + m[2] * c[3], m[1] * c[2] + m[2] * c[4], m[3] * c[1] + m[4] * c[3], m[3] * c[2] + m[4] * c[4], m[5] * c[1] + m[6] * c[3] + c[5], m[5] * c[2] + m[6] * c[4] + c[6]]"
+_REPLAY = f"""ev AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_id % 4 AS op, coalesce(value, 0.0)::DOUBLE / 100 AS v FROM events),
+st(user_id, k, op, c, stack) AS (SELECT user_id, 0::BIGINT, 9::BIGINT, [1.0::DOUBLE, 0, 0, 1, 0, 0], CAST([] AS DOUBLE[][]) FROM ev GROUP BY user_id
+UNION ALL SELECT user_id, k, op, CASE op WHEN 1 THEN {_PRODUCT} WHEN 3 THEN coalesce(stack[-1], [1.0::DOUBLE, 0, 0, 1, 0, 0]) ELSE c END,
+  CASE op WHEN 0 THEN list_append(stack, c) WHEN 3 THEN stack[:-2] ELSE stack END
+FROM (SELECT ev.user_id, ev.k, ev.op, c, stack, [v, 0.5::DOUBLE, -0.5::DOUBLE, v, 1.0::DOUBLE, 2.0::DOUBLE] AS m FROM st JOIN ev ON ev.user_id = st.user_id AND ev.k = st.k + 1))"""
+
 _PICK = "struct_pack(a := l_quantity * l_extendedprice, o := -l_orderkey, s := -l_suppkey, n := -l_linenumber)"
 
 ORACLE_SQL: dict[str, str] = {
@@ -92,7 +124,9 @@ SELECT px, arg_min(idx, struct_pack(d := d, i := idx)) AS entry, min(d) AS dista
     "run_lengths": f"""WITH {_CH}, ed AS (SELECT vec_id, list_concat([0], el, [64]) AS ed FROM ch)
 SELECT vec_id, unnest(range(len(ed) - 1))::INT AS run, unnest(list_transform(range(1, len(ed)), lambda i: ed[i + 1] - ed[i]))::INT AS length FROM ed""",
     "next_change": f"WITH {_CH} SELECT vec_id, {_next('')} AS any_change, {_next(' AND i % 2 = 1')} AS from_white, {_next(' AND i % 2 = 0')} AS from_black FROM ch",
-    "run_codes": f"SELECT length::INT AS length, {_code(R.WHITE_TERMINATING, R.WHITE_MAKEUP)} AS white, {_code(R.BLACK_TERMINATING, R.BLACK_MAKEUP)} AS black FROM range(6000) t(length)",
+    "run_codes": f"SELECT length::INT AS length, n, {_code(R.WHITE_TERMINATING, R.WHITE_MAKEUP)} AS white, {_code(R.BLACK_TERMINATING, R.BLACK_MAKEUP)} AS black FROM (SELECT length(coalesce(text, \'\')) % 6000 AS length, count(*) AS n FROM documents GROUP BY 1)",
+    "g4_encode": f"WITH RECURSIVE {_G4}{_MOVES} SELECT vec_id, (SELECT string_agg({_HEX}, '' ORDER BY i) FROM unnest(range(len(code) // 4)) u(i)) AS code FROM pd",
+    "ctm_replay": f"WITH RECURSIVE {_REPLAY} SELECT user_id, count(*) AS paints, round(sum(sqrt(c[1] * c[1] + c[2] * c[2])), 6) AS width, round(sum(sqrt(c[3] * c[3] + c[4] * c[4])), 6) AS height FROM st WHERE op = 2 GROUP BY user_id",
     "g4_row_reference": f"WITH {_CH} SELECT vec_id, coalesce(lag(el::INT[]) OVER (PARTITION BY label ORDER BY vec_id), []) AS reference FROM ch",
     "placement_max": f"""SELECT l_partkey, -max({_PICK}).o AS l_orderkey, -max({_PICK}).s AS l_suppkey, -max({_PICK}).n AS l_linenumber, round(max({_PICK}).a, 2) AS area FROM lineitem GROUP BY l_partkey""",
     "effective_dpi": """WITH p AS (SELECT p_partkey, p_size * 100 AS w, p_size * 80 AS h, CASE WHEN p_partkey % 10 <> 0 THEN p_retailprice END AS wp, p_retailprice / 2 AS hp FROM part),

@@ -421,6 +421,26 @@ def operators(content: bytes) -> list[tuple[str, list[float] | None, str | None]
     return found
 
 
+def page_order(found: dict[str, tuple[bytes, bytes | None]], trailer: dict[str, str]) -> list[str]:
+    """Keys of the pages as the page tree has them."""
+    root = entries(found.get(key_of(trailer.get("Root", "")) or "", (b"", None))[0])
+    pages, seen, stack = [], set(), [key_of(root.get("Pages", ""))]
+    while stack:
+        key = stack.pop()
+        if key not in found or key in seen:
+            continue
+        seen.add(key)
+        own = entries(found[key][0])
+        if own.get("Type") == "/Page":
+            pages.append(key)
+            continue
+        kids = own.get("Kids", "").encode("latin-1")
+        if (ref := key_of(own.get("Kids", ""))) in found:
+            kids = found[ref][0]
+        stack += reversed(references(kids))
+    return pages
+
+
 def _pages(found: dict[str, tuple[bytes, bytes | None]]) -> Iterator[tuple[str, list]]:
     """(key, operators) of every page; what is painted is told by its key."""
     look = lambda v: found.get(key_of(v) or "", (v.encode("latin-1"), None))
@@ -428,11 +448,16 @@ def _pages(found: dict[str, tuple[bytes, bytes | None]]) -> Iterator[tuple[str,
         page = entries(body)
         if page.get("Type") != "/Page":
             continue
+        # what a page names comes first, then what those above it name
+        names: dict[str, str] = {}
         above, seen = page, {key}
-        while "Resources" not in above and (up := key_of(above.get("Parent", ""))) and up in found and up not in seen:
+        while True:
+            names = entries(look(entries(look(above.get("Resources", ""))[0]).get("XObject", ""))[0]) | names
+            up = key_of(above.get("Parent", ""))
+            if up not in found or up in seen:
+                break
             seen.add(up)
             above = entries(found[up][0])
-        names = entries(look(entries(look(above.get("Resources", ""))[0]).get("XObject", ""))[0])
         content = page.get("Contents", "")
         parts = references(content.encode("latin-1"))
         if len(parts) == 1 and found.get(parts[0], (b"", b""))[1] is None:
@@ -485,18 +510,21 @@ def objects(files: DataFrame) -> DataFrame:
 
 
 def page_operators(files: DataFrame) -> DataFrame:
-    """(path, page, ops): the graphics-state operators of every page in order, as operators/docgraph.py replays them."""
-    schema = "path string, page string, ops array<struct<op:string,m:struct<a:double,b:double,c:double,d:double,e:double,f:double>,obj:string>>"
+    """(path, page, place, ops): the graphics-state operators of every page in order, as operators/docgraph.py replays
+    them; place: the page's number in the page tree, from 0, pages that no tree holds last."""
+    schema = "path string, page string, place int, ops array<struct<op:string,m:struct<a:double,b:double,c:double,d:double,e:double,f:double>,obj:string>>"
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, data in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    for page, ops in _pages(read(bytes(data))[0]):
-                        rows.append((path, page, [{"op": op, "m": dict(zip("abcdef", m, strict=True)) if m else None, "obj": obj} for op, m, obj in ops]))
+                    found, trailer = read(bytes(data))
+                    order = {page: n for n, page in enumerate(page_order(found, trailer))}
+                    for page, ops in _pages(found):
+                        rows.append((path, page, order.setdefault(page, len(order)), [{"op": op, "m": dict(zip("abcdef", m, strict=True)) if m else None, "obj": obj} for op, m, obj in ops]))
                 except (ValueError, KeyError, IndexError):
                     continue
-            yield pd.DataFrame(rows, columns=["path", "page", "ops"])
+            yield pd.DataFrame(rows, columns=["path", "page", "place", "ops"])
 
     return files.select("path", "content").mapInPandas(take, schema)

@@ -1,9 +1,11 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rasterlake.functions import exprs as E
-from rasterlake.operators import budget, docgraph, documents, g4, images, palette, runs
+from rasterlake.operators import budget, docgraph, documents, g4, images, palette, runs, similarity
 from rasterlake.sources import files, rasters
 
 
@@ -81,10 +83,90 @@ def test_rasters_round_trip_and_edges():
 def test_ctm_restore_on_empty_stack(spark):
     m = "named_struct('a',2D,'b',0D,'c',0D,'d',3D,'e',0D,'f',0D)"
     ops = ", ".join(f"named_struct('op','{o}','m',{m},'obj','x')" for o in ("transform", "save", "transform", "paint", "restore", "paint", "restore", "paint"))
-    out = spark.sql(f"select array({ops}) ops").select(docgraph.replay(F.col("ops")).alias("o")).first().o
+    out = docgraph.page_paints(spark.sql(f"select 'a' path, 'p' page, array({ops}) ops")).orderBy("seq").collect()
     assert [(r.width, r.height) for r in out] == [(4.0, 9.0), (2.0, 3.0), (1.0, 1.0)]
 
 
+def random_steps(rng, n):
+    ops = [rng.choice(("save", "transform", "paint", "restore", "restore")) for _ in range(n)]
+    return [(op, tuple(rng.choice((0.5, 1.0, 2.0, -1.0, 0.0)) for _ in range(6)) if op == "transform" else None) for op in ops]
+
+
+def test_parts_of_a_stream_have_the_effect_of_the_whole():
+    rng = random.Random(1)
+    for _ in range(200):
+        steps = random_steps(rng, rng.randrange(40))
+        want = list(docgraph.replay(steps))
+        now, saved, got = docgraph.IDENTITY, [], []
+        while len(got) < len(steps):
+            part = steps[len(got) : len(got) + rng.randint(1, 7)]
+            taken, end, left = docgraph.summary(part)
+            got += docgraph.replay(part, now, saved)
+            of = lambda k, now=now, saved=tuple(saved): now if not k else saved[-k] if k <= len(saved) else docgraph.IDENTITY
+            saved = saved[: len(saved) - min(taken, len(saved))] + [docgraph.product(m, of(k)) for m, k in left]
+            now = docgraph.product(end[0], of(end[1]))
+        assert got == want
+
+
+@pytest.mark.parametrize("span", [1, 3, 1000, 1 << 20])
+def test_streams_of_rows_are_replayed_in_parts(spark, span):
+    rng = random.Random(span)
+    streams = {s: random_steps(rng, n) for s, n in (("a", 60), ("b", 1), ("c", 25))}
+    rows = [(s, 2 * k, op, *(m or [None] * 6), f"o{k}") for s, steps in streams.items() for k, (op, m) in enumerate(steps)]
+    events = spark.createDataFrame(rows, "s string, seq long, op string, a double, b double, c double, d double, e double, f double, obj string").repartition(3)
+    got = {(r.s, r.seq): (r.width, r.height) for r in docgraph.replayed_rows(events, "s", span).collect()}
+    want = {(s, 2 * k): docgraph.extents(m) for s, steps in streams.items() for k, ((op, _), m) in enumerate(zip(steps, docgraph.replay(steps), strict=True)) if op == "paint"}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_long_streams_are_replayed_in_linear_time(spark):
+    import time
+
+    def took(n):
+        steps = [("save", None)] * (n // 4) + [("transform", (1.0, 0.0, 0.0, 1.0, 1.0, 0.0)), ("paint", None)] * (n // 4) + [("restore", None)] * (n // 4)
+        start = time.perf_counter()
+        assert sum(1 for _ in docgraph.replay(steps)) == len(steps) and docgraph.summary(steps)[0] == 0
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(200_000) < 60 * took(20_000)
+    steps = [("save", None), ("transform", (1.0, 0.0, 0.0, 1.0, 1.0, 0.0)), ("paint", None)] * 20_000 + [("restore", None), ("paint", None)] * 20_000
+    rows = [("a", k, op, *(m or [None] * 6), "x") for k, (op, m) in enumerate(steps)]
+    events = spark.createDataFrame(rows, "s string, seq long, op string, a double, b double, c double, d double, e double, f double, obj string")
+    assert docgraph.replayed_rows(events, "s", 9000).where("width = 1 and height = 1").count() == 40_000
+
+
+def test_placement_scopes_differ(spark):
+    rows = [("f", "p1", 0, 5, "x", 2.0, 2.0), ("f", "p1", 0, 6, "x", 3.0, 1.0), ("f", "p1", 0, 7, "x", 4.0, 1.0), ("f", "p2", 1, 1, "x", 9.0, 9.0), ("f", "p2", 1, 2, "y", 0.0, 4.0), ("f", "p2", 1, 3, None, 8.0, 8.0), ("g", "p1", 0, 1, "x", 1.0, 1.0)]
+    paints = spark.createDataFrame(rows, "path string, page string, place int, seq int, obj string, width double, height double")
+    got = lambda scope: sorted(tuple(r) for r in docgraph.placements(paints, scope).collect())
+    assert got("page") == [("f", "x", 2.0, 2.0), ("g", "x", 1.0, 1.0)] and got("document") == [("f", "x", 9.0, 9.0), ("g", "x", 1.0, 1.0)]
+    with pytest.raises(ValueError):
+        docgraph.placements(paints, "file")
+
+
+def test_nearest_entries_of_large_palettes(spark):
+    rng = random.Random(2)
+    entries = [(k, rng.randrange(20), rng.randrange(20)) for k in range(70)]
+    points = [(k, rng.randrange(20), rng.randrange(20)) for k in range(50)]
+    table = lambda rows, name: spark.createDataFrame(rows, f"{name} long, r long, g long")
+    want = {k: min((((r - x) ** 2 + (g - y) ** 2), e) for e, x, y in entries) for k, r, g in points}
+    for most in (100, 70, 16, 1):
+        got = similarity.nearest(table(points, "px"), table(entries, "idx"), "px", ["r", "g"], most).collect()
+        assert {r.px: (r.distance, r.entry) for r in got} == want
+
+
+def test_resampling_by_area(spark):
+    rng = np.random.default_rng(3)
+    for (h, w), (th, tw) in (((6, 9), (4, 3)), ((5, 7), (5, 7)), ((2, 3), (5, 4)), ((8, 8), (1, 1))):
+        g = rng.integers(0, 256, (h, w))
+        rows = [(1, x, y, int(g[y, x])) for y in range(h) for x in range(w)]
+        px = spark.createDataFrame(rows, "image long, x long, y long, g long")
+        made = similarity.resampled(px, spark.createDataFrame([(1, w, h, tw, th)], "image long, w long, h long, to_w long, to_h long"), "image")
+        fine = np.repeat(np.repeat(g, th, axis=0), tw, axis=1).reshape(th, h, tw, w).mean(axis=(1, 3))
+        assert {(r.x, r.y): r.g for r in made.collect()} == {(x, y): int(np.floor(fine[y, x] + 0.5)) for y in range(th) for x in range(tw)}
+
+
 def test_reachable_through_a_cycle(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "src string, dst string")
     roots = spark.createDataFrame([("a",)], "key string")
