@@ -263,11 +263,24 @@ def test_pdf_graph(spark):
     assert [[o.op for o in r.ops] for r in pages] == [["save", "transform", "paint", "restore"]] * 2
 
 
-def test_stream_of_images(spark, tmp_path):
+def test_stream_of_files(spark, tmp_path):
+    from rasterlake.sources import jpeg
     from rasterlake.streaming.ingest import compress_stream
+    from tests.test_documents import book, sample, smooth
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.bmp").write_bytes(rasters.encode_bmp(np.zeros((16, 16, 3), np.uint8)))
-    q = compress_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"))
-    q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    (tmp_path / "in/b.JPEG").write_bytes(jpeg.encode(smooth(40, 40), 0.98)[0])
+    (tmp_path / "in/c.pdf").write_bytes(book(sample(smooth(40, 60), np.zeros((60, 60), np.uint8))))
+    (tmp_path / "in/d.txt").write_bytes(b"not taken")
+    compress_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), files_per_batch=2).awaitTermination()
+    reports = {r.path[-5:]: r for r in spark.read.parquet(str(tmp_path / "out/reports")).collect()}
+    contents = {r.path[-5:]: bytes(r.content) for r in spark.read.parquet(str(tmp_path / "out/contents")).collect()}
+    assert set(reports) == set(contents) == {"a.bmp", ".JPEG", "c.pdf"} and {r.status for r in reports.values()} == {"done"}
+    assert all(len(contents[k]) == r.new_bytes < r.original_bytes for k, r in reports.items() if r.technique != "untouched") and reports["c.pdf"].kind == "pdf"
+    assert (rasters.decode(contents["a.bmp"])[..., :3] == 0).all()
+    # later files come in a later batch, to a sink of one's own
+    seen = []
+    (tmp_path / "in/e.bmp").write_bytes(rasters.encode_bmp(np.zeros((24, 16, 3), np.uint8)))
+    compress_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), sink=lambda rows, n: seen.append((n, rows.count()))).awaitTermination()
+    assert [n for _, n in seen] == [1]
