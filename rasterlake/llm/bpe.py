@@ -1,18 +1,18 @@
 """BPE encoding and decoding by a distinct-word table.
 
-Texts are split at white space inside Spark's Arrow tasks. Each task keeps a table of the distinct words it
-has met; a word is encoded once, and the ids go back to every position of the word. Decoding looks every id
-up in the id-to-piece table of the vocabulary.
+Texts are packed into blocks of some MB, written once. Each block gives its distinct words (split at white space),
+numbered in their order; the distinct words of all blocks are one table, of which every word is encoded once. Its ids
+are exploded and joined with the vocabulary's id-to-piece table, which decodes them. Ids and pieces then go back to the
+words by a join, to their blocks as one list by number, and the blocks' texts take them by position.
 
-Why the table is per task and not one shuffled table: joining ids back by position would shuffle one row for
-each word occurrence, several times the input; splitting per task shuffles nothing.
+What is joined are distinct words of blocks, not words of texts: a frequent word is one row a block.
 
-A white-space cut is safe for vocabularies whose pre-tokenizer drops white space: no token, contraction or
-added token spans a cut, and normalisation to NFC composes nothing with a space.
+A white-space cut is safe for vocabularies whose pre-tokenizer drops white space: no token, contraction or added token
+spans a cut, and normalisation to NFC composes nothing with a space.
 
-Defined results: a null text counts as empty (no ids, empty decoded text); a text of white space has no ids;
-repeated rows each get their own result; an empty table gives no rows; columns other than the id and text
-are not read.
+Defined results: a null text counts as empty (no ids, empty decoded text); a text of white space has no ids; bytes that
+are no UTF-8 count as U+FFFD; repeated rows each get their own result; a text longer than a block is a block by itself,
+encoded whole; an empty table gives no rows; columns other than the id and text are not read.
 """
 
 from __future__ import annotations
@@ -20,57 +20,114 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import table, tokenizer_path
-
-#: Words a task's table holds before it starts anew: bounds a worker's memory, changes no result.
-TABLE_WORDS = 400_000
-CHUNK_BYTES = 4_000_000
-
-
-class WordTable(dict):
-    """word -> (ids as decimal bytes, pieces, number of ids); both joined by one space."""
-
-    def __init__(self, path: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.id_text = {i: str(i).encode() for i in vocab.values()}
-        self.piece = {i: p.encode() for p, i in vocab.items()}
-
-    def add(self, words: list[bytes]) -> None:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for k in range(0, len(words), 20_000):
-            some = words[k : k + 20_000]
-            for word, made in zip(some, encode([w.decode() for w in some], add_special_tokens=False), strict=True):
-                ids = made.ids
-                self[word] = (b" ".join([self.id_text[i] for i in ids]), b" ".join([self.piece[i] for i in ids]), len(ids))
-
-    def rows(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes, int]]:
-        """For each text: ids, pieces, number of ids. Texts are split a few MB at a time; a longer one alone."""
-        start = 0
-        while start < len(texts):
-            end, held, some = start, 0, []
-            while end < len(texts) and (not some or held + len(texts[end]) < CHUNK_BYTES):
-                some.append(texts[end].split())
-                held += len(texts[end])
-                end += 1
-            if len(self) > TABLE_WORDS:
-                self.clear()
-            self.add([w for w in set().union(*some) if w not in self])
-            for words in some:
-                found = [x for x in map(self.__getitem__, words) if x[2]]
-                yield b" ".join([x[0] for x in found]), b" ".join([x[1] for x in found]), sum([x[2] for x in found])
-            start = end
+from .common import Scratch, table, tokenizer_path
+
+#: Bytes of text in a block, beyond which no further text joins it.
+BLOCK_BYTES = 4_000_000
+LEVEL = 3
+
+
+class Blocks:
+    """Texts as blocks: one string of bytes, compressed, with the length of each text."""
+
+    @staticmethod
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack, part, n = zstandard.ZstdCompressor(level=LEVEL), TaskContext.get().partitionId(), 0
+        ids: list = []
+        texts: list[bytes] = []
+        held, kind = 0, None
+
+        def block() -> pa.RecordBatch:
+            nonlocal ids, texts, held, n
+            sizes = np.array([len(t) for t in texts], np.int64)
+            columns = [pa.array([part << 32 | n], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(texts))], pa.binary())]
+            ids, texts, held, n = [], [], 0, n + 1
+            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "z"])
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                text = text.as_py() or b""
+                try:
+                    text.decode()
+                except UnicodeDecodeError:
+                    text = text.decode("utf-8", "replace").encode()
+                if texts and held + len(text) > BLOCK_BYTES:
+                    yield block()
+                ids.append(i)
+                texts.append(text)
+                held += len(text)
+        if texts:
+            yield block()
+
+    @staticmethod
+    def words(sizes: list[int], z: bytes) -> tuple[list[list[bytes]], list[bytes]]:
+        """The words of each text, and the block's distinct words in order."""
+        import zstandard
+
+        text = zstandard.ZstdDecompressor().decompress(z, max_output_size=sum(sizes))
+        ends = np.cumsum([0, *sizes]).tolist()
+        split = [text[a:b].split() for a, b in zip(ends, ends[1:], strict=False)]
+        return split, sorted(set().union(*split))
+
+
+def block_words(blocks: DataFrame) -> DataFrame:
+    """(block, no, word): the distinct words of each block by number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, sizes, z in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                _, words = Blocks.words(sizes, z)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block), pa.int64()), pa.array(np.arange(len(words)), pa.int32()), pa.array(words, pa.binary()).cast(pa.string())], names=["block", "no", "word"])
+
+    return blocks.select("block", "sizes", "z").mapInArrow(run, "block long, no int, word string")
+
+
+def _tokenizer(path: str):
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    made.no_truncation()
+    made.no_padding()
+    return made
+
+
+def encoded_words(words: DataFrame, path: str) -> DataFrame:
+    """(word, ids) of distinct words (word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(path)
+        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        for batch in batches:
+            made = encode(batch.column(0).to_pylist(), add_special_tokens=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.ids for m in made], pa.list_(pa.int32()))], names=["word", "ids"])
+
+    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+
+
+def pieces(spark, path: str) -> DataFrame:
+    """(id, piece): the vocabulary with its added tokens, whose size is fixed."""
+    vocabulary = _tokenizer(path).get_vocab(with_added_tokens=True)
+    return spark.createDataFrame(pa.table({"id": pa.array(list(vocabulary.values()), pa.int32()), "piece": pa.array(list(vocabulary.keys()), pa.string())}))
+
+
+def decoded_words(coded: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, ids, pieces) by joining each id with its piece; pieces are in order, joined by one space."""
+    each = coded.select("word", F.posexplode("ids").alias("at", "id"))
+    # one row for each entry of a vocabulary: a size that doesn't grow with the corpus
+    met = each.join(F.broadcast(vocabulary), "id").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "id", "piece"))).alias("t"))
+    return met.select("word", F.col("t.id").alias("ids"), F.array_join("t.piece", " ").alias("pieces"))
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", output: str = "digest") -> DataFrame:
@@ -80,23 +137,42 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     the decimal ids joined by one space) and decoded_sha256 (of the decoded text), both made in the worker so
     that ids need not travel.
     """
+    scratch = Scratch(docs.sparkSession, "bpe")
     kind = docs.schema[id_col].dataType.simpleString()
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTable(path)
+    slim = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    blocks = scratch.put(slim.mapInArrow(Blocks.packed, f"block long, ids array<{kind}>, sizes array<long>, z binary"), "blocks")
+    words = scratch.put(block_words(blocks), "words")
+    coded = encoded_words(words.select("word").distinct(), path)
+    known = scratch.put(decoded_words(coded, pieces(docs.sparkSession, path)), "known")
+    # a word without ids is in no row of `known`
+    back = words.join(known, "word").select("block", F.struct("no", F.array_join("ids", " ").alias("ids"), "pieces", F.size("ids").alias("n")).alias("t"))
+    tables = scratch.put(back.groupBy("block").agg(F.collect_list("t").alias("t")).select("block", F.col("t.no").alias("no"), F.col("t.ids").alias("of"), F.col("t.pieces").alias("pieces"), F.col("t.n").alias("n")), "tables")
+    scratch.drop("words")
+    scratch.drop("known")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            if output == "digest":
-                made = [(n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(pieces).hexdigest()) for ids, pieces, n in words.rows(texts)]
-            else:
-                made = [(n, list(map(int, ids.split())), pieces.decode()) for ids, pieces, n in words.rows(texts)]
-            columns = [pa.array([x[k] for x in made], kind) for k, kind in enumerate(arrow)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+            for row in range(batch.num_rows):
+                ids, sizes, z, no, of, told, n = (batch.column(c)[row] for c in range(7))
+                split, distinct = Blocks.words(sizes.as_py(), z.as_py())
+                table_: dict[bytes, tuple[bytes, bytes, int]] = {}
+                if no.is_valid:
+                    parts = (no.values.to_numpy().tolist(), of.values.cast(pa.binary()).to_pylist(), told.values.cast(pa.binary()).to_pylist(), n.values.to_numpy().tolist())
+                    table_ = {distinct[k]: (a, b, c) for k, a, b, c in zip(*parts, strict=True)}
+                made = []
+                for text in split:
+                    found = [x for x in map(table_.get, text) if x]
+                    a, b = b" ".join([x[0] for x in found]), b" ".join([x[1] for x in found])
+                    count = sum([x[2] for x in found])
+                    made.append((count, hashlib.sha256(a).hexdigest(), hashlib.sha256(b).hexdigest()) if output == "digest" else (count, list(map(int, a.split())), b.decode()))
+                columns = [pa.array([x[k] for x in made], t) for k, t in enumerate(arrow)]
+                yield pa.RecordBatch.from_arrays([ids.values, *columns], names=names)
 
     names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if output == "digest" else ("ids", "decoded"))]
     arrow = [pa.int64(), *((pa.string(), pa.string()) if output == "digest" else (pa.list_(pa.int32()), pa.string()))]
     kinds = ("string", "string") if output == "digest" else ("array<int>", "string")
-    return docs.select(id_col, text_col).mapInArrow(digest, f"`{id_col}` {kind}, n_tokens long, {names[2]} {kinds[0]}, {names[3]} {kinds[1]}")
+    met = blocks.join(tables.hint("merge"), "block", "left").select("ids", "sizes", "z", "no", "of", "pieces", "n")
+    return met.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, {names[2]} {kinds[0]}, {names[3]} {kinds[1]}")
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:

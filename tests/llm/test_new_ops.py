@@ -331,3 +331,33 @@ def test_jaccard_of_sixty_thousand_near_copies(spark):
     for r in made:
         coarse.setdefault(component[root(frozenset(rows[r.doc_id][1].split()))], set()).add(r.component_id)
     assert all(len(v) == 1 for v in coarse.values())
+
+
+# 5, by blocks --------------------------------------------------------------------------------------------------
+
+
+def test_bpe_by_blocks(spark, monkeypatch):
+    """Small blocks, texts longer than one, words in many blocks: the joins give what the tokenizer gives to each text."""
+    from tokenizers import Tokenizer
+
+    from rasterlake.llm import bpe
+
+    path = common.tokenizer_path("word_bpe_49k.json")
+    real = Tokenizer.from_file(path)
+    rng = random.Random(4)
+    some = ["the", "The", "naïve", "l'été", "12a", "\u0001", "x" * 400, "ﬁ", "É", "É", "a\x00b", "<|endoftext|>", "日本"]
+    rows = [(k, None if k == 5 else " ".join(rng.choice(some) for _ in range(rng.choice((0, 1, 30, 900)))), "clash", 1) for k in range(60)]
+    rows += [(7, rows[7][1], "clash", 1), (None, "no id", "clash", 1), (8, " \t\n", "clash", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, word string, block int").repartition(3)
+    text = {i: t or "" for i, t, *_ in rows[:60]}
+    for size in (100, 5000, 4_000_000):
+        monkeypatch.setattr(bpe, "BLOCK_BYTES", size)
+        got = bpe.encode_documents(docs, path, output="ids").collect()
+        assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+        for r in got:
+            want = [real.encode(t, add_special_tokens=False).ids for t in ([text[r.doc_id], " \t\n"] if r.doc_id == 8 else [text[r.doc_id]] if r.doc_id is not None else ["no id"])]
+            assert r.ids in want and r.n_tokens == len(r.ids) and r.decoded == real.decode(r.ids, skip_special_tokens=False)
+    plan = bpe.encode_documents(docs, path)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan or "Join" in plan
+    bad = spark.sql("SELECT 1L AS doc_id, cast(x'61ff62' AS string) AS text")
+    assert bpe.encode_documents(bad, path, output="ids").first().ids == real.encode("a�b", add_special_tokens=False).ids
