@@ -1,11 +1,11 @@
 """BPE encoding and decoding by a distinct-word table.
 
 Texts are packed into blocks of some MB, written once. Each block gives its distinct words (split at white space),
-numbered in their order; the distinct words of all blocks are one table, of which every word is encoded once. Its ids
-are exploded and joined with the vocabulary's id-to-piece table, which decodes them. Ids and pieces then go back to the
-words by a join, to their blocks as one list by number, and the blocks' texts take them by position.
+numbered in their order; the distinct words of all blocks are one table, of which every word is encoded once. Ids go
+back to the blocks' words by a join, to their blocks as one list by number, and the blocks' texts take them by position.
+To decode, the distinct ids of each block are joined with the vocabulary's id-to-piece table.
 
-What is joined are distinct words of blocks, not words of texts: a frequent word is one row a block.
+What is joined are distinct words and ids of blocks, not words of texts: a frequent word is one row a block.
 
 A white-space cut is safe for vocabularies whose pre-tokenizer drops white space: no token, contraction or added token
 spans a cut, and normalisation to NFC composes nothing with a space.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, table, tokenizer_path
 
 #: Bytes of text in a block, beyond which no further text joins it.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 32_000_000
 LEVEL = 3
 
 
@@ -69,14 +69,20 @@ class Blocks:
             yield block()
 
     @staticmethod
-    def words(sizes: list[int], z: bytes) -> tuple[list[list[bytes]], list[bytes]]:
-        """The words of each text, and the block's distinct words in order."""
+    def texts(sizes: list[int], z: bytes) -> list[bytes]:
         import zstandard
 
         text = zstandard.ZstdDecompressor().decompress(z, max_output_size=sum(sizes))
         ends = np.cumsum([0, *sizes]).tolist()
-        split = [text[a:b].split() for a, b in zip(ends, ends[1:], strict=False)]
-        return split, sorted(set().union(*split))
+        return [text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    @staticmethod
+    def distinct(texts: list[bytes]) -> list[bytes]:
+        """The block's distinct words in order."""
+        found: set[bytes] = set()
+        for text in texts:
+            found.update(text.split())
+        return sorted(found)
 
 
 def block_words(blocks: DataFrame) -> DataFrame:
@@ -85,7 +91,7 @@ def block_words(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, sizes, z in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                _, words = Blocks.words(sizes, z)
+                words = Blocks.distinct(Blocks.texts(sizes, z))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block), pa.int64()), pa.array(np.arange(len(words)), pa.int32()), pa.array(words, pa.binary()).cast(pa.string())], names=["block", "no", "word"])
 
     return blocks.select("block", "sizes", "z").mapInArrow(run, "block long, no int, word string")
@@ -122,12 +128,12 @@ def pieces(spark, path: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(list(vocabulary.values()), pa.int32()), "piece": pa.array(list(vocabulary.keys()), pa.string())}))
 
 
-def decoded_words(coded: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(word, ids, pieces) by joining each id with its piece; pieces are in order, joined by one space."""
-    each = coded.select("word", F.posexplode("ids").alias("at", "id"))
+def decoded_ids(tables: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(block, id, piece as lists) of each block's distinct ids, by joining these with their pieces."""
+    each = tables.select("block", F.explode(F.array_distinct(F.flatten("ids"))).alias("id"))
     # one row for each entry of a vocabulary: a size that doesn't grow with the corpus
-    met = each.join(F.broadcast(vocabulary), "id").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "id", "piece"))).alias("t"))
-    return met.select("word", F.col("t.id").alias("ids"), F.array_join("t.piece", " ").alias("pieces"))
+    met = each.join(F.broadcast(vocabulary), "id").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("t"))
+    return met.select("block", F.col("t.id").alias("id"), F.col("t.piece").alias("piece"))
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", output: str = "digest") -> DataFrame:
@@ -142,26 +148,28 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     slim = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     blocks = scratch.put(slim.mapInArrow(Blocks.packed, f"block long, ids array<{kind}>, sizes array<long>, z binary"), "blocks")
     words = scratch.put(block_words(blocks), "words")
-    coded = encoded_words(words.select("word").distinct(), path)
-    known = scratch.put(decoded_words(coded, pieces(docs.sparkSession, path)), "known")
-    # a word without ids is in no row of `known`
-    back = words.join(known, "word").select("block", F.struct("no", F.array_join("ids", " ").alias("ids"), "pieces", F.size("ids").alias("n")).alias("t"))
-    tables = scratch.put(back.groupBy("block").agg(F.collect_list("t").alias("t")).select("block", F.col("t.no").alias("no"), F.col("t.ids").alias("of"), F.col("t.pieces").alias("pieces"), F.col("t.n").alias("n")), "tables")
+    known = scratch.put(encoded_words(words.select("word").distinct(), path).where(F.size("ids") > 0), "known")
+    back = words.join(known, "word").select("block", F.struct("no", "ids").alias("t"))
+    tables = scratch.put(back.groupBy("block").agg(F.collect_list("t").alias("t")).select("block", F.col("t.no").alias("no"), F.col("t.ids").alias("ids")), "tables")
     scratch.drop("words")
     scratch.drop("known")
+    tables = tables.join(decoded_ids(tables, pieces(docs.sparkSession, path)), "block").withColumnRenamed("ids", "of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, sizes, z, no, of, told, n = (batch.column(c)[row] for c in range(7))
-                split, distinct = Blocks.words(sizes.as_py(), z.as_py())
-                table_: dict[bytes, tuple[bytes, bytes, int]] = {}
+                ids, sizes, z, no, of, number, piece = (batch.column(c)[row] for c in range(7))
+                texts, made = Blocks.texts(sizes.as_py(), z.as_py()), []
+                words: dict[bytes, tuple[bytes, bytes, int]] = {}
                 if no.is_valid:
-                    parts = (no.values.to_numpy().tolist(), of.values.cast(pa.binary()).to_pylist(), told.values.cast(pa.binary()).to_pylist(), n.values.to_numpy().tolist())
-                    table_ = {distinct[k]: (a, b, c) for k, a, b, c in zip(*parts, strict=True)}
-                made = []
-                for text in split:
-                    found = [x for x in map(table_.get, text) if x]
+                    told = dict(zip(number.values.to_pylist(), ((str(i).encode(), p.encode()) for i, p in zip(number.values.to_pylist(), piece.values.to_pylist(), strict=True)), strict=True))
+                    distinct, ends, flat = Blocks.distinct(texts), of.values.offsets.to_numpy(), of.values.flatten().to_pylist()
+                    ends = ends - ends[0]
+                    for k, a, b in zip(no.values.to_numpy().tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                        both = [told[i] for i in flat[a:b]]
+                        words[distinct[k]] = b" ".join([x[0] for x in both]), b" ".join([x[1] for x in both]), len(both)
+                for text in texts:
+                    found = [x for x in map(words.get, text.split()) if x]
                     a, b = b" ".join([x[0] for x in found]), b" ".join([x[1] for x in found])
                     count = sum([x[2] for x in found])
                     made.append((count, hashlib.sha256(a).hexdigest(), hashlib.sha256(b).hexdigest()) if output == "digest" else (count, list(map(int, a.split())), b.decode()))
@@ -171,7 +179,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if output == "digest" else ("ids", "decoded"))]
     arrow = [pa.int64(), *((pa.string(), pa.string()) if output == "digest" else (pa.list_(pa.int32()), pa.string()))]
     kinds = ("string", "string") if output == "digest" else ("array<int>", "string")
-    met = blocks.join(tables.hint("merge"), "block", "left").select("ids", "sizes", "z", "no", "of", "pieces", "n")
+    met = blocks.join(tables.hint("merge"), "block", "left").select("ids", "sizes", "z", "no", "of", "id", "piece")
     return met.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, {names[2]} {kinds[0]}, {names[3]} {kinds[1]}")
 
 
