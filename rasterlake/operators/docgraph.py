@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keyed import first_rows
 from .stored import stored
 
 #: Levels after which the reached set is written as one, so that plans stay short.
@@ -173,7 +174,7 @@ def placements(paints: DataFrame, scope: str = "page") -> DataFrame:
     if scope == "page":
         # one row for each page and object, then the first page's
         rows = rows.groupBy("path", "key", "place").agg(best)
-        rows = rows.groupBy("path", "key").agg(F.min_by("s", "place").alias("s"))
+        rows = first_rows(rows, ["path", "key"], F.col("place"))
     else:
         rows = rows.groupBy("path", "key").agg(best)
     return rows.where("s.width > 0 and s.height > 0").select("path", "key", "s.width", "s.height")

@@ -81,6 +81,24 @@ def scaled(w: int, h: int, ratio: float) -> tuple[int, int]:
     return max(1, int(w * r + 0.5)), max(1, int(h * r + 0.5))
 
 
+def plan(width: Column, height: Column, width_pt: Column, height_pt: Column, max_dpi: float) -> tuple[Column, Column, Column]:
+    """(width, height, whether smaller) of an image under a resolution ceiling, from the pixels and points it has: the
+    form of Picture.planned() over tables."""
+    w, h = (x.cast("long") for x in E.page_image_dims(width, height, E.dpi_scale(E.effective_dpi(width, height, width_pt, height_pt), max_dpi)))
+    return w, h, (w < width) | (h < height)
+
+
+def estimated_size(baseline: Column, held: Column, coded: Column) -> Column:
+    """Bytes of a file whose images take `coded` instead of `held`, from those of all of it rewritten; null counts as
+    none."""
+    return baseline - F.coalesce(held, F.lit(0)) + F.coalesce(coded, F.lit(0))
+
+
+def allowed_size(most: Column) -> Column:
+    """What an estimate may be for the file to be within `most`."""
+    return most * F.lit(K.ESTIMATE_MARGIN)
+
+
 class Picture:
     """One image of a document with its plan: size under the resolution ceiling, bilevel or not."""
 
@@ -89,11 +107,15 @@ class Picture:
 
     @classmethod
     def planned(cls, px, wide: float | None, high: float | None, max_dpi: float) -> Picture:
-        from ..sources import rasters as R
-
         h, w = px.shape[:2]
         dpi = max(w / wide, h / high) * 72 if wide and high else 0.0
-        return cls(px, *scaled(w, h, max_dpi / dpi if dpi > max_dpi else 1.0), R.classify(R.bounded(px, K.ANALYSE_EDGE))[0] == "bilevel")
+        return cls(px, *scaled(w, h, max_dpi / dpi if dpi > max_dpi else 1.0), cls.is_bilevel(px))
+
+    @staticmethod
+    def is_bilevel(px) -> bool:
+        from ..sources import rasters as R
+
+        return R.classify(R.bounded(px, K.ANALYSE_EDGE))[0] == "bilevel"
 
     def coded(self, scale: float, quality: float) -> tuple[bytes, int, int, bool]:
         """(bytes, width, height, bilevel): a JPEG, or Group 4 if the image is bilevel and that is smaller."""
@@ -176,7 +198,7 @@ def coded_images(images: DataFrame, max_dpi: float, quality: float = K.VISUAL_QU
     return images.select(*_PICTURE).mapInPandas(run, _CODED)
 
 
-_RASTERS = "path string, key string, salt int, held long, px binary, native_width int, native_height int, base_width int, base_height int, bilevel boolean, why string"
+_RASTERS = "path string, key string, salt int, held long, px binary, native_width int, native_height int, width_pt double, height_pt double, bilevel boolean, why string"
 #: Images of a file that one task codes in a round, about; parts of a file at most.
 SHARE, MOST_SHARES = 8, 64
 
@@ -196,11 +218,12 @@ def decoded_images(images: DataFrame, max_dpi: float) -> DataFrame:
                 if px is None:
                     row = (r.path, r.key, r.salt, len(r.content), *[None] * 6, why)
                 else:
-                    p = Picture.planned(px, *_points(r), max_dpi)
-                    row = (r.path, r.key, r.salt, len(r.content), zlib.compress(px.tobytes(), 1), px.shape[1], px.shape[0], p.w, p.h, p.bilevel, None)
+                    row = (r.path, r.key, r.salt, len(r.content), zlib.compress(px.tobytes(), 1), px.shape[1], px.shape[0], *_points(r), Picture.is_bilevel(px), None)
                 yield pd.DataFrame([row], columns=names)
 
-    return dealt.mapInPandas(run, _RASTERS)
+    made = dealt.mapInPandas(run, _RASTERS)
+    w, h, _ = plan(*map(F.col, ("native_width", "native_height", "width_pt", "height_pt")), max_dpi)
+    return made.withColumns({"base_width": w.cast("int"), "base_height": h.cast("int")}).drop("width_pt", "height_pt")
 
 
 def _coded_at(rasters: DataFrame, values: DataFrame, keep: bool) -> DataFrame:
@@ -256,8 +279,8 @@ def fitted_images(images: DataFrame, sizes: DataFrame, target_bytes: int) -> Dat
     quality at the least scale. `sizes` (path, length, baseline): bytes of the file, and of all of it rewritten."""
     rasters = stored(decoded_images(images.join(sizes.select("path"), "path", "left_semi"), K.DPI_PRESETS[1]))
     held = rasters.where("px is not null").groupBy("path").agg(F.sum("held").alias("held"), (F.max("salt") + 1).alias("shares"))
-    most = F.least(F.lit(target_bytes), F.col("length")) * K.ESTIMATE_MARGIN
-    state = sizes.join(held, "path").select("path", "shares", (most - F.col("baseline") + F.col("held")).alias("room"))
+    most = allowed_size(F.least(F.lit(target_bytes), F.col("length")))
+    state = sizes.join(held, "path").select("path", "shares", (most - estimated_size(F.col("baseline"), F.col("held"), F.lit(0))).alias("room"))
     chosen = searched(lambda values: _coded_at(rasters, values, False).groupBy("path").agg(F.sum("size").alias("size")), state)
     left_out = rasters.where("px is null").select("path", "key", *(F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in _CODED.split(", ")[2:-1]), "why")
     return _coded_at(rasters, chosen, True).unionByName(left_out)

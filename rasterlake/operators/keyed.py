@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,9 @@ def moved(position, start: int, end: int):
     else:
         shifted = F.when((position >= end) & (position < start), position + 1)
     return F.when(position == start, F.lit(end)).otherwise(F.coalesce(shifted, position))
+
+
+def first_rows(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """The first row of each key by `order`: what is met first counts, as of an image that several pages decode."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("first")).select(*keys, *(F.col(f"first.{c}").alias(c) for c in rest))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import exprs as E
-from ..operators import docgraph, documents, queue, similarity
+from ..operators import docgraph, documents, keyed, queue, similarity
 
 
 def _t(spark, sf_dir, name):
@@ -43,11 +43,13 @@ def labels_and_limits(spark, sf_dir):
 
 
 def first_decode(spark, sf_dir):
-    events = _t(spark, sf_dir, "events").where(F.col("value").isNotNull())
-    return events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    """Events without a value stand for pages on which an image isn't decoded."""
+    decoded = _t(spark, sf_dir, "events").where(F.col("value").isNotNull()).select("user_id", "event_type", "event_id")
+    return keyed.first_rows(decoded, ["user_id", "event_type"], F.col("event_id"))
 
 
 def attach_placement(spark, sf_dir):
+    """Lines of few pieces stand for paints without extent, so that some parts have no placement."""
     lines = _t(spark, sf_dir, "lineitem").where("l_quantity > 25")
     placed = docgraph.largest_placement(lines, ["l_partkey"], F.col("l_quantity").cast("double"), [-F.col("l_orderkey"), -F.col("l_linenumber"), -F.col("l_suppkey")], F.struct("l_quantity", "l_orderkey"))
     part = _t(spark, sf_dir, "part")
@@ -71,17 +73,16 @@ def font_merge(spark, sf_dir):
 
 def image_plan(spark, sf_dir):
     p = _t(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 90).cast("long").alias("w"), (F.col("p_size") * 60).cast("long").alias("h"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_size") * 18.0).alias("wp"))
-    scale = E.dpi_scale(E.effective_dpi(F.col("w"), F.col("h"), F.col("wp"), F.col("wp") / 2), K.DPI_PRESETS[1])
-    bw, bh = (x.cast("long") for x in E.page_image_dims(F.col("w"), F.col("h"), scale))
-    return p.select("p_partkey", bw.alias("base_w"), bh.alias("base_h"), ((bw < F.col("w")) | (bh < F.col("h"))).alias("downsampled"))
+    w, h, smaller = documents.plan(F.col("w"), F.col("h"), F.col("wp"), F.col("wp") / 2, K.DPI_PRESETS[1])
+    return p.select("p_partkey", w.alias("base_w"), h.alias("base_h"), smaller.alias("downsampled"))
 
 
 def size_estimate(spark, sf_dir):
     cents = lambda c: F.floor(c * 100 + F.lit(0.5)).cast("long")
     lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(cents(F.col("l_extendedprice"))).alias("held"), F.sum(cents(F.col("l_extendedprice") * (1 - F.col("l_discount")))).alias("coded"))
     orders = _t(spark, sf_dir, "orders").select("o_orderkey", cents(F.col("o_totalprice") * 2).alias("saved"))
-    made = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("estimate", F.col("saved") - F.col("held") + F.col("coded"))
-    return made.select("o_orderkey", "estimate", (F.col("estimate") <= F.col("saved") * F.lit(K.ESTIMATE_MARGIN)).alias("fits"))
+    made = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("estimate", documents.estimated_size(F.col("saved"), F.col("held"), F.col("coded")))
+    return made.select("o_orderkey", "estimate", (F.col("estimate") <= documents.allowed_size(F.col("saved"))).alias("fits"))
 
 
 def nested_refs(spark, sf_dir):

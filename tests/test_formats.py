@@ -490,3 +490,17 @@ def test_images_are_optimised_and_told_by_step(spark):
     assert (rasters.decode(bytes(got["a"].content)) == px).all() and got["c"].status.startswith("error") and got["d"].status.startswith("error")
     made = {q: images.convert_images(table.where("path = 'a'"), "jpeg", q).first().content for q in (0.2, 0.95)}
     assert len(made[0.2]) < len(made[0.95])
+
+
+def test_plans_of_tables_and_of_pictures_agree(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    rows = [(k, int(rng.integers(1, 900)), int(rng.integers(1, 900)), *(float(x) if rng.random() < 0.8 else None for x in rng.uniform(0, 400, 2))) for k in range(150)]
+    table = spark.createDataFrame(rows, "k int, w long, h long, wp double, hp double")
+    for dpi in (72.0, 150.0, 300.0):
+        w, h, smaller = documents.plan(*map(F.col, ("w", "h", "wp", "hp")), dpi)
+        got = {r.k: (r.bw, r.bh, r.less) for r in table.select("k", w.alias("bw"), h.alias("bh"), smaller.alias("less")).collect()}
+        for k, w, h, wp, hp in rows:
+            p = documents.Picture.planned(np.zeros((h, w, 3), np.uint8), wp, hp, dpi)
+            assert got[k] == (p.w, p.h, p.w < w or p.h < h)
