@@ -67,6 +67,18 @@ def _run(length: str, black: str) -> str:
     return f"CASE WHEN {black} THEN {_table(R.BLACK_TERMINATING)}[{length} + 1] ELSE {_table(R.WHITE_TERMINATING)}[{length} + 1] END"
 
 
+#: Boxes of bins, the widest of which (by spread and population) is split in every step.
+_CUT = _RGB + """,
+mc(label, bin, n, box, pos, step) AS (SELECT label, bin, n, 0::BIGINT, row_number() OVER (PARTITION BY label ORDER BY bin), 1 FROM hb
+UNION ALL SELECT label, bin, n, CASE WHEN box > cut_at OR (box = cut_at AND rk > last_left) THEN box + 1 ELSE box END, CASE WHEN box = cut_at THEN rk ELSE pos END, step + 1
+FROM (SELECT *, least(min(CASE WHEN run * 2 >= tot THEN rk END) OVER (PARTITION BY label, box), cnt - 1) AS last_left
+FROM (SELECT *, row_number() OVER o AS rk, sum(n) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+FROM (SELECT *, min(CASE WHEN score = top_score AND top_score > 0 THEN box END) OVER (PARTITION BY label) AS cut_at, CASE WHEN w0 >= w1 AND w0 >= w2 THEN x0 WHEN w1 >= w2 THEN x1 ELSE x2 END AS c
+FROM (SELECT *, max(score) OVER (PARTITION BY label) AS top_score
+FROM (SELECT *, CASE WHEN cnt > 1 THEN greatest(w0, w1, w2) * log2((tot + 1)::DOUBLE) ELSE 0 END AS score
+FROM (SELECT *, max(x0) OVER b - min(x0) OVER b AS w0, max(x1) OVER b - min(x1) OVER b AS w1, max(x2) OVER b - min(x2) OVER b AS w2, sum(n) OVER b AS tot, count(*) OVER b AS cnt
+FROM (SELECT *, bin >> 10 AS x0, (bin >> 5) & 31 AS x1, bin & 31 AS x2 FROM mc WHERE step < 16) WINDOW b AS (PARTITION BY label, box)))))
+WINDOW o AS (PARTITION BY label, box ORDER BY c, pos))))"""
 #: Rows of 8 pixels as changing elements, and the coding position moved along each until it leaves the row.
 _G4 = _BITS + """,
 ro AS (SELECT vec_id, y, list_filter(range(8), lambda i: substr(bits, y * 8 + i + 1, 1) <> CASE WHEN i = 0 THEN '0' ELSE substr(bits, y * 8 + i, 1) END) AS own FROM bm, unnest(range(8)) u(y)),
@@ -125,6 +137,7 @@ SELECT px, arg_min(idx, struct_pack(d := d, i := idx)) AS entry, min(d) AS dista
 SELECT vec_id, unnest(range(len(ed) - 1))::INT AS run, unnest(list_transform(range(1, len(ed)), lambda i: ed[i + 1] - ed[i]))::INT AS length FROM ed""",
     "next_change": f"WITH {_CH} SELECT vec_id, {_next('')} AS any_change, {_next(' AND i % 2 = 1')} AS from_white, {_next(' AND i % 2 = 0')} AS from_black FROM ch",
     "run_codes": f"SELECT length::INT AS length, n, {_code(R.WHITE_TERMINATING, R.WHITE_MAKEUP)} AS white, {_code(R.BLACK_TERMINATING, R.BLACK_MAKEUP)} AS black FROM (SELECT length(coalesce(text, \'\')) % 6000 AS length, count(*) AS n FROM documents GROUP BY 1)",
+    "median_cut": f"WITH RECURSIVE {_CUT} SELECT label, bin, box::INT AS box FROM mc WHERE step = 16",
     "g4_encode": f"WITH RECURSIVE {_G4}{_MOVES} SELECT vec_id, (SELECT string_agg({_HEX}, '' ORDER BY i) FROM unnest(range(len(code) // 4)) u(i)) AS code FROM pd",
     "ctm_replay": f"WITH RECURSIVE {_REPLAY} SELECT user_id, count(*) AS paints, round(sum(sqrt(c[1] * c[1] + c[2] * c[2])), 6) AS width, round(sum(sqrt(c[3] * c[3] + c[4] * c[4])), 6) AS height FROM st WHERE op = 2 GROUP BY user_id",
     "g4_row_reference": f"WITH {_CH} SELECT vec_id, coalesce(lag(el::INT[]) OVER (PARTITION BY label ORDER BY vec_id), []) AS reference FROM ch",
