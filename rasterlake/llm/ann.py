@@ -10,6 +10,11 @@ Queries and rows meet in blocks: each query block visits each row block once, a
 `k` rows per query, and these meet again in one window per query. Nothing is broadcast or collected, and no
 partner is dropped: what a block leaves out has, by the bounds, k better rows in that same block.
 
+Cost: every query meets every row once, in bits; with one vector length all blocks of queries join all blocks of rows,
+which is the stated query set against all rows. A block of rows travels once, a block of queries once for each block of
+rows: at 10^9 vectors of 64 components and 1 in 20 asking, some 10^5 times 5 * 10^5 block pairs, each of 262 KB of
+queries. At that size queries should be fewer, or rows be parted first; nothing here does that.
+
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; a query is
 compared with the vectors of its own length, as an inner product with others isn't defined. Equal scores go to the smaller id. A query's own id is no
 candidate, but a copy of its vector under another id is. Rows that repeat an id are candidates each; a

@@ -16,13 +16,12 @@ The frequency estimate is the product of word frequencies, counted over all docu
 Equal sets meet first, by a 128-bit hash, and enter the join as one node. Nodes that share one of their first
 d + 1 shingles form a bucket. First every bucket's nodes are compared with one centre, the node that has fewest
 shingles of its own before the bucket's; components then tell what is together already. What is open after that
-is joined in rounds, in each of which every component proposes the pair that by its bitmaps is likeliest to join it to
-another; only these are verified. What is open then is compared in full: nodes of different components, in small
-buckets pair by pair; nodes of large ones are dealt
+is compared in full: nodes of different components, in small buckets pair by pair; nodes of large ones are dealt
 to chunks, and chunks that have a bucket in common are compared node by node, where only nodes of components not
 joined so far meet and only links that join two components leave the task. No pair that could link is left out. Pairs and chunks are held to a
 bound first, from bitmaps of the parity of their shingles: cells that differ count shingles that only one of the two
-has. What is left is verified on the whole sets of 64-bit shingle hashes, with integer arithmetic.
+has; then to the bound of finer bitmaps. What is left is verified on the whole sets of 64-bit shingle hashes, with
+integer arithmetic.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is linked with nothing; a
 text of fewer words than a shingle is one shingle; every row is returned. Rows that repeat an id are one
@@ -47,10 +46,11 @@ CELLS = 1 << 17
 #: Nodes of a bucket up to which open pairs are listed; bytes of a chunk's bitmaps in larger ones, and its nodes. Whole
 #: sets are 10 to 40 times as large as bitmaps, and at most two chunks' are together in a task.
 SMALL, CHUNK_BYTES, CHUNK_NODES = 8, 1 << 19, 1 << 14
+#: Cells of a fine bitmap for each of a plain one: few of a pair's differing shingles then share a cell, and what its
+#: bound leaves is hardly more than the links; it has a quarter of a set's bytes or less.
+FINE = 8
 MAX_L = 4
 PRUNINGS = 2
-#: Rounds in which every part is joined by its likeliest pair, before what is open is compared in full.
-JOININGS = 3
 #: Cost of verifying a pair, for each 100 shingles, against that of a shared prefix shingle.
 VERIFY_COST = 4.0
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -167,9 +167,9 @@ def _sets(docs: DataFrame, k: int, percent: int, cells: np.ndarray) -> DataFrame
     return docs.mapInArrow(run, _SETS)
 
 
-def _signature(kept: np.ndarray, percent: int) -> bytes:
+def _signature(kept: np.ndarray, percent: int, fine: int = 1) -> bytes:
     """The parity of a set's shingles in each of so many cells by hash, in bits; a power of two, by the set's size."""
-    bits = 1 << max(6, (16 * (100 - percent) * len(kept) // 100).bit_length())
+    bits = 1 << max(6, (16 * fine * (100 - percent) * len(kept) // 100).bit_length())
     return np.packbits(np.bincount((kept & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -180,7 +180,7 @@ def _differing(x: bytes, y: bytes) -> int:
 
 
 def _linked(pairs: DataFrame, full: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. Signatures travel first, whole sets for what they leave."""
+    """The pairs (a, b) whose sets are similar enough. Signatures travel first, then fine ones, and whole sets for what these leave."""
 
     def joined(pairs: DataFrame, *columns: str) -> DataFrame:
         for c in "ab":
@@ -206,6 +206,7 @@ def _linked(pairs: DataFrame, full: DataFrame, scratch: Scratch, name: str, perc
         return 100 * same >= percent * (len(x) + len(y) - same)
 
     near = scratch.put(joined(pairs, "n", "sig").mapInArrow(filtered(close), "a long, b long"), f"{name}-near")
+    near = scratch.put(joined(near, "n", "fine").mapInArrow(filtered(close), "a long, b long"), f"{name}-fine")
     return joined(near, "set").mapInArrow(filtered(similar), "a long, b long")
 
 
@@ -226,50 +227,29 @@ class Chunk:
         return words if wide == to else np.bitwise_xor.reduce(words.reshape(len(words), -1, to // 8), axis=1)
 
 
-def _near_rows(x: Chunk, y: Chunk, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of x: the rows of y whose signatures leave a link possible, and by how many shingles they do. Memory
-    is that of one row's."""
+def _near_rows(x: Chunk, y: Chunk, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of x: the rows of y whose signatures leave a link possible. Memory is that of one row's."""
     for wide in x.words:
         sides = [(x.folded(wide, min(wide, w)), y.folded(w, min(wide, w)), y.rows[w]) for w in y.words]
         for k, i in enumerate(x.rows[wide]):
-            found, room = [], []
+            found = []
             for mine, theirs, rows in sides:
                 differing = np.bitwise_count(theirs ^ mine[k]).sum(axis=1, dtype=np.int64)
                 both = y.n[rows] + x.n[i]
-                slack = both + 2 * (-percent * both // (100 + percent)) - differing
-                found.append(rows[slack >= 0])
-                room.append(slack[slack >= 0])
-            yield int(i), np.concatenate(found), np.concatenate(room)
+                found.append(rows[differing <= both + 2 * (-percent * both // (100 + percent))])
+            yield int(i), np.concatenate(found)
 
 
 def _close(x: Chunk, y: Chunk, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Which nodes of each side could, by their signatures, be linked with one of the other's, of another part."""
     some = np.zeros(len(x.node), bool), np.zeros(len(y.node), bool)
-    for i, near, _ in _near_rows(x, y, percent):
+    for i, near in _near_rows(x, y, percent):
         near = near[y.part[near] != x.part[i]]
         some[0][i] = len(near) > 0
         some[1][near] = True
     return some
 
 
-def _likely(x: Chunk, y: Chunk, percent: int) -> dict[int, tuple[int, int, int]]:
-    """For each part of two chunks, the pair of nodes that joins it to another part with most room by the signatures:
-    part -> (room, node, node)."""
-    best: dict[int, tuple[int, int, int]] = {}
-    for one, two in ((x, y),) if x is y else ((x, y), (y, x)):
-        for i, near, room in _near_rows(one, two, percent):
-            other = two.part[near] != one.part[i]
-            near, room = near[other], room[other]
-            if not len(near):
-                continue
-            at = near[room == room.max()]
-            found = int(room.max()), int(one.node[i]), int(two.node[at].max())
-            part = int(one.part[i])
-            if part not in best or found > best[part]:
-                best[part] = found
-    return best
-
-
 def _edges(a: tuple, b: tuple, percent: int) -> list[tuple[int, int]]:
     """Links between two chunks (nodes, parts, sets) that join parts not joined so far, at most one for each part.
 
@@ -283,7 +263,7 @@ def _edges(a: tuple, b: tuple, percent: int) -> list[tuple[int, int]]:
     _, parts = np.unique(np.concatenate([x.part, y.part]), return_inverse=True)
     group, mine, theirs = np.arange(int(parts.max(initial=-1)) + 1), parts[: len(x.node)], parts[len(x.node) :]
     found = []
-    for i, near, _ in _near_rows(x, y, percent):
+    for i, near in _near_rows(x, y, percent):
         near = near[group[theirs[near]] != group[mine[i]]]
         if not len(near):
             continue
@@ -307,52 +287,29 @@ def _edges(a: tuple, b: tuple, percent: int) -> list[tuple[int, int]]:
     return found
 
 
-def _chunk_pairs(members: DataFrame, full: DataFrame, scratch: Scratch, percent: int, name: str) -> DataFrame:
-    """Pairs of chunks (i, j, x, y) that have a bucket in common, from members (tok, node, part, n). A node is in one
-    chunk, by the least node two buckets away, so that nodes of many buckets in common lie together."""
+def _in_chunks(members: DataFrame, full: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links (a, b) between different parts of each bucket, from members (tok, node, part, n). A node is in one chunk,
+    by the least node two buckets away, so that nodes of many buckets in common lie together."""
     low = members.groupBy("tok").agg(F.min("node").alias("low"))
     named = members.join(low, "tok").groupBy("node", "part", "n").agg(F.min("low").alias("label"))
     many = named.groupBy("label").agg(F.ceil(F.sum(F.greatest(F.lit(CHUNK_BYTES / CHUNK_NODES), F.col("n") * (4 * (100 - percent)) / 100)) / CHUNK_BYTES).alias("k"))
-    dealt = scratch.put(named.join(many, "label").select("node", "part", F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("k"))).alias("i")), f"dealt{name}")
-    packed = scratch.put(dealt.join(full.select("node", "n", "sig"), "node").groupBy("i").agg(F.collect_list(F.struct("node", "part", "n", "sig")).alias("m")), f"chunks{name}")
+    dealt = scratch.put(named.join(many, "label").select("node", "part", F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("k"))).alias("i")), "dealt")
+    packed = scratch.put(dealt.join(full.select("node", "n", "sig"), "node").groupBy("i").agg(F.collect_list(F.struct("node", "part", "n", "sig")).alias("m")), "chunks")
     at = members.select("tok", "node").join(dealt, "node").select("tok", "i").distinct()
     pairs = at.join(at.select("tok", F.col("i").alias("j")), "tok").where("i <= j").select("i", "j").distinct()
-    return pairs.join(packed.withColumnRenamed("m", "x"), "i").join(packed.select(F.col("i").alias("j"), F.col("m").alias("y")), "j").select("i", "j", "x", "y")
-
-
-def _chunk(column: pa.Array, row: int) -> Chunk:
-    rows = column[row].values
-    node, part, n = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-    return Chunk(node, part, n, rows.field(3))
-
-
-def _likely_pairs(members: DataFrame, full: DataFrame, scratch: Scratch, percent: int, name: str) -> DataFrame:
-    """(a, b): for each part, one pair of nodes that by their signatures is likeliest to join it to another."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one in range(batch.num_rows):
-                x = _chunk(batch.column(2), one)
-                y = x if batch.column(0)[one].as_py() == batch.column(1)[one].as_py() else _chunk(batch.column(3), one)
-                best = _likely(x, y, percent)
-                columns = [list(best), *([v[k] for v in best.values()] for k in range(3))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["part", "room", "a", "b"])
+    met = pairs.join(packed.withColumnRenamed("m", "x"), "i").join(packed.select(F.col("i").alias("j"), F.col("m").alias("y")), "j").select("i", "j", "x", "y")
 
-    found = _chunk_pairs(members, full, scratch, percent, name).mapInArrow(run, "part long, room long, a long, b long")
-    best = found.groupBy("part").agg(F.max(F.struct("room", "a", "b")).alias("p"))
-    return best.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct()
-
-
-def _in_chunks(members: DataFrame, full: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Links (a, b) between different parts of each bucket, from members (tok, node, part, n)."""
-    met = _chunk_pairs(members, full, scratch, percent, "")
+    def chunk(column: pa.Array, row: int) -> Chunk:
+        rows = column[row].values
+        node, part, n = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        return Chunk(node, part, n, rows.field(3))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one in range(batch.num_rows):
                 i, j = batch.column(0)[one].as_py(), batch.column(1)[one].as_py()
-                x = _chunk(batch.column(2), one)
-                y = x if i == j else _chunk(batch.column(3), one)
+                x = chunk(batch.column(2), one)
+                y = x if i == j else chunk(batch.column(3), one)
                 use = _close(x, y, percent)
                 # a chunk that is compared with itself is one side
                 use = [use[0] | use[1]] if i == j else use
@@ -362,6 +319,23 @@ def _in_chunks(members: DataFrame, full: DataFrame, scratch: Scratch, percent: i
                 yield pa.RecordBatch.from_arrays([*pair, pa.array(side), pa.array(node), pa.array(part)], names=["i", "j", "side", "node", "part"])
 
     some = scratch.put(met.mapInArrow(bounded, "i long, j long, side int, node long, part long"), "close")
+    both = some.join(full.select("node", "n", "fine"), "node").groupBy("i", "j").agg(F.collect_list(F.struct("side", "node", "part", "n", "fine")).alias("m"))
+
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in range(batch.num_rows):
+                rows = batch.column(2)[one].values
+                side, node, part, n = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                chunks = [Chunk(node[at], part[at], n[at], rows.field(4).take(pa.array(at))) for at in (np.flatnonzero(side == k) for k in (0, 1))]
+                alone = not len(chunks[1].node)
+                use = _close(chunks[0], chunks[0] if alone else chunks[1], percent)
+                use = [use[0] | use[1], np.zeros(0, bool)] if alone else use
+                kept = [np.concatenate([getattr(c, f)[u] for c, u in zip(chunks, use, strict=True)]) for f in ("node", "part")]
+                sides = np.repeat(np.arange(2, dtype=np.int32), [int(u.sum()) for u in use])
+                pair = [pa.array(np.full(len(sides), batch.column(c)[one].as_py()), pa.int64()) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*pair, pa.array(sides), *map(pa.array, kept)], names=["i", "j", "side", "node", "part"])
+
+    some = scratch.put(both.mapInArrow(finer, "i long, j long, side int, node long, part long"), "closer")
     sides = some.join(full.select("node", "set"), "node").groupBy("i", "j").agg(F.collect_list(F.struct("side", "node", "part", "set")).alias("m")).select("m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,12 +424,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             made = [shingle_set(t, k, words) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             halves = [_halves(x) for x in made]
             columns = [*(pa.array([h[j] for h in halves], pa.int64()) for j in (0, 1)), pa.array([len(x) for x in made], pa.int64())]
-            columns += [pa.array([f(x) for x in made], pa.binary()) for f in (lambda x: _signature(x, percent), np.ndarray.tobytes)]
-            yield pa.RecordBatch.from_arrays(columns, names=["s1", "s2", "n", "sig", "set"])
+            columns += [pa.array([f(x) for x in made], pa.binary()) for f in (lambda x: _signature(x, percent), lambda x: _signature(x, percent, FINE), np.ndarray.tobytes)]
+            yield pa.RecordBatch.from_arrays(columns, names=["s1", "s2", "n", "sig", "fine", "set"])
 
     wanted = packed.select(F.col("doc_id").alias("of")).distinct()
     texts = slim.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("text")
-    full = texts.mapInArrow(whole, "s1 long, s2 long, n long, sig binary, set binary").join(packed.select("s1", "s2", "node"), ["s1", "s2"]).select("node", "n", "sig", "set")
+    full = texts.mapInArrow(whole, "s1 long, s2 long, n long, sig binary, fine binary, set binary").join(packed.select("s1", "s2", "node"), ["s1", "s2"]).select("node", "n", "sig", "fine", "set")
     full = scratch.put(full.dropDuplicates(["node"]), "full")
 
     def between(a: Column, b: Column) -> list[Column]:
@@ -466,32 +440,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     fresh = scratch.put(hopeful(pairs.select(*between(F.col("node"), F.col("c.node"))).distinct()), "pairs")
     links = scratch.put(_linked(fresh, full, scratch, "links", percent), "links")
     parts = scratch.put(components(links, scratch, "cc"), "parts")
-
-    def still_open(parts: DataFrame, name: str) -> DataFrame:
-        """(tok, node, part, n, most, c): nodes of buckets that hold several parts, as far as they could be linked."""
-        placed = keys.join(parts.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("part", F.coalesce("component", "node")).drop("of", "component")
-        # a partner has `most` shingles or fewer, if this bucket's is the first shingle the two have in common
-        placed = placed.withColumn("most", F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n"))
-        bounds = placed.groupBy("tok").agg(F.min("n").alias("smallest"), F.max("most").alias("furthest"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").drop("low", "high")
-        placed = placed.join(bounds, "tok").where("n <= furthest and smallest <= most").drop("smallest", "furthest")
-        bounds = placed.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").drop("low", "high")
-        return scratch.put(placed.join(bounds, "tok").select("tok", "node", "part", "n", "most", "c"), name)
-
-    members = still_open(parts, "open")
-    # a pair for each part first: what joins so isn't compared in full
-    for turn in range(JOININGS):
-        many = members.where(F.col("c") > SMALL).select("tok", "node", "part", "n")
-        if many.isEmpty():
-            break
-        likely = scratch.put(_likely_pairs(many, full, scratch, percent, f"-{turn}"), f"likely-{turn}")
-        scratch.drop(f"dealt-{turn}")
-        scratch.drop(f"chunks-{turn}")
-        fresh = scratch.put(_linked(likely, full, scratch, f"joined-{turn}", percent), f"joined-{turn}")
-        if fresh.isEmpty():
-            break
-        links = links.unionByName(fresh)
-        parts = scratch.put(components(links, scratch, f"cc-{turn}"), f"parts-{turn}")
-        members = still_open(parts, f"open-{turn}")
+    placed = keys.join(parts.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("part", F.coalesce("component", "node")).drop("of", "component")
+
+    # a partner has `most` shingles or fewer, if this bucket's is the first shingle the two have in common
+    placed = placed.withColumn("most", F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n"))
+    bounds = placed.groupBy("tok").agg(F.min("n").alias("smallest"), F.max("most").alias("furthest"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").drop("low", "high")
+    placed = placed.join(bounds, "tok").where("n <= furthest and smallest <= most").drop("smallest", "furthest")
+    bounds = placed.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").drop("low", "high")
+    members = scratch.put(placed.join(bounds, "tok").select("tok", "node", "part", "n", "most", "c"), "open")
     if not members.isEmpty():
         few = members.where(F.col("c") <= SMALL).drop("c")
         other = few.select("tok", *(F.col(c).alias(f"{c}2") for c in few.columns if c != "tok"))

@@ -22,7 +22,10 @@ large one is.
 Defined results: a null or empty text stays as it is; lines shorter than MIN_CHARS stay, however often they
 repeat; rows that repeat an id are one document to this rule, and so are rows without one, which come before all
 others: a line is told by id, number and content, so equal lines at one number of one id don't remove each other; a
-document of which no line is left, blank ones aside, has an empty text. An empty table gives no rows. Input
+document of which no line is left, blank ones aside, has an empty text. An empty table gives no rows. A very long text of
+lines costs what its lines cost; a very long line that shares its first or last half with a different line of about its
+length emits a variant for each character of the other half, each made as a string, so that work grows with the square
+of the line's length (10,000 characters: 10^8 bytes hashed). Input
 columns keep their names and values; internal names start with two underscores, and no input column may.
 """
 
