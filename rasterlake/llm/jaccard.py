@@ -45,7 +45,7 @@ from .graph import components
 CELLS = 1 << 17
 #: Nodes of a bucket up to which open pairs are listed; bytes of a chunk's bitmaps in larger ones, and its nodes. Whole
 #: sets are 10 to 40 times as large as bitmaps, and at most two chunks' are together in a task.
-SMALL, CHUNK_BYTES, CHUNK_NODES = 8, 1 << 19, 1 << 14
+SMALL, CHUNK_BYTES, CHUNK_NODES = 8, 1 << 20, 1 << 14
 #: Cells of a fine bitmap for each of a plain one: few of a pair's differing shingles then share a cell, and what its
 #: bound leaves is hardly more than the links; it has a quarter of a set's bytes or less.
 FINE = 8
