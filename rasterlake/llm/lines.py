@@ -37,6 +37,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 MIN_CHARS = 24
+#: Longest shared half of a line whose variants are made as strings. Lines that can meet share the half, so they agree.
+SPELLED = 2048
+#: Longest line that Levenshtein's table compares; longer ones are compared by chunks of CHUNK characters.
+TABLED, CHUNK = 256, 1024
 _TRIM = " \t\r"
 
 
@@ -69,6 +73,54 @@ def _long_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     return lines.withColumn("__size", F.length("__line")).where(F.col("__size") >= min_chars)
 
 
+def _none() -> Column:
+    return F.array().cast("array<struct<role:int,a:bigint>>")
+
+
+def _wanted(flag: str, made: Column) -> Column:
+    return F.when(F.col(flag), made).otherwise(_none())
+
+
+def _spelled_variants(part: DataFrame) -> DataFrame:
+    """(__at, role, a): the variants of the part of a line that isn't shared, each hashed as a string."""
+    without = lambda i: F.concat(F.substring(F.col("__rest"), F.lit(1), i - 1), F.substring(F.col("__rest"), i + 1, F.col("__m")))
+    row = lambda role, place, text: F.struct(F.lit(role).alias("role"), _hash(4, F.col("__key"), place, text).alias("a"))
+    each = F.sequence(F.lit(1), F.col("__m"))
+    variants = F.concat(_wanted("__longer", F.array(row(0, F.lit(0), F.col("__rest")))), _wanted("__shorter", F.transform(each, lambda i: row(1, F.lit(0), without(i)))), _wanted("__same", F.transform(each, lambda i: row(2, i, without(i)))))
+    return part.select("__at", F.explode(variants).alias("__v")).select("__at", "__v.*")
+
+
+def _summed_variants(part: DataFrame) -> DataFrame:
+    """The same variants named in constant time each: what is left of a part without its character i is the sum of
+    hashed (character, place) before i, and of those after it with places less by one."""
+    chars = part.select("__at", "__key", "__same", "__longer", "__shorter", F.posexplode(F.split("__rest", "", -1)).alias("__i", "__ch"))
+    # of 31 bits, so that no sum over a line overflows; equal sums are verified on the texts
+    term = lambda place: F.pmod(F.xxhash64(F.lit(5), "__ch", place), F.lit(1 << 31))
+    chars = chars.withColumns({"__own": term(F.col("__i")), "__moved": term(F.col("__i") - 1)}).drop("__ch")
+    line = Window.partitionBy("__at", "__key").orderBy("__i")
+    before = F.coalesce(F.sum("__own").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole, all_moved = (F.sum(c).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for c in ("__own", "__moved"))
+    chars = chars.select("*", whole.alias("__whole"), (before + all_moved - F.sum("__moved").over(line.rowsBetween(Window.unboundedPreceding, 0))).alias("__left"))
+    row = lambda role, place, total: F.array(F.struct(F.lit(role).alias("role"), _hash(5, F.col("__key"), place, F.col(total)).alias("a")))
+    first = F.when(F.col("__i") == 0, row(0, F.lit(0), "__whole")).otherwise(_none())
+    variants = F.concat(_wanted("__longer", first), _wanted("__shorter", row(1, F.lit(0), "__left")), _wanted("__same", row(2, F.col("__i") + 1, "__left")))
+    return chars.select("__at", F.explode(variants).alias("__v")).select("__at", "__v.*")
+
+
+def _one_edit(pairs: DataFrame) -> DataFrame:
+    """Pairs of different lines (__line, __other) that are one edit apart. Long lines are compared from their first
+    unlike character on, which is found by chunks, then within one, so that a comparison grows with the length."""
+    long = F.length("__line") > TABLED
+    chunks = lambda c: F.when(long, F.regexp_extract_all(c, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+    unlike = lambda a, b: (F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False) - 1).cast("int")
+    chars = lambda c: F.split(F.coalesce(F.get(c, F.col("__j")), F.lit("")), "", -1)
+    pairs = pairs.withColumns({"__a": chunks("__line"), "__b": chunks("__other")}).withColumn("__j", unlike("__a", "__b"))
+    pairs = pairs.withColumn("__p", F.col("__j") * CHUNK + unlike(chars("__a"), chars("__b")))
+    more = F.length("__line") - F.length("__other")
+    rest = lambda c, skips: F.substring(c, F.col("__p") + F.when(skips, 2).otherwise(1), F.length(c))
+    return pairs.where(F.when(long, rest("__line", more >= 0) == rest("__other", more <= 0)).otherwise(F.levenshtein("__line", "__other", 1) >= 0)).drop("__a", "__b", "__j", "__p")
+
+
 def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(__doc, __no, __h1, __near): the places and hashes of lines to remove, once each."""
     at = lambda d, n: F.struct(F.col(d).alias("d"), F.col(n).alias("n"))
@@ -92,10 +144,10 @@ def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     # one row for each distinct line: its earliest place and its shared halves
     near = near.groupBy(_hash(1, F.col("__line")).alias("__h1"), _hash(2, F.col("__line")).alias("__h2"))
     near = near.agg(F.min(at("__doc", "__no")).alias("__place"), F.min("__line").alias("__line"), F.collect_set("__key").alias("__keys"))
-    near = scratch.put(near.select(F.struct("__place.d", "__place.n", F.col("__h1").alias("h")).alias("__at"), "__line", "__keys"), "near")
+    near = scratch.put(near.select(F.struct("__place.d", "__place.n", F.col("__h1").alias("h")).alias("__at"), "__line", "__keys", F.length("__line").alias("__size")), "near")
 
-    size = F.length("__line")
-    part = near.select("__at", "__line", size.alias("__size"), F.explode(F.filter(_halves(F.col("__line"), size), lambda h: F.array_contains("__keys", h["key"]))).alias("__half"))
+    size = F.col("__size")
+    part = near.select("__at", "__line", "__size", F.explode(F.filter(_halves(F.col("__line"), size), lambda h: F.array_contains("__keys", h["key"]))).alias("__half"))
     # a variant can only meet one of a line of the same length, or of one character more or less
     part = part.withColumn("__key", F.col("__half.key"))
     sizes = scratch.put(part.groupBy("__key", "__size").agg((F.count(F.lit(1)) > 1).alias("__same")), "sizes")
@@ -103,14 +155,10 @@ def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     part = part.join(sizes, ["__key", "__size"]).join(other(-1, "__longer"), ["__key", "__size"], "left").join(other(1, "__shorter"), ["__key", "__size"], "left")
     part = part.where("__same or __longer or __shorter")
     rest = F.when(F.col("__half.side") == "P", F.substring(F.col("__line"), F.col("__half.c") + 1, F.col("__size"))).otherwise(F.substring(F.col("__line"), F.lit(1), F.col("__size") - F.col("__half.c")))
-    part = part.select("__at", "__key", "__same", "__longer", "__shorter", rest.alias("__rest"), (F.col("__size") - F.col("__half.c")).alias("__m"))
-    without = lambda i: F.concat(F.substring(F.col("__rest"), F.lit(1), i - 1), F.substring(F.col("__rest"), i + 1, F.col("__m")))
-    row = lambda role, place, text: F.struct(F.lit(role).alias("role"), _hash(4, F.col("__key"), place, text).alias("a"))
-    each = F.sequence(F.lit(1), F.col("__m"))
-    none = F.array().cast("array<struct<role:int,a:bigint>>")
-    wanted = lambda flag, made: F.when(F.col(flag), made).otherwise(none)
-    variants = F.concat(wanted("__longer", F.array(row(0, F.lit(0), F.col("__rest")))), wanted("__shorter", F.transform(each, lambda i: row(1, F.lit(0), without(i)))), wanted("__same", F.transform(each, lambda i: row(2, i, without(i)))))
-    variants = part.select("__at", F.explode(variants).alias("__v")).select("__at", "__v.*")
+    part = part.select("__at", "__key", "__same", "__longer", "__shorter", rest.alias("__rest"), (F.col("__size") - F.col("__half.c")).alias("__m"), F.col("__half.c").alias("__c"))
+    variants = _spelled_variants(part.where(F.col("__c") <= SPELLED))
+    if (near.agg(F.max("__size")).first()[0] or 0) > 2 * SPELLED:
+        variants = variants.unionByName(_summed_variants(part.where(F.col("__c") > SPELLED)))
     # role 0 meets role 1 (one is the other without a character); role 2 meets role 2 (same place left out)
     group = Window.partitionBy("a")
     first = lambda role: F.min(F.when(F.col("role") == role, F.col("__at"))).over(group)
@@ -118,7 +166,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     # equal places are of rows that share an id
     pairs = variants.where(at("__by.d", "__by.n") < at("__at.d", "__at.n")).distinct()
     own, other = near.select("__at", "__line"), near.select(F.col("__at").alias("__by"), F.col("__line").alias("__other"))
-    checked = pairs.join(own, "__at").join(other, "__by").where(F.levenshtein("__line", "__other", 1) >= 0)
+    checked = _one_edit(pairs.join(own, "__at").join(other, "__by"))
     close = checked.select(F.col("__at.d").alias("__doc"), F.col("__at.n").alias("__no"), F.col("__at.h").alias("__h1"))
 
     both = exact.withColumn("__near", F.lit(0)).unionByName(close.withColumn("__near", F.lit(1)))

@@ -1,6 +1,6 @@
 """Mixing sources to target weights, by DataFrame functions only.
 
-Every document gets a random key, a hash of its id. Within each source documents are ordered by that key;
+Every document gets a random key, a hash of its id and text. Within each source documents are ordered by that key;
 running sums of their sizes are cut at the source's budget, after as many whole passes as the budget holds.
 
 Running sums are made in two levels, so that no source is ever in one task: the key's leading digits cut each
@@ -12,7 +12,8 @@ weight; a source's target stops at `cap` times its size, and the excess goes to
 level at which this comes to rest is found by one sort of the sources by size over weight.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own; documents without
-words take 0; repeated rows are separate documents that tie in order; an empty table gives no rows. Columns
+words take 0; repeated rows are separate documents that tie in order, and only rows of one id (or none) and one text share
+a key, hence a task; an empty table gives no rows. Columns
 that clash with the operator's own names do no harm: `carry` names what is kept besides the id.
 """
 
@@ -51,7 +52,7 @@ def targets(sums: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """id, size, source_size, target, taken, and source; `carry`'s columns follow as a struct `row`."""
     scratch = Scratch(docs.sparkSession, "mix")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))).cast("binary"))
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), *([F.struct(*carry).alias("row")] if carry else []))
     if not carry:
         base = scratch.put(base, "sizes")
@@ -84,7 +85,7 @@ def op3_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP3_SQL = f"""
 WITH base AS (
-  SELECT doc_id, source, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+  SELECT doc_id, source, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key,
          CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),

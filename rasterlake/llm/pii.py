@@ -12,7 +12,7 @@ them, so a row is never split up. Only the counts of (votes, form) meet in an ag
 bounded by the labelers' and features' values, not by the data. The fit on these counts runs on the driver.
 
 Defined results: a null text counts as empty and has no spans; repeated rows each get their own result; an
-empty table gives no rows and fits the priors; a run of more than 200 digits and nothing else is no candidate; columns other than the id and text are not read.
+empty table gives no rows and fits the priors; a very long text of very many matches costs a sort of its spans; a run of more than 200 digits and nothing else is no candidate; columns other than the id and text are not read.
 """
 
 from __future__ import annotations
@@ -59,18 +59,24 @@ STRICT = {
 }
 LABELERS = ("strict form", "cue word", "assignment before it", "mixed characters", "word against it", "unit after it")
 CONTEXT = 32
+#: Characters of a chunk of text, by which a candidate's surroundings are found without a walk from the text's start.
+CHUNK = 1024
 EM_ROUNDS, PSEUDO, FIT_ROUNDS = 40, 8.0, 500
 
 
 def _starts(gaps: Column, sizes: Column) -> Column:
-    """Where each match starts: running sums in two levels, so that many matches in a text stay cheap."""
+    """Where each match starts: running sums in three levels, so that many matches in a text stay cheap."""
     k = 64
     steps = F.zip_with(F.slice(gaps, 1, F.size(sizes)), F.concat(F.array(F.lit(0)), sizes), lambda g, m: F.coalesce(g, F.lit(0)) + F.coalesce(m, F.lit(0)))
     add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    floor = lambda n: F.floor(n / k).cast("int")
+    sums = lambda xs: F.transform(F.sequence(F.lit(0), floor(F.size(xs))), lambda c: add(F.slice(xs, c * k + 1, F.lit(k))))
     held = F.array(F.struct(steps.alias("d")))
-    held = F.transform(held, lambda h: F.struct(h["d"].alias("d"), F.transform(F.sequence(F.lit(0), F.floor(F.size(h["d"]) / k).cast("int")), lambda c: add(F.slice(h["d"], c * k + 1, F.lit(k)))).alias("c")))
-    at = lambda h, i: add(F.slice(h["c"], F.lit(1), F.floor(i / k).cast("int"))) + add(F.slice(h["d"], F.floor(i / k).cast("int") * k + 1, i % k + 1))
-    return F.transform(held, lambda h: F.transform(F.sequence(F.lit(0), F.size(h["d"]) - 2), lambda i: at(h, i)))[0]
+    held = F.transform(held, lambda h: F.struct(h["d"].alias("d"), sums(h["d"]).alias("c")))
+    held = F.transform(held, lambda h: F.struct(h["d"].alias("d"), h["c"].alias("c"), sums(h["c"]).alias("b")))
+    some = lambda xs, i: add(F.slice(xs, floor(i) * k + 1, i % k))
+    first = lambda h, n: add(F.slice(h["b"], F.lit(1), floor(floor(n)))) + some(h["c"], floor(n)) + some(h["d"], n)
+    return F.transform(held, lambda h: F.transform(F.sequence(F.lit(0), F.size(h["d"]) - 2), lambda i: first(h, i + 1)))[0]
 
 
 def find(df: DataFrame, text: str, out: str, pattern: str, holds: Column) -> DataFrame:
@@ -118,22 +124,48 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
     return df.drop("has_digit")
 
 
+def _before(values: Column, others: Column, at_ties: bool) -> Column:
+    """For each of the ascending `values` how many of `others` are less, or equal with `at_ties`: one sort of both."""
+    of = lambda xs, own, tie: F.transform(xs, lambda v: F.struct(v.alias("v"), F.lit(tie).alias("tie"), F.lit(own).alias("own")))
+    both = F.sort_array(F.concat(of(values, True, int(at_ties)), of(others, False, int(not at_ties))))
+    placed = F.filter(F.transform(both, lambda x, i: F.struct(x["own"].alias("own"), i.alias("i"))), lambda p: p["own"])
+    return F.transform(placed, lambda p, k: p["i"] - k)
+
+
+def _free(found: Column, taken: Column) -> Column:
+    """Of ascending disjoint matches those that overlap no span of `taken`: as many spans begin before a match's end as
+    end at its start or before."""
+    begun = _before(F.transform(found, lambda x: x["end"]), F.transform(taken, lambda t: t["a"]), False)
+    ended = _before(F.transform(found, lambda x: x["start"]), F.transform(taken, lambda t: t["z"]), True)
+    told = F.zip_with(found, F.zip_with(begun, ended, lambda a, b: a == b), lambda x, free: F.struct(x.alias("x"), free.alias("free")))
+    return F.when((F.size(found) == 0) | (F.size(taken) == 0), found).otherwise(F.transform(F.filter(told, lambda x: x["free"]), lambda x: x["x"]))
+
+
+def _near(start: Column, size: Column) -> Column:
+    """`size` characters of the text from `start`, at most CHUNK, out of the chunks that hold them."""
+    j = F.floor(start / CHUNK).cast("int")
+    held = F.concat(F.coalesce(F.get("chunks", j), F.lit("")), F.coalesce(F.get("chunks", j + 1), F.lit("")))
+    return F.substring(held, start - j * CHUNK + 1, size)
+
+
 def _candidates(df: DataFrame, text: str) -> DataFrame:
     """Adds `cand`: array of (kind, start, end, votes, form), without what overlaps a base span."""
     for kind, (pattern, holds) in CANDIDATES.items():
         df = find(df, text, f"c_{kind}", pattern, F.col(text).rlike(holds))
     taken = F.concat(*(F.transform(f"b_{k}", lambda x: F.struct(x["start"].alias("a"), x["end"].alias("z"))) for k in BASE))
-    df = df.withColumn("taken", taken)
+    some = reduce(lambda a, b: a | b, (F.size(f"c_{k}") > 0 for k in CANDIDATES))
+    chunks = F.when(some, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+    df = df.withColumns({"taken": taken, "chunks": chunks})
 
     def described(kind: str) -> Column:
-        free = F.filter(f"c_{kind}", lambda x: ~F.exists("taken", lambda t: (t["a"] < x["end"]) & (x["start"] < t["z"])))
+        free = _free(F.col(f"c_{kind}"), F.col("taken"))
         if kind == "phone":
             free = F.filter(free, lambda x: F.length(F.regexp_replace(x["s"], "[^0-9]", "")).between(9, 15) & ~x["s"].rlike(STRICT["id"]))
         begun = lambda x: F.greatest(x["start"] - CONTEXT, F.lit(0))
-        seen = F.transform(free, lambda x: F.struct(x["start"], x["end"], x["s"], F.lower(F.substring(F.col(text), begun(x) + 1, x["start"] - begun(x))).alias("left"), F.substring(F.col(text), x["end"] + 1, F.lit(4)).alias("right")))
+        seen = F.transform(free, lambda x: F.struct(x["start"], x["end"], x["s"], F.lower(_near(begun(x), x["start"] - begun(x))).alias("left"), _near(x["end"], F.lit(4)).alias("right")))
         return F.transform(seen, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _votes(kind, x["s"], x["left"], x["right"]).alias("votes"), _form(kind, x["s"], x["left"]).alias("form")))
 
-    return df.withColumn("cand", F.concat(*map(described, CANDIDATES))).drop("taken", *(f"c_{k}" for k in CANDIDATES))
+    return df.withColumn("cand", F.concat(*map(described, CANDIDATES))).drop("taken", "chunks", *(f"c_{k}" for k in CANDIDATES))
 
 
 def _votes(kind: str, s: Column, left: Column, right: Column) -> Column:

@@ -212,6 +212,19 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixing_of_many_rows_without_an_id(spark):
+    """Rows without an id are in random order by their texts, so they are dealt to many ranges."""
+    n = 100_000
+    rows = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    more = spark.range(n // 2).select("id", F.concat(F.lit("v "), F.col("id").cast("string")).alias("text"), F.lit("t").alias("source"))
+    made = mixing.mix(rows.union(more)).groupBy("source", "size", "source_size", "target").agg(F.sum("taken").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r.source: r.n for r in made} == {"s": n, "t": n // 2}
+    for r in made:
+        assert r["size"] == 2 and r.source_size == 2 * r.n and r.t == math.floor(r.target + 0.5)
+    keys = {hashlib.md5(f"{mixing.SEED}::{hashlib.md5(f'w {k}'.encode()).hexdigest()}".encode()).hexdigest()[: mixing.DIGITS] for k in range(n)}
+    assert len(keys) == 16**mixing.DIGITS
+
+
 # 4 -------------------------------------------------------------------------------------------------------------
 
 
@@ -515,6 +528,25 @@ def test_lines(spark, docs, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("spelled", [10, 14])
+def test_lines_by_summed_variants(spark, docs, empty, monkeypatch, spelled):
+    """Lines on both sides of the limit, and across it, meet as they do when all variants are strings."""
+    monkeypatch.setattr(lines, "SPELLED", spelled)
+    monkeypatch.setattr(lines, "TABLED", 2 * spelled)
+    monkeypatch.setattr(lines, "CHUNK", 7)
+    test_lines(spark, docs, empty)
+
+
+def test_very_long_lines(spark):
+    rng = random.Random(88)
+    long = "".join(rng.choice("abcdefgh é😀") for _ in range(200_000)).strip()
+    k = 150_000
+    rows = [(1, long), (2, long[:k] + long[k + 1 :]), (3, long[:k] + "Z" + long[k + 1 :]), (4, long[:k] + "ZZ" + long[k + 2 :]), (5, long[: k // 2] + "Z" + long[k // 2 :]), (6, long)]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # the fourth is two edits from the first, one from the third, and lines are judged on the input
+    assert [i for i, t in sorted(got.items()) if t] == [1]
+
+
 def test_lines_of_repeated_ids(spark):
     """Rows of one id, or of none, are one document, whatever their numbers of lines; a line is told by its content too."""
     a, b, c, d = (("a line of some length, the " + x * 8).strip() for x in ("one ", "two ", "six ", "ten "))
@@ -611,6 +643,39 @@ def test_hostile_texts_and_few_candidates(spark):
     assert [(c.start, c.end) for c in made.cand] == [(4, 304)]
 
 
+def test_texts_of_very_many_matches(spark):
+    n = 50_000
+    text = "".join(f"mail user{k}@mail.example.org or key=tok{k}abcdefgh12 now\n" for k in range(n))
+    docs = spark.createDataFrame([(1, text), (2, text[: text.index("\n") + 1])], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    want = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)]
+    assert [(x.start, x.end) for x in got[1].base if x.kind == "email"] == want and len(want) == n
+    assert [tuple(x) for x in got[2].base] == [tuple(x) for x in got[1].base][:1]
+    # which forms the classifier takes is its own matter; all it takes are whole assignments, none cut or shifted
+    keys = {(m.start(), m.end()) for m in re.finditer(r"key=\w+", text)}
+    assert len(keys) == n and {(x.start, x.end) for x in got[1].added} <= keys and len(got[1].added) > 0.9 * n
+
+
+def test_free_matches_and_surroundings(spark, monkeypatch):
+    """Overlaps by one sort and surroundings by chunks, against plain comparison."""
+    rng = random.Random(10)
+    rows = []
+    for _ in range(200):
+        cut = sorted(rng.sample(range(60), 2 * rng.randint(0, 6)))
+        found = [(a, b, "s") for a, b in zip(cut[::2], cut[1::2], strict=True)]
+        taken = [(a, a + rng.randint(1, 8)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 5)))]
+        rows.append((found, taken))
+    df = spark.createDataFrame(rows, "found array<struct<start:int,end:int,s:string>>, taken array<struct<a:int,z:int>>")
+    for r in df.select("*", pii._free(F.col("found"), F.col("taken")).alias("free")).collect():
+        assert r.free == [x for x in r.found if not any(t.a < x.end and x.start < t.z for t in r.taken)]
+    monkeypatch.setattr(pii, "CHUNK", 40)
+    text = "".join(rng.choice("ab é😀\n") for _ in range(130))
+    chunks = [text[i : i + 40] for i in range(0, 130, 40)]
+    spots = spark.createDataFrame([(i, min(n, 130 - i), chunks) for i in range(131) for n in (0, 4, 32)], "i int, n int, chunks array<string>")
+    for r in spots.select("i", "n", pii._near(F.col("i"), F.col("n")).alias("s")).collect():
+        assert r.s == text[r.i : r.i + r.n]
+
+
 def test_classifier_comes_to_rest():
     for rows in ([("email|a", 1.0, 1.0)], [("a|b|c", 0.0, 1.0), ("a|b|d", 1.0, 1e9)], [("x", 0.5, 3.0)] * 40):
         weights = pii.train(rows)
