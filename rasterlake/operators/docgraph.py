@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import count
+from itertools import chain, count
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,51 +96,92 @@ def replay(steps: Iterable[tuple[str, Matrix | None]], now: Matrix = IDENTITY, s
         yield now
 
 
-def _steps(rows: pd.DataFrame) -> list[tuple[str, Matrix | None]]:
-    return [(op, tuple(m) if op == "transform" else None) for op, *m in rows[["op", *"abcdef"]].itertuples(index=False)]
+def _told(batches: Iterator[pa.RecordBatch], kind: pa.DataType, most: int = 1 << 13) -> Iterator[pa.RecordBatch]:
+    """Of a task's rows (stream, seq, op, a to f, obj, part), sorted by stream and seq: a row for each paint, its matrix
+    told from a start as in summary(), and one for the effect of the first and of the last stream, which may lie in other
+    tasks too. `cut` marks the first stream, the only one that others may have begun. No stream is held, only its saved
+    matrices."""
+    kinds = [kind, pa.int32(), pa.bool_(), pa.int64(), pa.string(), *[pa.float64()] * 6, pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int32())]
+    names = ["stream", "part", "cut", "seq", "obj", *"abcdef", "start", "taken", "values", "starts"]
+    made: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        nonlocal made
+        columns, made = zip(*made, strict=True), []
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    def effect() -> tuple:
+        ends = [*saved, now]
+        return stream, part, cut, None, None, *[None] * 7, taken, [x for m, _ in ends for x in m], [k for _, k in ends]
+
+    begun, cut, stream, part, taken, now, saved = False, True, None, None, 0, (IDENTITY, HERE), []
+    for some in batches:
+        for of, seq, op, a, b, c, d, e, f, obj, at in zip(*(x.to_pylist() for x in some.columns), strict=True):
+            if begun and of != stream:
+                if cut:
+                    made.append(effect())
+                cut, taken, now, saved = False, 0, (IDENTITY, HERE), []
+            begun, stream, part = True, of, at
+            if op == "save":
+                saved.append(now)
+            elif op == "transform":
+                now = product((a, b, c, d, e, f), now[0]), now[1]
+            elif op == "restore":
+                if saved:
+                    now = saved.pop()
+                else:
+                    taken += 1
+                    now = IDENTITY, taken
+            elif op == "paint":
+                made.append((stream, part, cut, seq, obj, *now[0], now[1], None, None, None))
+                if len(made) >= most:
+                    yield batch()
+    if begun:
+        made.append(effect())
+        yield batch()
+
+
+def _begun(parts: pd.DataFrame) -> pd.DataFrame:
+    """Of the effects of one stream's parts, the starts of each but the first."""
+    now, saved, made = IDENTITY, [], []
+    for n, r in enumerate(parts.sort_values("part").itertuples(index=False)):
+        top = saved[len(saved) - min(r.taken, len(saved)) :]
+        of = [now, *reversed(top), *[IDENTITY] * (r.taken - len(top))]
+        made += [(r.stream, r.part, k, *m) for k, m in enumerate(of)] if n else []
+        told = [product(tuple(r.values[6 * k : 6 * k + 6]), of[start]) for k, start in enumerate(r.starts)]
+        saved, now = saved[: len(saved) - len(top)] + told[:-1], told[-1]
+    return pd.DataFrame(made, columns=["of", "in_part", "at", *"pqrstu"])
 
 
 def replayed_rows(events: DataFrame, stream: str, span: int = 1 << 16) -> DataFrame:
     """(stream, seq, obj, width, height) of every paint in streams of operators that are rows: stream, seq (long), op
-    (save, restore, transform, paint), a to f, obj.
+    (save, restore, transform, paint; any other does nothing), a to f, obj.
 
-    A stream is cut into parts of `span` places, each a task's; a part's effect doesn't depend on what comes before.
-    The parts' effects, short as they are, meet once for each stream to give every part its start."""
+    Rows are dealt to tasks by ranges of (stream, seq), some `span` rows each, and every task replays its rows in one go,
+    however many streams they are. Where a stream goes over several tasks, its parts' effects, which don't depend on what
+    comes before, meet once to give every part its starts: at most two effects from a task."""
     kind = events.schema[stream].dataType.simpleString()
-    rows = events.select(F.col(stream).alias("stream"), F.floor(F.col("seq") / span).cast("long").alias("part"), "seq", "op", *"abcdef", "obj")
-    flat = "array<double>"
-
-    def told(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        taken, now, saved = summary(_steps(rows))
-        put = lambda many: ([x for m, _ in many for x in m], [k for _, k in many])
-        values, starts = put([*saved, now])
-        return pd.DataFrame([(rows["stream"].iloc[0], rows["part"].iloc[0], taken, values, starts)], columns=["stream", "part", "taken", "values", "starts"])
-
-    parts = rows.groupBy("stream", "part").applyInPandas(told, f"stream {kind}, part long, taken int, values {flat}, starts array<int>")
-
-    def begun(parts: pd.DataFrame) -> pd.DataFrame:
-        now, saved, made = IDENTITY, [], []
-        for r in parts.sort_values("part").itertuples(index=False):
-            top = saved[len(saved) - min(r.taken, len(saved)) :]
-            made.append((r.stream, r.part, [x for m in [*top, now] for x in m]))
-            of = [now, *reversed(top), *[IDENTITY] * (r.taken - len(top))]
-            told = [product(tuple(r.values[6 * k : 6 * k + 6]), of[start]) for k, start in enumerate(r.starts)]
-            saved, now = saved[: len(saved) - len(top)] + told[:-1], told[-1]
-        return pd.DataFrame(made, columns=["stream", "part", "begin"])
-
-    starts = parts.groupBy("stream").applyInPandas(begun, f"stream {kind}, part long, begin {flat}")
-
-    def drawn(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        names = ["stream", "seq", "obj", "width", "height"]
-        if not len(rows):
-            return pd.DataFrame(columns=names)
-        rows = rows.sort_values("seq")
-        begin = [tuple(start["begin"].iloc[0][k : k + 6]) for k in range(0, len(start["begin"].iloc[0]), 6)]
-        after = replay(_steps(rows), begin[-1], begin[:-1])
-        return pd.DataFrame([(s, q, o, *extents(m)) for (s, q, op, o), m in zip(rows[["stream", "seq", "op", "obj"]].itertuples(index=False), after, strict=True) if op == "paint"], columns=names)
-
-    made = rows.groupBy("stream", "part").cogroup(starts.groupBy("stream", "part")).applyInPandas(drawn, f"stream {kind}, seq long, obj string, width double, height double")
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c)
+    rows = events.select(F.col(stream).alias("stream"), F.col("seq").cast("long").alias("seq"), "op", *map(number, "abcdef"), F.col("obj").cast("string").alias("obj"))
+    tasks = max(1, -(-rows.count() // span))
+    dealt = rows.repartitionByRange(tasks, "stream", "seq").sortWithinPartitions("stream", "seq").withColumn("part", F.spark_partition_id())
+    schema = f"stream {kind}, part int, cut boolean, seq long, obj string, {', '.join(f'{c} double' for c in 'abcdef')}, start int, taken int, values array<double>, starts array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = next(batches, None)
+        if head is not None:
+            yield from _told(chain([head], batches), head.schema.field(0).type)
+
+    # stored, so that all that follows sees the parts of one dealing
+    told = stored(dealt.mapInArrow(run, schema))
+    effects = told.where("taken is not null").select("stream", "part", "taken", "values", "starts")
+    starts = effects.groupBy("stream").applyInPandas(_begun, f"of {kind}, in_part int, at int, {', '.join(f'{c} double' for c in 'pqrstu')}")
+    paints = told.where("taken is null")
+    met = paints.where("cut").join(starts, F.col("stream").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in_part")) & (F.col("start") == F.col("at")), "left")
+    m = tuple(F.col(c) for c in "abcdef")
+    moved = product(m, tuple(F.coalesce(F.col(c), F.lit(x)) for c, x in zip("pqrstu", IDENTITY, strict=True)))
+    size = lambda m: (F.sqrt(m[0] * m[0] + m[1] * m[1]).alias("width"), F.sqrt(m[2] * m[2] + m[3] * m[3]).alias("height"))
+    made = paints.where("not cut").select("stream", "seq", "obj", *size(m)).unionByName(met.select("stream", "seq", "obj", *size(moved)))
     return made.withColumnRenamed("stream", stream)
 
 

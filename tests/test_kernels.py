@@ -136,6 +136,29 @@ def test_long_streams_are_replayed_in_linear_time(spark):
     assert docgraph.replayed_rows(events, "s", 9000).where("width = 1 and height = 1").count() == 40_000
 
 
+def test_many_short_streams_are_replayed_task_by_task(spark, tmp_path):
+    """Streams of a few rows far apart, as users' events are: not one call for each (before: two for each part of a stream).
+    Odd ids and missing users count as in SQL."""
+    import time
+
+    import duckdb
+    from tests.conftest import rows_of
+
+    from rasterlake.plans import catalogue, oracle
+
+    table = "SELECT id * 1501 % 60000 - 9 AS event_id, CASE WHEN id % 50 > 0 THEN id % 4000 END AS user_id, CASE WHEN id % 7 > 0 THEN id % 151 + 0.5D END AS value, 'x' AS event_type FROM range(12000)"
+    rows = spark.sql(f"{table} UNION ALL SELECT NULL, 1L, 2D, 'x'")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    start = time.perf_counter()
+    got = catalogue.ctm_replay(spark, str(tmp_path)).toPandas()
+    assert time.perf_counter() - start < 20
+    duck = duckdb.connect()
+    duck.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert rows_of(got) == rows_of(duck.execute(oracle.ORACLE_SQL["ctm_replay"]).df())
+    far = rows.where("user_id is not null").selectExpr("user_id", "event_id * 1000000 seq", "'paint' op", *(f"1D {c}" for c in "abcdef"), "'o' obj")
+    assert "CoGroup" not in docgraph.replayed_rows(far, "user_id", 4096)._jdf.queryExecution().toString()
+
+
 def test_placement_scopes_differ(spark):
     rows = [("f", "p1", 0, 5, "x", 2.0, 2.0), ("f", "p1", 0, 6, "x", 3.0, 1.0), ("f", "p1", 0, 7, "x", 4.0, 1.0), ("f", "p2", 1, 1, "x", 9.0, 9.0), ("f", "p2", 1, 2, "y", 0.0, 4.0), ("f", "p2", 1, 3, None, 8.0, 8.0), ("g", "p1", 0, 1, "x", 1.0, 1.0)]
     paints = spark.createDataFrame(rows, "path string, page string, place int, seq int, obj string, width double, height double")
