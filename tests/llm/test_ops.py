@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -593,6 +594,30 @@ def test_nearest(spark):
     assert ann.nearest(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_nearest_meets_in_cells(spark, monkeypatch):
+    """Many groups of queries and batches of rows: all nearest are found, and rows that leave a cell don't grow with its
+    rows (before: k rows for each query and block of rows)."""
+    rng = np.random.default_rng(10)
+    x = np.round(rng.standard_normal((3000, 8)) * 8)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(ann, "GROUP_QUERIES", 40)
+    monkeypatch.setattr(ann, "STRIPES", 3)
+    made = ann.nearest(table, table.where("vec_id % 20 = 0"), 5)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in made.collect()}
+    exact, hit = x @ x.T, 0
+    for q in range(0, 3000, 20):
+        order = [j for j in np.lexsort((np.arange(3000), -exact[q])) if j != q][:5]
+        hit += sum(got[q, n + 1] == (j, exact[q, j]) for n, j in enumerate(order))
+    assert len(got) == 750 and hit >= 0.9 * 750
+    v = [pa.array(list(some), pa.list_(pa.float64())) for some in (x[:4], x[4:])]
+    coded = next(ann._coded(iter([pa.RecordBatch.from_arrays([pa.array(range(4, 3000)), v[1]], names=["id", "v"])])))
+    flag = lambda n, b: [pa.array([0] * n, pa.int32()), pa.array([b] * n)]
+    names = ["cell", "is_row", "id", "v", "codes", "length", "own"]
+    asked = pa.RecordBatch.from_arrays([*flag(4, False), pa.array(range(4)), v[0], pa.nulls(4, pa.binary()), pa.nulls(4, pa.float64()), pa.nulls(4, pa.float64())], names=names)
+    rows = [pa.RecordBatch.from_arrays([*flag(some.num_rows, True), *some.columns], names=names) for some in (coded.slice(k, 500) for k in range(0, 2996, 500))]
+    assert sum(b.num_rows for b in ann._searched(5)(iter([asked, *rows]))) == 4 * 5
+
+
 # 10 ------------------------------------------------------------------------------------------------------------
 
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
