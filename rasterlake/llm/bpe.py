@@ -1,11 +1,15 @@
 """BPE encoding and decoding by a distinct-word table.
 
-Texts are packed into blocks of some MB, written once. Each block gives its distinct words (split at white space),
-numbered in their order; the distinct words of all blocks are one table, of which every word is encoded once. Ids go
-back to the blocks' words by a join, to their blocks as one list by number, and the blocks' texts take them by position.
-To decode, the distinct ids of each block are joined with the vocabulary's id-to-piece table.
+Texts are cut into blocks of some MB. Each block gives its distinct words (split at white space), dealt by hash into
+buckets; a bucket holds a word for all blocks, so that each distinct word is encoded once, and gives every block the ids of
+its words in their order. These meet again by block, and the blocks' texts, read a second time, are joined with them. To
+decode, the distinct ids of each block are joined with the vocabulary's id-to-piece table.
 
-What is joined are distinct words and ids of blocks, not words of texts: a frequent word is one row a block.
+What travels are distinct words and ids of blocks, not words of texts, as one compressed list for each block and bucket: a
+frequent word goes once for a block. Texts travel once, compressed, and are nowhere written besides.
+
+A block is named by its task and its number there, so `docs` must give the same rows in the same tasks twice, as a stored
+table does; without `stored=True` it is written first. A block whose words aren't those it gave before stops the job.
 
 A white-space cut is safe for vocabularies whose pre-tokenizer drops white space: no token, contraction or added token
 spans a cut, and normalisation to NFC composes nothing with a space.
@@ -18,7 +22,9 @@ encoded whole; an empty table gives no rows; columns other than the id and text
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, tokenizer_path
+from .common import Scratch, n_partitions, table, tokenizer_path
 
 #: Bytes of text in a block, beyond which no further text joins it.
 BLOCK_BYTES = 32_000_000
@@ -37,21 +43,12 @@ class Blocks:
     """Texts as blocks: one string of bytes, compressed, with the length of each text."""
 
     @staticmethod
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        pack, part, n = zstandard.ZstdCompressor(level=LEVEL), TaskContext.get().partitionId(), 0
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes], pa.DataType]]:
+        """(block, ids, texts, type of ids), the same in every pass."""
+        at = TaskContext.get().partitionId() << 32
         ids: list = []
         texts: list[bytes] = []
         held, kind = 0, None
-
-        def block() -> pa.RecordBatch:
-            nonlocal ids, texts, held, n
-            sizes = np.array([len(t) for t in texts], np.int64)
-            columns = [pa.array([part << 32 | n], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(texts))], pa.binary())]
-            ids, texts, held, n = [], [], 0, n + 1
-            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "z"])
-
         for batch in batches:
             kind = batch.column(0).type
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
@@ -61,12 +58,22 @@ class Blocks:
                 except UnicodeDecodeError:
                     text = text.decode("utf-8", "replace").encode()
                 if texts and held + len(text) > BLOCK_BYTES:
-                    yield block()
+                    yield at, ids, texts, kind
+                    at, ids, texts, held = at + 1, [], [], 0
                 ids.append(i)
                 texts.append(text)
                 held += len(text)
         if texts:
-            yield block()
+            yield at, ids, texts, kind
+
+    @staticmethod
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=LEVEL)
+        for at, ids, texts, kind in Blocks.of(batches):
+            columns = [pa.array([at], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(texts))], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "z"])
 
     @staticmethod
     def texts(sizes: list[int], z: bytes) -> list[bytes]:
@@ -77,24 +84,29 @@ class Blocks:
         return [text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     @staticmethod
-    def distinct(texts: list[bytes]) -> list[bytes]:
-        """The block's distinct words in order."""
+    def buckets(texts: list[bytes], n: int) -> list[list[bytes]]:
+        """The block's distinct words by bucket, each in order."""
         found: set[bytes] = set()
         for text in texts:
             found.update(text.split())
-        return sorted(found)
+        dealt: list[list[bytes]] = [[] for _ in range(n)]
+        for word in sorted(found):
+            dealt[zlib.crc32(word) % n].append(word)
+        return dealt
 
 
-def block_words(blocks: DataFrame) -> DataFrame:
-    """(block, no, word): the distinct words of each block by number."""
+def block_words(docs: DataFrame, n: int) -> DataFrame:
+    """(block, bucket, words): the distinct words of each block by bucket, as compressed lists, from (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, sizes, z in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                words = Blocks.distinct(Blocks.texts(sizes, z))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block), pa.int64()), pa.array(np.arange(len(words)), pa.int32()), pa.array(words, pa.binary()).cast(pa.string())], names=["block", "no", "word"])
+        import zstandard
 
-    return blocks.select("block", "sizes", "z").mapInArrow(run, "block long, no int, word string")
+        pack = zstandard.ZstdCompressor(level=LEVEL)
+        for block, _, texts, _ in Blocks.of(batches):
+            dealt = [(k, pack.compress(b" ".join(words))) for k, words in enumerate(Blocks.buckets(texts, n)) if words]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(dealt), pa.int64()), pa.array([k for k, _ in dealt], pa.int32()), pa.array([z for _, z in dealt], pa.binary())], names=["block", "bucket", "words"])
+
+    return docs.mapInArrow(run, "block long, bucket int, words binary")
 
 
 def _tokenizer(path: str):
@@ -110,16 +122,44 @@ def _tokenizer(path: str):
 
 
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) of distinct words (word)."""
+    """(block, bucket, crc, n, ids) of words by bucket (block, bucket, words), a bucket to a task: its distinct words are
+    encoded once. ids: how many each of the n words has, then all of them, compressed; crc: of these words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
-        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        for batch in batches:
-            made = encode(batch.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.ids for m in made], pa.list_(pa.int32()))], names=["word", "ids"])
+        import zstandard
 
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+        pack, unpack = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
+        held = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        for bucket in sorted({b for _, b, _ in held}):
+            lists = [(block, unpack.decompress(z)) for block, b, z in held if b == bucket]
+            distinct = sorted(set().union(*(words.split() for _, words in lists)))
+            tokenizer = _tokenizer(path)
+            encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+            made = [m.ids for k in range(0, len(distinct), 10_000) for m in encode([w.decode() for w in distinct[k : k + 10_000]], add_special_tokens=False)]
+            size = np.array([len(m) for m in made], np.int64)
+            start, flat = np.cumsum(size) - size, np.fromiter(chain.from_iterable(made), np.uint32)
+            place = dict(zip(distinct, range(len(distinct)), strict=True))
+            del made
+            columns: list[list] = [[] for _ in range(5)]
+            for block, words in lists:
+                at = np.fromiter(map(place.__getitem__, words.split()), np.int64)
+                n = size[at]
+                ids = flat[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                # planes of bytes, of which the upper ones are nearly all 0
+                z = pack.compress(np.concatenate([n.astype(np.uint32), ids]).view(np.uint8).reshape(-1, 4).T.tobytes())
+                for c, x in zip(columns, (block, bucket, zlib.crc32(words), len(at), z), strict=True):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "bucket", "crc", "n", "ids"])
+
+    return words.mapInArrow(run, "block long, bucket int, crc long, n int, ids binary")
+
+
+def unpacked(z: bytes) -> np.ndarray:
+    """The numbers of an `ids` of encoded_words()."""
+    import zstandard
+
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
+    return np.ascontiguousarray(data.reshape(4, -1).T).view(np.uint32).ravel()
 
 
 def pieces(spark, path: str) -> DataFrame:
@@ -129,14 +169,24 @@ def pieces(spark, path: str) -> DataFrame:
 
 
 def decoded_ids(tables: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(block, id, piece as lists) of each block's distinct ids, by joining these with their pieces."""
-    each = tables.select("block", F.explode(F.array_distinct(F.flatten("ids"))).alias("id"))
+    """(block, id, piece as lists) of each block's distinct ids, by joining these with their pieces; from (block, t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                some: list[np.ndarray] = []
+                for words, z in zip(t.values.field("n").to_pylist(), t.values.field("ids"), strict=True):
+                    some.append(np.unique(unpacked(z.as_py())[words:]))
+                ids = np.unique(np.concatenate(some)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block), pa.int64()), pa.array(ids)], names=["block", "id"])
+
+    each = tables.select("block", "t").mapInArrow(run, "block long, id int")
     # one row for each entry of a vocabulary: a size that doesn't grow with the corpus
-    met = each.join(F.broadcast(vocabulary), "id").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("t"))
-    return met.select("block", F.col("t.id").alias("id"), F.col("t.piece").alias("piece"))
+    met = each.join(F.broadcast(vocabulary), "id").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("p"))
+    return met.select("block", F.col("p.id").alias("id"), F.col("p.piece").alias("piece"))
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", output: str = "digest") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", output: str = "digest", stored: bool = False) -> DataFrame:
     """Encodes and decodes every text.
 
     output "ids": id, n_tokens, ids array<int>, decoded string. output "digest": id, n_tokens, ids_sha256 (of
@@ -146,28 +196,37 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     scratch = Scratch(docs.sparkSession, "bpe")
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    blocks = scratch.put(slim.mapInArrow(Blocks.packed, f"block long, ids array<{kind}>, sizes array<long>, z binary"), "blocks")
-    words = scratch.put(block_words(blocks), "words")
-    known = scratch.put(encoded_words(words.select("word").distinct(), path).where(F.size("ids") > 0), "known")
-    back = words.join(known, "word").select("block", F.struct("no", "ids").alias("t"))
-    tables = scratch.put(back.groupBy("block").agg(F.collect_list("t").alias("t")).select("block", F.col("t.no").alias("no"), F.col("t.ids").alias("ids")), "tables")
-    scratch.drop("words")
-    scratch.drop("known")
-    tables = tables.join(decoded_ids(tables, pieces(docs.sparkSession, path)), "block").withColumnRenamed("ids", "of")
+    if not stored:
+        slim = scratch.put(slim, "docs")
+    buckets = n_partitions(docs.sparkSession)
+    words = block_words(slim, buckets).repartitionById(buckets, "bucket")
+    coded = encoded_words(words, path).select("block", F.struct("bucket", "crc", "n", "ids").alias("t"))
+    tables = scratch.put(coded.groupBy("block").agg(F.collect_list("t").alias("t")), "tables")
+    tables = tables.join(decoded_ids(tables, pieces(docs.sparkSession, path)), "block", "left")
+    blocks = slim.mapInArrow(Blocks.packed, f"block long, ids array<{kind}>, sizes array<long>, z binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, sizes, z, no, of, number, piece = (batch.column(c)[row] for c in range(7))
+                ids, sizes, z, t, number, piece = (batch.column(c)[row] for c in range(6))
                 texts, made = Blocks.texts(sizes.as_py(), z.as_py()), []
                 words: dict[bytes, tuple[bytes, bytes, int]] = {}
-                if no.is_valid:
-                    told = dict(zip(number.values.to_pylist(), ((str(i).encode(), p.encode()) for i, p in zip(number.values.to_pylist(), piece.values.to_pylist(), strict=True)), strict=True))
-                    distinct, ends, flat = Blocks.distinct(texts), of.values.offsets.to_numpy(), of.values.flatten().to_pylist()
-                    ends = ends - ends[0]
-                    for k, a, b in zip(no.values.to_numpy().tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                        both = [told[i] for i in flat[a:b]]
-                        words[distinct[k]] = b" ".join([x[0] for x in both]), b" ".join([x[1] for x in both]), len(both)
+                dealt = dict(enumerate(Blocks.buckets(texts, buckets)))
+                told: dict[int, tuple[bytes, bytes]] = {}
+                if number.is_valid:
+                    told = {i: (str(i).encode(), p.encode()) for i, p in zip(number.values.to_pylist(), piece.values.to_pylist(), strict=True)}
+                for part in t.values if t.is_valid else ():
+                    own, numbers = dealt.pop(part["bucket"].as_py(), []), unpacked(part["ids"].as_py()).tolist()
+                    if zlib.crc32(b" ".join(own)) != part["crc"].as_py():
+                        raise RuntimeError("a block holds other words than before: its rows differ between passes; leave out stored=True")
+                    end = len(own)
+                    for word, n in zip(own, numbers[: len(own)], strict=True):
+                        if n:
+                            both = [told[i] for i in numbers[end : end + n]]
+                            words[word] = b" ".join([x[0] for x in both]), b" ".join([x[1] for x in both]), n
+                            end += n
+                if any(dealt.values()):
+                    raise RuntimeError("a block holds words that it did not give before: its rows differ between passes; leave out stored=True")
                 for text in texts:
                     found = [x for x in map(words.get, text.split()) if x]
                     a, b = b" ".join([x[0] for x in found]), b" ".join([x[1] for x in found])
@@ -179,9 +238,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if output == "digest" else ("ids", "decoded"))]
     arrow = [pa.int64(), *((pa.string(), pa.string()) if output == "digest" else (pa.list_(pa.int32()), pa.string()))]
     kinds = ("string", "string") if output == "digest" else ("array<int>", "string")
-    met = blocks.join(tables.hint("merge"), "block", "left").select("ids", "sizes", "z", "no", "of", "id", "piece")
+    met = blocks.join(tables.hint("merge"), "block", "left").select("ids", "sizes", "z", "t", "id", "piece")
     return met.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, {names[2]} {kinds[0]}, {names[3]} {kinds[1]}")
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), stored=True)

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+from pathlib import Path
 from collections import Counter
 from itertools import permutations
 
@@ -361,3 +362,21 @@ def test_bpe_by_blocks(spark, monkeypatch):
     assert "SortMergeJoin" in plan or "Join" in plan
     bad = spark.sql("SELECT 1L AS doc_id, cast(x'61ff62' AS string) AS text")
     assert bpe.encode_documents(bad, path, output="ids").first().ids == real.encode("a�b", add_special_tokens=False).ids
+
+
+def test_bpe_keeps_no_copy_of_texts(spark, tmp_path):
+    """What is written beside the result are lists of ids, smaller than the texts (before: blocks of texts too, and a row
+    for each word of a block)."""
+    from rasterlake.llm import bpe
+
+    path = common.tokenizer_path("word_bpe_49k.json")
+    rng = random.Random(5)
+    some = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(4000)]
+    rows = [(k, " ".join(rng.choices(some, k=1500))) for k in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    made = bpe.encode_documents(docs, path, stored=True)
+    size = lambda at: sum(p.stat().st_size for p in Path(at).rglob("*.parquet"))
+    root = common.Scratch.made[-1].root.removeprefix("file://").removeprefix("file:")
+    assert 0 < size(root) < 0.5 * size(f"{tmp_path}/docs")
+    assert sorted(made.collect()) == sorted(bpe.encode_documents(docs, path).collect())
