@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ TOP, GROUPS = 1983, 64
 HIDDEN, CLASSES = 24, 32
 SHARD_TOKENS, ROUNDS = 1_500_000, 2
 BLOCK_BYTES = 16_000_000
+#: Bytes of a block's text that are scored side by side.
+SCORE_BYTES = 2_000_000
 FOLD, FOLDS = 2, 7
 _EDGE = b".,;:!?*$%&#|\"'()[]{}"
 
@@ -60,11 +63,18 @@ def name(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time, so that no batch is held as Python objects as a whole."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes]]]:
     """(block, ids, lower-cased texts), the same in every pass."""
     at = TaskContext.get().partitionId() << 24
     ids, texts, size = [], [], 0
-    for batch in batches:
+    for batch in _few(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             ids.append(doc)
             texts.append((text or b"").lower())
@@ -123,7 +133,7 @@ class _Ids(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         at = self[word] = self.vocabulary.id(word)
         return at
@@ -134,7 +144,7 @@ def _sequences(vocabulary: Vocabulary):
         import xxhash
 
         ids = _Ids(vocabulary)
-        for batch in batches:
+        for batch in _few(batches):
             keys, rows = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if held_out(doc):
@@ -202,16 +212,17 @@ def _scorer(vocabulary: Vocabulary, weights: bytes, names: list[str]):
         order = np.argsort(hashes)
         hashes, found = hashes[order], found[order]
         ids = docs.column("doc").to_pylist()
-        texts = [t or b"" for t in docs.column("text").cast(pa.binary()).to_pylist()]
+        texts = docs.column("text").cast(pa.binary())
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         total = math.log10(vocabulary.n + vocabulary.v + 1)
         columns: list[list] = [[], [], [], []]
         start = 0
         while start < len(ids):
             end, size = start, 0
-            while end < len(ids) and size < BLOCK_BYTES // 4:
-                size += len(texts[end])
+            while end < len(ids) and size < SCORE_BYTES:
+                size += lengths[end]
                 end += 1
-            split = [[*t.lower().split(), b""] for t in texts[start:end]]
+            split = [[*(t or b"").lower().split(), b""] for t in texts.slice(start, end - start).to_pylist()]
             words = list(set().union(*split))
             place = dict(zip(words, range(len(words)), strict=True))
             h = np.array([name(w) for w in words], np.int64)
@@ -236,6 +247,8 @@ def _scorer(vocabulary: Vocabulary, weights: bytes, names: list[str]):
                 sequences.append(np.concatenate([[0], model[x]]).astype(np.int16))
             columns[3] += (gru.score(p, s, sequences) / math.log(10) + extra).tolist()
             start = end
+            del split, words, place, sequences
+        pa.default_memory_pool().release_unused()
         n = pa.array([vocabulary.n] * len(ids), pa.int64())
         made = [pa.array(ids, pa.int64()), pa.array([held_out(d) for d in ids], pa.bool_()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), n, pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64())]
         return pa.table(made, names=names)

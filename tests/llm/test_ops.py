@@ -261,6 +261,21 @@ def test_language_model_is_a_distribution_and_learns():
     assert gru.score(p, s, seqs[:7], window=5) == pytest.approx(gru.score(p, s, seqs[:7], window=64), rel=1e-4)
 
 
+def test_language_model_holds_few_rows(monkeypatch):
+    """Batches become Python objects some rows at a time (before: a batch as a whole, 20 MB here)."""
+    import tracemalloc
+
+    task = type("Task", (), {"partitionId": lambda self: 0})
+    monkeypatch.setattr(lm, "TaskContext", type("Context", (), {"get": staticmethod(task)}))
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 100_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20_000), pa.int64()), pa.array(["x" * 1000] * 20_000)], names=["doc", "text"])
+    tracemalloc.start()
+    n = sum(len(ids) for _, ids, _ in lm._blocks(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 20_000 and peak < 5_000_000
+
+
 def test_language_model_trains_on_every_token(spark, docs, monkeypatch):
     seen = []
     put = common.Scratch.put
