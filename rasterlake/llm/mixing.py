@@ -49,10 +49,13 @@ def targets(sums: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
     return s.select("source", "source_size", F.least(F.col("most"), F.coalesce(F.col("level") * F.col("w"), F.col("most"))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
-    """id, size, source_size, target, taken, and source; `carry`'s columns follow as a struct `row`."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, by_text: bool = True) -> DataFrame:
+    """id, size, source_size, target, taken, and source; `carry`'s columns follow as a struct `row`. The order is by a hash of
+    id and text, or without `by_text` of the id, and of the text only where there is no id."""
     scratch = Scratch(docs.sparkSession, "mix")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))).cast("binary"))
+    named, text = F.col(id_col).cast("string"), F.concat(F.lit(":"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    told = F.concat(F.coalesce(named, F.lit("")), text) if by_text else F.coalesce(named, text)
+    key = F.md5(F.concat(F.lit(f"{seed}:"), told).cast("binary"))
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), *([F.struct(*carry).alias("row")] if carry else []))
     if not carry:
         base = scratch.put(base, "sizes")
