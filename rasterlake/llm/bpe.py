@@ -6,7 +6,8 @@ its words in their order. These meet again by block, and the blocks' texts, read
 decode, the distinct ids of each block are joined with the vocabulary's id-to-piece table.
 
 What travels are distinct words and ids of blocks, not words of texts, as one compressed list for each block and bucket: a
-frequent word goes once for a block. Texts travel once, compressed, and are nowhere written besides.
+frequent word goes once for a block. Texts travel once, compressed in parts, and are nowhere written besides. A task holds
+the distinct words of one block and the texts of one part of it.
 
 A block is named by its task and its number there, so `docs` must give the same rows in the same tasks twice, as a stored
 table does; without `stored=True` it is written first. A block whose words aren't those it gave before stops the job.
@@ -24,31 +25,33 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, n_partitions, table, tokenizer_path
+from .common import Scratch, few_rows, n_partitions, table, tokenizer_path
 
-#: Bytes of text in a block, beyond which no further text joins it.
-BLOCK_BYTES = 32_000_000
+#: Bytes of text in a block, beyond which no further text joins it, and in a part of a block.
+BLOCK_BYTES, PART_BYTES = 8_000_000, 1_000_000
 LEVEL = 3
 
 
 class Blocks:
-    """Texts as blocks: one string of bytes, compressed, with the length of each text."""
+    """Texts as blocks that come in parts: one string of bytes for each part, compressed, with the length of each text."""
 
     @staticmethod
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes], pa.DataType]]:
-        """(block, ids, texts, type of ids), the same in every pass."""
+        """(block, ids, texts, type of ids) for each part, parts of a block one after another, the same in every pass."""
         at = TaskContext.get().partitionId() << 32
         ids: list = []
         texts: list[bytes] = []
-        held, kind = 0, None
+        held, part, kind = 0, 0, None
         for batch in batches:
             kind = batch.column(0).type
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
@@ -57,12 +60,15 @@ class Blocks:
                     text.decode()
                 except UnicodeDecodeError:
                     text = text.decode("utf-8", "replace").encode()
-                if texts and held + len(text) > BLOCK_BYTES:
+                full = held and held + len(text) > BLOCK_BYTES
+                if texts and (full or part + len(text) > PART_BYTES):
                     yield at, ids, texts, kind
-                    at, ids, texts, held = at + 1, [], [], 0
+                    ids, texts, part = [], [], 0
+                if full:
+                    at, held = at + 1, 0
                 ids.append(i)
                 texts.append(text)
-                held += len(text)
+                held, part = held + len(text), part + len(text)
         if texts:
             yield at, ids, texts, kind
 
@@ -84,17 +90,21 @@ class Blocks:
         return [text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     @staticmethod
-    def buckets(texts: list[bytes], n: int) -> list[list[bytes]]:
-        """The block's distinct words by bucket, each in order."""
-        found: set[bytes] = set()
-        for text in texts:
-            found.update(text.split())
+    def buckets(found: set[bytes], n: int) -> list[list[bytes]]:
+        """A block's distinct words by bucket, each in order."""
         dealt: list[list[bytes]] = [[] for _ in range(n)]
-        for word in sorted(found):
+        for word in found:
             dealt[zlib.crc32(word) % n].append(word)
+        for words in dealt:
+            words.sort()
         return dealt
 
 
+def gathered(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n numbers from each start on, one run after another."""
+    return flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
 def block_words(docs: DataFrame, n: int) -> DataFrame:
     """(block, bucket, words): the distinct words of each block by bucket, as compressed lists, from (id, text)."""
 
@@ -102,8 +112,12 @@ def block_words(docs: DataFrame, n: int) -> DataFrame:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=LEVEL)
-        for block, _, texts, _ in Blocks.of(batches):
-            dealt = [(k, pack.compress(b" ".join(words))) for k, words in enumerate(Blocks.buckets(texts, n)) if words]
+        for block, parts in groupby(Blocks.of(batches), itemgetter(0)):
+            found: set[bytes] = set()
+            for _, _, texts, _ in parts:
+                for text in texts:
+                    found.update(text.split())
+            dealt = [(k, pack.compress(b" ".join(words))) for k, words in enumerate(Blocks.buckets(found, n)) if words]
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(dealt), pa.int64()), pa.array([k for k, _ in dealt], pa.int32()), pa.array([z for _, z in dealt], pa.binary())], names=["block", "bucket", "words"])
 
     return docs.mapInArrow(run, "block long, bucket int, words binary")
@@ -144,7 +158,7 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
             for block, words in lists:
                 at = np.fromiter(map(place.__getitem__, words.split()), np.int64)
                 n = size[at]
-                ids = flat[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                ids = gathered(flat, start[at], n)
                 # planes of bytes, of which the upper ones are nearly all 0
                 z = pack.compress(np.concatenate([n.astype(np.uint32), ids]).view(np.uint8).reshape(-1, 4).T.tobytes())
                 for c, x in zip(columns, (block, bucket, zlib.crc32(words), len(at), z), strict=True):
@@ -194,6 +208,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     that ids need not travel.
     """
     scratch = Scratch(docs.sparkSession, "bpe")
+    few_rows(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     if not stored:
@@ -205,41 +220,61 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     tables = tables.join(decoded_ids(tables, pieces(docs.sparkSession, path)), "block", "left")
     blocks = slim.mapInArrow(Blocks.packed, f"block long, ids array<{kind}>, sizes array<long>, z binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                ids, sizes, z, t, number, piece = (batch.column(c)[row] for c in range(6))
-                texts, made = Blocks.texts(sizes.as_py(), z.as_py()), []
-                words: dict[bytes, tuple[bytes, bytes, int]] = {}
-                dealt = dict(enumerate(Blocks.buckets(texts, buckets)))
-                told: dict[int, tuple[bytes, bytes]] = {}
-                if number.is_valid:
-                    told = {i: (str(i).encode(), p.encode()) for i, p in zip(number.values.to_pylist(), piece.values.to_pylist(), strict=True)}
-                for part in t.values if t.is_valid else ():
-                    own, numbers = dealt.pop(part["bucket"].as_py(), []), unpacked(part["ids"].as_py()).tolist()
-                    if zlib.crc32(b" ".join(own)) != part["crc"].as_py():
-                        raise RuntimeError("a block holds other words than before: its rows differ between passes; leave out stored=True")
-                    end = len(own)
-                    for word, n in zip(own, numbers[: len(own)], strict=True):
-                        if n:
-                            both = [told[i] for i in numbers[end : end + n]]
-                            words[word] = b" ".join([x[0] for x in both]), b" ".join([x[1] for x in both]), n
-                            end += n
-                if any(dealt.values()):
-                    raise RuntimeError("a block holds words that it did not give before: its rows differ between passes; leave out stored=True")
-                for text in texts:
-                    found = [x for x in map(words.get, text.split()) if x]
-                    a, b = b" ".join([x[0] for x in found]), b" ".join([x[1] for x in found])
-                    count = sum([x[2] for x in found])
-                    made.append((count, hashlib.sha256(a).hexdigest(), hashlib.sha256(b).hexdigest()) if output == "digest" else (count, list(map(int, a.split())), b.decode()))
-                columns = [pa.array([x[k] for x in made], t) for k, t in enumerate(arrow)]
-                yield pa.RecordBatch.from_arrays([ids.values, *columns], names=names)
+    def run(parts: pa.Table, table: pa.Table) -> pa.Table:
+        """A block's parts and its words' ids. Words become Python objects for one part at a time."""
+        sizes, packed = parts.column("sizes"), parts.column("z")
+        found: set[bytes] = set()
+        for k in range(parts.num_rows):
+            for text in Blocks.texts(sizes[k].as_py(), packed[k].as_py()):
+                found.update(text.split())
+        dealt = dict(enumerate(Blocks.buckets(found, buckets)))
+        del found
+        words, counts, flat = [pa.array([], pa.binary())], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+        told: dict[int, tuple[bytes, bytes]] = {}
+        for k in range(table.num_rows):
+            for part in table.column("t")[k].values:
+                own, numbers = dealt.pop(part["bucket"].as_py(), []), unpacked(part["ids"].as_py())
+                if zlib.crc32(b" ".join(own)) != part["crc"].as_py():
+                    raise RuntimeError("a block holds other words than before: its rows differ between passes; leave out stored=True")
+                words.append(pa.array(own, pa.binary()))
+                counts.append(numbers[: len(own)])
+                flat.append(numbers[len(own) :])
+            number, piece = table.column("id")[k], table.column("piece")[k]
+            if number.is_valid:
+                told |= {i: (str(i).encode(), p.encode()) for i, p in zip(number.values.to_pylist(), piece.values.to_pylist(), strict=True)}
+        if any(dealt.values()):
+            raise RuntimeError("a block holds words that it did not give before: its rows differ between passes; leave out stored=True")
+        every, size, ids = pa.concat_arrays(words), np.concatenate(counts).astype(np.int64), np.concatenate(flat)
+        del words, counts, flat, dealt
+        start = np.cumsum(size) - size
+        made = []
+        for k in range(parts.num_rows):
+            texts = Blocks.texts(sizes[k].as_py(), packed[k].as_py())
+            own = list(set().union(*[text.split() for text in texts]))
+            at = pc.index_in(pa.array(own, pa.binary()), value_set=every).to_numpy()
+            n = size[at]
+            numbers, end = gathered(ids, start[at], n).tolist(), 0
+            coded: dict[bytes, tuple[bytes, bytes, int]] = {}
+            for word, m in zip(own, n.tolist(), strict=True):
+                if m:
+                    both = [told[i] for i in numbers[end : end + m]]
+                    coded[word] = b" ".join([x[0] for x in both]), b" ".join([x[1] for x in both]), m
+                    end += m
+            rows = []
+            for text in texts:
+                have = [x for x in map(coded.get, text.split()) if x]
+                a, b = b" ".join([x[0] for x in have]), b" ".join([x[1] for x in have])
+                count = sum([x[2] for x in have])
+                rows.append((count, hashlib.sha256(a).hexdigest(), hashlib.sha256(b).hexdigest()) if output == "digest" else (count, list(map(int, a.split())), b.decode()))
+            made.append(pa.table([parts.column("ids")[k].values, *(pa.array([x[c] for x in rows], t) for c, t in enumerate(arrow))], names=names))
+        pa.default_memory_pool().release_unused()
+        return pa.concat_tables(made)
 
     names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if output == "digest" else ("ids", "decoded"))]
     arrow = [pa.int64(), *((pa.string(), pa.string()) if output == "digest" else (pa.list_(pa.int32()), pa.string()))]
     kinds = ("string", "string") if output == "digest" else ("array<int>", "string")
-    met = blocks.join(tables.hint("merge"), "block", "left").select("ids", "sizes", "z", "t", "id", "piece")
-    return met.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, {names[2]} {kinds[0]}, {names[3]} {kinds[1]}")
+    schema = f"`{id_col}` {kind}, n_tokens long, {names[2]} {kinds[0]}, {names[3]} {kinds[1]}"
+    return blocks.groupBy("block").cogroup(tables.groupBy("block")).applyInArrow(run, schema)
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:

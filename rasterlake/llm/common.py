@@ -14,6 +14,8 @@ WS = b" \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Spark's setting for the shuffle files of a finished execution.
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting for the rows of a batch that goes to a Python worker, and what it becomes for whole documents.
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +78,13 @@ def one_thread(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
 
 
+def few_rows(spark: SparkSession) -> None:
+    """Whole documents go to Python workers BATCH_ROWS at a time from now on, unless the session names a number itself: a
+    batch is held by the executor and by the worker, for every task that runs."""
+    if spark.conf.get(ARROW_ROWS, "10000") == "10000":
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

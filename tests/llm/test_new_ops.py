@@ -380,3 +380,27 @@ def test_bpe_keeps_no_copy_of_texts(spark, tmp_path):
     root = common.Scratch.made[-1].root.removeprefix("file://").removeprefix("file:")
     assert 0 < size(root) < 0.5 * size(f"{tmp_path}/docs")
     assert sorted(made.collect()) == sorted(bpe.encode_documents(docs, path).collect())
+
+
+def test_bpe_holds_a_block_in_parts(spark, tmp_path, monkeypatch):
+    """No pass holds a block's texts as a whole, and a block's distinct words stay few enough for six tasks beside each other
+    (before: 32 MB of text at once, with all of its words as Python objects); whole documents go to workers 1,000 at a time."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from rasterlake.llm import bpe
+
+    monkeypatch.setattr(bpe, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    text = b"word " * 10_000
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 100)), pa.array([text] * 100)], names=["id", "text"]) for k in range(0, 800, 100)]
+    parts = list(bpe.Blocks.of(iter(batches)))
+    size = Counter()
+    for block, ids, texts, _ in parts:
+        assert len(ids) == len(texts) and sum(map(len, texts)) <= 1_000_000
+        size[block] += sum(map(len, texts))
+    assert [i for _, ids, _, _ in parts for i in ids] == list(range(800))
+    assert sum(size.values()) == 800 * len(text) and max(size.values()) <= 8_000_000
+    spark.createDataFrame([(1, "a")], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    bpe.encode_documents(spark.read.parquet(f"{tmp_path}/docs"), common.tokenizer_path("word_bpe_49k.json"), stored=True)
+    assert int(spark.conf.get(common.ARROW_ROWS)) <= 1000
