@@ -30,7 +30,6 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, few_rows, n_partitions, table, tokenizer_path
 
 #: Bytes of text in a block, beyond which no further text joins it, and in a part of a block.
-BLOCK_BYTES, PART_BYTES = 8_000_000, 1_000_000
+BLOCK_BYTES, PART_BYTES = 16_000_000, 1_000_000
 LEVEL = 3
 
 
@@ -100,11 +99,6 @@ class Blocks:
         return dealt
 
 
-def gathered(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """n numbers from each start on, one run after another."""
-    return flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-
-
 def block_words(docs: DataFrame, n: int) -> DataFrame:
     """(block, bucket, words): the distinct words of each block by bucket, as compressed lists, from (id, text)."""
 
@@ -158,7 +152,7 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
             for block, words in lists:
                 at = np.fromiter(map(place.__getitem__, words.split()), np.int64)
                 n = size[at]
-                ids = gathered(flat, start[at], n)
+                ids = flat[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 # planes of bytes, of which the upper ones are nearly all 0
                 z = pack.compress(np.concatenate([n.astype(np.uint32), ids]).view(np.uint8).reshape(-1, 4).T.tobytes())
                 for c, x in zip(columns, (block, bucket, zlib.crc32(words), len(at), z), strict=True):
@@ -221,7 +215,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     blocks = slim.mapInArrow(Blocks.packed, f"block long, ids array<{kind}>, sizes array<long>, z binary")
 
     def run(parts: pa.Table, table: pa.Table) -> pa.Table:
-        """A block's parts and its words' ids. Words become Python objects for one part at a time."""
+        """A block's parts and its words' ids. Texts become Python objects for one part at a time."""
         sizes, packed = parts.column("sizes"), parts.column("z")
         found: set[bytes] = set()
         for k in range(parts.num_rows):
@@ -229,37 +223,27 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 found.update(text.split())
         dealt = dict(enumerate(Blocks.buckets(found, buckets)))
         del found
-        words, counts, flat = [pa.array([], pa.binary())], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-        told: dict[int, tuple[bytes, bytes]] = {}
+        coded: dict[bytes, tuple[bytes, bytes, int]] = {}
         for k in range(table.num_rows):
+            number, piece = table.column("id")[k], table.column("piece")[k]
+            told: dict[int, tuple[bytes, bytes]] = {}
+            if number.is_valid:
+                told = {i: (str(i).encode(), p.encode()) for i, p in zip(number.values.to_pylist(), piece.values.to_pylist(), strict=True)}
             for part in table.column("t")[k].values:
-                own, numbers = dealt.pop(part["bucket"].as_py(), []), unpacked(part["ids"].as_py())
+                own, numbers = dealt.pop(part["bucket"].as_py(), []), unpacked(part["ids"].as_py()).tolist()
                 if zlib.crc32(b" ".join(own)) != part["crc"].as_py():
                     raise RuntimeError("a block holds other words than before: its rows differ between passes; leave out stored=True")
-                words.append(pa.array(own, pa.binary()))
-                counts.append(numbers[: len(own)])
-                flat.append(numbers[len(own) :])
-            number, piece = table.column("id")[k], table.column("piece")[k]
-            if number.is_valid:
-                told |= {i: (str(i).encode(), p.encode()) for i, p in zip(number.values.to_pylist(), piece.values.to_pylist(), strict=True)}
+                end = len(own)
+                for word, n in zip(own, numbers[: len(own)], strict=True):
+                    if n:
+                        both = [told[i] for i in numbers[end : end + n]]
+                        coded[word] = (*both[0], 1) if n == 1 else (b" ".join([x[0] for x in both]), b" ".join([x[1] for x in both]), n)
+                        end += n
         if any(dealt.values()):
             raise RuntimeError("a block holds words that it did not give before: its rows differ between passes; leave out stored=True")
-        every, size, ids = pa.concat_arrays(words), np.concatenate(counts).astype(np.int64), np.concatenate(flat)
-        del words, counts, flat, dealt
-        start = np.cumsum(size) - size
         made = []
         for k in range(parts.num_rows):
             texts = Blocks.texts(sizes[k].as_py(), packed[k].as_py())
-            own = list(set().union(*[text.split() for text in texts]))
-            at = pc.index_in(pa.array(own, pa.binary()), value_set=every).to_numpy()
-            n = size[at]
-            numbers, end = gathered(ids, start[at], n).tolist(), 0
-            coded: dict[bytes, tuple[bytes, bytes, int]] = {}
-            for word, m in zip(own, n.tolist(), strict=True):
-                if m:
-                    both = [told[i] for i in numbers[end : end + m]]
-                    coded[word] = b" ".join([x[0] for x in both]), b" ".join([x[1] for x in both]), m
-                    end += m
             rows = []
             for text in texts:
                 have = [x for x in map(coded.get, text.split()) if x]
