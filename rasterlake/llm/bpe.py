@@ -171,9 +171,15 @@ def unpacked(z: bytes) -> np.ndarray:
 
 
 def pieces(spark, path: str) -> DataFrame:
-    """(id, piece): the vocabulary with its added tokens, whose size is fixed."""
-    vocabulary = _tokenizer(path).get_vocab(with_added_tokens=True)
-    return spark.createDataFrame(pa.table({"id": pa.array(list(vocabulary.values()), pa.int32()), "piece": pa.array(list(vocabulary.keys()), pa.string())}))
+    """(id, piece): the vocabulary with its added tokens, whose size is fixed. A task reads it, so that the driver doesn't
+    hold it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            vocabulary = _tokenizer(path).get_vocab(with_added_tokens=True)
+            yield pa.RecordBatch.from_arrays([pa.array(list(vocabulary.values()), pa.int32()), pa.array(list(vocabulary.keys()), pa.string())], names=["id", "piece"])
+
+    return spark.range(1, numPartitions=1).mapInArrow(run, "id int, piece string")
 
 
 def decoded_ids(tables: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -457,8 +457,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         last = _linked(scratch.put(hopeful(fresh), "pairs-last"), full, scratch, "last", percent)
         if not many.isEmpty():
             last = last.unionByName(_in_chunks(many, full, scratch, percent))
-        links = links.unionByName(scratch.put(last, "links-last"))
-        parts = components(links, scratch, "cc-last")
+        # components so far are stars, which only the links between them change
+        joined = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last)
+        parts = components(joined, scratch, "cc-last")
     named = first.join(parts.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "rep", F.coalesce("component", "node").alias("part"))
     least = named.groupBy("part").agg(F.min("rep").alias("component_id"))
     named = named.select(F.col("node").alias("of"), "part").join(least, "part").drop("part")

@@ -776,6 +776,52 @@ def test_sql(spark, duck, name):
     assert rows_of(QUERIES[name](spark, DATA).toPandas()) == rows_of(duck.execute(ORACLE_SQL[name]).df())
 
 
+def test_components_of_stars_cost_no_round(spark, monkeypatch):
+    """Stars are told as they are; chains, rings and joined stars come to the components of a search."""
+    from rasterlake.llm import graph
+
+    put, written = common.Scratch.put, []
+    monkeypatch.setattr(common.Scratch, "put", lambda self, df, name: (written.append(name), put(self, df, name))[1])
+    rng = random.Random(3)
+    stars = [(100 * k, 100 * k + j) for k in range(4) for j in range(1, 30)]
+    chain, ring = [(k, k + 1) for k in range(1000, 1040)], [(2000 + k, 2000 + (k + 1) % 9) for k in range(9)]
+    mixed = [*stars, *chain, *ring, (5, 105), (205, 100), (7, 7), *((rng.randrange(3000, 3080), rng.randrange(3000, 3080)) for _ in range(50))]
+    for name, edges in (("stars", stars), ("mixed", mixed), ("none", [])):
+        ties = defaultdict(set)
+        for a, b in edges:
+            if a != b:
+                ties[a].add(b)
+                ties[b].add(a)
+        want = {}
+        for node in sorted(ties):
+            todo = [node] if node not in want else []
+            while todo:
+                if (x := todo.pop()) not in want:
+                    want[x] = node
+                    todo += ties[x]
+        made = graph.components(spark.createDataFrame(edges, "a long, b long"), common.Scratch(spark, "cc-test"), name).collect()
+        assert len(made) == len(want) and {r.node: r.component for r in made} == want
+    assert [n for n in written if not n.startswith("mixed")] == ["stars-0", "none-0"]
+
+
+def test_pieces_are_read_by_a_task(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = common.tokenizer_path("word_bpe_49k.json")
+    want = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+
+    read = bpe._tokenizer
+
+    def in_a_task(path):
+        from pyspark import TaskContext
+
+        assert TaskContext.get() is not None, "the driver reads the vocabulary"
+        return read(path)
+
+    monkeypatch.setattr(bpe, "_tokenizer", in_a_task)
+    assert {r.piece: r.id for r in bpe.pieces(spark, path).collect()} == want
+
+
 def test_pipeline_keeps_rows_without_an_id_of_their_own(spark):
     import corpus_pipeline as p
 
