@@ -6,15 +6,22 @@ input side is one row per id (embedding and input weights in one); the output si
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 
 WINDOW = 32
 FEW = 8
+LANES = 96
+#: Numbers a step of the weights takes at a time.
+PIECE = 8192
+#: Exponentials of less, up or down, and their sums are normal single-precision numbers.
+SAFE = 80.0
 _F = np.float32
+_ONES = np.ones(4096, _F)
 
 
 @dataclass
@@ -29,7 +36,8 @@ class Shape:
         self.n, self.classes = len(self.order), len(self.starts) - 1
         self.place = np.empty(self.n, np.int64)
         self.place[self.order] = np.arange(self.n)
-        self.of = np.searchsorted(self.starts, self.place, "right") - 1
+        # few bits sort fast
+        self.of = (np.searchsorted(self.starts, self.place, "right") - 1).astype(np.min_scalar_type(self.classes))
 
 
 def shape(counts: np.ndarray, hidden: int, classes: int) -> Shape:
@@ -66,170 +74,288 @@ def unpack(s: Shape, data: bytes) -> dict[str, np.ndarray]:
     return p
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x *= _F(0.5)
-    np.tanh(x, out=x)
-    x *= _F(0.5)
-    x += _F(0.5)
-    return x
-
-
-def _forward(p: dict, ids: np.ndarray, h: np.ndarray, hidden: int) -> tuple[np.ndarray, ...]:
-    """States before and after each step, and what the way back needs: (before, after, z, r, n, u's part of n), each
-    (steps, lanes, hidden). ids: (steps, lanes)."""
-    given = p["x"][ids]
-    before, after, z, r, n, un = (np.empty((*ids.shape, hidden), _F) for _ in range(6))
-    two = 2 * hidden
-    for t in range(len(ids)):
-        before[t] = h
-        a, u = given[t], h @ p["u"]
-        gates = _sigmoid(a[:, :two] + u[:, :two])
-        z[t], r[t], un[t] = gates[:, :hidden], gates[:, hidden:], u[:, two:]
-        np.tanh(a[:, two:] + r[t] * un[t], out=n[t])
-        h = after[t] = n[t] + z[t] * (h - n[t])
-    return before, after, z, r, n, un
-
-
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities and log normalisers, in place."""
-    top = logits.max(axis=1, keepdims=True)
-    logits -= top
-    e = np.exp(logits)
-    total = e.sum(axis=1, keepdims=True)
-    e /= total
-    return e, (np.log(total) + top)[:, 0]
+def _stacked(rows: np.ndarray, hidden: int) -> np.ndarray:
+    """(n, 3 hidden) as (3, n, hidden): each gate's numbers lie together, so that elementwise work runs over whole blocks."""
+    return rows.reshape(len(rows), 3, hidden).transpose(1, 0, 2)
+
+
+def _beside(stack: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(stack.transpose(1, 0, 2)).reshape(stack.shape[1], -1)
+
+
+def _forward(x: np.ndarray, u: np.ndarray, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, ...]:
+    """States before the first and after each step, (steps + 1, lanes, hidden), and, if kept, what the way back needs: gates
+    (steps, 2, lanes, hidden), candidates and u's part of them. x, u: stacked weights. ids: (steps, lanes); where fresh, a sequence
+    begins, and the state before the step counts as 0."""
+    steps, lanes = ids.shape
+    hidden = h.shape[1]
+    given = np.take(x, ids.ravel(), axis=1).reshape(3, steps, lanes, hidden)
+    states = np.empty((steps + 1, lanes, hidden), _F)
+    kept = steps if keep else 1
+    gates, n, un = np.empty((kept, 2, lanes, hidden), _F), np.empty((kept, lanes, hidden), _F), np.empty((kept, lanes, hidden), _F)
+    own = np.empty((3, lanes, hidden), _F)
+    states[0] = h
+    begins = fresh.any(axis=1)
+    with np.errstate(over="ignore"):  # a gate far below 0 is 1 / (1 + inf)
+        for t in range(steps):
+            h, out, k = states[t], states[t + 1], t if keep else 0
+            if begins[t]:
+                h = np.where(fresh[t][:, None], _F(0), h)
+            np.matmul(h, u, out=own)
+            gate, some = gates[k], n[k]
+            np.add(own[:2], given[:2, t], out=gate)
+            np.negative(gate, out=gate)
+            np.exp(gate, out=gate)
+            gate += _F(1)
+            np.reciprocal(gate, out=gate)
+            un[k] = own[2]
+            np.multiply(gate[1], own[2], out=some)
+            some += given[2, t]
+            np.tanh(some, out=some)
+            np.subtract(h, some, out=out)
+            out *= gate[0]
+            out += some
+    return states, gates, n, un
+
+
+def _bound(w: np.ndarray, h: np.ndarray) -> float:
+    """No logit is larger, up or down. w: (k, hidden + 1); h as wide, its last column ones."""
+    return float(max(h.max(), -h.min()) * np.abs(w).sum(axis=1).max())
+
+
+def _softmax(logits: np.ndarray, at: np.ndarray, small: bool, whole: bool) -> np.ndarray:
+    """Log probabilities at the given flat places of (k, rows), one a row; if whole, logits become the loss's slopes, in place.
+    small: no exponential can overflow, and no sum vanish."""
+    if not small:
+        logits -= logits.max(axis=0)
+    flat = logits.ravel()
+    own = flat.take(at)
+    np.exp(logits, out=logits)
+    total = _ONES[: len(logits)] @ logits if len(logits) <= len(_ONES) else logits.sum(axis=0)
+    log = own - np.log(total)
+    if whole:
+        logits /= total
+        flat[at] = np.exp(log) - _F(1)
+    return log
 
 
 def _output(p: dict, s: Shape, h: np.ndarray, y: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log P(y | h) per row, and the slope of the summed loss in h, if grads are asked for."""
-    m = np.arange(len(y))
-    place, cls = s.place[y], s.of[y]
-    logits = h @ p["c"] + p["bc"]
-    own = logits[m, cls].copy()
-    prob, norm = _softmax(logits)
-    log = own - norm
-    dh = None
-    if grads is not None:
-        prob[m, cls] -= 1
-        dh = prob @ p["c"].T
-        grads["c"] += h.T @ prob
-        grads["bc"] += prob.sum(axis=0)
-    order = np.argsort(cls, kind="stable")
-    edge = np.searchsorted(cls[order], np.arange(s.classes + 1))
+    """Natural log P(y | h) per row, and the slope of the summed loss in h, if grads are asked for. Rows are brought into
+    the order of their classes once; logits are (ids, rows); a column of ones carries the biases."""
+    whole = grads is not None
+    if not len(y):
+        return np.zeros(0, _F), np.zeros_like(h) if whole else None
+    hidden, count = h.shape[1], len(y)
+    order = np.argsort(s.of[y], kind="stable")
+    y, rows = y[order], np.ones((count, hidden + 1), _F)
+    rows[:, :hidden] = np.take(h, order, axis=0)
+    cls, m = s.of[y], np.arange(count)
+    place = s.place[y] - s.starts[cls]
+    edge = np.searchsorted(cls, np.arange(s.classes + 1)).tolist()
+    c, words = (np.concatenate(x, axis=1) for x in ((p["c"].T, p["bc"][:, None]), (p["w"], p["bw"][:, None])))
+    logits = c @ rows.T
+    log = _softmax(logits, cls * np.intp(count) + m, _bound(c, rows) < SAFE, whole)
+    small = _bound(words, rows) < SAFE
+    if whole:
+        by_c = logits @ rows
+        slope = logits.T @ c[:, :hidden]
+        more, by_w = np.zeros_like(slope), np.zeros_like(words)
+        grads["c"] += by_c[:, :hidden].T
+        grads["bc"] += by_c[:, hidden]
+    starts = s.starts.tolist()
     for k in range(s.classes):
-        rows = order[edge[k] : edge[k + 1]]
-        a, z = s.starts[k], s.starts[k + 1]
-        if not len(rows) or z - a == 1:
+        a, z, first, last = starts[k], starts[k + 1], edge[k], edge[k + 1]
+        if first == last or z - a == 1:
             continue
-        hk = h[rows]
-        logits = hk @ p["w"][a:z].T + p["bw"][a:z]
-        i = np.arange(len(rows))
-        own = logits[i, place[rows] - a].copy()
-        prob, norm = _softmax(logits)
-        log[rows] += own - norm
-        if grads is not None:
-            prob[i, place[rows] - a] -= 1
-            dh[rows] += prob @ p["w"][a:z]
-            grads["w"][a:z] += prob.T @ hk
-            grads["bw"][a:z] += prob.sum(axis=0)
-    return log, dh
+        w, hk = words[a:z], rows[first:last]
+        logits = w @ hk.T
+        at = place[first:last] * (last - first)
+        at += m[: last - first]
+        log[first:last] += _softmax(logits, at, small, whole)
+        if whole:
+            np.matmul(logits.T, w[:, :hidden], out=more[first:last])
+            np.matmul(logits, hk, out=by_w[a:z])
+    back = np.empty_like(log)
+    back[order] = log
+    if not whole:
+        return back, None
+    slope += more
+    grads["w"] += by_w[:, :hidden]
+    grads["bw"] += by_w[:, hidden]
+    dh = np.empty_like(slope)
+    dh[order] = slope
+    return back, dh
+
+
+def _summed(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their rows in (3, rows, hidden): neighbours of one key are added pair by pair, in rounds."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.arange(len(keys))
+    begins = np.flatnonzero(np.diff(keys, prepend=-1))
+    at -= np.repeat(begins, np.diff(begins, append=len(keys)))
+    while True:
+        odd = np.flatnonzero(at & 1)
+        even = np.flatnonzero(~at & 1)
+        some = np.take(rows, order[even], axis=1)
+        if not len(odd):
+            return keys[even], some
+        at_odd, more = np.searchsorted(even, odd) - 1, order[odd]
+        for k in range(len(rows)):
+            some[k][at_odd] += np.take(rows[k], more, axis=0)
+        rows, keys, at, order = some, keys[even], at[even] >> 1, np.arange(len(even))
+
+
+class _Flat:
+    """Arrays by name, as views of one flat array."""
+
+    def __init__(self, dims: dict[str, tuple[int, ...]]):
+        self.all = np.zeros(sum(math.prod(d) for d in dims.values()), _F)
+        self.at, start = {}, 0
+        for k, d in dims.items():
+            self.at[k] = self.all[start : start + math.prod(d)].reshape(d)
+            start += math.prod(d)
+
+
+def _step(p: np.ndarray, g: np.ndarray, first: np.ndarray, second: np.ndarray, count: int, pace: float) -> None:
+    """Adam's step, by pieces that stay in a core's cache."""
+    some = np.empty(PIECE, _F)
+    for a in range(0, len(p), PIECE):
+        part = slice(a, a + PIECE)
+        gk, one, two, pk = g[part], first[part], second[part], p[part]
+        t = some[: len(gk)]
+        one *= _F(0.9)
+        gk *= _F(0.1 / count)
+        one += gk
+        two *= _F(0.99)
+        gk *= gk  # a hundredth of the slope's square
+        two += gk
+        np.sqrt(two, out=t)
+        t += _F(1e-6)
+        np.divide(one, t, out=t)
+        t *= _F(pace)
+        pk -= t
+
+
+@dataclass
+class _Laid:
+    """Sequences laid out in lanes, one after another: inputs, what follows them, the sequence's number (-1: nothing) and where
+    one begins, each (steps, lanes). Lanes are about equally full, the fullest first; size: their steps."""
+
+    given: np.ndarray
+    wanted: np.ndarray
+    owner: np.ndarray
+    fresh: np.ndarray
+    size: np.ndarray
+
+    def windows(self, window: int) -> Iterator[tuple[int, slice, int]]:
+        """(first step, its steps, lanes that go beyond it)"""
+        for start in range(0, len(self.given), window):
+            yield start, slice(start, start + window), int(np.searchsorted(-self.size, -start, "left"))
+
+
+def _laid(sequences: list[np.ndarray], lanes: int) -> _Laid:
+    """The longest are dealt first, each to the emptiest lane; within a lane they keep their order."""
+    some = [j for j in range(len(sequences)) if len(sequences[j]) > 1]
+    heap = [(0, k) for k in range(min(lanes, len(some)))]
+    held: list[list[int]] = [[] for _ in heap]
+    for j in sorted(some, key=lambda j: -len(sequences[j])):
+        size, k = heap[0]
+        held[k].append(j)
+        heapq.heapreplace(heap, (size + len(sequences[j]) - 1, k))
+    sizes = sorted(heap, key=lambda x: (-x[0], x[1]))
+    dims = (sizes[0][0] if sizes else 0, len(sizes))
+    out = _Laid(np.zeros(dims, np.int32), np.zeros(dims, np.int32), np.full(dims, -1, np.int32), np.zeros(dims, bool), np.array([size for size, _ in sizes], np.int64))
+    for lane, (size, k) in enumerate(sizes):
+        js = sorted(held[k])
+        long = np.array([len(sequences[j]) - 1 for j in js])
+        out.given[:size, lane] = np.concatenate([sequences[j][:-1] for j in js])
+        out.wanted[:size, lane] = np.concatenate([sequences[j][1:] for j in js])
+        out.owner[:size, lane] = np.repeat(js, long)
+        out.fresh[np.cumsum(long) - long, lane] = True
+    return out
 
 
 def train(p: dict[str, np.ndarray], s: Shape, batches: Iterator[list[np.ndarray]], rate: float = 0.004, window: int = WINDOW) -> tuple[dict[str, np.ndarray], int]:
-    """One pass of truncated backpropagation over batches of sequences (each begins with its first input),
-    with state carried from window to window. What is left of a batch's few longest goes on, with its state,
-    beside the next batch; after the last one, a step is made once FEW windows of tokens have come together.
-    Every token is visited. Returns the weights and the number of tokens."""
-    first = {k: np.zeros_like(v) for k, v in p.items()}
-    second = {k: np.zeros_like(v) for k, v in p.items()}
-    steps = tokens = count = 0
+    """One pass of truncated backpropagation over batches of sequences (each begins with its first input), which are
+    laid out in as many lanes as the largest batch has sequences. States go from window to window; a sequence
+    begins where the one before it in its lane ends. A step of the weights is made for each window, or once FEW windows of
+    tokens have come together. Every token is visited. Returns the weights and the number of tokens."""
+    lists = list(batches)
+    laid = _laid([q for some in lists for q in some], max(map(len, lists), default=0))
     hidden = s.hidden
-    grads: dict[str, np.ndarray] = {}
-    rest: list[tuple[np.ndarray, np.ndarray]] = []
-    for new in chain(batches, [None]):
-        lanes = rest + [(q, np.zeros(hidden, _F)) for q in new or [] if len(q) > 1]
-        rest = []
-        if not lanes:
-            continue
-        lanes.sort(key=lambda lane: len(lane[0]), reverse=True)
-        batch = [q for q, _ in lanes]
-        size = np.array([len(q) - 1 for q in batch])
-        h = np.array([state for _, state in lanes])
-        for start in range(0, int(size[0]), window):
-            live = int(np.searchsorted(-size, -start, "left"))  # sequences that go beyond start
-            if live * 4 < len(batch) and live < FEW and start and new is not None:
-                rest = [(batch[j][start:], h[j].copy()) for j in range(live)]
-                break
-            h = h[:live]
-            wide = int(min(window, size[0] - start))
-            ids = np.zeros((live, wide + 1), np.int64)
-            for j in range(live):
-                part = batch[j][start : start + wide + 1]
-                ids[j, : len(part)] = part
-            known = np.arange(wide)[None, :] < (size[:live] - start)[:, None]
-            before, hs, z, r, n, un = _forward(p, ids[:, :wide].T, h, hidden)
-            h = hs[-1]
-            if not count:
-                grads = {k: np.zeros_like(v) for k, v in p.items()}
-            use = known.T
+    given = p | {k: _stacked(p[k], hidden) for k in ("u", "x")}
+    dims = {k: v.shape for k, v in given.items()}
+    weights, slopes, first, second = (_Flat(dims) for _ in range(4))
+    q, grads = weights.at, slopes.at
+    for k, v in given.items():
+        q[k][:] = v
+    steps = tokens = count = 0
+    h = np.zeros((len(laid.size), hidden), _F)
+    for start, part, live in laid.windows(window):
+        ids, wanted, fresh, use = (m[part, :live] for m in (laid.given, laid.wanted, laid.fresh, laid.owner))
+        use = use >= 0
+        wide, begins = len(ids), fresh.any(axis=1)
+        states, gates, n, un = _forward(q["x"], q["u"], ids, fresh, h[:live], True)
+        hs, z, r = states[1:], gates[:, 0], gates[:, 1]
+        h = hs[-1]
+        before = np.where(fresh[..., None], _F(0), states[:-1])
+        if not count:
+            slopes.all.fill(0)
+        if use.all():
+            dh_out = _output(q, s, hs.reshape(-1, hidden), wanted.ravel(), grads)[1].reshape(wide, live, hidden)
+        else:
             dh_out = np.zeros((wide, live, hidden), _F)
-            _, dh_out[use] = _output(p, s, hs[use], ids[:, 1:].T[use], grads)
-            count += int(use.sum())
-            tokens += int(use.sum())
-            by_z, by_n, by_r = (before - n) * z * (1 - z), (1 - z) * (1 - n * n), un * r * (1 - r)
-            da_all = np.empty((wide, live, 3 * hidden), _F)
-            du = np.empty((wide, live, 3 * hidden), _F)
-            back = np.zeros((live, hidden), _F)
-            for t in range(wide - 1, -1, -1):
-                dh, da = dh_out[t] + back, da_all[t]
-                np.multiply(dh, by_z[t], out=da[:, :hidden])
-                dn = np.multiply(dh, by_n[t], out=da[:, 2 * hidden :])
-                np.multiply(dn, by_r[t], out=da[:, hidden : 2 * hidden])
-                du[t, :, : 2 * hidden] = da[:, : 2 * hidden]
-                np.multiply(dn, r[t], out=du[t, :, 2 * hidden :])
-                back = dh * z[t] + du[t] @ p["u"].T
-            grads["u"] += before.reshape(-1, hidden).T @ du.reshape(-1, 3 * hidden)
-            flat = ids[:, :wide].T.ravel()
-            order = np.argsort(flat, kind="stable")
-            at = np.flatnonzero(np.diff(flat[order], prepend=-1))
-            grads["x"][flat[order][at]] += np.add.reduceat(da_all.reshape(-1, 3 * hidden)[order], at, axis=0)
-            if new is None and count < FEW * window and start + window < size[0]:
-                continue
-            steps += 1
-            pace = rate * np.sqrt(1 - 0.99**steps) / (1 - 0.9**steps)
-            for k, g in grads.items():
-                g /= count
-                first[k] += _F(0.1) * (g - first[k])
-                g *= g
-                second[k] += _F(0.01) * (g - second[k])
-                p[k] -= _F(pace) * first[k] / (np.sqrt(second[k]) + _F(1e-6))
-            count = 0
-    return p, tokens
+            _, dh_out[use] = _output(q, s, hs[use], wanted[use], grads)
+        count += int(use.sum())
+        tokens += int(use.sum())
+        by_z, by_n, by_r = (before - n) * z * (1 - z), (1 - z) * (1 - n * n), un * r * (1 - r)
+        da, dr = np.empty((3, wide, live, hidden), _F), np.empty((wide, live, hidden), _F)
+        back, two, one = np.zeros((live, hidden), _F), np.empty((2, live, hidden), _F), np.empty((live, hidden), _F)
+        ut = q["u"].transpose(0, 2, 1)
+        for t in range(wide - 1, -1, -1):
+            dh = dh_out[t]
+            dh += back
+            np.multiply(dh, by_z[t], out=da[0, t])
+            dn = np.multiply(dh, by_n[t], out=da[2, t])
+            np.multiply(dn, by_r[t], out=da[1, t])
+            np.multiply(dn, r[t], out=dr[t])
+            np.matmul(da[:2, t], ut[:2], out=two)
+            np.matmul(dr[t], ut[2], out=one)
+            np.multiply(dh, z[t], out=back)
+            back += two[0]
+            back += two[1]
+            back += one
+            if begins[t]:
+                back[fresh[t]] = 0
+        da = da.reshape(3, -1, hidden)
+        was = before.reshape(-1, hidden).T
+        grads["u"][:2] += was @ da[:2]
+        grads["u"][2] += was @ dr.reshape(-1, hidden)
+        flat = ids.ravel()
+        found, sums = _summed(da, flat.astype(np.int16) if s.n <= 1 << 15 else flat)
+        grads["x"][:, found] += sums
+        if count < FEW * window and start + window < len(laid.given):
+            continue
+        steps += 1
+        pace = rate * np.sqrt(1 - 0.99**steps) / (1 - 0.9**steps)
+        _step(weights.all, slopes.all, first.all, second.all, count, pace)
+        count = 0
+    return q | {k: _beside(q[k]) for k in ("u", "x")}, tokens
 
 
 def score(p: dict[str, np.ndarray], s: Shape, sequences: list[np.ndarray], window: int = WINDOW) -> np.ndarray:
     """Natural log probability of each whole sequence (which begins with its first input). The state goes from
-    window to window through the sequence; sequences run side by side, longest first."""
-    order = sorted(range(len(sequences)), key=lambda j: -len(sequences[j]))
-    size = np.array([len(sequences[j]) - 1 for j in order])
-    total = np.zeros(len(order))
-    if not len(order) or size[0] < 1:
-        return total
-    h = np.zeros((len(order), s.hidden), _F)
-    for start in range(0, int(size[0]), window):
-        live = int(np.searchsorted(-size, -start, "left"))
-        wide = int(min(window, size[0] - start))
-        h = h[:live]
-        ids = np.zeros((live, wide + 1), np.int64)
-        for j in range(live):
-            part = sequences[order[j]][start : start + wide + 1]
-            ids[j, : len(part)] = part
-        after = _forward(p, ids[:, :wide].T, h, s.hidden)[1]
-        h, hs = after[-1], after.transpose(1, 0, 2)
-        use = np.arange(wide)[None, :] < (size[:live] - start)[:, None]
-        row = np.nonzero(use)[0]
-        log, _ = _output(p, s, hs[use], ids[:, 1:][use], None)
-        total[:live] += np.bincount(row, log.astype(np.float64), live)
-    out = np.empty(len(order))
-    out[order] = total
-    return out
+    window to window through the sequence; sequences run in LANES lanes side by side."""
+    laid = _laid(sequences, LANES)
+    total = np.zeros(len(sequences))
+    h = np.zeros((len(laid.size), s.hidden), _F)
+    x, u = (np.ascontiguousarray(_stacked(p[k], s.hidden)) for k in ("x", "u"))
+    for _, part, live in laid.windows(window):
+        ids, wanted, fresh, owner = (m[part, :live] for m in (laid.given, laid.wanted, laid.fresh, laid.owner))
+        states = _forward(x, u, ids, fresh, h[:live], False)[0]
+        h = states[-1]
+        use = owner >= 0
+        log, _ = _output(p, s, states[1:][use], wanted[use], None)
+        total += np.bincount(owner[use], log.astype(np.float64), len(total))
+    return total

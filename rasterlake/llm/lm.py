@@ -6,15 +6,15 @@ A word outside the vocabulary gets its group's probability times its share of th
 (c + 1) of the group's training words and 1 for a word not seen: the base model within the group. Base and
 network share the counts, which cover all training documents.
 
-Passes. 1: each task cuts its rows into blocks of some MB and emits a block's distinct words with their
-training counts; these are summed up over all blocks. 2: gradient steps visit every token of every training
-document, in one of the rounds, drawn by hash; shards of about SHARD_TOKENS train side by side, and their
-weights are averaged after each round. Sequences, shards and counts grow with the input. 3: each block's counts come back to it (one row per distinct word, not per
-occurrence) and its documents are scored whole, the state carried from window to window.
+Passes. 1: each task cuts its rows into blocks of some MB and writes a block's distinct words with their training
+counts, and its documents as places in that list; this is the only pass over texts. Counts are summed up over all
+blocks and come back to each (one row per distinct word, not per occurrence); there its documents become the network's
+ids, with all that the base model and the words outside the vocabulary add. 2: gradient steps visit every token of
+every training document, in one of the rounds, drawn by hash; shards of about SHARD_TOKENS train side by side, and their
+weights are averaged after each round. Sequences, shards and counts grow with the input. 3: documents are scored whole,
+the state carried from window to window.
 
-A block is named by its task and its number there, so `docs` must give the same rows in the same tasks twice,
-as a stored table does; pass `stored=False` for anything else, and it is written first. A block that meets a
-word it did not announce stops the job.
+Texts are read once, so `docs` may be any plan; `stored` is taken for callers' sake and has no effect.
 
 Defined results: a null or empty text is its end token alone; a null id counts as training; repeated rows are
 documents of their own; with no training documents all counts are 0 and the network is untrained; an empty
@@ -42,8 +42,8 @@ TOP, GROUPS = 1983, 64
 HIDDEN, CLASSES = 24, 32
 SHARD_TOKENS, ROUNDS = 1_500_000, 2
 BLOCK_BYTES = 16_000_000
-#: Bytes of a block's text that are scored side by side.
-SCORE_BYTES = 2_000_000
+#: Tokens that are scored side by side.
+SCORE_TOKENS = 1_000_000
 FOLD, FOLDS = 2, 7
 _EDGE = b".,;:!?*$%&#|\"'()[]{}"
 
@@ -86,20 +86,47 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
         yield at, ids, texts
 
 
+class _Places(dict):
+    """Words by first appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        return at
+
+
+_COLUMNS = "block long, place int, h long, g int, n long, doc long, held boolean, places binary"
+
+
 def _announced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block's words (place, h, g, n) and its documents (doc, held, places as 32-bit numbers); the others' columns are null."""
+    schema = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("h", pa.int64()), ("g", pa.int32()), ("n", pa.int64()), ("doc", pa.int64()), ("held", pa.bool_()), ("places", pa.binary())])
+
+    def rows(block: int, size: int, **columns: pa.Array) -> pa.RecordBatch:
+        some = {"block": pa.array(np.full(size, block), pa.int64())} | columns
+        return pa.RecordBatch.from_arrays([some.get(f.name, pa.nulls(size, f.type)) for f in schema], schema=schema)
+
     for block, ids, texts in _blocks(batches):
-        counts: Counter = Counter()
-        others: set[bytes] = set()
-        for doc, text in zip(ids, texts, strict=True):
-            if held_out(doc):
-                others.update(text.split())
-                others.add(b"")
-            else:
-                counts.update(text.split())
-                counts[b""] += 1
-        words = list(counts.keys() | others)
-        columns = [pa.array([name(w) for w in words], pa.int64()), pa.array([group(w) if w else -1 for w in words], pa.int32()), pa.array([block] * len(words), pa.int64()), pa.array([counts.get(w, 0) for w in words], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["h", "g", "block", "n"])
+        place = _Places({b"": 0})
+        held = [held_out(doc) for doc in ids]
+        places = []
+        for k, text in enumerate(texts):
+            words = text.split()
+            words.append(b"")
+            places.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
+            texts[k] = b""
+        counts = np.zeros(len(place), np.int64)
+        for k in range(0, len(ids), 2000):
+            end = min(k + 2000, len(ids))
+            seen = [x for x, out in zip(places[k:end], held[k:end], strict=True) if not out]
+            if seen:
+                counts += np.bincount(np.concatenate(seen), minlength=len(place))
+            yield rows(block, end - k, doc=pa.array(ids[k:end], pa.int64()), held=pa.array(held[k:end], pa.bool_()), places=pa.array([x.tobytes() for x in places[k:end]], pa.binary()))
+        del places
+        words = list(place)
+        yield rows(
+            block, len(words), place=pa.array(np.arange(len(words), dtype=np.int32)), h=pa.array(np.fromiter(map(name, words), np.int64, len(words))),
+            g=pa.array([-1, *map(group, words[1:])], pa.int32()), n=pa.array(counts),
+        )
 
 
 class Vocabulary:
@@ -117,43 +144,41 @@ class Vocabulary:
             count[r["g"]] -= r["c"]
             mass[r["g"]] -= r["c"] + 1
         self.first_group = len(top) + 1
-        self.ids = {name(b""): 0} | {r["h"]: k + 1 for k, r in enumerate(top)}
+        self.ids = [(name(b""), 0), *((r["h"], k + 1) for k, r in enumerate(top))]
         self.log_mass = np.log10(mass)
         self.counts = np.concatenate([[self.ends], [r["c"] for r in top], np.maximum(count, 0)])
         self.shape = gru.shape(self.counts, HIDDEN, CLASSES)
 
-    def id(self, word: bytes) -> int:
-        at = self.ids.get(name(word))
-        return self.first_group + group(word) if at is None else at
 
+def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of binaries, and where each row begins, with the end."""
+    column = column.combine_chunks().cast(pa.binary())
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)
+    return data, (offsets - offsets[0]) // np.dtype(kind).itemsize
 
-class _Ids(dict):
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
-            self.clear()
-        at = self[word] = self.vocabulary.id(word)
-        return at
 
+def _coder(vocabulary: Vocabulary):
+    """A block's documents as the network's ids (from the end before the first word on), with all that counts alone tell."""
 
-def _sequences(vocabulary: Vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
         import xxhash
 
-        ids = _Ids(vocabulary)
-        for batch in _few(batches):
-            keys, rows = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                if held_out(doc):
-                    continue
-                words = [b"", *(text or b"").lower().split(), b""]
-                key = xxhash.xxh3_64_intdigest(f"{doc}".encode())
-                rows.append(np.fromiter(map(ids.__getitem__, words), np.int16, len(words)).tobytes())
-                keys.append((key >> 1) & ((1 << 62) - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.binary())], names=["key", "ids"])
+        ids = docs.column("doc").to_pylist()
+        place = counts.column("place").to_numpy()
+        c, model = np.zeros(len(place), np.int64), np.zeros(len(place), np.int16)
+        c[place], model[place] = counts.column("c").to_numpy(), counts.column("m").to_numpy()
+        base = np.log10(c + 1) - math.log10(vocabulary.n + vocabulary.v + 1)
+        inside = np.where(model < vocabulary.first_group, 0.0, np.log10(c + 1) - vocabulary.log_mass[np.maximum(model - vocabulary.first_group, 0)])
+        places, at = _joined(docs.column("places"), np.int32)
+        first = at[:-1]
+        summed = [np.add.reduceat(x[places], first) for x in ((c > 0).astype(np.int64), base, inside)]
+        coded = np.insert(model[places], first, 0)
+        bounds = pa.py_buffer(((at + np.arange(len(at))) * 2).astype(np.int32))
+        keys = [(xxhash.xxh3_64_intdigest(f"{doc}".encode()) >> 1) & ((1 << 62) - 1) for doc in ids]
+        made = [pa.array(ids, pa.int64()), docs.column("held").combine_chunks(), pa.array(np.diff(at), pa.int64()), *map(pa.array, summed), pa.array(keys, pa.int64()), pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, bounds, pa.py_buffer(coded)])]
+        return pa.table(made, names=["doc", "held", "n_tokens", "n_known", "base", "inside", "key", "model"])
 
     return run
 
@@ -163,13 +188,7 @@ def _trainer(s: gru.Shape, weights: bytes):
         runs = [np.frombuffer(x, np.int16) for batch in batches for x in batch.column(1).to_pylist()]
         if not runs:
             return
-
-        def dealt() -> Iterator[list[np.ndarray]]:
-            for k in range(0, len(runs), 1024):
-                some = sorted(runs[k : k + 1024], key=len)
-                yield from (some[j : j + 128] for j in range(0, len(some), 128))
-
-        p, tokens = gru.train(gru.unpack(s, weights), s, dealt())
+        p, tokens = gru.train(gru.unpack(s, weights), s, (runs[k : k + gru.LANES] for k in range(0, len(runs), gru.LANES)))
         if tokens:
             yield pa.RecordBatch.from_arrays([pa.array([gru.pack(p)], pa.binary()), pa.array([tokens], pa.int64())], names=["p", "n"])
 
@@ -186,14 +205,14 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary()), pa.array([tokens], pa.int64())], names=["p", "n"])
 
 
-def fit(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: int = ROUNDS) -> bytes:
-    """Trains by averaging shards; `docs` is (id, text). The result has a fixed size."""
+def fit(coded: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: int = ROUNDS) -> bytes:
+    """Trains by averaging shards; `coded` has documents as _coder makes them. The result has a fixed size."""
     s = vocabulary.shape
     weights = gru.pack(gru.fresh(s, vocabulary.counts))
     if not vocabulary.n:
         return weights
     shards = max(1, math.ceil(vocabulary.n / SHARD_TOKENS))
-    sequences = scratch.put(docs.mapInArrow(_sequences(vocabulary), "key long, ids binary"), "sequences")
+    sequences = scratch.put(coded.where("not held").select("key", F.col("model").alias("ids")), "sequences")
     for k in range(rounds):
         part = sequences.where(F.pmod("key", F.lit(rounds)) == k).repartitionById(shards, F.pmod(F.shiftright("key", 8), F.lit(shards)).cast("int")).sortWithinPartitions("key")
         trained = scratch.put(part.mapInArrow(_trainer(s, weights), "p binary, n long"), f"weights-{k}")
@@ -206,61 +225,27 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: int =
 
 
 def _scorer(vocabulary: Vocabulary, weights: bytes, names: list[str]):
-    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, p = vocabulary.shape, gru.unpack(vocabulary.shape, weights)
-        hashes, found = counts.column("h").to_numpy(), counts.column("c").to_numpy()
-        order = np.argsort(hashes)
-        hashes, found = hashes[order], found[order]
-        ids = docs.column("doc").to_pylist()
-        texts = docs.column("text").cast(pa.binary())
-        lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-        total = math.log10(vocabulary.n + vocabulary.v + 1)
-        columns: list[list] = [[], [], [], []]
-        start = 0
-        while start < len(ids):
-            end, size = start, 0
-            while end < len(ids) and size < SCORE_BYTES:
-                size += lengths[end]
-                end += 1
-            split = [[*(t or b"").lower().split(), b""] for t in texts.slice(start, end - start).to_pylist()]
-            words = list(set().union(*split))
-            place = dict(zip(words, range(len(words)), strict=True))
-            h = np.array([name(w) for w in words], np.int64)
-            at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
-            if not len(hashes) or (hashes[at] != h).any():
-                raise RuntimeError("a block holds words that it did not announce: its rows differ between passes; use stored=False")
-            c = found[at]
-            base = np.log10(c + 1) - total
-            model = np.array([vocabulary.ids.get(x, -1) for x in h.tolist()])
-            other = np.flatnonzero(model < 0)
-            groups = np.array([group(words[j]) for j in other], np.int64)
-            model[other] = vocabulary.first_group + groups
-            inside = np.zeros(len(words))
-            inside[other] = np.log10(c[other] + 1) - vocabulary.log_mass[groups]
-            sequences, extra = [], []
-            for one in split:
-                x = np.fromiter(map(place.__getitem__, one), np.int64, len(one))
-                columns[0].append(len(x))
-                columns[1].append(int(np.count_nonzero(c[x])))
-                columns[2].append(float(base[x].sum()))
-                extra.append(float(inside[x].sum()))
-                sequences.append(np.concatenate([[0], model[x]]).astype(np.int16))
-            columns[3] += (gru.score(p, s, sequences) / math.log(10) + extra).tolist()
-            start = end
-            del split, words, place, sequences
-        pa.default_memory_pool().release_unused()
-        n = pa.array([vocabulary.n] * len(ids), pa.int64())
-        made = [pa.array(ids, pa.int64()), pa.array([held_out(d) for d in ids], pa.bool_()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), n, pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64())]
-        return pa.table(made, names=names)
 
-    return run
+        def scored(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+            docs = pa.Table.from_batches(some)
+            data, at = _joined(docs.column("model"), np.int16)
+            score = gru.score(p, s, [data[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]) / math.log(10) + docs.column("inside").to_numpy()
+            kept = [docs.column(k).combine_chunks() for k in ("doc", "held", "n_tokens", "n_known", "base")]
+            return pa.RecordBatch.from_arrays([*kept[:4], pa.array(np.full(len(docs), vocabulary.n), pa.int64()), kept[4], pa.array(score)], names=names)
 
+        some, tokens = [], 0
+        for batch in _few(batches):
+            some.append(batch)
+            tokens += pc.sum(batch.column(2)).as_py()
+            if tokens >= SCORE_TOKENS:
+                yield scored(some)
+                some, tokens = [], 0
+        if some:
+            yield scored(some)
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, ids, texts in _blocks(batches):
-        for k in range(0, len(ids), 2000):
-            some = texts[k : k + 2000]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(ids[k : k + 2000], pa.int64()), pa.array(some, pa.binary())], names=["block", "doc", "text"])
+    return run
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, stored: bool = True) -> DataFrame:
@@ -268,17 +253,21 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession, "lm")
     one_thread(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    if not stored:
-        slim = scratch.put(slim, "docs")
-    words = scratch.put(slim.mapInArrow(_announced, "h long, g int, block long, n long"), "words")
+    blocks = scratch.put(slim.mapInArrow(_announced, _COLUMNS), "blocks")
+    words, texts = blocks.where("n is not null"), blocks.where("n is null").select(F.col("block").alias("own"), "doc", "held", "places")
     counts = scratch.put(words.groupBy("h").agg(F.sum("n").alias("c"), F.min("g").alias("g")), "counts")
     vocabulary = Vocabulary(counts)
-    weights = fit(slim, vocabulary, scratch, rounds)
-    back = words.select("h", "block").join(counts.select("h", "c"), "h").select("block", "h", "c")
-    texts = slim.mapInArrow(_texts, "block long, doc long, text binary")
+    top = docs.sparkSession.createDataFrame(vocabulary.ids, "h long, m int")
+    model = counts.join(F.broadcast(top), "h", "left").select("h", "c", F.coalesce("m", F.col("g") + vocabulary.first_group).cast("int").alias("m"))
+    back = words.select("h", "block", "place").join(model, "h").select("block", "place", "c", "m")
+    columns = "doc long, held boolean, n_tokens long, n_known long, base double, inside double, key long, model binary"
+    coded = scratch.put(texts.groupBy("own").cogroup(back.groupBy("block")).applyInArrow(_coder(vocabulary), columns), "coded")
+    for done in ("blocks", "counts"):
+        scratch.drop(done)
+    weights = fit(coded, vocabulary, scratch, rounds)
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scorer(vocabulary, weights, names), schema)
+    return coded.select("doc", "held", "n_tokens", "n_known", "base", "inside", "model").mapInArrow(_scorer(vocabulary, weights, names), schema)
 
 
 def op4_lm(spark, sf_dir: str) -> DataFrame:

@@ -294,6 +294,35 @@ def test_long_sequences_train_to_their_end():
     assert tokens == sum(len(q) - 1 for b in batches for q in b)
 
 
+def test_language_model_lanes_stay_full(monkeypatch):
+    """Sequences of unlike lengths run one after another in lanes, so windows are full (before: 3 to 4 times as many)."""
+    from rasterlake.llm import gru
+
+    rng = np.random.default_rng(3)
+    s = gru.shape(np.ones(8), 4, 2)
+    seqs = [rng.integers(0, 8, 2 + int(n)).astype(np.int16) for n in rng.pareto(1.2, 960).clip(0, 40) * 40]
+    n, windows, forward = sum(len(q) - 1 for q in seqs), [], gru._forward
+    monkeypatch.setattr(gru, "_forward", lambda *a: windows.append(1) or forward(*a))
+    p, tokens = gru.train(gru.fresh(s, np.ones(8)), s, (seqs[k : k + 96] for k in range(0, 960, 96)))
+    full = math.ceil(n / (96 * gru.WINDOW))
+    assert tokens == n and len(windows) <= 1.2 * full + 1
+    alone = [gru.score(p, s, [q])[0] for q in seqs[:40]]
+    assert gru.score(p, s, seqs)[:40] == pytest.approx(alone, rel=1e-4)
+
+
+def test_language_model_reads_texts_once(spark, docs):
+    """Before, the rows were made three times: for counts, for training and for scores."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = docs.select("doc_id", "text").mapInArrow(counted, "doc_id long, text string")
+    assert lm.score_documents(rows).count() == docs.count() == seen.value
+
+
 def test_gradients():
     from rasterlake.llm import gru
 
