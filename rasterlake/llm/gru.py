@@ -16,6 +16,8 @@ import numpy as np
 WINDOW = 32
 FEW = 8
 LANES = 96
+#: Scoring holds less a lane, so more fit a core's cache.
+SCORE_LANES = 128
 #: Numbers a step of the weights takes at a time.
 PIECE = 8192
 #: Exponentials of less, up or down, and their sums are normal single-precision numbers.
@@ -92,8 +94,7 @@ def _forward(x: np.ndarray, u: np.ndarray, ids: np.ndarray, fresh: np.ndarray, h
     given = np.take(x, ids.ravel(), axis=1).reshape(3, steps, lanes, hidden)
     states = np.empty((steps + 1, lanes, hidden), _F)
     kept = steps if keep else 1
-    gates, n, un = np.empty((kept, 2, lanes, hidden), _F), np.empty((kept, lanes, hidden), _F), np.empty((kept, lanes, hidden), _F)
-    own = np.empty((3, lanes, hidden), _F)
+    gates, n, by_u = np.empty((kept, 2, lanes, hidden), _F), np.empty((kept, lanes, hidden), _F), np.empty((kept, 3, lanes, hidden), _F)
     states[0] = h
     begins = fresh.any(axis=1)
     with np.errstate(over="ignore"):  # a gate far below 0 is 1 / (1 + inf)
@@ -101,21 +102,20 @@ def _forward(x: np.ndarray, u: np.ndarray, ids: np.ndarray, fresh: np.ndarray, h
             h, out, k = states[t], states[t + 1], t if keep else 0
             if begins[t]:
                 h = np.where(fresh[t][:, None], _F(0), h)
+            gate, some, own = gates[k], n[k], by_u[k]
             np.matmul(h, u, out=own)
-            gate, some = gates[k], n[k]
             np.add(own[:2], given[:2, t], out=gate)
             np.negative(gate, out=gate)
             np.exp(gate, out=gate)
             gate += _F(1)
             np.reciprocal(gate, out=gate)
-            un[k] = own[2]
             np.multiply(gate[1], own[2], out=some)
             some += given[2, t]
             np.tanh(some, out=some)
             np.subtract(h, some, out=out)
             out *= gate[0]
             out += some
-    return states, gates, n, un
+    return states, gates, n, by_u[:, 2]
 
 
 def _bound(w: np.ndarray, h: np.ndarray) -> float:
@@ -151,7 +151,10 @@ def _output(p: dict, s: Shape, h: np.ndarray, y: np.ndarray, grads: dict | None)
     rows[:, :hidden] = np.take(h, order, axis=0)
     cls, m = s.of[y], np.arange(count)
     place = s.place[y] - s.starts[cls]
-    edge = np.searchsorted(cls, np.arange(s.classes + 1)).tolist()
+    edge = np.searchsorted(cls, np.arange(s.classes + 1))
+    # places in the flat logits of a class, whose rows are from edge to edge
+    place = place * np.diff(edge)[cls] + m - edge[cls]
+    edge = edge.tolist()
     c, words = (np.concatenate(x, axis=1) for x in ((p["c"].T, p["bc"][:, None]), (p["w"], p["bw"][:, None])))
     logits = c @ rows.T
     log = _softmax(logits, cls * np.intp(count) + m, _bound(c, rows) < SAFE, whole)
@@ -169,9 +172,7 @@ def _output(p: dict, s: Shape, h: np.ndarray, y: np.ndarray, grads: dict | None)
             continue
         w, hk = words[a:z], rows[first:last]
         logits = w @ hk.T
-        at = place[first:last] * (last - first)
-        at += m[: last - first]
-        log[first:last] += _softmax(logits, at, small, whole)
+        log[first:last] += _softmax(logits, place[first:last], small, whole)
         if whole:
             np.matmul(logits.T, w[:, :hidden], out=more[first:last])
             np.matmul(logits, hk, out=by_w[a:z])
@@ -188,22 +189,13 @@ def _output(p: dict, s: Shape, h: np.ndarray, y: np.ndarray, grads: dict | None)
 
 
 def _summed(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their rows in (3, rows, hidden): neighbours of one key are added pair by pair, in rounds."""
+    """Distinct keys and the sums of their rows in (3, rows, hidden). An even number of columns is added two at a time, as
+    complex numbers."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    at = np.arange(len(keys))
     begins = np.flatnonzero(np.diff(keys, prepend=-1))
-    at -= np.repeat(begins, np.diff(begins, append=len(keys)))
-    while True:
-        odd = np.flatnonzero(at & 1)
-        even = np.flatnonzero(~at & 1)
-        some = np.take(rows, order[even], axis=1)
-        if not len(odd):
-            return keys[even], some
-        at_odd, more = np.searchsorted(even, odd) - 1, order[odd]
-        for k in range(len(rows)):
-            some[k][at_odd] += np.take(rows[k], more, axis=0)
-        rows, keys, at, order = some, keys[even], at[even] >> 1, np.arange(len(even))
+    kind = np.complex64 if rows.shape[-1] % 2 == 0 else _F
+    return keys[begins], np.add.reduceat(np.take(rows.view(kind), order, axis=1), begins, axis=1).view(_F)
 
 
 class _Flat:
@@ -346,8 +338,8 @@ def train(p: dict[str, np.ndarray], s: Shape, batches: Iterator[list[np.ndarray]
 
 def score(p: dict[str, np.ndarray], s: Shape, sequences: list[np.ndarray], window: int = WINDOW) -> np.ndarray:
     """Natural log probability of each whole sequence (which begins with its first input). The state goes from
-    window to window through the sequence; sequences run in LANES lanes side by side."""
-    laid = _laid(sequences, LANES)
+    window to window through the sequence; sequences run in SCORE_LANES lanes side by side."""
+    laid = _laid(sequences, SCORE_LANES)
     total = np.zeros(len(sequences))
     h = np.zeros((len(laid.size), s.hidden), _F)
     x, u = (np.ascontiguousarray(_stacked(p[k], s.hidden)) for k in ("x", "u"))

@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,12 +85,23 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
         yield at, ids, texts
 
 
-class _Places(dict):
-    """Words by first appearance."""
-
-    def __missing__(self, word: bytes) -> int:
-        at = self[word] = len(self)
-        return at
+def _placed(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words, the end first; all texts' words, each text with its end, as places in that list; tokens of each text."""
+    whole = pa.array(texts, pa.binary())
+    # the cut is at bytes, so nothing needs to be valid UTF-8
+    split = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(whole), whole.buffers()[1], whole.buffers()[2]))
+    coded = pc.dictionary_encode(split.flatten())
+    places = coded.indices.to_numpy().astype(np.int32)
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    sizes = np.diff(split.offsets.to_numpy())
+    if b"" in words:  # what stands before leading and after trailing white space
+        none = words.index(b"")
+        real = places != none
+        sizes = np.bincount(np.repeat(np.arange(len(texts)), sizes)[real], minlength=len(texts))
+        places = places[real]
+        places -= places > none
+        del words[none]
+    return [b"", *words], np.insert(places + np.int32(1), np.cumsum(sizes), 0), sizes + 1
 
 
 _COLUMNS = "block long, place int, h long, g int, n long, doc long, held boolean, places binary"
@@ -106,23 +116,16 @@ def _announced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([some.get(f.name, pa.nulls(size, f.type)) for f in schema], schema=schema)
 
     for block, ids, texts in _blocks(batches):
-        place = _Places({b"": 0})
-        held = [held_out(doc) for doc in ids]
-        places = []
-        for k, text in enumerate(texts):
-            words = text.split()
-            words.append(b"")
-            places.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
-            texts[k] = b""
-        counts = np.zeros(len(place), np.int64)
+        words, places, sizes = _placed(texts)
+        texts.clear()
+        held = np.array([held_out(doc) for doc in ids])
+        counts = np.bincount(places[np.repeat(~held, sizes)], minlength=len(words))
+        bounds = np.concatenate([[0], np.cumsum(sizes)]) * places.itemsize
+        binary = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(places)])
         for k in range(0, len(ids), 2000):
-            end = min(k + 2000, len(ids))
-            seen = [x for x, out in zip(places[k:end], held[k:end], strict=True) if not out]
-            if seen:
-                counts += np.bincount(np.concatenate(seen), minlength=len(place))
-            yield rows(block, end - k, doc=pa.array(ids[k:end], pa.int64()), held=pa.array(held[k:end], pa.bool_()), places=pa.array([x.tobytes() for x in places[k:end]], pa.binary()))
-        del places
-        words = list(place)
+            some = slice(k, k + 2000)
+            yield rows(block, len(ids[some]), doc=pa.array(ids[some], pa.int64()), held=pa.array(held[some]), places=binary[some])
+        del places, binary
         yield rows(
             block, len(words), place=pa.array(np.arange(len(words), dtype=np.int32)), h=pa.array(np.fromiter(map(name, words), np.int64, len(words))),
             g=pa.array([-1, *map(group, words[1:])], pa.int32()), n=pa.array(counts),
