@@ -231,8 +231,9 @@ def _step(p: np.ndarray, g: np.ndarray, first: np.ndarray, second: np.ndarray, c
 
 @dataclass
 class _Laid:
-    """Sequences laid out in lanes, one after another: inputs, what follows them, the sequence's number (-1: nothing) and where
-    one begins, each (steps, lanes). Lanes are about equally full, the fullest first; size: their steps."""
+    """Sequences laid out in lanes, one after another, lane after lane: inputs, what follows them, the sequence's number and
+    whether it begins. Lanes are about equally full, the fullest first; size: their steps. Held flat, so one very long
+    sequence costs its own length only."""
 
     given: np.ndarray
     wanted: np.ndarray
@@ -240,10 +241,17 @@ class _Laid:
     fresh: np.ndarray
     size: np.ndarray
 
-    def windows(self, window: int) -> Iterator[tuple[int, slice, int]]:
-        """(first step, its steps, lanes that go beyond it)"""
-        for start in range(0, len(self.given), window):
-            yield start, slice(start, start + window), int(np.searchsorted(-self.size, -start, "left"))
+    def windows(self, window: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Whether it is the last, then inputs, what follows, numbers (-1: nothing) and beginnings, each (steps, lanes)."""
+        first, steps = np.cumsum(self.size) - self.size, int(self.size.max(initial=0))
+        for start in range(0, steps, window):
+            live = int(np.searchsorted(-self.size, -start, "left"))
+            t = np.arange(start, min(start + window, steps))[:, None]
+            none = t >= self.size[:live]
+            at = np.where(none, 0, t + first[:live])
+            owner, fresh = self.owner[at], self.fresh[at]
+            owner[none], fresh[none] = -1, False
+            yield start + window >= steps, self.given[at], self.wanted[at], owner, fresh
 
 
 def _laid(sequences: list[np.ndarray], lanes: int) -> _Laid:
@@ -256,16 +264,13 @@ def _laid(sequences: list[np.ndarray], lanes: int) -> _Laid:
         held[k].append(j)
         heapq.heapreplace(heap, (size + len(sequences[j]) - 1, k))
     sizes = sorted(heap, key=lambda x: (-x[0], x[1]))
-    dims = (sizes[0][0] if sizes else 0, len(sizes))
-    out = _Laid(np.zeros(dims, np.int32), np.zeros(dims, np.int32), np.full(dims, -1, np.int32), np.zeros(dims, bool), np.array([size for size, _ in sizes], np.int64))
-    for lane, (size, k) in enumerate(sizes):
-        js = sorted(held[k])
-        long = np.array([len(sequences[j]) - 1 for j in js])
-        out.given[:size, lane] = np.concatenate([sequences[j][:-1] for j in js])
-        out.wanted[:size, lane] = np.concatenate([sequences[j][1:] for j in js])
-        out.owner[:size, lane] = np.repeat(js, long)
-        out.fresh[np.cumsum(long) - long, lane] = True
-    return out
+    js = [j for _, k in sizes for j in sorted(held[k])]
+    long = np.array([len(sequences[j]) - 1 for j in js], np.int64)
+    none = [np.zeros(0, np.int32)]
+    fresh = np.zeros(int(long.sum()), bool)
+    fresh[np.cumsum(long) - long] = True
+    given, wanted = (np.concatenate(none + [sequences[j][part] for j in js]).astype(np.int32) for part in (slice(0, -1), slice(1, None)))
+    return _Laid(given, wanted, np.repeat(np.array(js, np.int32), long), fresh, np.array([size for size, _ in sizes], np.int64))
 
 
 def train(p: dict[str, np.ndarray], s: Shape, batches: Iterator[list[np.ndarray]], rate: float = 0.004, window: int = WINDOW) -> tuple[dict[str, np.ndarray], int]:
@@ -284,10 +289,9 @@ def train(p: dict[str, np.ndarray], s: Shape, batches: Iterator[list[np.ndarray]
         q[k][:] = v
     steps = tokens = count = 0
     h = np.zeros((len(laid.size), hidden), _F)
-    for start, part, live in laid.windows(window):
-        ids, wanted, fresh, use = (m[part, :live] for m in (laid.given, laid.wanted, laid.fresh, laid.owner))
-        use = use >= 0
-        wide, begins = len(ids), fresh.any(axis=1)
+    for last, ids, wanted, owner, fresh in laid.windows(window):
+        use, begins = owner >= 0, fresh.any(axis=1)
+        wide, live = ids.shape
         states, gates, n, un = _forward(q["x"], q["u"], ids, fresh, h[:live], True)
         hs, z, r = states[1:], gates[:, 0], gates[:, 1]
         h = hs[-1]
@@ -327,7 +331,7 @@ def train(p: dict[str, np.ndarray], s: Shape, batches: Iterator[list[np.ndarray]
         flat = ids.ravel()
         found, sums = _summed(da, flat.astype(np.int16) if s.n <= 1 << 15 else flat)
         grads["x"][:, found] += sums
-        if count < FEW * window and start + window < len(laid.given):
+        if count < FEW * window and not last:
             continue
         steps += 1
         pace = rate * np.sqrt(1 - 0.99**steps) / (1 - 0.9**steps)
@@ -343,9 +347,8 @@ def score(p: dict[str, np.ndarray], s: Shape, sequences: list[np.ndarray], windo
     total = np.zeros(len(sequences))
     h = np.zeros((len(laid.size), s.hidden), _F)
     x, u = (np.ascontiguousarray(_stacked(p[k], s.hidden)) for k in ("x", "u"))
-    for _, part, live in laid.windows(window):
-        ids, wanted, fresh, owner = (m[part, :live] for m in (laid.given, laid.wanted, laid.fresh, laid.owner))
-        states = _forward(x, u, ids, fresh, h[:live], False)[0]
+    for _, ids, wanted, owner, fresh in laid.windows(window):
+        states = _forward(x, u, ids, fresh, h[: ids.shape[1]], False)[0]
         h = states[-1]
         use = owner >= 0
         log, _ = _output(p, s, states[1:][use], wanted[use], None)

@@ -310,6 +310,20 @@ def test_language_model_lanes_stay_full(monkeypatch):
     assert gru.score(p, s, seqs)[:40] == pytest.approx(alone, rel=1e-4)
 
 
+def test_language_model_lanes_of_one_very_long_sequence():
+    """Lanes are held by their tokens, not by the longest one's steps (by those: 96 lanes of 1,000,000 steps)."""
+    import tracemalloc
+
+    from rasterlake.llm import gru
+
+    seqs = [np.zeros(n, np.int16) for n in (1_000_001, *([50] * 200))]
+    tracemalloc.start()
+    laid = gru._laid(seqs, 96)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000 and laid.size.sum() == sum(len(q) - 1 for q in seqs)
+
+
 def test_language_model_reads_texts_once(spark, docs):
     """Before, the rows were made three times: for counts, for training and for scores."""
     seen = spark.sparkContext.accumulator(0)
