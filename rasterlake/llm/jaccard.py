@@ -17,7 +17,8 @@ Equal sets meet first, by a 128-bit hash, and enter the join as one node. Nodes
 d + 1 shingles form a bucket. First every bucket's nodes are compared with one centre, the node that has fewest
 shingles of its own before the bucket's; components then tell what is together already. What is open after that
 is compared in full: nodes of different components, in small buckets pair by pair; nodes of large ones are dealt
-to chunks, and chunks that have a bucket in common are compared node by node, where only nodes of components not
+to chunks by size, and those of two chunks that, by sizes and places in a bucket they have in common, could have a
+partner in the other are compared node by node, where only nodes of components not
 joined so far meet and only links that join two components leave the task. No pair that could link is left out. Pairs and chunks are held to a
 bound first, from bitmaps of the parity of their shingles: cells that differ count shingles that only one of the two
 has; then to the bound of finer bitmaps. What is left is verified on the whole sets of 64-bit shingle hashes, with
@@ -228,13 +229,17 @@ class Chunk:
 
 
 def _near_rows(x: Chunk, y: Chunk, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of x: the rows of y whose signatures leave a link possible. Memory is that of one row's."""
+    """For each row of x: the rows of y whose sizes and signatures leave a link possible. Memory is that of one row's.
+
+    Sizes are told first: a long set's signature is folded to a short one's few bits, where no difference shows."""
     for wide in x.words:
         sides = [(x.folded(wide, min(wide, w)), y.folded(w, min(wide, w)), y.rows[w]) for w in y.words]
         for k, i in enumerate(x.rows[wide]):
             found = []
             for mine, theirs, rows in sides:
-                differing = np.bitwise_count(theirs ^ mine[k]).sum(axis=1, dtype=np.int64)
+                fits = np.flatnonzero(100 * np.minimum(y.n[rows], x.n[i]) >= percent * np.maximum(y.n[rows], x.n[i]))
+                rows = rows[fits]
+                differing = np.bitwise_count(theirs[fits] ^ mine[k]).sum(axis=1, dtype=np.int64)
                 both = y.n[rows] + x.n[i]
                 found.append(rows[differing <= both + 2 * (-percent * both // (100 + percent))])
             yield int(i), np.concatenate(found)
@@ -288,54 +293,42 @@ def _edges(a: tuple, b: tuple, percent: int) -> list[tuple[int, int]]:
 
 
 def _in_chunks(members: DataFrame, full: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Links (a, b) between different parts of each bucket, from members (tok, node, part, n). A node is in one chunk,
-    by the least node two buckets away, so that nodes of many buckets in common lie together."""
+    """Links (a, b) between different parts of each bucket, from members (tok, node, part, n, most). A node is in one chunk,
+    by its size and the least node two buckets away, so that nodes of many buckets in common lie together. It goes to
+    another chunk's nodes only for a bucket where, by their sizes and places, one of them could be its partner."""
     low = members.groupBy("tok").agg(F.min("node").alias("low"))
-    named = members.join(low, "tok").groupBy("node", "part", "n").agg(F.min("low").alias("label"))
-    many = named.groupBy("label").agg(F.ceil(F.sum(F.greatest(F.lit(CHUNK_BYTES / CHUNK_NODES), F.col("n") * (4 * (100 - percent)) / 100)) / CHUNK_BYTES).alias("k"))
-    dealt = scratch.put(named.join(many, "label").select("node", "part", F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("k"))).alias("i")), "dealt")
-    packed = scratch.put(dealt.join(full.select("node", "n", "sig"), "node").groupBy("i").agg(F.collect_list(F.struct("node", "part", "n", "sig")).alias("m")), "chunks")
-    at = members.select("tok", "node").join(dealt, "node").select("tok", "i").distinct()
-    pairs = at.join(at.select("tok", F.col("i").alias("j")), "tok").where("i <= j").select("i", "j").distinct()
-    met = pairs.join(packed.withColumnRenamed("m", "x"), "i").join(packed.select(F.col("i").alias("j"), F.col("m").alias("y")), "j").select("i", "j", "x", "y")
-
-    def chunk(column: pa.Array, row: int) -> Chunk:
-        rows = column[row].values
-        node, part, n = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-        return Chunk(node, part, n, rows.field(3))
+    # sizes of one band are similar, and those of bands that aren't neighbours never
+    band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent))) if percent < 100 else F.col("n")
+    named = members.join(low, "tok").groupBy("node", "n").agg(F.min("low").alias("label")).withColumn("band", band)
+    many = named.groupBy("label", "band").agg(F.ceil(F.sum(F.greatest(F.lit(CHUNK_BYTES / CHUNK_NODES), F.col("n") * (4 * (100 - percent)) / 100)) / CHUNK_BYTES).alias("k"))
+    dealt = named.join(many, ["label", "band"]).select("node", F.xxhash64("label", "band", F.pmod(F.xxhash64("node"), F.col("k"))).alias("own"))
+    at = scratch.put(members.join(dealt, "node").select("tok", "own", "node", "part", "n", "most"), "dealt")
+    there = at.groupBy("tok", F.col("own").alias("other")).agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("most").alias("furthest"), F.min("part").alias("low"), F.max("part").alias("high"))
+    able = (F.col("n") <= F.col("furthest")) & (F.col("least_n") <= F.col("most")) & (100 * F.col("n") >= percent * F.col("least_n")) & (100 * F.col("most_n") >= percent * F.col("n"))
+    sent = at.join(there, "tok").where(able & ((F.col("low") != F.col("part")) | (F.col("high") != F.col("part"))))
+    sent = sent.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "part").distinct()
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one in range(batch.num_rows):
                 i, j = batch.column(0)[one].as_py(), batch.column(1)[one].as_py()
-                x = chunk(batch.column(2), one)
-                y = x if i == j else chunk(batch.column(3), one)
-                use = _close(x, y, percent)
-                # a chunk that is compared with itself is one side
-                use = [use[0] | use[1]] if i == j else use
-                node, part = (np.concatenate([getattr(c, f)[u] for c, u in zip((x, y), use, strict=False)]) for f in ("node", "part"))
-                side = np.repeat(np.arange(len(use), dtype=np.int32), [int(u.sum()) for u in use])
-                pair = [pa.array(np.full(len(node), v), pa.int64()) for v in (i, j)]
-                yield pa.RecordBatch.from_arrays([*pair, pa.array(side), pa.array(node), pa.array(part)], names=["i", "j", "side", "node", "part"])
-
-    some = scratch.put(met.mapInArrow(bounded, "i long, j long, side int, node long, part long"), "close")
-    both = some.join(full.select("node", "n", "fine"), "node").groupBy("i", "j").agg(F.collect_list(F.struct("side", "node", "part", "n", "fine")).alias("m"))
-
-    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one in range(batch.num_rows):
                 rows = batch.column(2)[one].values
                 side, node, part, n = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                chunks = [Chunk(node[at], part[at], n[at], rows.field(4).take(pa.array(at))) for at in (np.flatnonzero(side == k) for k in (0, 1))]
-                alone = not len(chunks[1].node)
-                use = _close(chunks[0], chunks[0] if alone else chunks[1], percent)
-                use = [use[0] | use[1], np.zeros(0, bool)] if alone else use
+                # a chunk that is compared with itself is one side
+                chunks = [Chunk(node[at], part[at], n[at], rows.field(4).take(pa.array(at))) for at in (np.flatnonzero(side == k) for k in range(1 if i == j else 2))]
+                if not all(len(c.node) for c in chunks):
+                    continue
+                use = _close(chunks[0], chunks[-1], percent)
+                use = [use[0] | use[1]] if i == j else use
                 kept = [np.concatenate([getattr(c, f)[u] for c, u in zip(chunks, use, strict=True)]) for f in ("node", "part")]
-                sides = np.repeat(np.arange(2, dtype=np.int32), [int(u.sum()) for u in use])
-                pair = [pa.array(np.full(len(sides), batch.column(c)[one].as_py()), pa.int64()) for c in (0, 1)]
+                sides = np.repeat(np.arange(len(use), dtype=np.int32), [int(u.sum()) for u in use])
+                pair = [pa.array(np.full(len(sides), v), pa.int64()) for v in (i, j)]
                 yield pa.RecordBatch.from_arrays([*pair, pa.array(sides), *map(pa.array, kept)], names=["i", "j", "side", "node", "part"])
 
-    some = scratch.put(both.mapInArrow(finer, "i long, j long, side int, node long, part long"), "closer")
+    some = sent
+    for column, name in (("sig", "close"), ("fine", "closer")):
+        both = some.join(full.select("node", "n", column), "node").groupBy("i", "j").agg(F.collect_list(F.struct("side", "node", "part", "n", column)).alias("m"))
+        some = scratch.put(both.mapInArrow(bounded, "i long, j long, side int, node long, part long"), name)
     sides = some.join(full.select("node", "set"), "node").groupBy("i", "j").agg(F.collect_list(F.struct("side", "node", "part", "set")).alias("m")).select("m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,7 +446,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         other = few.select("tok", *(F.col(c).alias(f"{c}2") for c in few.columns if c != "tok"))
         met_twice = few.join(other, "tok").where((F.col("node") < F.col("node2")) & (F.col("part") != F.col("part2")) & (F.col("n") <= F.col("most2")) & (F.col("n2") <= F.col("most")))
         fresh = met_twice.where(similar(F.col("n"), F.col("n2"))).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-        many = members.where(F.col("c") > SMALL).select("tok", "node", "part", "n")
+        many = members.where(F.col("c") > SMALL).select("tok", "node", "part", "n", "most")
         last = _linked(scratch.put(hopeful(fresh), "pairs-last"), full, scratch, "last", percent)
         if not many.isEmpty():
             last = last.unionByName(_in_chunks(many, full, scratch, percent))

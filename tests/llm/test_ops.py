@@ -488,6 +488,38 @@ def test_jaccard_large_buckets(spark, monkeypatch):
         assert got == linked(rows, k, percent)
 
 
+def test_jaccard_chunks_of_unlike_sizes(spark, monkeypatch):
+    """Short and long texts that share a rare passage: no node travels for one that its size keeps from being a partner (a
+    long set's signature, folded to a short one's width, leaves every link possible)."""
+    rng = random.Random(17)
+    passage = [f"p{j}" for j in range(150)]
+    rows = [(j, " ".join(passage[j * 2 : j * 2 + 10])) for j in range(60)]
+    rows += [(1000 + j, " ".join([f"w{rng.randrange(50)}" for _ in range(700 + 10 * (j % 12))] + passage)) for j in range(30)]
+    rows += [(2000 + j, rows[60 + j][1] + " more") for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "SMALL", 1)
+    counted, put = {}, common.Scratch.put
+
+    def counting(self, df, name):
+        made = put(self, df, name)
+        counted[name] = made.count()
+        return made
+
+    monkeypatch.setattr(common.Scratch, "put", counting)
+    for percent in (90, 100):
+        counted.clear()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, 3, percent).collect()}
+        assert got == linked(rows, 3, percent)
+        assert counted["dealt"] and counted["close"] <= 8, counted
+
+
+def test_jaccard_near_rows():
+    rng = np.random.default_rng(18)
+    sets = [np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64)) for n in (10, 11, 8549)]
+    x, y = (jaccard.Chunk(np.array(at), np.array(at), np.array([len(sets[k]) for k in at]), [jaccard._signature(sets[k], 90) for k in at]) for at in ([2], [0, 1, 2]))
+    assert [(i, near.tolist()) for i, near in jaccard._near_rows(x, y, 90)] == [(0, [2])]
+
+
 def test_jaccard_repeated_ids(spark):
     """Every set of a repeated id keeps its own links."""
     x, t = " ".join(f"x{j}" for j in range(60)), " ".join(f"t{j}" for j in range(60))
